@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import table
+from . import simhash, tokenbin
+from .common import shared, table
+
+END_OF_TEXT = 2
+
+
+def tokenizer_file(name: str) -> str:
+    """The place of one of the public vocabulary files."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +26,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared(spark)}/token-shards-{uuid.uuid4().hex}"
+    tokenbin.write(table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"), END_OF_TEXT)
+    return tokenbin.read(spark, path).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
+    "op10_token_binary": op10_token_binary,
 }
 
 ORACLE_SQL: dict[str, str] = {}
