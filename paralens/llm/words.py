@@ -133,3 +133,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 19)
             upto = max(done + 1, int(np.searchsorted(sizes, base + most, side="right")))
             yield batch.slice(done, upto - done)
             done = upto
+
+
+def folded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """utf8() in lower case (Unicode), with ASCII punctuation turned into spaces."""
+    if not pa.types.is_large_string(column.type):
+        column = column.cast(pa.large_string())
+    data, offsets = utf8(pc.utf8_lower(column))
+    mark = ((data - np.uint8(0x21)) < 15) | ((data - np.uint8(0x3A)) < 7) | ((data - np.uint8(0x5B)) < 6) | ((data - np.uint8(0x7B)) < 4)
+    return np.where(mark, np.uint8(0x20), data), offsets
+
+
+def folded_words(column: pa.Array) -> Words:
+    return Words(*folded(column))
