@@ -55,3 +55,29 @@ def keyed(docs: DataFrame, key: str) -> DataFrame:
 def text_and_id(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(id, text) only, so that extra columns neither clash nor are read."""
     return docs.select(docs[key].alias("id"), docs[text].cast("string").alias("text"))
+
+
+def whole_groups(batches, keys: list[str]):
+    """Batches sorted by ``keys``, cut anew so that no group of equal keys is split between two."""
+    import numpy as np
+    import pyarrow as pa
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        differs = np.zeros(batch.num_rows, dtype=bool)
+        for v, k in zip(values, keys):
+            differs[1:] |= v[1:] != v[:-1]
+            differs[0] |= bool(held) and held[-1].column(k)[-1].as_py() != v[0]
+        marks = np.flatnonzero(differs)
+        if len(marks):
+            last = int(marks[-1])
+            if held or last:
+                yield pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks().to_batches()[0]
+            held = [batch.slice(last)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
