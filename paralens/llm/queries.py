@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, simhash, tokenbin, toxicity
+from . import decontam, linededup, sentencepieces, simhash, tokenbin, toxicity
 from .common import shared, table
 
 END_OF_TEXT = 2
@@ -23,6 +23,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentencepieces.encoded(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.deduplicated(table(spark, sf_dir, "documents"))
     return found.select("row.doc_id", "text", "n_lines", F.size("removed_lines").alias("n_removed"), "removed_lines", "n_links")
@@ -50,6 +55,7 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_line_dedup": op3_line_dedup,
     "op5_decontamination": op5_decontamination,
     "op7_toxicity": op7_toxicity,
