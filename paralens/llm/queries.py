@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, sentencepieces, simhash, tokenbin, toxicity
+from . import decontam, linededup, quality, sentencepieces, simhash, tokenbin, toxicity
 from .common import shared, table
 
 END_OF_TEXT = 2
@@ -38,6 +38,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assessed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), name="score")
     return scored.select("doc_id", (toxicity.fold("doc_id") == toxicity.HELD_OUT).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_line_dedup": op3_line_dedup,
     "op5_decontamination": op5_decontamination,
+    "op6_quality_rules": op6_quality_rules,
     "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
     "op10_token_binary": op10_token_binary,
