@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, quality, sentencepieces, simhash, tokenbin, toxicity
+from . import decontam, linededup, pii, quality, sentencepieces, simhash, tokenbin, toxicity
 from .common import shared, table
 
 END_OF_TEXT = 2
@@ -52,6 +52,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.found_in(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared(spark)}/token-shards-{uuid.uuid4().hex}"
     tokenbin.write(table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"), END_OF_TEXT)
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
+    "op9_personal_data": op9_personal_data,
     "op10_token_binary": op10_token_binary,
 }
 
