@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, pii, quality, sentencepieces, simhash, tokenbin, toxicity, urlfilter
+from . import decontam, htmltext, linededup, pii, quality, sentencepieces, simhash, tokenbin, toxicity, urlfilter
 from .common import shared, table
 
 END_OF_TEXT = 2
@@ -39,6 +39,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "text", "n_lines", F.size("removed_lines").alias("n_removed"), "removed_lines", "n_links")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.rendered(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_line_dedup": op3_line_dedup,
+    "op4_html_text": op4_html_text,
     "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_toxicity": op7_toxicity,
