@@ -2,6 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes a
 stage's rows as Parquet to the shared folder and reads them as the next one's docs.
+All stages but the last keep the columns of ``documents``, whatever they are.
 """
 
 from __future__ import annotations
@@ -9,8 +10,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paralens.llm import common, simhash
+from paralens.llm import common, decontam, linededup, sentencepieces, simhash
+from paralens.llm import queries as production
+from paralens.llm import toxicity as toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the toxicity models don't reject."""
+    model = toxic.fit(docs, common.table(spark, sf_dir, "labels"))
+    return docs.where(toxic.scorer(docs, model)(docs["text"]) < production.TOXIC)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without lines that match an earlier line; one whose words all went goes.
+
+    ``n_chars`` follows the text where it is a column.
+    """
+    found = linededup.deduplicated(docs)
+    left = found.where((F.size("removed_lines") == 0) | (F.trim("text") != ""))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return left.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +39,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.deduplicated(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in which no benchmark item was found."""
+    return decontam.decontaminated(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, token_ids, n_tokens, ids_crc32, parity, lossless, decoded) of each document."""
+    return sentencepieces.encoded(docs, production.tokenizer_file("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
     ("simhash_near_dedup", near_duplicates),
+    ("decontamination", decontamination),
+    ("sentencepiece", tokens),
 ]
 
 #: SQL can express neither the language models nor the tokenizer; the stages are tested against brute force.

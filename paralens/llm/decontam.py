@@ -232,18 +232,22 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
     """The rows of ``docs``, with all their columns, in whose text no item was found."""
     ship(docs.sparkSession)
     for ids, texts in item_groups(benchmark, item_key, item_text, group_bytes):
-        items = Items(ids, texts, threshold, radius)
-
-        def clean(arrays: Iterator[pa.Array], items=items) -> Iterator[pa.Array]:
-            for array in arrays:
-                out = np.ones(len(array), dtype=bool)
-                done = 0
-                for batch in W.slices(iter([pa.RecordBatch.from_arrays([array], names=["text"])]), "text"):
-                    for found in items.matches(W.folded_words(batch.column("text"))):
-                        out[done + found[0]] = False
-                    done += batch.num_rows
-                yield pa.array(out)
-
-        clean.__annotations__ = {"arrays": Iterator[pa.Array], "return": Iterator[pa.Array]}
-        docs = docs.where(F.arrow_udf(clean, "boolean")(docs[text].cast("string")))
+        docs = docs.where(_clean(Items(ids, texts, threshold, radius))(docs[text].cast("string")))
     return docs
+
+
+def _clean(items: Items):
+    """A column function: whether a text holds none of the items."""
+
+    def clean(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in arrays:
+            out = np.ones(len(array), dtype=bool)
+            done = 0
+            for batch in W.slices(iter([pa.RecordBatch.from_arrays([array], names=["text"])]), "text"):
+                for found in items.matches(W.folded_words(batch.column("text"))):
+                    out[done + found[0]] = False
+                done += batch.num_rows
+            yield pa.array(out)
+
+    clean.__annotations__ = {"arrays": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(clean, "boolean")
