@@ -32,7 +32,6 @@ from . import rans
 from . import words as W
 from .common import ship, text_and_id
 
-_UNEVEN = re.compile(r"\s\s|\A\s|\s\Z")
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -45,7 +44,7 @@ class UnitEncoder:
     get whole texts.  At most ``most`` units are remembered.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 800_000):
         import json
 
         from tokenizers import Tokenizer
@@ -60,27 +59,60 @@ class UnitEncoder:
         #: by the unit without the space before it
         self.later: dict[str, bytes] = {}
 
+        #: the id of a line feed if it is one; it then parts units that are encoded as one text
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if self.by_unit and len(feed) == 1 else None
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_units(self, units: list[str], before: str, together: int = 1000) -> list[bytes]:
+        """_encode() for units without a line feed; many are joined by line feeds, which no unit's ids hold."""
+        if self.feed is None or not before:
+            return self._encode([before + u for u in units])
+        out: list[bytes] = []
+        groups = [units[lo : lo + together] for lo in range(0, len(units), together)]
+        joined = [before + f"\n{before}".join(g) for g in groups]
+        for group, whole in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(whole.ids, dtype="<u4")
+            ends = np.flatnonzero(ids == self.feed)
+            if len(ends) != len(group) - 1:
+                out += self._encode([before + u for u in group])
+                continue
+            raw = ids.tobytes()
+            begin = np.concatenate([[0], 4 * ends + 4]).tolist()
+            out += [raw[a:b] for a, b in zip(begin, [*(4 * ends).tolist(), len(raw)])]
+        return out
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if not self.by_unit:
             return self._encode(texts)
-        cut = [_INNER_SPACE.split(t) if _UNEVEN.search(t) else t.split(" ") for t in texts]
+        cut = [t.split(" ") for t in texts]
         if len(self.first) + len(self.later) > self.most:
             self.first.clear()
             self.later.clear()
+        new = set().union(*cut).difference(self.later)
+        # a cut beside another space is no boundary: such texts are cut again, between non-spaces only
+        uneven = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
+        if uneven:
+            new -= uneven
+            for k, words in enumerate(cut):
+                if not uneven.isdisjoint(words):
+                    cut[k] = _INNER_SPACE.split(texts[k])
+                    new.update(cut[k])
+            new.difference_update(self.later)
         heads = [words.pop(0) for words in cut]
-        self._learn(self.first, set(heads), "")
-        self._learn(self.later, set().union(*cut), " ")
+        self._learn(self.first, set(heads).difference(self.first), "")
+        self._learn(self.later, new, " ")
         return [self.first[head] + b"".join(map(self.later.__getitem__, words)) for head, words in zip(heads, cut)]
 
     def _learn(self, known: dict[str, bytes], units: set[str], before: str) -> None:
-        new = list(units.difference(known))
-        for lo in range(0, len(new), 20_000):
-            some = new[lo : lo + 20_000]
-            known.update(zip(some, self._encode([before + u for u in some])))
+        plain = [u for u in units if "\n" not in u]
+        other = [u for u in units if "\n" in u]
+        for some, encode in ((plain, self._encode_units), (other, lambda u, b: self._encode([b + x for x in u]))):
+            for lo in range(0, len(some), 50_000):
+                known.update(zip(some[lo : lo + 50_000], encode(some[lo : lo + 50_000], before)))
 
 
 @lru_cache(maxsize=2)
