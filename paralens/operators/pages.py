@@ -50,8 +50,9 @@ def similarity(regions: DataFrame, pages: DataFrame, profile: Profile) -> DataFr
 
 def identity(pages: DataFrame) -> DataFrame:
     """(pair_id, s_page, t_page): pages of equal number together, the others alone."""
-    s, t = side(pages, "source", "s_").select("pair_id", "s_page"), side(pages, "target", "t_").select("pair_id", "t_page")
-    return s.join(t, (s["pair_id"] == t["pair_id"]) & (s["s_page"] == t["t_page"]), "full").select(F.coalesce(s["pair_id"], t["pair_id"]).alias("pair_id"), "s_page", "t_page")
+    s = side(pages, "source", "s_").select("pair_id", "s_page", F.col("s_page").alias("number"))
+    t = side(pages, "target", "t_").select("pair_id", "t_page", F.col("t_page").alias("number"))
+    return s.join(t, ["pair_id", "number"], "full").drop("number")
 
 
 def aligned(pages: DataFrame, similar: DataFrame, profile: Profile) -> DataFrame:
