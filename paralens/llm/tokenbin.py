@@ -58,6 +58,8 @@ class UnitEncoder:
         self.first: dict[str, bytes] = {}
         #: by the unit without the space before it
         self.later: dict[str, bytes] = {}
+        #: units met again after they were learnt; these stay when room is made
+        self.often: set[str] = set()
 
         #: the id of a line feed if it is one; it then parts units that are encoded as one text
         feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
@@ -91,8 +93,12 @@ class UnitEncoder:
         cut = [t.split(" ") for t in texts]
         if len(self.first) + len(self.later) > self.most:
             self.first.clear()
-            self.later.clear()
-        new = set().union(*cut).difference(self.later)
+            if len(self.often) > self.most // 2:
+                self.often.clear()
+            self.later = {u: self.later[u] for u in self.often if u in self.later}
+        met = set().union(*cut)
+        new = met.difference(self.later)
+        self.often.update(met.difference(new))
         # a cut beside another space is no boundary: such texts are cut again, between non-spaces only
         uneven = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
         if uneven:
