@@ -69,17 +69,17 @@ def clashing_names(samples: DataFrame) -> DataFrame:
 
 def add_sample(samples: DataFrame, new: DataFrame) -> DataFrame:
     """The samples with the new ones whose names are free and whose two files differ."""
-    known = samples.select(F.lower("name").alias("n"))
-    fit = new.where("source_file_id <> target_file_id").join(known, F.lower("name") == F.col("n"), "left_anti")
-    once = fit.withColumn("k", F.row_number().over(Window.partitionBy(F.lower("name")).orderBy("sample_id"))).where("k = 1").drop("k")
+    known = samples.select(F.lower("name").alias("_name"))
+    fit = new.where("source_file_id <> target_file_id").join(known, F.lower("name") == F.col("_name"), "left_anti")
+    once = fit.withColumn("_nth", F.row_number().over(Window.partitionBy(F.lower("name")).orderBy("sample_id"))).where("_nth = 1").drop("_nth")
     return samples.unionByName(once)
 
 
 def upsert(table: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
     """One row for each key: the one with the highest version, a new one before an old one of equal version."""
-    both = table.withColumn("fresh", F.lit(0)).unionByName(new.withColumn("fresh", F.lit(1)))
-    ranked = both.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(version), F.desc("fresh"))))
-    return ranked.where("k = 1").drop("k", "fresh")
+    both = table.withColumn("_fresh", F.lit(0)).unionByName(new.withColumn("_fresh", F.lit(1)))
+    ranked = both.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(version), F.desc("_fresh"))))
+    return ranked.where("_nth = 1").drop("_nth", "_fresh")
 
 
 def append_new(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
