@@ -202,6 +202,13 @@ BODIES = {
     "number_tokens": f"select doc_id, unnest({_NUMBERS}) as number from documents",
     "digit_normalize": f"select doc_id, sha256(translate(text, '{DIGITS_FROM}', '{DIGITS_TO}')) as digest from documents where text is not null",
     "bcp47_normalize": "select doc_id, lang || '-' || case doc_id % 3 when 0 then 'Latn' when 1 then 'GB' else 'x1' end as tag from documents",
+    "band_severity": "select doc_id, " + ", ".join(f"case when (doc_id % 100) / {m} >= {hi} then 'high' when (doc_id % 100) / {m} >= {lo} then 'medium' else 'high' end as {b}" for b, m, hi, lo in (("numbers", "10.0::double", 5, 1), ("shrink", "100.0::double", 0.4, 0.2), ("untranslated", "100.0::double", 0.9, 0.7), ("resize", "100.0::double", 0.8, 0.5))) + " from documents",
+    "profile_publish": "select source as profile_id, doc_id as version, case when doc_id % 3 = 0 then case when source = 'src3' then 'published' else 'draft' end when doc_id % 3 = 1 then 'published' else 'archived' end as status from documents",
+    "legacy_import": "select lang || '-' || (doc_id % 50) as import_key, case when max(doc_id % 3 = 0) then 'old' else 'new' end as origin from documents group by 1",
+    "language_backfill": "select doc_id as record_id, case when doc_id % 2 = 1 then 'fr' when doc_id % 3 = 0 then 'en' when doc_id % 3 = 1 then 'zh' end as source_language from documents",
+    "flow_inference": """select pair_id, report_page, lines, first_region, last_region, case when lines >= 3 and s1 <= 0.015 and s2 - s1 >= 0.01 then n1 end as alignment, left_e6, right_e6, center_e6 from (
+        select *, list_sort([{'s': l, 'n': 'left'}, {'s': r, 'n': 'right'}, {'s': c, 'n': 'center'}]) as o, o[1].s as s1, o[2].s as s2, o[1].n as n1, cast(floor(l * 1000000 + 0.5) as bigint) as left_e6, cast(floor(r * 1000000 + 0.5) as bigint) as right_e6, cast(floor(c * 1000000 + 0.5) as bigint) as center_e6 from (
+        select pair_id, page as report_page, count(*) as lines, 'r' || arg_min(i, (y, x, i)) as first_region, 'r' || arg_max(i, (y, x, i)) as last_region, (max(x) - min(x)) / 500 as l, (max(x + width) - min(x + width)) / 500 as r, (max(x + width / 2) - min(x + width / 2)) / 500 as c from src where type = 'text' group by pair_id, page))""",
     "builtin_pairs": "select a.source as source_name, b.source as target_name from (select distinct source from documents) a join (select distinct 'translated_' || source as source from documents) b on b.source = 'translated_' || a.source",
 }
 

@@ -157,6 +157,37 @@ def builtin_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.discover_pairs(both)
 
 
+def profile_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("doc_id") % 3 == 0, "draft").when(F.col("doc_id") % 3 == 1, "published").otherwise("archived")
+    profiles = documents(spark, sf_dir).select(F.col("source").alias("profile_id"), F.col("doc_id").alias("version"), status.alias("status"))
+    return store.set_status(profiles, {"profile_id": "src3"}, "published", ["draft"])
+
+
+def legacy_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keyed = documents(spark, sf_dir).select(F.concat_ws("-", "lang", F.col("doc_id") % 50).alias("import_key"), (F.col("doc_id") % 3 == 0).alias("old"))
+    old = keyed.where("old").select("import_key", F.lit("old").alias("origin")).distinct()
+    new = keyed.where("not old").select("import_key", F.lit("new").alias("origin"))
+    return store.append_new(old, new, ["import_key"])
+
+
+def language_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    file_id = F.concat(F.lit("f"), "doc_id")
+    ending = F.when(F.col("doc_id") % 3 == 0, "-en.pdf").when(F.col("doc_id") % 3 == 1, "-zh.pdf").otherwise(".pdf")
+    rows = docs.select(F.col("doc_id").alias("record_id"), file_id.alias("source_file_id"), F.when(F.col("doc_id") % 2 == 1, "fr").alias("source_language"))
+    names = docs.select(file_id.alias("file_id"), F.concat(file_id, ending).alias("file_name"))
+    return store.language_backfill(rows, names).select("record_id", "source_language")
+
+
+def flow_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of each document's lines, taken as one flow."""
+    spans = fixtures.source_spans(documents(spark, sf_dir)).where("type = 'text'")
+    lines = spans.select("pair_id", F.col("page").alias("report_page"), F.col("i").alias("t_region_ord"), F.concat(F.lit("r"), "i").alias("t_region_id"), *[F.col(c).alias(f"t_{c}") for c in ("x", "y", "width", "height")], F.lit(500.0).alias("tp_width"))
+    flow = lines.select("pair_id", "report_page", "t_region_ord", F.lit(0).alias("flow"))
+    found = detectors.flow_alignment(lines, flow, "t_", "tp_width", Profile())
+    return found.select("pair_id", "report_page", F.col("lines"), "first_region", "last_region", "alignment", *[F.floor(F.col(c) * 1_000_000 + 0.5).cast("long").alias(f"{c}_e6") for c in ("left", "right", "center")])
+
+
 def document_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: one row for each pair after the whole comparison."""
     return solved(spark, sf_dir).documents
@@ -231,4 +262,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "digit_normalize": lambda s, d: documents(s, d).where("text is not null").select("doc_id", F.sha2(tx.normalized_digits(F.col("text")), 256).alias("digest")),
     "bcp47_normalize": bcp47_normalize,
     "builtin_pairs": builtin_pairs,
+    "band_severity": lambda s, d: documents(s, d).select("doc_id", *[Profile().band(b, (F.col("doc_id") % 100) / m).alias(b) for b, m in (("numbers", 10), ("shrink", 100), ("untranslated", 100), ("resize", 100))]),
+    "profile_publish": profile_publish,
+    "legacy_import": legacy_import,
+    "language_backfill": language_backfill,
+    "flow_inference": flow_inference,
 }
