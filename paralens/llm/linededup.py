@@ -10,7 +10,7 @@ removed if a line before it, in the order of (id, line number), matches it.
    in that order, one of which any matching set must share.  Words counted once and
    sets below four words (which match equal sets only) are not posted.
 3. In each word's list, keep pairs that pass the length filter, the positional
-   filter and a bound from 128-bit parity sketches.  Sets in such a pair are flagged.
+   filter and a bound from parity sketches of about as many bits as the sets have words.  Sets in such a pair are flagged.
 4. Post the flagged sets again with all their words and verify the Jaccard similarity
    of each pair in the list of the first prefix word they share, so each link is
    counted once.  A list returns one row for each set: its first match and its links.
@@ -42,7 +42,7 @@ from .common import ship, stored, whole_groups
 
 U64 = np.uint64
 BUCKETS, CHUNK = 1 << 22, 1 << 16
-THRESHOLD, LIST_ROWS, MOST_PARTS = 0.8, 4096, 64
+THRESHOLD, LIST_ROWS, MOST_PARTS, MOST_LEVEL = 0.8, 4096, 64, 10
 POST = "array<struct<token:long,pos:int,parts:int>>"
 
 
@@ -120,16 +120,19 @@ class Lines:
         np.cumsum(values, out=sums[1:])
         return sums[self.first[1:]] - sums[self.first[:-1]]
 
-    def sketches(self) -> np.ndarray:
-        """(2, lines): parities of the number of words in each of 128 groups."""
-        bit = self.h >> U64(57)
-        out = np.zeros((2, len(self.size)), dtype=U64)
-        filled = np.flatnonzero(self.size)
-        for k in range(2):
-            bits = np.where(bit >> U64(6) == k, U64(1) << (bit & U64(63)), U64(0))
-            if len(filled):
-                out[k, filled] = np.bitwise_xor.reduceat(bits, self.first[:-1][filled])
-        return out
+    def sketches(self, lines: np.ndarray) -> pa.Array:
+        """Of each given line (ascending): parities of the number of words in each of 64 * 2**level groups, as bytes."""
+        level = sketch_level(self.size)
+        length = 1 << level[lines]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        place = np.full(len(self.size), -1, dtype=np.int64)
+        place[lines] = ends[:-1]
+        own = np.flatnonzero(place[self.line] >= 0)
+        # the group's low bits are the same at every level, so a sketch folds onto a shorter one
+        group = (self.h[own] & U64((64 << MOST_LEVEL) - 1)).astype(np.int64) & ((64 << level[self.line[own]]) - 1)
+        out = np.zeros(int(ends[-1]), dtype=U64)
+        np.bitwise_xor.at(out, place[self.line[own]] + (group >> 6), U64(1) << (group & 63).astype(U64))
+        return pa.Array.from_buffers(pa.binary(), len(lines), [None, pa.py_buffer((8 * ends).astype(np.int32)), pa.py_buffer(out)])
 
     def posts(self, lines: np.ndarray) -> pa.Array:
         """The posts of the given lines, as lists of (token, pos, parts)."""
@@ -157,6 +160,11 @@ def _cells(posts: DataFrame, *columns: str) -> DataFrame:
     return rows.withColumn("cell", F.explode(cells)).drop("parts")
 
 
+def sketch_level(size: np.ndarray) -> np.ndarray:
+    """Levels grow so slowly that sets of matching sizes are one level apart at most."""
+    return np.searchsorted(80 << np.arange(MOST_LEVEL), size, "left")
+
+
 def _need(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     return np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9).astype(np.int64)
 
@@ -164,11 +172,28 @@ def _need(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
 def _candidates(rows: pa.RecordBatch, threshold: float) -> np.ndarray:
     """Marks rows of sorted (token, cell, size, k1) that pass all filters with another row of their list."""
     token, cell, size, pos, own = (rows.column(c).to_numpy().astype(np.int64) for c in ("token", "cell", "size", "pos", "own"))
-    k1, k2, s1, s2 = (rows.column(c).to_numpy().view(U64) for c in ("k1", "k2", "s1", "s2"))
+    k1, k2 = (rows.column(c).to_numpy().view(U64) for c in ("k1", "k2"))
+    _, begin, bits = rows.column("sketch").buffers()
+    begin = np.frombuffer(begin, np.int32)[rows.column("sketch").offset :][: len(token)] // 8
+    bits = np.frombuffer(bits, U64)
+    level = sketch_level(size)
     alike = np.zeros(len(token), dtype=bool)
     alike[1:] = (token[1:] == token[:-1]) & (cell[1:] == cell[:-1]) & (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])
     keep = np.flatnonzero(~alike)
-    token, cell, size, pos, own, s1, s2 = (x[keep] for x in (token, cell, size, pos, own, s1, s2))
+    token, cell, size, pos, own, begin, level = (x[keep] for x in (token, cell, size, pos, own, begin, level))
+
+    def differing(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Bits in which the sketches of the rows differ, on the shorter one's level (that of i)."""
+        out = np.zeros(len(i), dtype=np.int64)
+        for k in np.unique(level[i]).tolist():
+            some = np.flatnonzero(level[i] == k)
+            a, b, longer = begin[i[some]], begin[j[some]], level[j[some]] > k
+            for word in range(1 << k):
+                other = bits[b + word]
+                other = np.where(longer, other ^ bits[np.where(longer, b + word + (1 << k), b)], other)
+                out[some] += np.bitwise_count(bits[a + word] ^ other)
+        return out
+
     cross = cell // MOST_PARTS != cell % MOST_PARTS
     marked = np.zeros(len(keep), dtype=bool)
     i, step = np.arange(len(keep)), 1
@@ -181,9 +206,9 @@ def _candidates(rows: pa.RecordBatch, threshold: float) -> np.ndarray:
             return keep[marked]
         need = _need(size[i], size[j], threshold)
         ok = (1 + np.minimum(size[i] - pos[i], size[j] - pos[j]) - 1 >= need) & (~cross[i] | (own[i] != own[j]))
-        differ = np.bitwise_count(s1[i] ^ s1[j]).astype(np.int64) + np.bitwise_count(s2[i] ^ s2[j])
-        ok &= size[i] + size[j] - differ >= 2 * need
-        marked[i[ok]] = marked[j[ok]] = True
+        some = np.flatnonzero(ok)
+        some = some[size[i[some]] + size[j[some]] - differing(i[some], j[some]) >= 2 * need[some]]
+        marked[i[some]] = marked[j[some]] = True
         step += 1
 
 
@@ -244,9 +269,9 @@ def _verified(rows: pa.RecordBatch, threshold: float, block: int = 1024) -> tupl
 
 
 def line_table(docs: DataFrame, counts, threshold: float) -> DataFrame:
-    """(id, h, line, k1, k2, size, s1, s2, posts) of every line with words; a set's posts stand at its first line in a partition only."""
+    """(id, h, line, k1, k2, size, sketch, posts) of every line with words; a set's posts stand at its first line in a partition only."""
     kind = docs.schema["id"].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("h", T.LongType()), T.StructField("line", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("k1", "k2")], T.StructField("size", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("s1", "s2")], T.StructField("posts", T._parse_datatype_string(POST))])
+    schema = T.StructType([T.StructField("id", kind), T.StructField("h", T.LongType()), T.StructField("line", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("k1", "k2")], T.StructField("size", T.IntegerType()), T.StructField("sketch", T.BinaryType()), T.StructField("posts", T._parse_datatype_string(POST))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -265,7 +290,6 @@ def line_table(docs: DataFrame, counts, threshold: float) -> DataFrame:
             fresh = np.zeros(len(lines.size), dtype=bool)
             fresh[new] = True
             lines.posted &= fresh[lines.line]
-            sketch = lines.sketches()
             text = pa.array(lines.text[with_words])
             yield pa.RecordBatch.from_arrays(
                 [
@@ -275,8 +299,7 @@ def line_table(docs: DataFrame, counts, threshold: float) -> DataFrame:
                     pa.array(lines.key1[with_words].view(np.int64)),
                     pa.array(lines.key2[with_words].view(np.int64)),
                     pa.array(lines.size[with_words].astype(np.int32)),
-                    pa.array(sketch[0][with_words].view(np.int64)),
-                    pa.array(sketch[1][with_words].view(np.int64)),
+                    lines.sketches(with_words),
                     lines.posts(with_words),
                 ],
                 names=schema.fieldNames(),
@@ -294,7 +317,7 @@ def flagged(table: DataFrame, threshold: float) -> DataFrame:
             if keys.num_rows:
                 yield pa.Table.from_batches([keys]).group_by(["k1", "k2"]).aggregate([]).combine_chunks().to_batches()[0]
 
-    posts = _cells(table.where(F.size("posts") > 0), "size", "s1", "s2")
+    posts = _cells(table.where(F.size("posts") > 0), "size", "sketch")
     dealt = posts.repartition("token", "cell").sortWithinPartitions("token", "cell", "size", "k1", "k2")
     return dealt.mapInArrow(run, "k1 long, k2 long").distinct()
 
