@@ -14,6 +14,7 @@ gives no segments and no rows.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -47,6 +48,8 @@ class UnitEncoder:
     def __init__(self, path: str, most: int = 800_000):
         import json
 
+        # Spark runs a task on each core; threads of a task's own would only wait for each other
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -165,7 +168,7 @@ def segments(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id",
                 names=schema.fieldNames(),
             )
 
-        for batch in W.slices(batches, "text"):
+        for batch in W.slices(batches, "text", 2 << 20):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             coded += [c + end for c in encode(texts)]
             held += sum(map(len, islice(coded, len(coded) - len(texts), None))) // 4
