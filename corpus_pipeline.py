@@ -19,8 +19,10 @@ from paralens.llm import toxicity as toxic
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the toxicity models don't reject."""
-    model = toxic.fit(docs, common.table(spark, sf_dir, "labels"))
-    return docs.where(toxic.scorer(docs, model)(docs["text"]) < production.TOXIC)
+    score = "toxicity_score"
+    while score in docs.columns:
+        score += "_"
+    return toxic.scored(docs, common.table(spark, sf_dir, "labels"), name=score).where(F.col(score) < production.TOXIC).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,26 +1,24 @@
-"""Toxicity from class-conditional Kneser-Ney bigram models.
-
-Labelled rows give bigram counts of each class over all their whole texts.  A class's
-bigram probability discounts its counts and backs off to the class's continuation
-counts (in how many contexts a word follows), and these back off to continuation
-counts shared by both classes:
-
-    p_c(v|u) = (n_c(uv) - d)+ / n_c(u)   + back_c(u) * p_c(v)     for kept bigrams
-    p_c(v)   = (n_c(.v) - d)+ / n_c(..)  + back_c * p(v)          for kept words
-    p_c(v)   = (1 - mass of kept words in c) * p(v)               for all other words
-
-An expression is kept, with counts of its own in each class, only if its counts
-depart from the shared proportion by more than chance (log-likelihood ratio of at
-least ``evidence``) and are at least ``rarity`` of its class's total; all rarer or
-indifferent expressions are smoothed through the shared counts alone.  A bigram must
-also follow at least ``contexts`` different words, as continuation counts ask of a
-word, so that copies of one text don't make its bigrams evidence.  A class thus
-keeps at most 1 / rarity bigrams and words whatever the corpus, which bounds what is
-broadcast.
-
-A text's evidence is its log-likelihood under the toxic class less that under the
-ordinary class, divided by a power of its length; a logistic fit on a bounded sample
-of other labelled rows turns it into a score between 0 and 1.
+"""Toxicity from class-conditional Kneser-Ney counts of words and bigrams.
+
+Labelled rows give bigram counts of each class over all their whole texts, and
+continuation counts of words (after how many different words a word stands).  Every
+counted bigram and word has a discounted probability in each class that backs off to
+the share that it has of both classes' counts:
+
+    p_c(x) = (n_c(x) - d_c(n_c(x))) / n_c + back_c * n(x) / n
+
+with discounts for counts of one, two and more from the counts of counts.  Its
+evidence is the logarithm of p_toxic / p_ordinary, times g / (g + CAUTION), where g is
+twice the log-likelihood ratio of its two counts against the shared proportion: what
+chance explains counts for little, but nothing that was counted is left out.
+
+A text's evidence is summed over its different words and over its different bigrams;
+sums by length and fourth-power norms (which follow the strongest expressions) go
+through a logistic fit on a bounded sample of other labelled rows.
+
+Nothing whose size grows with the corpus is broadcast.  Counted expressions and the
+expressions of the texts are dealt to shards by a 47-bit hash, as many shards as the
+number of counted expressions asks for; each shard returns a few sums for each text.
 
 Rows are dealt by crc32 of the id: remainders 0 and 1 (of 4) train the models, 3 the
 fit; 2 is held out and never learnt from.  Ids, languages and sources are never
@@ -30,10 +28,12 @@ labelled row, every score is 0.  Repeated labels of an id count as toxic if one
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +41,14 @@ from . import words as W
 from .common import ship, stored
 
 U64 = np.uint64
-DISCOUNT, RARITY, EVIDENCE, CONTEXTS, HELD_OUT, FIT, FOLDS = 0.75, 2.0**-20, 25.0, 6, 2, 3, 4
+DISCOUNT, RARITY, CAUTION, HELD_OUT, FIT, FOLDS = 0.75, 2.0**-20, 10.0, 2, 3, 4
 #: labelled rows of the fit, by order of a hash of their ids; labels that are broadcast for the join at most
 FIT_ROWS, BROADCAST_LABELS = 20_000, 2_000_000
+#: counted expressions of a shard; bytes of text whose expressions are dealt together
+SHARD_KEYS, SLICE = 1 << 22, 1 << 22
+PACKED = "shard int, kind int, slice long, low binary, high binary, one binary, other binary"
+SUMS = ("n_words", "n_pairs", "words", "words4", "pairs", "pairs4")
+CLASSES = ("toxic", "ordinary")
 
 
 def fold(key: str):
@@ -60,42 +65,13 @@ def bigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return u, v, words.owner
 
 
-class Model:
-    """Log-likelihood ratios of kept bigrams, of contexts' backoff and of words."""
-
-    def __init__(self, pairs: tuple[np.ndarray, np.ndarray], contexts: tuple[np.ndarray, np.ndarray], words: tuple[np.ndarray, np.ndarray], rest: float, fit: np.ndarray | None = None):
-        self.pairs, self.contexts, self.words, self.rest, self.fit = pairs, contexts, words, rest, fit
-
-    @staticmethod
-    def _at(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, other: np.ndarray | float) -> np.ndarray:
-        have, values = table
-        if not len(have):
-            return np.broadcast_to(other, keys.shape)
-        at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-        return np.where(have[at] == keys, values[at], other)
-
-    def evidence(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The log-likelihood ratio and the number of the different bigrams of each text.
-
-        A bigram that a text repeats counts once there, so that a repeated word is no evidence in itself.
-        """
-        u, v, owner = bigrams(column)
-        ratio = self._at(self.contexts, u, 0.0) + self._at(self.words, v, self.rest)
-        keys = (u << U64(32)) | v
-        ratio = self._at(self.pairs, keys, ratio)
-        order = np.lexsort((keys, owner))
-        once = order[np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]) | np.diff(owner[order], prepend=-1).astype(U64))]
-        return np.bincount(owner[once], ratio[once], len(column)), np.bincount(owner[once], minlength=len(column))
-
-    def score(self, column: pa.Array) -> np.ndarray:
-        ratio, n = self.evidence(column)
-        return 1 / (1 + np.exp(-np.clip(features(ratio, n) @ self.fit, -40, 40)))
-
-
-def features(ratio: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """What the logistic fit sees: evidence by length and by its square root, and its size on a log scale."""
-    n = np.maximum(n, 1)
-    return np.stack([np.ones(len(n)), ratio / n, ratio / np.sqrt(n), np.arcsinh(ratio)], axis=1)
+def features(sums: dict):
+    """What the logistic fit sees, from numpy arrays or columns: evidence by length and by its root, and its norm."""
+    out = []
+    for kind in ("words", "pairs"):
+        n = sums[f"n_{kind}"]
+        out += [sums[kind] / n, sums[kind] / n**0.5, sums[f"{kind}4"] ** 0.25]
+    return out
 
 
 def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -126,10 +102,7 @@ def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
 
 
 def pair_counts(rows: DataFrame, held_keys: int = 1 << 20) -> DataFrame:
-    """(pair, toxic, ordinary, before): counts of every bigram of the rows' texts, keyed by two 32-bit hashes.
-
-    ``before`` has a bit for each of 64 groups of words that stand before the bigram.
-    """
+    """(pair, toxic, ordinary): counts of every bigram of the rows' texts, keyed by two 32-bit hashes."""
     ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,22 +110,19 @@ def pair_counts(rows: DataFrame, held_keys: int = 1 << 20) -> DataFrame:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            keys, toxic, before = np.concatenate(held, axis=1)
+            keys, toxic = np.concatenate(held, axis=1)
             order = np.argsort(keys)
             keys = keys[order]
             marks = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             a = np.add.reduceat(toxic[order], marks).astype(np.int32)
             n = np.diff(marks, append=len(keys)).astype(np.int32)
-            bits = np.bitwise_or.reduceat(before[order], marks)
-            return pa.RecordBatch.from_arrays([pa.array(keys[marks].view(np.int64)), pa.array(a), pa.array(n - a), pa.array(bits.view(np.int64))], names=["pair", "toxic", "ordinary", "before"])
+            return pa.RecordBatch.from_arrays([pa.array(keys[marks].view(np.int64)), pa.array(a), pa.array(n - a)], names=["pair", "toxic", "ordinary"])
 
         for batch in W.slices(batches, "text"):
             u, v, owner = bigrams(batch.column("text"))
             if not len(u):
                 continue
-            toxic = batch.column("toxic").to_numpy()[owner] > 0
-            w = np.where(u > 0, np.concatenate([np.zeros(1, U64), u[:-1]]), U64(0))
-            held.append(np.stack([(u << U64(32)) | v, toxic.astype(U64), U64(1) << (w >> U64(26))]))
+            held.append(np.stack([(u << U64(32)) | v, (batch.column("toxic").to_numpy()[owner] > 0).astype(U64)]))
             size += len(u)
             if size >= held_keys:
                 yield flush()
@@ -160,106 +130,237 @@ def pair_counts(rows: DataFrame, held_keys: int = 1 << 20) -> DataFrame:
         if held:
             yield flush()
 
-    counted = rows.select("text", "toxic").mapInArrow(run, "pair long, toxic int, ordinary int, before long")
-    return counted.groupBy("pair").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.bit_or("before").alias("before"))
+    counted = rows.select("text", "toxic").mapInArrow(run, "pair long, toxic int, ordinary int")
+    return counted.groupBy("pair").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+
+
+def keys_of(codes: np.ndarray, pairs: bool) -> np.ndarray:
+    """48-bit keys of words (32-bit hashes) or bigrams; the last bit tells which."""
+    return (W.mix(codes + U64(0x9E3779B97F4A7C15)) >> U64(17) << U64(1)) | U64(pairs)
+
+
+class Counts:
+    """Totals and discounts of the classes, for words or for bigrams."""
+
+    def __init__(self, row: dict, kind: str):
+        self.total, self.discount, self.back = {}, {}, {}
+        for c in CLASSES:
+            n1, n2, n3, n4, more = (float(row[f"{kind}_{c}_{k}"] or 0) for k in (1, 2, 3, 4, "more"))
+            self.total[c] = float(row[f"{kind}_{c}_total"] or 0)
+            d = np.array([0.0, DISCOUNT, DISCOUNT, DISCOUNT])
+            if min(n1, n2, n3, n4) > 0:
+                y = n1 / (n1 + 2 * n2)
+                d = np.clip([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0, 0.1, 0.1, 0.1], [0, 0.999, 1.999, 2.999])
+            self.discount[c] = d
+            self.back[c] = (d[1] * n1 + d[2] * n2 + d[3] * (n3 + n4 + more)) / max(self.total[c], 1)
+
+    def evidence(self, toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
+        n, whole = toxic + ordinary, sum(self.total.values())
+        p, g = {}, 0.0
+        for c, count in zip(CLASSES, (toxic, ordinary)):
+            p[c] = (count - self.discount[c][np.minimum(count, 3)]) / self.total[c] + self.back[c] * n / whole
+            g = g + 2 * count * np.log(np.maximum(count, 1) / np.maximum(n * self.total[c] / whole, 1e-300))
+        g = np.where(g > 0, g, 0.0)
+        return np.log(p["toxic"] / p["ordinary"]) * g / (g + CAUTION)
+
+
+def _counts_of_counts(kind: str) -> list:
+    out = []
+    for c in CLASSES:
+        out.append(F.sum(c).alias(f"{kind}_{c}_total"))
+        out += [F.count(F.when(F.col(c) == k, 1)).alias(f"{kind}_{c}_{k}") for k in (1, 2, 3, 4)]
+        out.append(F.count(F.when(F.col(c) > 4, 1)).alias(f"{kind}_{c}_more"))
+    return out
 
 
-def _unsigned(column) -> np.ndarray:
-    return column.to_numpy().astype(np.int64).view(U64)
+def _high(keys: np.ndarray) -> bytes:
+    """The upper 16 of 48 bits of ascending keys, as steps (which compress well)."""
+    return np.diff(keys >> U64(32), prepend=U64(0)).astype("<u2").tobytes()
 
 
-def _departure(toxic: str, ordinary: str, share: float):
-    """Twice the log-likelihood ratio of two counts against the shared proportion."""
-    n = F.col(toxic) + F.col(ordinary)
+def _unpacked(low: bytes, high: bytes) -> np.ndarray:
+    return (np.cumsum(np.frombuffer(high, "<u2").astype(U64)).astype(U64) << U64(32)) | np.frombuffer(low, "<u4").astype(U64)
 
-    def term(count: str, part: float):
-        return F.when(F.col(count) > 0, F.col(count) * F.log(F.col(count) / (n * F.lit(part)))).otherwise(0.0)
 
-    return 2 * (term(toxic, share) + term(ordinary, 1 - share))
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=[f.split()[0] for f in PACKED.split(", ")])
 
 
-def trained(rows: DataFrame, discount: float = DISCOUNT, rarity: float = RARITY, evidence: float = EVIDENCE, contexts: int = CONTEXTS) -> Model | None:
-    """The models of the rows (id, text, toxic), or None if a class has no words."""
-    classes = ("toxic", "ordinary")
-    pairs = stored(pair_counts(rows), "bigrams")
-    pairs = pairs.withColumns({"u": F.shiftrightunsigned("pair", 32), "v": F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))})
-    total = pairs.agg(*[F.sum(c).alias(c) for c in classes], *[F.count(F.when(F.col(c) > 0, 1)).alias(f"{c}_kinds") for c in classes]).first()
-    if not total["toxic"] or not total["ordinary"]:
-        return None
-    kinds = total["toxic_kinds"] + total["ordinary_kinds"]
-
-    def kept(of: dict[str, int]):
-        often = (F.col("toxic") >= rarity * of["toxic"]) | (F.col("ordinary") >= rarity * of["ordinary"])
-        return often & (_departure("toxic", "ordinary", of["toxic"] / (of["toxic"] + of["ordinary"])) >= evidence)
-
-    spread = F.bit_count("before") >= contexts
-    of_pairs, of_words = {c: total[c] for c in classes}, {c: total[f"{c}_kinds"] for c in classes}
-    per_word = pairs.groupBy("v").agg(*[F.count(F.when(F.col(c) > 0, 1)).alias(c) for c in classes])
-    word = per_word.where(kept(of_words)).toPandas().sort_values("v")
-    own = {c: F.sum(F.when(kept(of_pairs) & spread, F.greatest(F.col(c) - discount, F.lit(0.0)))).alias(f"{c}_own") for c in classes}
-    context = pairs.groupBy("u").agg(*[F.sum(c).alias(c) for c in classes], *own.values()).where("toxic_own is not null").toPandas().sort_values("u")
-    pair = pairs.where(kept(of_pairs) & spread).select("pair", *classes).toPandas().sort_values("pair")
-
-    n = {c: word[c].to_numpy(float) for c in classes}
-    shared = (n["toxic"] + n["ordinary"]) / kinds
-    v_keys, u_keys, keys = _unsigned(word["v"]), _unsigned(context["u"]), _unsigned(pair["pair"])
-    order = np.argsort(keys)
-    pair, keys = pair.iloc[order], keys[order]
-    at_u, v = np.searchsorted(u_keys, keys >> U64(32)), keys & U64(0xFFFFFFFF)
-    p_word, p_pair, back, others = {}, {}, {}, {}
-    for c in classes:
-        direct = np.maximum(n[c] - discount, 0) / of_words[c]
-        mass = max(discount, n[c].sum() - np.maximum(n[c] - discount, 0).sum()) / of_words[c]
-        p_word[c] = direct + mass * shared / max(shared.sum(), 1e-12)
-        others[c] = max(1 - p_word[c].sum(), 1e-9) / max(1 - shared.sum(), 1e-9)
-        in_context = np.maximum(context[c].to_numpy(float), 1)
-        back[c] = np.maximum(1 - context[f"{c}_own"].to_numpy(float) / in_context, discount / (in_context + 1))
-        # what is not among the kept words has the shared share of a word seen once
-        low = Model._at((v_keys, p_word[c]), v, others[c] / kinds)
-        p_pair[c] = np.maximum(pair[c].to_numpy(float) - discount, 0) / in_context[at_u] + back[c][at_u] * low
-    ratio = lambda p: np.log(p["toxic"] / p["ordinary"])
-    return Model((keys, ratio(p_pair)), (u_keys, ratio(back)), (v_keys, ratio(p_word)), float(ratio(others)))
-
-
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS, **options) -> Model | None:
-    """Models and score of the labelled documents; None if a class has no labelled row to learn from."""
-    rows = labelled(docs, labels, key, text, label)
-    model = trained(rows.where(F.col("fold") != FIT), **options)
-    if model is None:
-        return None
-    sc = docs.sparkSession.sparkContext
-    model_b = sc.broadcast(model)
+def _parts(keys: np.ndarray, shards: int) -> Iterator[tuple[int, int, int]]:
+    """(shard, begin, end) of ascending keys."""
+    ends = np.searchsorted(keys * U64(shards) >> U64(48), np.arange(shards + 1, dtype=U64)).tolist()
+    return ((k, a, b) for k, (a, b) in enumerate(zip(ends, ends[1:])) if b > a)
+
+
+def _model_rows(counted: DataFrame, counts: Counts, pairs: bool, shards: int) -> DataFrame:
+    """Keys and evidence of counted expressions, packed by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.slices(batches, "text"):
-            ratio, n = model_b.value.evidence(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("toxic"), pa.array(ratio), pa.array(n.astype(np.int64))], names=["place", "toxic", "ratio", "n"])
+        def flush() -> pa.RecordBatch:
+            codes, toxic, ordinary = (np.concatenate(x) for x in zip(*held))
+            keys = keys_of(codes, pairs)
+            order = np.argsort(keys)
+            keys, value = keys[order], counts.evidence(toxic, ordinary)[order].astype("<f4")
+            return _packed([(k, 0, 0, keys[a:b].astype("<u4").tobytes(), _high(keys[a:b]), value[a:b].tobytes(), b"") for k, a, b in _parts(keys, shards)])
+
+        held: list[tuple] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append((batch.column(0).to_numpy().view(U64), batch.column(1).to_numpy(), batch.column(2).to_numpy()))
+            if sum(len(x[0]) for x in held) >= 1 << 20:
+                yield flush()
+                held = []
+        if held:
+            yield flush()
 
-    sample = rows.where(F.col("fold") == FIT).select(F.xxhash64("id").alias("place"), "toxic", "text")
-    sample = sample.mapInArrow(run, "place long, toxic int, ratio double, n long").orderBy("place", "ratio").limit(fit_rows).toPandas()
-    y = sample["toxic"].to_numpy(float)
-    model.fit = fitted(features(sample["ratio"].to_numpy(), sample["n"].to_numpy()), y) if 0 < y.sum() < len(y) else np.array([-1.0, 0.0, 1.0, 0.0])
-    return model
+    return counted.mapInArrow(run, PACKED)
 
 
-def scorer(docs: DataFrame, model: Model | None):
-    """A column function: text to score."""
-    if model is None:
-        return lambda text: F.lit(0.0)
-    ship(docs.sparkSession)
-    model_b = docs.sparkSession.sparkContext.broadcast(model)
+def _text_rows(docs: DataFrame, shards: int) -> DataFrame:
+    """The different words and bigrams of (h, text), packed by shard, and a row of hashes and numbers for each slice."""
 
-    def score(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for array in arrays:
-            parts = [model_b.value.score(batch.column("text")) for batch in W.slices(iter([pa.RecordBatch.from_arrays([array], names=["text"])]), "text")]
-            yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nth = TaskContext.get().partitionId() << 32
+        for whole in W.slices(batches, "text", SLICE):
+            for lo in range(0, whole.num_rows, 65_535):
+                batch = whole.slice(lo, 65_535)
+                u, v, owner = bigrams(batch.column("text"))
+                keys = np.concatenate([keys_of(v, False), keys_of((u << U64(32)) | v, True)])
+                owner = np.concatenate([owner, owner])
+                order = np.lexsort((owner, keys))
+                keys, owner = keys[order], owner[order]
+                new = np.ones(len(keys), bool)
+                new[1:] = keys[1:] != keys[:-1]
+                once = new.copy()
+                once[1:] |= owner[1:] != owner[:-1]
+                keys, owner, new = keys[once], owner[once].astype("<u2"), new[once]
+                pair = (keys & U64(1)).astype(bool)
+                n = np.stack([np.bincount(owner[~pair], minlength=batch.num_rows), np.bincount(owner[pair], minlength=batch.num_rows)]).astype("<u4")
+                rows = [(nth % shards, 2, nth, batch.column("h").to_numpy().astype("<i8").tobytes(), b"", n.tobytes(), b"")]
+                for k, a, b in _parts(keys, shards):
+                    first = np.flatnonzero(new[a:b])
+                    own = keys[a:b][first]
+                    rows.append((k, 1, nth, own.astype("<u4").tobytes(), _high(own), np.diff(first, append=b - a).astype("<u2").tobytes(), owner[a:b].tobytes()))
+                yield _packed(rows)
+                nth += 1
+
+    return docs.mapInArrow(run, PACKED)
+
+
+def _looked_up(rows: DataFrame) -> DataFrame:
+    """(slice, head, docs, sums): four sums for each text of a slice that has counted expressions in a shard.
+
+    Rows of hashes and numbers go through as heads.
+    """
 
-    score.__annotations__ = {"arrays": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    apply = F.arrow_udf(score, "double")
-    return lambda text: apply(text.cast("string"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, keys, values = None, [], np.zeros(0, U64), np.zeros(0, "<f4")
+        for batch in batches:
+            out = []
+            for at, kind, slice_, low, high, one, other in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != shard:
+                    shard, held, keys, values = at, [], np.zeros(0, U64), np.zeros(0, "<f4")
+                if kind == 0:
+                    held.append((_unpacked(low, high), np.frombuffer(one, "<f4")))
+                    continue
+                if kind == 2:
+                    out.append((slice_, True, low, one))
+                    continue
+                if held:
+                    keys, values = (np.concatenate(x) for x in zip(*held))
+                    order = np.argsort(keys)
+                    keys, values, held = keys[order], values[order], []
+                if not len(keys):
+                    continue
+                own = _unpacked(low, high)
+                found = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                value = np.where(keys[found] == own, values[found], 0).astype(np.float64)
+                docs = np.frombuffer(other, "<u2")
+                times = np.frombuffer(one, "<u2")
+                value, pair = np.repeat(value, times), np.repeat(own & U64(1), times).astype(np.int64)
+                some = value != 0
+                if not some.any():
+                    continue
+                who, at_doc = np.unique(docs[some], return_inverse=True)
+                value, cell = value[some], 2 * at_doc + pair[some]
+                sums = [np.bincount(cell, w, 2 * len(who)).astype("<f4") for w in (value, np.maximum(value, 0) ** 4)]
+                out.append((slice_, False, who.astype("<u2").tobytes(), np.stack(sums).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.bool_(), pa.binary(), pa.binary()))], names=["slice", "head", "docs", "sums"])
+
+    return rows.mapInArrow(run, "slice long, head boolean, docs binary, sums binary")
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    """(h, SUMS): a row for each text, from sorted parts of slices."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        at = None
 
-def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", name: str = "toxicity", **options) -> DataFrame:
+        def flush() -> pa.RecordBatch:
+            h, n = next((np.frombuffer(d, "<i8"), np.frombuffer(x, "<u4")) for head, d, x in held if head)
+            sums = np.zeros((2, len(h), 2))
+            for head, d, x in held:
+                if not head:
+                    who = np.frombuffer(d, "<u2")
+                    sums[:, who] += np.frombuffer(x, "<f4").reshape(2, len(who), 2)
+            n = np.maximum(n.reshape(2, -1), 1).astype(float)
+            values = (n[0], n[1], sums[0, :, 0], sums[1, :, 0], sums[0, :, 1], sums[1, :, 1])
+            return pa.RecordBatch.from_arrays([pa.array(h), *map(pa.array, values)], names=["h", *SUMS])
+
+        for batch in batches:
+            for slice_, head, docs, sums in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and slice_ != at:
+                    yield flush()
+                    held = []
+                at = slice_
+                held.append((head, docs, sums))
+        if held:
+            yield flush()
+
+    return parts.mapInArrow(run, "h long, " + ", ".join(f"{s} double" for s in SUMS))
+
+
+def text_hash(text):
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def evidence(docs: DataFrame, rows: DataFrame, text: str = "text", rarity: float = RARITY, shard_keys: int = SHARD_KEYS) -> DataFrame | None:
+    """(h, SUMS) of each different text of ``docs``; None if a class of the rows (id, text, toxic) has no words."""
+    spark = docs.sparkSession
+    pairs = stored(pair_counts(rows), "bigrams")
+    of_pairs = pairs.agg(*_counts_of_counts("pairs"), F.count("*").alias("n")).first()
+    if not of_pairs["pairs_toxic_total"] or not of_pairs["pairs_ordinary_total"]:
+        return None
+    kept = pairs.where(" or ".join(f"{c} >= {rarity * of_pairs[f'pairs_{c}_total']}" for c in CLASSES))
+    words = pairs.groupBy(F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("word")).agg(*[F.count(F.when(F.col(c) > 0, 1)).alias(c) for c in CLASSES])
+    words = stored(words, "words")
+    of_words = words.agg(*_counts_of_counts("words"), F.count("*").alias("n")).first()
+    shards = max(spark.sparkContext.defaultParallelism, -(-(of_pairs["n"] + of_words["n"]) // shard_keys))
+    model = _model_rows(kept, Counts(of_pairs.asDict(), "pairs"), True, shards).union(_model_rows(words, Counts(of_words.asDict(), "words"), False, shards))
+    source = docs.select(text_hash(docs[text]).alias("h"), docs[text].cast("string").alias("text"))
+    dealt = model.union(_text_rows(source, shards)).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    found = _summed(_looked_up(dealt).repartition("slice").sortWithinPartitions("slice"))
+    # copies of a text have the same sums
+    return stored(found.groupBy("h").agg(*[F.max(s).alias(s) for s in SUMS]), "evidence")
+
+
+def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", name: str = "toxicity", fit_rows: int = FIT_ROWS, **options) -> DataFrame:
     """The rows of ``docs`` with a column of scores; all columns are kept."""
-    model = fit(docs, labels, key, text, label, **options)
-    return docs.withColumn(name, scorer(docs, model)(docs[text]))
+    ship(docs.sparkSession)
+    rows = labelled(docs, labels, key, text, label)
+    sums = evidence(docs, rows.where(F.col("fold") != FIT), text, **options)
+    if sums is None:
+        return docs.withColumn(name, F.lit(0.0))
+    sample = rows.where(F.col("fold") == FIT).select(F.xxhash64("id").alias("place"), "toxic", text_hash(F.col("text")).alias("h")).join(sums, "h")
+    sample = sample.orderBy("place", "words").limit(fit_rows).toPandas()
+    y = sample["toxic"].to_numpy(float)
+    weights = np.array([-1.0, 0, 1, 0, 0, 1, 0])
+    if 0 < y.sum() < len(y):
+        weights = fitted(np.stack([np.ones(len(y)), *features({s: sample[s].to_numpy(float) for s in SUMS})], axis=1), y)
+    z = sum((F.lit(float(w)) * f for w, f in zip(weights[1:], features({s: F.col(s) for s in SUMS}))), F.lit(float(weights[0])))
+    h, score = f"h_{uuid.uuid4().hex}", f"score_{uuid.uuid4().hex}"
+    by_text = sums.select(F.col("h").alias(h), (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(40.0)), F.lit(-40.0))))).alias(score))
+    return docs.withColumn(h, text_hash(docs[text])).join(by_text, h).withColumn(name, F.col(score)).drop(h, score)

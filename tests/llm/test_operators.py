@@ -169,6 +169,24 @@ def test_toxicity(spark):
     assert {x["toxicity"] for x in nobody.collect()} == {0.0}
 
 
+def test_toxicity_of_rare_words_and_fixed_phrases(spark):
+    r = random.Random(8)
+    rows = []
+    for k in range(400):
+        w = [f"w{r.randint(0, 300)}" for _ in range(r.randint(5, 80))]
+        if k % 5 == 0:  # each word is rare, and its bigrams are always the same
+            w[r.randrange(len(w)) : 0] = r.choice([f"mean phrase{j} of hate{j}" for j in range(12)]).split()
+        elif k % 5 == 1:
+            w[r.randrange(len(w)) : 0] = f"mean of phrase{r.randint(20, 30)}".split()
+        rows.append(" ".join(w))
+    docs = documents(spark, rows, extra=False)
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(400)], "doc_id long, toxic int")
+    got = {x["doc_id"]: x["toxicity"] for x in toxicity.scored(docs, labels, shard_keys=500).collect()}
+    held = [k for k in range(400) if zlib.crc32(str(k).encode()) % 4 == 2]
+    assert sum(got[k] >= 0.3 for k in held if k % 5 == 0) >= 0.9 * sum(k % 5 == 0 for k in held)
+    assert sum(got[k] >= 0.3 for k in held if k % 5) <= 0.1 * sum(k % 5 != 0 for k in held)
+
+
 SPANS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
