@@ -41,7 +41,7 @@ from . import words as W
 from .common import ship, stored
 
 U64 = np.uint64
-DISCOUNT, RARITY, CAUTION, HELD_OUT, FIT, FOLDS = 0.75, 2.0**-20, 10.0, 2, 3, 4
+DISCOUNT, CAUTION, HELD_OUT, FIT, FOLDS = 0.75, 10.0, 2, 3, 4
 #: labelled rows of the fit, by order of a hash of their ids; labels that are broadcast for the join at most
 FIT_ROWS, BROADCAST_LABELS = 20_000, 2_000_000
 #: counted expressions of a shard; bytes of text whose expressions are dealt together
@@ -193,7 +193,7 @@ def _parts(keys: np.ndarray, shards: int) -> Iterator[tuple[int, int, int]]:
     return ((k, a, b) for k, (a, b) in enumerate(zip(ends, ends[1:])) if b > a)
 
 
-def _model_rows(counted: DataFrame, counts: Counts, pairs: bool, shards: int) -> DataFrame:
+def _packed_model(counted: DataFrame, counts: Counts, pairs: bool, shards: int) -> DataFrame:
     """Keys and evidence of counted expressions, packed by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,19 +327,23 @@ def text_hash(text):
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def evidence(docs: DataFrame, rows: DataFrame, text: str = "text", rarity: float = RARITY, shard_keys: int = SHARD_KEYS) -> DataFrame | None:
-    """(h, SUMS) of each different text of ``docs``; None if a class of the rows (id, text, toxic) has no words."""
-    spark = docs.sparkSession
-    pairs = stored(pair_counts(rows), "bigrams")
+def model_rows(pairs: DataFrame, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame | None, int]:
+    """Every counted bigram and word with its evidence, packed, and the number of shards; None if a class has no words."""
     of_pairs = pairs.agg(*_counts_of_counts("pairs"), F.count("*").alias("n")).first()
     if not of_pairs["pairs_toxic_total"] or not of_pairs["pairs_ordinary_total"]:
-        return None
-    kept = pairs.where(" or ".join(f"{c} >= {rarity * of_pairs[f'pairs_{c}_total']}" for c in CLASSES))
+        return None, 0
     words = pairs.groupBy(F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("word")).agg(*[F.count(F.when(F.col(c) > 0, 1)).alias(c) for c in CLASSES])
     words = stored(words, "words")
     of_words = words.agg(*_counts_of_counts("words"), F.count("*").alias("n")).first()
-    shards = max(spark.sparkContext.defaultParallelism, -(-(of_pairs["n"] + of_words["n"]) // shard_keys))
-    model = _model_rows(kept, Counts(of_pairs.asDict(), "pairs"), True, shards).union(_model_rows(words, Counts(of_words.asDict(), "words"), False, shards))
+    shards = max(pairs.sparkSession.sparkContext.defaultParallelism, -(-(of_pairs["n"] + of_words["n"]) // shard_keys))
+    return _packed_model(pairs, Counts(of_pairs.asDict(), "pairs"), True, shards).union(_packed_model(words, Counts(of_words.asDict(), "words"), False, shards)), shards
+
+
+def evidence(docs: DataFrame, rows: DataFrame, text: str = "text", shard_keys: int = SHARD_KEYS) -> DataFrame | None:
+    """(h, SUMS) of each different text of ``docs``; None if a class of the rows (id, text, toxic) has no words."""
+    model, shards = model_rows(stored(pair_counts(rows), "bigrams"), shard_keys)
+    if model is None:
+        return None
     source = docs.select(text_hash(docs[text]).alias("h"), docs[text].cast("string").alias("text"))
     dealt = model.union(_text_rows(source, shards)).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
     found = _summed(_looked_up(dealt).repartition("slice").sortWithinPartitions("slice"))

@@ -187,6 +187,15 @@ def test_toxicity_of_rare_words_and_fixed_phrases(spark):
     assert sum(got[k] >= 0.3 for k in held if k % 5) <= 0.1 * sum(k % 5 != 0 for k in held)
 
 
+def test_toxicity_keeps_rare_bigrams_of_large_corpora(spark):
+    rare = 9 << 32 | 5
+    pairs = spark.createDataFrame([(8 << 32 | 4, 1 << 30, 1 << 32), (rare, 100, 0), (rare + 1, 0, 1)], "pair long, toxic long, ordinary long")
+    model, _ = toxicity.model_rows(pairs)
+    got = {int(k): float(v) for x in model.collect() for k, v in zip(toxicity._unpacked(x["low"], x["high"]), np.frombuffer(x["one"], "<f4"))}
+    key, once = (int(k) for k in toxicity.keys_of(np.array([rare, rare + 1], np.uint64), True))
+    assert len(got) == 6 and got[key] > 3 and got[once] != 0
+
+
 SPANS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
