@@ -2,8 +2,8 @@
 
 ``parse`` builds a tree: it supplies the tags that HTML lets authors leave out
 (paragraphs, list items, table rows and sections, options, ruby), closes what a new
-tag or an end tag implies, moves text that stands between table cells before the
-table, and nests at most ``DEPTH`` deep (deeper elements become siblings, as in
+tag or an end tag implies, moves text and elements that stand between table cells
+before the table, and nests at most ``DEPTH`` deep (deeper elements become siblings, as in
 browsers).  ``render`` lays the visible text out: blocks on lines of their own,
 paragraphs and headings with blank lines around them, list items with markers and
 indents, tables as aligned columns with spans, preformatted text as it stands.
@@ -11,8 +11,9 @@ indents, tables as aligned columns with spans, preformatted text as it stands.
 Not visible: head, script, style, template and fallback contents, ``hidden``
 elements, closed dialogs and details, and what ``display:none`` or
 ``visibility:hidden`` hides, in a style attribute or by a simple selector (tag,
-class, id) of the page's own style sheets; a ``visibility:visible`` inside shows
-again.
+class, id) of the page's own style sheets, as far as their media apply to a screen; of
+several values the important, the more specific, the later one holds.  A
+``visibility:visible`` inside shows again.
 
 Null html counts as empty; repeated pages keep a row each; an empty table gives no rows.
 """
@@ -33,6 +34,8 @@ from . import words as W
 from .common import ship
 
 DEPTH = 512
+#: the screen that media queries are asked for, in CSS pixels
+SCREEN = {"width": 1280, "height": 800}
 #: Fixed values of HTML: kinds of elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style xmp iframe noembed noframes noscript plaintext template textarea title".split())
@@ -43,11 +46,15 @@ SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir blockquote pre table figure
 HEAD = set("title meta link base style script noscript template".split())
 SCOPES = {"li": {"ul", "ol", "menu", "dir", "table", "td", "th"}, "dt": {"dl", "table", "td", "th"}, "dd": {"dl", "table", "td", "th"}, "p": {"table", "td", "th", "caption", "button", "object"}, "option": {"select", "datalist"}}
 TABLE_PARTS = {"td": 3, "th": 3, "tr": 2, "tbody": 1, "thead": 1, "tfoot": 1, "caption": 1, "colgroup": 1}
+BETWEEN = {"table", "tbody", "thead", "tfoot", "tr", "colgroup"}
+#: besides its parts, what may stand in a table without being moved before it
+IN_TABLE = {"col", "style", "script", "template"}
 
 _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
-_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_CSS = re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|[{};]|[^{};\"']+|[\"']", re.S)
+_DISPLAY = re.compile(r"none|block|inline|contents|list-item|flow-root|flex|grid|(?:inline-)(?:block|flex|grid|table)|table(?:-[a-z-]+)?|ruby(?:-[a-z-]+)?|-webkit-(?:inline-)?(?:box|flex)|(?:block|inline)(?:flow|flow-root|flex|grid|table|ruby)|run-in|initial|inherit|unset|revert(?:-layer)?")
 _SELECTOR = re.compile(r"([a-zA-Z][\w-]*)?(?:([.#])([\w-]+))?")
 _COMMENT = re.compile(r"/\*.*?\*/", re.S)
 
@@ -139,6 +146,13 @@ def parse(text: str) -> Node:
         if keep and len(stack) < DEPTH:
             stack.append(node)
 
+    def foster(item: Node | str) -> None:
+        """What stands between table cells goes before the table."""
+        at = next(k for k in range(len(stack) - 1, 0, -1) if stack[k].name == "table" or k == 1)
+        parent = stack[at - 1] if stack[at].name == "table" else stack[at]
+        place = next((i for i in range(len(parent.children) - 1, -1, -1) if parent.children[i] is stack[at]), len(parent.children))
+        parent.children.insert(place, item)
+
     def table_place(level: int) -> bool:
         """Opens the sections and rows that a table part of this level needs; false outside of tables."""
         at = next((k for k in range(len(stack) - 1, 1, -1) if stack[k].name == "table"), None)
@@ -164,12 +178,9 @@ def parse(text: str) -> Node:
             if in_head and not _SPACE.sub("", content):
                 continue
             in_head = False
-            if stack[-1].name in ("table", "tbody", "thead", "tfoot", "tr", "colgroup"):
-                if _SPACE.sub("", content):  # stands between cells: goes before the table
-                    at = next(k for k in range(len(stack) - 1, 0, -1) if stack[k].name == "table" or k == 1)
-                    parent = stack[at - 1] if stack[at].name == "table" else stack[at]
-                    place = next((i for i in range(len(parent.children) - 1, -1, -1) if parent.children[i] is stack[at]), len(parent.children))
-                    parent.children.insert(place, content)
+            if stack[-1].name in BETWEEN:
+                if _SPACE.sub("", content):
+                    foster(content)
                 continue
             stack[-1].children.append(content)
         elif kind == "raw":
@@ -206,11 +217,19 @@ def parse(text: str) -> Node:
                 pop_to("rt", {"ruby"}) or pop_to("rp", {"ruby"})
             elif name in TABLE_PARTS and not table_place(TABLE_PARTS[name]):
                 continue
-            elif name == "table" and stack[-1].name in ("table", "tbody", "thead", "tfoot", "tr"):
+            elif name == "table" and stack[-1].name in BETWEEN:
                 pop_to("table")
             elif re.fullmatch("h[1-6]", name) and re.fullmatch("h[1-6]", stack[-1].name):
                 stack.pop()
-            push(Node(name, rest), name not in VOID and name != "col")
+            node, keep = Node(name, rest), name not in VOID and name != "col"
+            if stack[-1].name in BETWEEN and name not in TABLE_PARTS and name not in IN_TABLE:
+                if stack[-1].name == "colgroup":
+                    stack.pop()
+                foster(node)
+                if keep and len(stack) < DEPTH:
+                    stack.append(node)
+            else:
+                push(node, keep)
         elif kind == "end":
             if name in ("html", "body"):
                 continue
@@ -231,33 +250,107 @@ def parse(text: str) -> Node:
     return root
 
 
-def _sheet(root: Node) -> list[tuple[str, str, str, str]]:
-    """(tag, '.' or '#', name, effect) of simple selectors that hide or show, from the page's style elements."""
-    out = []
+def _sheet(root: Node) -> list[tuple]:
+    """(tag, '.' or '#', name, weight, effects) of simple selectors that hide or show, from the page's style elements."""
+    out: list[tuple] = []
     todo = [root]
     while todo:
         node = todo.pop()
-        if node.name == "style":
+        if node.name == "style" and _applies(node.get("media") or ""):
             css = _COMMENT.sub("", "".join(c for c in node.children if isinstance(c, str)))
-            for selectors, body in _RULE.findall(css):
-                effect = _effect(body)
-                if effect:
-                    for selector in selectors.split(","):
-                        m = _SELECTOR.fullmatch(selector.strip())
-                        if m and (m[1] or m[2]):
-                            out.append(((m[1] or "").lower(), m[2] or "", m[3] or "", effect))
-        todo += [c for c in node.children if isinstance(c, Node)]
+            for selectors, body in _rules(css):
+                effects = _effects(body)
+                for selector in selectors.split(",") if effects else ():
+                    m = _SELECTOR.fullmatch(selector.strip())
+                    if m and (m[1] or m[2]):
+                        out.append(((m[1] or "").lower(), m[2] or "", m[3] or "", {"#": 100, ".": 10}.get(m[2], 0) + bool(m[1]), effects))
+        todo += [c for c in reversed(node.children) if isinstance(c, Node)]
     return out
 
 
-def _effect(css: str) -> str:
-    """'none', 'hidden', 'visible' or ''."""
-    css = re.sub(r"\s+", "", css).lower()
-    if re.search(r"(?:^|;)display:none", css):
-        return "none"
-    if re.search(r"(?:^|;)visibility:(?:hidden|collapse)", css):
-        return "hidden"
-    return "visible" if re.search(r"(?:^|;)visibility:visible", css) else ""
+def _rules(css: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the rules that apply to the screen; rules nested in rules are left out."""
+    frames: list[list] = [["group", True, ""]]  # kind, whether it applies, selectors
+    text, kept = "", ""
+    for token in _CSS.findall(css):
+        kind, applies, selectors = frames[-1]
+        if token == "{":
+            before = text.strip()
+            if kind == "body":
+                kept += text.rpartition(";")[0] + ";"
+            if kind != "group":
+                frames.append(["skip", False, ""])
+            elif before[:1] == "@":
+                name, _, condition = before[1:].partition(" ") if "(" not in before.split(" ")[0] else before[1:].replace("(", " (", 1).partition(" ")
+                name, condition = name.strip().lower(), condition.strip()
+                if name == "media":
+                    frames.append(["group", applies and _applies(condition), ""])
+                elif name in ("supports", "layer"):
+                    frames.append(["group", applies and not condition.lower().startswith("not"), ""])
+                else:
+                    frames.append(["skip", False, ""])
+            else:
+                frames.append(["body", applies, before])
+                kept = ""
+            text = ""
+        elif token == "}":
+            if kind == "body" and applies:
+                yield selectors, kept + text
+            if len(frames) > 1:
+                frames.pop()
+            text = ""
+        elif token == ";" and kind == "group" and text.lstrip()[:1] == "@":
+            text = ""
+        else:
+            text += token
+    if frames[-1][0] == "body" and frames[-1][1]:
+        yield frames[-1][2], kept + text
+
+
+def _applies(condition: str) -> bool:
+    """Whether a media query list applies to a screen of ``SCREEN``; a feature that is not known doesn't."""
+    queries = [" ".join(q.split()) for q in condition.lower().split(",")]
+    return queries == [""] or any(map(_query_applies, queries))
+
+
+def _query_applies(query: str) -> bool:
+    m = re.fullmatch(r"(?:(not|only) )?([a-z-]+)?(?: ?and ?)?((?:\([^()]*\)(?: ?and ?)?)*)", query)
+    if not m or not (m[2] or m[3]):
+        return False
+    found = [_feature(f) for f in re.findall(r"\(([^()]*)\)", m[3])]
+    if None in found:
+        return False
+    return ((m[2] or "all") in ("all", "screen") and all(found)) != (m[1] == "not")
+
+
+def _feature(feature: str) -> bool | None:
+    name, colon, value = (x.strip() for x in feature.partition(":"))
+    fixed = {"orientation": "landscape", "prefers-color-scheme": "light", "prefers-reduced-motion": "no-preference", "hover": "hover", "pointer": "fine", "scripting": "enabled"}
+    if name in fixed:
+        return value == fixed[name] if colon else fixed[name] != "no-preference"
+    m = re.fullmatch(r"(min-|max-)?(?:device-)?(width|height)", name)
+    if not m:
+        return None
+    size = re.fullmatch(r"([\d.]+)(px|em|rem)?", value)
+    if not colon:
+        return True
+    if not size or size[1].count(".") > 1 or not re.search(r"\d", size[1]):
+        return None
+    length, own = float(size[1]) * (1 if size[2] in ("px", None) else 16), SCREEN[m[2]]
+    return own >= length if m[1] == "min-" else own <= length if m[1] == "max-" else own == length
+
+
+def _effects(css: str) -> list[tuple[str, str, bool]]:
+    """(property, value, important) of what hides or shows."""
+    out = []
+    for declaration in css.lower().split(";"):
+        name, _, value = declaration.partition(":")
+        name, value = name.strip(), "".join(value.split())
+        important = value.endswith("!important")
+        value = value.removesuffix("!important")
+        if name == "display" and _DISPLAY.fullmatch(value) or name == "visibility" and value in ("hidden", "collapse", "visible", "initial", "inherit", "unset", "revert"):
+            out.append((name, value, important))
+    return out
 
 
 class Renderer:
@@ -268,25 +361,30 @@ class Renderer:
         """Whether the element is laid out, and whether its text is visible."""
         if node.name in UNSEEN:
             return False, False
-        if node.attributes:
-            if node.get("hidden") is not None or (node.name == "input" and (node.get("type") or "").lower() == "hidden"):
-                return False, False
-        if node.name == "dialog" and node.get("open") is None:
+        if node.attributes and node.name == "input" and (node.get("type") or "").lower() == "hidden":
             return False, False
-        effects = []
-        for tag, mark, name, effect in self.rules:
+        own = bool(node.attributes) and node.get("hidden") is not None or node.name == "dialog" and node.get("open") is None
+        display, rank = "none" if own else "", {"display": (False, -1), "visibility": (False, -1)}
+        inherited, shown = visible, visible
+        found: list[tuple[int, list]] = []
+        for tag, mark, name, weight, effects in self.rules:
             if tag and tag != node.name:
                 continue
             if mark == "." and name not in (node.get("class") or "").split() or mark == "#" and node.get("id") != name:
                 continue
-            effects.append(effect)
-        if node.attributes and (style := node.get("style")) is not None and (effect := _effect(style)):
-            effects.append(effect)
-        for effect in effects:
-            if effect == "none":
-                return False, False
-            visible = effect == "visible"
-        return True, visible
+            found.append((weight, effects))
+        if node.attributes and (style := node.get("style")) is not None:
+            found.append((1000, _effects(style)))
+        for weight, effects in found:
+            for name, value, important in effects:
+                if (important, weight) < rank[name]:
+                    continue
+                rank[name] = important, weight
+                if name == "display":
+                    display = "none" if value == "none" or value.startswith("revert") and own else ""
+                else:
+                    shown = value in ("visible", "initial") or value not in ("hidden", "collapse") and inherited
+        return (False, False) if display == "none" else (True, shown)
 
     def block(self, node: Node, visible: bool = True, pre: bool = False) -> list[str]:
         """The lines of an element's contents; blank lines only between other lines."""

@@ -242,6 +242,28 @@ def test_html_rendering():
     assert "deep" in htmltext.render("<table><tr><td>" * 600 + "deep")[1]
 
 
+def test_html_keeps_elements_between_cells():
+    for page, text in {
+        "<table><div>x</div><tr><td>a</table>z": "x\n\na\n\nz",
+        "<table><tr><a>x</a><td>y</table>": "x\n\ny",
+        "<table><tr><td>a</tr><center>x</center></table>": "x\n\na",
+        "<table><form><tr><td>q</td></tr></form></table>": "q",
+        "<table><colgroup><col><div>k</div><tr><td>m</table>": "k\n\nm",
+    }.items():
+        assert htmltext.render(page)[1] == text
+
+
+def test_html_style_cascade():
+    nav = "<div class=n id=i>nav</div>"
+    for css in ("@media print{.n{display:none}}", "@media (max-width:600px){.n{display:none}}", "@media not screen{.n{display:none}}", ".n{display:none} .n{display:block}", "#i{display:block} .n{display:none}", "@media print{@media screen{.n{display:none}}}", "@font-face{x:y} .n{display:none;display:flex}", ".n{display:none;display:bogus;display:block}"):
+        assert htmltext.render(f"<style>{css}</style>{nav}")[1] == "nav", css
+    for css in (".n{display:none}", "@media screen{.n{display:none}}", "@media print{.x{display:none}} .n{display:none}", "@media screen and (min-width:600px){.n{display:none}}", ".n{display:none!important} .n{display:block}", ".n{display:block;display:none", "@import 'a'; .n{color:red;display:none}", "@media all,print{.n{visibility:hidden}}", "@media(min-width:10em){.n{display:none}}"):
+        assert htmltext.render(f"<style>{css}</style>{nav}")[1] == "", css
+    assert htmltext.render(f"<style media=print>.n{{display:none}}</style>{nav}")[1] == "nav"
+    assert htmltext.render("<style>.n{display:none}</style><p class=n style='display:block'>nav")[1] == "nav"
+    assert htmltext.render("<p hidden style='display:block'>a</p><p hidden>b")[1] == "a"
+
+
 def test_html_query_covers_all_pages(spark):
     pages = spark.createDataFrame([(1, "<p>a", "z"), (1, "<p>a", "z"), (2, None, None)], "page_id long, html string, text string")
     assert sorted((x["id"], x["text"]) for x in htmltext.rendered(pages).collect()) == [(1, "a"), (1, "a"), (2, "")]
