@@ -66,16 +66,19 @@ def fingerprints_of(column: pa.Array, shingle: int = 4) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
-    """(id, fp): the fingerprint of every text as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, hashed: bool = False) -> DataFrame:
+    """(id, fp[, h]): the fingerprint of every text as a signed 64-bit integer, and a hash of the text."""
     ship(docs.sparkSession)
     source = text_and_id(docs, key, text)
+    names = ["id", "fp"]
     schema = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("fp", T.LongType())])
+    if hashed:
+        source, names, schema = source.withColumn("h", F.xxhash64("text")), [*names, "h"], schema.add("h", T.LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches, "text"):
             fp = fingerprints_of(batch.column("text"), shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fp)], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fp), *([batch.column("h")] if hashed else [])], names=names)
 
     return source.mapInArrow(run, schema)
 
@@ -247,32 +250,39 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     their transitive closure.  A document whose id is null has a null component
     unless an id that is not null shares its component.
     """
-    rows = cut(fingerprints(docs, key, text, shingle))
+    return _grouped(docs, key, text, shingle, radius, cell_rows).select("id", "fp", "component")
+
+
+def _grouped(docs: DataFrame, key: str, text: str, shingle: int = 4, radius: int = 4, cell_rows: int = 20_000, hashed: bool = False) -> DataFrame:
+    """near_duplicates() with the root fingerprint of each component and, if asked for, a hash of the text."""
+    rows = cut(fingerprints(docs, key, text, shingle, hashed))
+    names = ["root", *["h"] * hashed]
     forest_ = components(links(rows, radius, cell_rows))
     lows = rows.groupBy("fp").agg(F.min("id").alias("low"))
     rooted = lows.join(forest_, lows["fp"] == forest_["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("low").alias("component"))
     # an id with several fingerprints joins their components
     several = rows.groupBy("id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y and id is not null").limit(1).count()
-    named = cut(rooted.join(least, "root").select("fp", "component"))
+    named = cut(rooted.join(least, "root").select("fp", "component", "root"))
     out = rows.join(named, "fp")
     if several:
         joined = out.groupBy("id").agg(F.min("component").alias("low"))
         pairs = out.where("id is not null").join(joined, "id").select("component", "low")
-        again = components(pairs)
-        out = out.join(again, out["component"] == again["node"], "left").select("id", "fp", F.coalesce("root", "component").alias("component"))
-    return out.select("id", "fp", "component")
+        again = components(pairs).withColumnRenamed("root", "low")
+        out = out.join(again, out["component"] == again["node"], "left").select("id", "fp", F.coalesce("low", "component").alias("component"), *names)
+    return out.select("id", "fp", "component", *names)
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component; repeated rows of an id leave one.
+    """One row of ``docs`` for each component: of its smallest id, the one with the least hash of the text.
 
-    All columns are kept.  Documents with a null id stay only if no id that is not
-    null is in their component, and then as one row.
+    All columns are kept.  A row with a null id stays only if no id that is not null
+    is in its component.
     """
-    found = near_duplicates(docs, key, text, **options)
-    keep = found.where(F.col("id").eqNullSafe(F.col("component"))).groupBy("id").agg(F.lit(1).alias("one"))
-    rows = keyed(docs, key)
-    kept = rows.join(keep, rows["k"].eqNullSafe(keep["id"]))
-    one = kept.withColumn("nth", F.row_number().over(Window.partitionBy("k").orderBy("k"))).where("nth = 1")
+    found = _grouped(docs, key, text, hashed=True, **options).where(F.col("id").eqNullSafe(F.col("component")))
+    # components without an id are told apart by their root fingerprints
+    keep = found.groupBy("id", F.when(F.col("id").isNull(), F.col("root")).alias("root")).agg(F.min("h").alias("least"))
+    rows = keyed(docs, key).withColumn("h", F.xxhash64(F.col("row").getField(text).cast("string")))
+    kept = rows.join(keep, rows["k"].eqNullSafe(keep["id"]) & (rows["h"] == keep["least"]))
+    one = kept.withColumn("nth", F.row_number().over(Window.partitionBy("k", "h").orderBy(F.xxhash64("row")))).where("nth = 1")
     return one.select("row.*")

@@ -83,6 +83,16 @@ def test_simhash_components(spark):
     assert simhash.near_duplicates(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_simhash_keeps_a_row_of_each_component(spark):
+    rows = [(None, t) for t in texts(12, 6)[:6] + texts(12, 6)[:2]] + [(7, None), (7, "")] + [(3, texts(13)[0]), (3, texts(13)[1]), (None, texts(13)[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(x) for x in simhash.deduplicated(docs).collect()]
+    assert sorted(t for k, t in got if k is None) == sorted(texts(12, 6)[:6])
+    assert sorted(k for k, _ in got if k is not None) == [3, 7]
+    again = simhash.deduplicated(docs.orderBy(F.desc("text")).repartition(3))
+    assert sorted(got, key=str) == sorted(map(tuple, again.collect()), key=str)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(50, 50), (None, 3), (31, 30)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.components(edges).collect()}
