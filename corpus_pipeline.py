@@ -31,7 +31,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ``n_chars`` follows the text where it is a column.
     """
     found = linededup.deduplicated(docs)
-    left = found.where((F.size("removed_lines") == 0) | (F.trim("text") != ""))
+    left = found.where((F.size("removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return left.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
 

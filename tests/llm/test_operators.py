@@ -119,6 +119,15 @@ def test_line_dedup(spark):
     assert linededup.deduplicated(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_pipeline_drops_documents_without_words(spark):
+    import corpus_pipeline
+
+    line = "a line of some words to copy"
+    rows = [(0, line), (1, f"{line}\n\n\n"), (2, f"\t\n{line}\n \x0b"), (3, f"{line}\n\nnew words here"), (4, "\n\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in corpus_pipeline.line_dedup(spark, docs, "").collect()) == [0, 3, 4]
+
+
 def test_decontamination(spark):
     r = random.Random(5)
     item = [" ".join(f"w{r.randint(0, 500)}" for _ in range(30)) for _ in range(6)] + ["short item here", None, "", "one"]
