@@ -374,6 +374,15 @@ def test_sentencepiece_parity(spark):
     assert sentencepieces.encoded(documents(spark, rows).limit(0), path).count() == 0
 
 
+def test_sentencepiece_parity_sees_faults_of_cutting():
+    with open(Q.tokenizer_file("piece_bpe_32k.model"), "rb") as f:
+        codec = sentencepieces.Codec(f.read())
+    rows = ["a  b", " a b", "a b ", "a▁b", "a b"]
+    assert codec.encode(rows)[1] == [True] * 5
+    codec._cut = lambda text: text.replace("▁", " ").split()
+    assert codec.encode(rows)[1] == [False, False, False, True, True]
+
+
 def test_sentencepiece_unigram_parity():
     import sentencepiece
 
