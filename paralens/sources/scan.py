@@ -23,8 +23,14 @@ DARK_PART, LIGHT_PART, LIGHT = 0.10, 0.50, 0.92
 
 
 def pdf_layouts(spark: SparkSession, path: str, read: Callable[[str, bytes], Iterator[dict]], max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Layouts of the ``.pdf`` files under a path; ``read`` yields a dict for each page of one file."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).where(F.col("length") <= max_bytes)
+    """Layouts of the ``.pdf`` files under a path; ``read`` yields a dict for each page of one file.
+
+    A file with too many bytes or pages is an error.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
+    large = files.where(F.col("length") > max_bytes).select("path").first()
+    if large:
+        raise ValueError(f"{large['path']} has more than {max_bytes} bytes")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -215,3 +215,10 @@ def test_entry_without_optional_parts():
 
     assert {"document_report", "page_score", "issue_shift"} <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_pdf_layouts_reject_large_files(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"x" * 11)
+    with pytest.raises(ValueError, match="more than 10 bytes"):
+        scan.pdf_layouts(spark, str(tmp_path), lambda name, content: iter(()), max_bytes=10)
+    assert scan.pdf_layouts(spark, str(tmp_path), lambda name, content: iter(()), max_bytes=11).count() == 0
