@@ -8,18 +8,23 @@ removed if a line before it, in the order of (id, line number), matches it.
    line's words one global order, the rarest first.
 2. Post each different set under the words of its prefix: the first n - ceil(t n) + 1
    in that order, one of which any matching set must share.  Words counted once and
-   sets below four words (which match equal sets only) are not posted.
+   sets so small that only an equal set can reach the threshold are not posted.
 3. In each word's list, keep pairs that pass the length filter, the positional
-   filter and a bound from parity sketches of about as many bits as the sets have words.  Sets in such a pair are flagged.
-4. Post the flagged sets again with all their words and verify the Jaccard similarity
-   of each pair in the list of the first prefix word they share, so each link is
-   counted once.  A list returns one row for each set: its first match and its links.
+   filter and a bound from parity sketches of about as many bits as the sets have
+   words, and that share no word before this one.  Sets in such a pair are flagged.
+4. Post the flagged sets with all their words under the words they were flagged at
+   and verify the Jaccard similarity of each pair in the list of the first prefix word
+   they share, so each link is counted once.  A list returns one row for each set: its
+   first match and its links.
 5. Per set: the first occurrence of the set itself or of a match; all occurrences
    after it go.
 
-Equal sets are joined by a 128-bit key, never expanded into pairs.  Lists of words
-with high counts are split into cells for all pairs of salted parts (at most
-``MOST_PARTS``), so a list is not gathered in one task.  Nothing is capped.
+Lists are keyed by 32 bits of the word's hash; words that share them share a list,
+which adds pairs to check and loses none.  Equal sets are joined by a 128-bit key,
+never expanded into pairs.  Lists of words with high counts are split into cells for
+all pairs of salted parts, as many parts as the count asks for, so no list is gathered
+in one task.  Nothing is capped.  Posts travel packed by shard: one binary value holds
+many of them.
 
 Null texts count as empty and stay null; lines without words never match; repeated
 rows of an id with equal texts are one document, with different texts they are
@@ -42,8 +47,9 @@ from .common import ship, stored, whole_groups
 
 U64 = np.uint64
 BUCKETS, CHUNK = 1 << 22, 1 << 16
-THRESHOLD, LIST_ROWS, MOST_PARTS, MOST_LEVEL = 0.8, 4096, 64, 10
-POST = "array<struct<token:long,pos:int,parts:int>>"
+THRESHOLD, LIST_ROWS, MOST_LEVEL = 0.8, 1 << 14, 10
+#: bytes of packed sets that are expanded into posts at once; bytes of posts of a shard
+FLUSH, SHARD = 4 << 20, 16 << 20
 
 
 def _dense(rows: DataFrame, fill, size: int) -> np.ndarray:
@@ -86,10 +92,49 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     return _dense(docs.select("text"), fill, BUCKETS)
 
 
+def _ranks(counts: np.ndarray) -> np.ndarray:
+    """The place of each bucket in the order of the counts; buckets of words counted once have a negative place."""
+    rank = np.empty(len(counts), dtype=np.int32)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.int32)
+    return np.where(counts > 1, rank, -1 - rank)
+
+
+def least_size(threshold: float) -> int:
+    """Words of the smallest set that a different set can match: n / (n + 1) has to reach the threshold."""
+    return 1 << 40 if threshold >= 1 else max(1, int(np.ceil(threshold / (1 - threshold) - 1e-9)))
+
+
+def _prefix(size: np.ndarray, threshold: float) -> np.ndarray:
+    return size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
+
+
+def _ends(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+
+
+def _runs(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, .. (length[0] places), begin[1], .. : the places of ragged rows, end to end."""
+    ends = _ends(length)
+    return np.arange(ends[-1]) + np.repeat(begin - ends[:-1], length)
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    return np.array([a.nbytes for a in arrays], "<u4").tobytes() + b"".join(a.tobytes() for a in arrays)
+
+
+def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
+    sizes = np.frombuffer(data, "<u4", len(kinds)).tolist()
+    out, at = [], 4 * len(kinds)
+    for size, kind in zip(sizes, kinds):
+        out.append(np.frombuffer(data, kind, size // np.dtype(kind).itemsize, at))
+        at += size
+    return out
+
+
 class Lines:
     """The sets of the lines of a batch of texts, each in the global order."""
 
-    def __init__(self, column: pa.Array, counts: np.ndarray, threshold: float):
+    def __init__(self, column: pa.Array, ranks: np.ndarray, threshold: float):
         folded, same = W.folded(column)
         breaks = np.flatnonzero(folded == 10) + 1
         # each text's lines: one more than its breaks
@@ -100,64 +145,88 @@ class Lines:
         begin = np.where(self.number == 0, same[:-1][self.text], breaks[np.clip(first, 0, max(0, len(breaks) - 1))] if len(breaks) else 0)
         words = W.Words(folded, same)
         h = words.hashes()
-        line = np.searchsorted(begin, words.start, "right") - 1
-        count = counts[_bucket(h)]
-        order = np.lexsort((h, count, line))
-        h, line, count = h[order], line[order], count[order]
+        # words ascend, so each line's are a run
+        line = np.repeat(np.arange(len(begin)), np.diff(np.searchsorted(words.start, begin), append=len(h)))
+        rank = ranks[_bucket(h)]
+        place = np.where(rank < 0, -1 - rank, rank).astype(U64)
+        # the rank is a function of the hash's upper 22 bits; as many lower ones as there is room for tell words of one bucket apart
+        low = 42 - len(begin).bit_length()
+        order = np.argsort((line.astype(U64) << U64(22 + low)) | (place << U64(low)) | (h & U64((1 << low) - 1)))
+        h, line, rank = h[order], line[order], rank[order]
         new = np.ones(len(h), dtype=bool)
         new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-        self.h, self.line, self.count = h[new], line[new], count[new].astype(np.int64)
+        self.h, self.line, self.rank = h[new], line[new], rank[new]
         self.size = np.bincount(self.line, minlength=len(self.text))
-        self.first = np.concatenate([[0], np.cumsum(self.size)])
-        self.pos = np.arange(len(self.h)) - self.first[self.line]
+        self.first = _ends(self.size)
         self.key1 = self._sums(W.mix(self.h))
         self.key2 = self._sums(W.mix(self.h * U64(0x9FB21C651E98DF25) + U64(1)))
-        prefix = self.size - np.ceil(threshold * self.size - 1e-9).astype(np.int64) + 1
-        self.posted = (self.pos < prefix[self.line]) & (self.count > 1) & (self.size[self.line] >= 4)
+        self.threshold = threshold
 
     def _sums(self, values: np.ndarray) -> np.ndarray:
         sums = np.zeros(len(values) + 1, dtype=U64)
         np.cumsum(values, out=sums[1:])
         return sums[self.first[1:]] - sums[self.first[:-1]]
 
-    def sketches(self, lines: np.ndarray) -> pa.Array:
-        """Of each given line (ascending): parities of the number of words in each of 64 * 2**level groups, as bytes."""
-        level = sketch_level(self.size)
-        length = 1 << level[lines]
-        ends = np.concatenate([[0], np.cumsum(length)])
-        place = np.full(len(self.size), -1, dtype=np.int64)
-        place[lines] = ends[:-1]
-        own = np.flatnonzero(place[self.line] >= 0)
+    def sketches(self, lines: np.ndarray) -> np.ndarray:
+        """Of each given line: parities of the number of words in each of 64 * 2**level groups, end to end."""
+        size = self.size[lines]
+        level = sketch_level(size)
+        ends = _ends(1 << level)
+        own = _runs(self.first[lines], size)
+        nth = np.repeat(np.arange(len(lines)), size)
         # the group's low bits are the same at every level, so a sketch folds onto a shorter one
-        group = (self.h[own] & U64((64 << MOST_LEVEL) - 1)).astype(np.int64) & ((64 << level[self.line[own]]) - 1)
+        group = (self.h[own] & U64((64 << MOST_LEVEL) - 1)).astype(np.int64) & ((64 << level[nth]) - 1)
+        bit = U64(1) << (group & 63).astype(U64)
+        place = ends[:-1][nth] + (group >> 6)
         out = np.zeros(int(ends[-1]), dtype=U64)
-        np.bitwise_xor.at(out, place[self.line[own]] + (group >> 6), U64(1) << (group & 63).astype(U64))
-        return pa.Array.from_buffers(pa.binary(), len(lines), [None, pa.py_buffer((8 * ends).astype(np.int32)), pa.py_buffer(out)])
-
-    def posts(self, lines: np.ndarray) -> pa.Array:
-        """The posts of the given lines, as lists of (token, pos, parts)."""
-        wanted = np.zeros(len(self.size), dtype=bool)
-        wanted[lines] = True
-        at = np.flatnonzero(self.posted & wanted[self.line])
-        per = np.bincount(self.line[at], minlength=len(self.size))[lines]
-        parts = np.clip(-(-self.count[at] // LIST_ROWS), 1, MOST_PARTS).astype(np.int32)
-        items = pa.StructArray.from_arrays([pa.array(self.h[at].view(np.int64)), pa.array(self.pos[at].astype(np.int32)), pa.array(parts)], names=["token", "pos", "parts"])
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), items)
-
-    def sets(self, lines: np.ndarray) -> pa.Array:
-        """The words of the given lines (ascending), in the global order."""
-        wanted = np.zeros(len(self.size), dtype=bool)
-        wanted[lines] = True
-        values = self.h[wanted[self.line]].view(np.int64)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(self.size[lines])]), pa.int32()), pa.array(values))
-
-
-def _cells(posts: DataFrame, *columns: str) -> DataFrame:
-    """One row for each post and cell of its list; ``own`` is the row's part."""
-    rows = posts.select("k1", "k2", *columns, F.explode("posts").alias("post"))
-    rows = rows.select("k1", "k2", *columns, "post.token", "post.pos", "post.parts", F.pmod("k1", F.col("post.parts")).cast("int").alias("own"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least("own", j) * MOST_PARTS + F.greatest("own", j))
-    return rows.withColumn("cell", F.explode(cells)).drop("parts")
+        if level.any():
+            order = np.argsort(place, kind="stable")
+            place, bit = place[order], bit[order]
+        marks = np.flatnonzero(np.diff(place, prepend=-1))
+        if len(marks):
+            out[place[marks]] = np.bitwise_xor.reduceat(bit, marks)
+        return out
+
+    def packed(self, lines: np.ndarray, counts_of) -> bytes:
+        """Keys, sizes, sketches and prefixes of the given lines: (k1, size, sketch, key, parts), a part number of 0 is not posted."""
+        size = self.size[lines]
+        at = _runs(self.first[lines], _prefix(size, self.threshold))
+        rank = self.rank[at]
+        parts = np.where(rank < 0, 0, np.maximum(1, -(-counts_of(self.h[at]) // LIST_ROWS)))
+        return _pack(self.key1[lines], size.astype("<u4"), self.sketches(lines), (self.h[at] >> U64(32)).astype("<u4"), parts.astype("<u4"))
+
+
+PACKED = ("<u8", "<u4", "<u8", "<u4", "<u4")
+#: list, part (-1 in a list that is not split or holds one part), k1, size, pos, sketches, words before
+POSTS = ("<u8", "<i4", "<u8", "<u4", "<u4", "<u8", "<u4")
+
+
+def _expanded(rows: list[bytes], threshold: float, shards: int) -> Iterator[tuple[int, bytes]]:
+    """(shard, packed posts) of packed sets."""
+    parts_ = [_unpack(r, *PACKED) for r in rows]
+    k1, size, sketch, key, parts = (np.concatenate(x) for x in zip(*parts_))
+    size = size.astype(np.int64)
+    prefix, words = _prefix(size, threshold), 1 << sketch_level(size)
+    first_key, first_word = _ends(prefix)[:-1], _ends(words)[:-1]
+    at = np.flatnonzero(parts)
+    owner = np.repeat(np.arange(len(size)), prefix)[at]
+    times = parts[at].astype(np.int64)
+    own = (W.mix(k1[owner] + U64(7)) % times.astype(U64)).astype(np.int64)
+    # one row for each cell of the list: the pairs of the row's part with every part
+    which = np.repeat(np.arange(len(at)), times)
+    other = _runs(np.zeros(len(at), dtype=np.int64), times)
+    lo, hi = np.minimum(own[which], other), np.maximum(own[which], other)
+    at, owner, part = at[which], owner[which], np.where(lo != hi, own[which], -1)
+    lists = W.mix((key[at].astype(U64) << U64(32)) ^ W.mix((lo.astype(U64) << U64(32)) | hi.astype(U64)))
+    shard = (lists >> U64(32)) * U64(shards) >> U64(32)
+    order = np.argsort(shard, kind="stable")
+    ends = np.searchsorted(shard[order], np.arange(shards + 1, dtype=U64)).tolist()
+    pos = at - first_key[owner]
+    for k, (a, b) in enumerate(zip(ends, ends[1:])):
+        if b > a:
+            o = order[a:b]
+            s = owner[o]
+            yield k, _pack(lists[o], part[o].astype("<i4"), k1[s], size[s].astype("<u4"), pos[o].astype("<u4"), sketch[_runs(first_word[s], words[s])], key[_runs(first_key[s], pos[o])])
 
 
 def sketch_level(size: np.ndarray) -> np.ndarray:
@@ -169,18 +238,32 @@ def _need(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     return np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9).astype(np.int64)
 
 
-def _candidates(rows: pa.RecordBatch, threshold: float) -> np.ndarray:
-    """Marks rows of sorted (token, cell, size, k1) that pass all filters with another row of their list."""
-    token, cell, size, pos, own = (rows.column(c).to_numpy().astype(np.int64) for c in ("token", "cell", "size", "pos", "own"))
-    k1, k2 = (rows.column(c).to_numpy().view(U64) for c in ("k1", "k2"))
-    _, begin, bits = rows.column("sketch").buffers()
-    begin = np.frombuffer(begin, np.int32)[rows.column("sketch").offset :][: len(token)] // 8
-    bits = np.frombuffer(bits, U64)
+def _share(values: np.ndarray, a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether any of the na values from a on equals any of the nb values from b on, for each pair of runs."""
+    out = np.zeros(len(a), dtype=bool)
+    some = np.flatnonzero((na > 0) & (nb > 0))
+    for lo in range(0, len(some), 1 << 14):
+        x = some[lo : lo + (1 << 14)]
+        pair = np.repeat(np.arange(len(x)), na[x])
+        left = values[_runs(a[x], na[x])]
+        n = nb[x][pair]
+        right = values[_runs(b[x][pair], n)]
+        out[x[pair[np.repeat(np.arange(len(pair)), n)[np.repeat(left, n) == right]]]] = True
+    return out
+
+
+def _candidates(rows: list[bytes], threshold: float) -> tuple[np.ndarray, ...]:
+    """(k1, list, pos, part) of the posts that pass all filters with another post of their list."""
+    lists, part, k1, size, pos, sketch, before = (np.concatenate(x) for x in zip(*(_unpack(r, *POSTS) for r in rows)))
+    size, pos = size.astype(np.int64), pos.astype(np.int64)
     level = sketch_level(size)
-    alike = np.zeros(len(token), dtype=bool)
-    alike[1:] = (token[1:] == token[:-1]) & (cell[1:] == cell[:-1]) & (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])
-    keep = np.flatnonzero(~alike)
-    token, cell, size, pos, own, begin, level = (x[keep] for x in (token, cell, size, pos, own, begin, level))
+    begin, first = _ends(1 << level)[:-1], _ends(pos)[:-1]
+    order = np.argsort((size.astype(U64) << U64(32)) | (k1 >> U64(32)))
+    order = order[np.argsort(lists[order], kind="stable")]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (lists[order[1:]] != lists[order[:-1]]) | (k1[order[1:]] != k1[order[:-1]])
+    order = order[new]
+    lists, part, k1, size, pos, level, begin, first = (x[order] for x in (lists, part, k1, size, pos, level, begin, first))
 
     def differing(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Bits in which the sketches of the rows differ, on the shorter one's level (that of i)."""
@@ -189,193 +272,260 @@ def _candidates(rows: pa.RecordBatch, threshold: float) -> np.ndarray:
             some = np.flatnonzero(level[i] == k)
             a, b, longer = begin[i[some]], begin[j[some]], level[j[some]] > k
             for word in range(1 << k):
-                other = bits[b + word]
-                other = np.where(longer, other ^ bits[np.where(longer, b + word + (1 << k), b)], other)
-                out[some] += np.bitwise_count(bits[a + word] ^ other)
+                other = sketch[b + word]
+                other = np.where(longer, other ^ sketch[np.where(longer, b + word + (1 << k), b)], other)
+                out[some] += np.bitwise_count(sketch[a + word] ^ other)
         return out
 
-    cross = cell // MOST_PARTS != cell % MOST_PARTS
-    marked = np.zeros(len(keep), dtype=bool)
-    i, step = np.arange(len(keep)), 1
+    marked = np.zeros(len(order), dtype=bool)
+    i, step = np.arange(len(order)), 1
     while True:
-        i = i[i + step < len(keep)]
+        i = i[i + step < len(order)]
         j = i + step
-        going = (token[i] == token[j]) & (cell[i] == cell[j]) & (size[i] >= threshold * size[j] - 1e-9)
+        going = (lists[i] == lists[j]) & (size[i] >= threshold * size[j] - 1e-9)
         i, j = i[going], j[going]
         if not len(i):
-            return keep[marked]
+            return k1[marked], lists[marked], pos[marked], part[marked]
         need = _need(size[i], size[j], threshold)
-        ok = (1 + np.minimum(size[i] - pos[i], size[j] - pos[j]) - 1 >= need) & (~cross[i] | (own[i] != own[j]))
+        ok = (np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need) & ((part[i] < 0) | (part[i] != part[j])) & ~(marked[i] & marked[j])
         some = np.flatnonzero(ok)
         some = some[size[i[some]] + size[j[some]] - differing(i[some], j[some]) >= 2 * need[some]]
-        marked[i[some]] = marked[j[some]] = True
+        a, b = i[some], j[some]
+        mine = ~_share(before, first[a], pos[a], first[b], pos[b])
+        marked[a[mine]] = marked[b[mine]] = True
         step += 1
 
 
-def _verified(rows: pa.RecordBatch, threshold: float, block: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For one cell of one list with distinct sets: rows with links, the row of each one's first match, its links."""
+class Sets:
+    """Rows of sorted lists with the words of their sets; finds the pairs that match."""
+
+    def __init__(self, rows: pa.RecordBatch, threshold: float):
+        self.threshold = threshold
+        _, offsets, data = rows.column("words").buffers()
+        ends = np.frombuffer(offsets, np.int32)[rows.column("words").offset :][: rows.num_rows + 1] // 8
+        self.values = np.frombuffer(data, U64)
+        self.keys = (self.values >> U64(32)).astype(np.uint32)
+        self.place = np.unique(self.values, return_inverse=True)[1].astype(U64)
+        self.begin, self.size = ends[:-1].astype(np.int64), np.diff(ends).astype(np.int64)
+        self.pos, self.part = (rows.column(c).to_numpy().astype(np.int64) for c in ("pos", "part"))
+
+    def shared(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The number of words that rows i and j share."""
+        out = np.zeros(len(i), dtype=np.int64)
+        done = 0
+        while done < len(i):
+            upto = max(done + 1, int(np.searchsorted(np.cumsum((self.size[i] + self.size[j])[done:]), 1 << 20)) + done)
+            a, b = i[done:upto], j[done:upto]
+            pair = np.concatenate([np.repeat(np.arange(len(a), dtype=U64), self.size[x]) for x in (a, b)])
+            word = np.concatenate([self.place[_runs(self.begin[x], self.size[x])] for x in (a, b)])
+            both = np.sort((pair << U64(32)) | word)
+            same = both[1:][both[1:] == both[:-1]]
+            out[done:upto] = np.bincount((same >> U64(32)).astype(np.int64), minlength=len(a))
+            done = upto
+        return out
+
+    def matching(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs of rows of a list, those that match and share no prefix word before the list's."""
+        a, b = np.minimum(self.size[i], self.size[j]), np.maximum(self.size[i], self.size[j])
+        ok = (a >= self.threshold * b - 1e-9) & ((self.part[i] < 0) | (self.part[i] != self.part[j]))
+        i, j = i[ok], j[ok]
+        ok = self.shared(i, j) >= _need(self.size[i], self.size[j], self.threshold)
+        i, j = i[ok], j[ok]
+        first = ~_share(self.keys, self.begin[i], self.pos[i], self.begin[j], self.pos[j])
+        return i[first], j[first]
+
+    def dense(self, lo: int, hi: int, most: int = 1 << 24) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """matching() for all pairs of rows lo..hi of one list, by products of blocks of at most ``most`` cells."""
+        marks = [lo]
+        for row in range(lo, hi):
+            words = self.begin[row] + self.size[row] - self.begin[marks[-1]]
+            if row > marks[-1] and ((row + 1 - marks[-1]) * 2 * words > most or row - marks[-1] >= 1024):
+                marks.append(row)
+        blocks = list(zip(marks, [*marks[1:], hi]))
+        for n, (a, a2) in enumerate(blocks):
+            for b, b2 in blocks[n:]:
+                wa, wb = (self.place[self.begin[x] : self.begin[y - 1] + self.size[y - 1]] for x, y in ((a, a2), (b, b2)))
+                kinds, place = np.unique(np.concatenate([wa, wb]), return_inverse=True)
+                left, right = np.zeros((a2 - a, len(kinds)), np.float32), np.zeros((b2 - b, len(kinds)), np.float32)
+                left[np.repeat(np.arange(a2 - a), self.size[a:a2]), place[: len(wa)]] = 1
+                right[np.repeat(np.arange(b2 - b), self.size[b:b2]), place[len(wa) :]] = 1
+                ok = left @ right.T >= _need(self.size[a:a2, None], self.size[None, b:b2], self.threshold)
+                ok &= (self.part[a:a2, None] < 0) | (self.part[a:a2, None] != self.part[None, b:b2])
+                if a == b:
+                    ok = np.triu(ok, 1)
+                i, j = np.nonzero(ok)
+                i, j = i + a, j + b
+                first = ~_share(self.keys, self.begin[i], self.pos[i], self.begin[j], self.pos[j])
+                yield i[first], j[first]
+
+
+def _verified(rows: pa.RecordBatch, threshold: float, small: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For whole lists with distinct sets: rows with links, the row of each one's first match, its links."""
     n = rows.num_rows
-    lists = rows.column("words")
-    ends = np.asarray(lists.offsets)
-    values = lists.values.to_numpy()[ends[0] : ends[-1]]
-    ends = ends - ends[0]
-    size, pos = np.diff(ends), rows.column("pos").to_numpy().astype(np.int64)
-    own, cell = rows.column("own").to_numpy(), rows.column("cell")[0].as_py()
-    cross = cell // MOST_PARTS != cell % MOST_PARTS
-    kinds, place = np.unique(values, return_inverse=True)
-    owner = np.repeat(np.arange(n), size)
-    before = (np.arange(len(values)) - ends[:-1][owner]) < pos[owner]  # words of the prefix that come before this list's word
+    sets = Sets(rows, threshold)
+    lists = rows.column("list").to_numpy()
     rank = np.empty(n, dtype=np.int64)
     sort_keys = [(c, "ascending") for c in ("first_id", "first_text", "first_line")]
     rank[pa.compute.sort_indices(pa.Table.from_batches([rows]), sort_keys=sort_keys, null_placement="at_start").to_numpy()] = np.arange(n)
     by_rank = np.argsort(rank)
     best, links = np.full(n, n, dtype=np.int64), np.zeros(n, dtype=np.int64)
 
-    def matrix(rows_: np.ndarray, some: np.ndarray, keep: np.ndarray, width: int, column: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(rows_), width), dtype=np.float32)
-        out[some[keep], column[keep]] = 1
-        return out
-
-    def span(lo: int, hi: int) -> slice:
-        return slice(int(ends[lo]), int(ends[hi]))
-
-    for a in range(0, n, block):
-        a2 = min(n, a + block)
-        for b in range(a, n, block):
-            b2 = min(n, b + block)
-            sa, sb = span(a, a2), span(b, b2)
-            used = np.unique(np.concatenate([place[sa], place[sb]]))
-            ca, cb = np.searchsorted(used, place[sa]), np.searchsorted(used, place[sb])
-            oa, ob = owner[sa] - a, owner[sb] - b
-            full = lambda o, c, k: matrix(np.arange(k), o, np.ones(len(o), dtype=bool), len(used), c)
-            both = full(oa, ca, a2 - a) @ full(ob, cb, b2 - b).T
-            ok = both >= _need(size[a:a2, None], size[None, b:b2], threshold)
-            if b == a:
-                ok = np.triu(ok, 1)
-            if cross:
-                ok &= own[a:a2, None] != own[None, b:b2]
-            x, y = np.nonzero(ok)
-            if not len(x):
-                continue
-            earlier = matrix(np.arange(a2 - a), oa, before[sa], len(used), ca) @ matrix(np.arange(b2 - b), ob, before[sb], len(used), cb).T
-            mine = earlier[x, y] == 0
-            x, y = x[mine] + a, y[mine] + b
-            np.add.at(links, x, 1)
-            np.add.at(links, y, 1)
-            np.minimum.at(best, x, rank[y])
-            np.minimum.at(best, y, rank[x])
+    def add(x: np.ndarray, y: np.ndarray) -> None:
+        np.add.at(links, x, 1)
+        np.add.at(links, y, 1)
+        np.minimum.at(best, x, rank[y])
+        np.minimum.at(best, y, rank[x])
+
+    marks = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]]))
+    ends = np.append(marks[1:], n)
+    large = ends - marks > small
+    for lo, hi in zip(marks[large].tolist(), ends[large].tolist()):
+        for x, y in sets.dense(lo, hi):
+            add(x, y)
+    upto = np.where(large, marks, ends)[np.repeat(np.arange(len(marks)), ends - marks)]
+    i = np.arange(n)
+    per = np.maximum(upto - i - 1, 0)
+    left = np.repeat(i, per)
+    for lo in range(0, len(left), 1 << 18):
+        x = left[lo : lo + (1 << 18)]
+        add(*sets.matching(x, _runs(i + 1, per)[lo : lo + (1 << 18)]))
     some = np.flatnonzero(links)
     return some, by_rank[best[some]], links[some]
 
 
 def line_table(docs: DataFrame, counts, threshold: float) -> DataFrame:
-    """(id, h, line, k1, k2, size, sketch, posts) of every line with words; a set's posts stand at its first line in a partition only."""
+    """(id, h, line, k1, k2, packed) of every line with words, and rows of packed sets with line -1.
+
+    A set is packed at its first line in a partition only.
+    """
     kind = docs.schema["id"].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("h", T.LongType()), T.StructField("line", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("k1", "k2")], T.StructField("size", T.IntegerType()), T.StructField("sketch", T.BinaryType()), T.StructField("posts", T._parse_datatype_string(POST))])
+    schema = T.StructType([T.StructField("id", kind), T.StructField("h", T.LongType()), T.StructField("line", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("k1", "k2")], T.StructField("packed", T.BinaryType())])
+    least = least_size(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        ranks, seen = _ranks(counts.value), np.zeros(1 << 16, dtype=U64)
+        counts_of = lambda h: counts.value[_bucket(h)].astype(np.int64)
         for batch in W.slices(batches, "text"):
-            lines = Lines(batch.column("text"), counts.value, threshold)
-            with_words = np.flatnonzero(lines.size)
-            if len(seen) > 1_000_000:
-                seen.clear()
-            new = []
-            keys = np.stack([lines.key1, lines.key2], axis=1)
-            for i in with_words[lines.size[with_words] >= 4].tolist():
-                key = keys[i].tobytes()
-                if key not in seen:
-                    seen.add(key)
-                    new.append(i)
-            fresh = np.zeros(len(lines.size), dtype=bool)
-            fresh[new] = True
-            lines.posted &= fresh[lines.line]
-            text = pa.array(lines.text[with_words])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id").take(text),
-                    batch.column("h").take(text),
-                    pa.array(lines.number[with_words].astype(np.int32)),
-                    pa.array(lines.key1[with_words].view(np.int64)),
-                    pa.array(lines.key2[with_words].view(np.int64)),
-                    pa.array(lines.size[with_words].astype(np.int32)),
-                    lines.sketches(with_words),
-                    lines.posts(with_words),
-                ],
-                names=schema.fieldNames(),
-            )
+            lines = Lines(batch.column("text"), ranks, threshold)
+            some = np.flatnonzero(lines.size)
+            text = pa.array(lines.text[some])
+            columns = [
+                batch.column("id").take(text),
+                batch.column("h").take(text),
+                pa.array(lines.number[some].astype(np.int32)),
+                pa.array(lines.key1[some].view(np.int64)),
+                pa.array(lines.key2[some].view(np.int64)),
+                pa.nulls(len(some), pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+            some = some[lines.size[some] >= least]
+            # sets met lately are known by their place in a table of fixed size; what it forgets is posted again
+            some = some[np.unique(lines.key1[some], return_index=True)[1]]
+            key = lines.key1[some]
+            place = (key >> U64(48)).astype(np.int64)
+            some = np.sort(some[seen[place] != key])
+            seen[place] = key
+            if len(some):
+                one = [pa.nulls(1, columns[0].type), *[pa.array([v], t) for v, t in ((0, pa.int64()), (-1, pa.int32()), (0, pa.int64()), (0, pa.int64()), (lines.packed(some, counts_of), pa.binary()))]]
+                yield pa.RecordBatch.from_arrays(one, names=schema.fieldNames())
 
     return docs.mapInArrow(run, schema)
 
 
 def flagged(table: DataFrame, threshold: float) -> DataFrame:
-    """(k1, k2) of the sets that pass all filters with some other set."""
+    """(k1, list, pos, part) of the sets that pass all filters with some other set, and the lists in which they do."""
+    spark = table.sparkSession
+    packed = table.where("line = -1").select("packed")
+    size = packed.agg(F.sum(F.length("packed"))).first()[0] or 0
+    shards = max(spark.sparkContext.defaultParallelism, -(-8 * size // SHARD))
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            found = list(_expanded(held, threshold, shards)) if held else []
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([d for _, d in found], pa.binary())], names=["shard", "data"])
+
+        held: list[bytes] = []
+        for batch in batches:
+            for value in batch.column("packed"):
+                held.append(value.as_py())
+                if sum(map(len, held)) >= FLUSH:
+                    yield flush()
+                    held = []
+        yield flush()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_groups(batches, ["token", "cell"]):
-            keys = rows.select(["k1", "k2"]).take(pa.array(_candidates(rows, threshold)))
-            if keys.num_rows:
-                yield pa.Table.from_batches([keys]).group_by(["k1", "k2"]).aggregate([]).combine_chunks().to_batches()[0]
+        def solved() -> pa.RecordBatch:
+            k1, lists, pos, part = _candidates(held, threshold)
+            return pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), pa.array(lists.view(np.int64)), pa.array(pos.astype(np.int32)), pa.array(part)], names=["k1", "list", "pos", "part"])
+
+        held: list[bytes] = []
+        at = None
+        for batch in batches:
+            for shard, data in zip(batch.column("shard").to_pylist(), batch.column("data")):
+                if held and shard != at:
+                    yield solved()
+                    held = []
+                at = shard
+                held.append(data.as_py())
+        if held:
+            yield solved()
+
+    posts = packed.mapInArrow(expand, "shard int, data binary").repartition(shards, "shard").sortWithinPartitions("shard")
+    return posts.mapInArrow(run, "k1 long, list long, pos int, part int")
+
 
-    posts = _cells(table.where(F.size("posts") > 0), "size", "sketch")
-    dealt = posts.repartition("token", "cell").sortWithinPartitions("token", "cell", "size", "k1", "k2")
-    return dealt.mapInArrow(run, "k1 long, k2 long").distinct()
+def _place(k1: np.ndarray, of_id: np.ndarray, h: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """A hash of a set and of the occurrence of a line."""
+    return W.mix(k1.view(U64) ^ W.mix(of_id.view(U64) + W.mix(h.view(U64) + line.astype(U64))))
 
 
 def decisions(docs: DataFrame, counts, table: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
     """(k1, k2, best, links): of each set with links, its first matching set's first occurrence and its links."""
     spark = docs.sparkSession
-    marks = stored(flagged(table, threshold), "line-candidates")
+    posts = flagged(table, threshold).groupBy("k1").agg(F.collect_list(F.struct("list", "pos", "part")).alias("posts"))
+    marks = firsts.join(posts, "k1").select("k1", "k2", "first", F.xxhash64("first.id").alias("of_id"), F.col("first.h").alias("h"), F.col("first.line").alias("line"), "posts")
+    marks = stored(marks, "line-candidates")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            total[_bucket(W.mix(batch.column("k1").to_numpy().view(U64)))] = 1
+            total[_bucket(_place(*(batch.column(c).to_numpy() for c in ("k1", "of_id", "h", "line"))))] = 1
         return total
 
     # a bit table of fixed size spares most lines the way; what it lets pass too much, the join drops
-    maybe = spark.sparkContext.broadcast(np.packbits(_dense(marks, fill, BUCKETS) > 0))
+    maybe = spark.sparkContext.broadcast(np.packbits(_dense(marks.select("k1", "of_id", "h", "line"), fill, BUCKETS) > 0))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.unpackbits(maybe.value).astype(bool), set()
+        ranks, bits = _ranks(counts.value), np.unpackbits(maybe.value).astype(bool)
         for batch in W.slices(batches, "text"):
-            lines = Lines(batch.column("text"), counts.value, threshold)
-            some = np.flatnonzero((lines.size >= 4) & bits[_bucket(W.mix(lines.key1))])
-            new = []
-            for i in some.tolist():
-                key = (int(lines.key1[i]), int(lines.key2[i]))
-                if key not in seen:
-                    seen.add(key)
-                    new.append(i)
-            if len(seen) > 500_000:
-                seen.clear()
-            new = np.array(new, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(lines.key1[new].view(np.int64)), pa.array(lines.key2[new].view(np.int64)), lines.sets(new), lines.posts(new)], names=["k1", "k2", "words", "posts"])
-
-    rows = docs.mapInArrow(sets, f"k1 long, k2 long, words array<long>, posts {POST}")
-    known = firsts.join(marks, ["k1", "k2"])
-    rows = rows.join(known, ["k1", "k2"]).groupBy("k1", "k2").agg(*[F.first(c).alias(c) for c in ("words", "posts", "first")])
-    rows = rows.select("k1", "k2", "words", "posts", F.col("first.id").alias("first_id"), F.col("first.h").alias("first_text"), F.col("first.line").alias("first_line"))
-    posts = _cells(rows, "words", "first_id", "first_text", "first_line")
+            lines = Lines(batch.column("text"), ranks, threshold)
+            of_id, h = (batch.column(c).to_numpy()[lines.text] for c in ("of_id", "h"))
+            some = np.flatnonzero(lines.size)
+            some = some[bits[_bucket(_place(lines.key1[some], of_id[some], h[some], lines.number[some]))]]
+            words = lines.h[_runs(lines.first[some], lines.size[some])]
+            packed = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((8 * _ends(lines.size[some])).astype(np.int32)), pa.py_buffer(words)])
+            yield pa.RecordBatch.from_arrays([pa.array(lines.key1[some].view(np.int64)), pa.array(lines.key2[some].view(np.int64)), pa.array(of_id[some]), pa.array(h[some]), pa.array(lines.number[some].astype(np.int32)), packed], names=["k1", "k2", "of_id", "h", "line", "words"])
+
+    rows = docs.withColumn("of_id", F.xxhash64("id")).mapInArrow(sets, "k1 long, k2 long, of_id long, h long, line int, words binary")
+    # equal rows of a document give equal rows, which a list drops
+    rows = rows.join(marks, ["k1", "k2", "of_id", "h", "line"]).select("k1", "k2", F.col("first.id").alias("first_id"), F.col("h").alias("first_text"), F.col("line").alias("first_line"), "words", F.explode("posts").alias("post"))
+    posted = rows.select("post.list", "post.pos", "post.part", "k1", "k2", "first_id", "first_text", "first_line", "words")
     kind = firsts.schema["first"].dataType["id"].dataType
     schema = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("id", kind), T.StructField("h", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("links", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_groups(batches, ["token", "cell"]):
-            token, cell = rows.column("token").to_numpy(), rows.column("cell").to_numpy()
-            marks = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])]))
-            at, best, links = [], [], []
-            for lo, hi in zip(marks.tolist(), [*marks[1:].tolist(), len(token)]):
-                if hi - lo > 1:
-                    a, b, n = _verified(rows.slice(lo, hi - lo), threshold)
-                    at.append(a + lo)
-                    best.append(b + lo)
-                    links.append(n)
-            if at and sum(map(len, at)):
-                own, other = rows.take(pa.array(np.concatenate(at))), rows.take(pa.array(np.concatenate(best)))
-                yield pa.RecordBatch.from_arrays([own.column("k1"), own.column("k2"), other.column("first_id"), other.column("first_text"), other.column("first_line"), pa.array(np.concatenate(links))], names=schema.fieldNames())
-
-    found = posts.repartition("token", "cell").sortWithinPartitions("token", "cell", "k1").mapInArrow(run, schema)
+        for rows in whole_groups(batches, ["list"]):
+            keys = np.stack([rows.column(c).to_numpy() for c in ("list", "k1", "k2")])
+            new = np.ones(rows.num_rows, dtype=bool)
+            new[1:] = (keys[:, 1:] != keys[:, :-1]).any(axis=0)
+            if not new.all():
+                rows = rows.filter(pa.array(new))
+            at, best, links = _verified(rows, threshold)
+            if len(at):
+                own, other = rows.take(pa.array(at)), rows.take(pa.array(best))
+                yield pa.RecordBatch.from_arrays([own.column("k1"), own.column("k2"), other.column("first_id"), other.column("first_text"), other.column("first_line"), pa.array(links)], names=schema.fieldNames())
+
+    found = posted.repartition("list").sortWithinPartitions("list", "k1", "k2").mapInArrow(run, schema)
     return found.groupBy("k1", "k2").agg(F.min(F.struct("id", "h", "line")).alias("best"), F.sum("links").alias("links"))
 
 
@@ -390,10 +540,12 @@ def lines_found(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     source = docs.select(docs[key].alias("id"), F.xxhash64(docs[text].cast("string")).alias("h"), docs[text].cast("string").alias("text")).where("text is not null")
     counts = spark.sparkContext.broadcast(word_counts(source))
     table = stored(line_table(source, counts, threshold), "lines")
-    firsts = table.groupBy("k1", "k2").agg(F.min(F.struct("id", "h", "line")).alias("first"), F.count("*").alias("n"))
+    lines = table.where("line >= 0")
+    firsts = stored(lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "h", "line")).alias("first"), F.count("*").alias("n")), "line-sets")
     found = decisions(source, counts, table, firsts, threshold)
-    sets = stored(firsts.join(found, ["k1", "k2"], "left").where("n > 1 or links > 0").select("k1", "k2", F.least("first", F.coalesce("best", "first")).alias("class"), F.coalesce("links", F.lit(0)).alias("links")), "line-classes")
-    own = table.select("id", "h", "line", "k1", "k2", F.struct("id", "h", "line").alias("at"))
+    sets = firsts.join(found, ["k1", "k2"], "left").where("n > 1 or links > 0").select("k1", "k2", F.least("first", F.coalesce("best", "first")).alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
+    sets = stored(sets, "line-classes")
+    own = lines.select("id", "h", "line", "k1", "k2", F.struct("id", "h", "line").alias("at"))
     return own.join(sets, ["k1", "k2"]).select("id", "h", "line", (F.col("at") > F.col("class")).alias("removed"), "class", "links")
 
 

@@ -119,6 +119,24 @@ def test_line_dedup(spark):
     assert linededup.deduplicated(documents(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.6, 0.8, 1.0])
+def test_line_links_and_thresholds(spark, monkeypatch, threshold):
+    # small lists are split into parts too
+    monkeypatch.setattr(linededup, "LIST_ROWS", 8)
+    r = random.Random(int(10 * threshold))
+    base = [r.choices(WORDS, k=r.randint(1, 9)) for _ in range(25)]
+    rows = [" ".join(b) for b in base] + [" ".join(b[1:] + r.choices(WORDS, k=1)) for b in base] + ["a b c", "a b", "a"]
+    long = [f"word{k}" for k in range(3000)]
+    rows += [" ".join(long), " ".join(long[: int(3000 * threshold)]), " ".join(long[: int(3000 * threshold) - 1])]
+    docs = documents(spark, rows, extra=False)
+    got = {x["row"]["doc_id"]: (x["n_links"], bool(x["removed_lines"])) for x in linededup.deduplicated(docs, threshold=threshold).collect()}
+    sets = [line_set(t) for t in rows]
+    alike = lambda a, b: len(a & b) >= threshold * len(a | b) - 1e-9
+    for k, own in enumerate(sets):
+        want = len({o for o in sets if o != own and alike(o, own)}), any(alike(o, own) for o in sets[:k])
+        assert got[k] == want, (k, own)
+
+
 def test_pipeline_drops_documents_without_words(spark):
     import corpus_pipeline
 
