@@ -41,22 +41,22 @@ class UnitEncoder:
 
     A byte-level pre-tokenizer never joins what stands before a single space
     between two non-space characters with what follows, so texts are cut there and
-    the ids of the units are those of the whole text.  Tokenizers of another kind
-    get whole texts.  At most ``most`` units are remembered.
+    the ids of the units are those of the whole text.  Texts that hold the string of
+    an added token, and tokenizers of another kind, get whole texts.  At most ``most`` units are remembered.
     """
 
     def __init__(self, path: str, most: int = 800_000):
         import json
 
-        # Spark runs a task on each core; threads of a task's own would only wait for each other
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.by_unit = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+        #: added tokens are cut out of a text before anything else, so texts that hold one are encoded whole
+        added = [t["content"] for t in spec.get("added_tokens") or [] if t["content"]]
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.most = most
         self.first: dict[str, bytes] = {}
         #: by the unit without the space before it
@@ -69,12 +69,15 @@ class UnitEncoder:
         self.feed = feed[0] if self.by_unit and len(feed) == 1 else None
 
     def _encode(self, texts: list[str]) -> list[bytes]:
+        # Spark runs a task on each core; threads of a task's own would only wait for each other
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_units(self, units: list[str], before: str, together: int = 1000) -> list[bytes]:
         """_encode() for units without a line feed; many are joined by line feeds, which no unit's ids hold."""
         if self.feed is None or not before:
             return self._encode([before + u for u in units])
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         out: list[bytes] = []
         groups = [units[lo : lo + together] for lo in range(0, len(units), together)]
         joined = [before + f"\n{before}".join(g) for g in groups]
@@ -93,6 +96,13 @@ class UnitEncoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if not self.by_unit:
             return self._encode(texts)
+        if self.added is not None:
+            whole = [k for k, t in enumerate(texts) if self.added.search(t)]
+            if whole:
+                held = set(whole)
+                rest = iter(self([t for k, t in enumerate(texts) if k not in held]))
+                special = iter(self._encode([texts[k] for k in whole]))
+                return [next(special if k in held else rest) for k in range(len(texts))]
         cut = [t.split(" ") for t in texts]
         if len(self.first) + len(self.later) > self.most:
             self.first.clear()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from paralens.llm import components, decontam, htmltext, linededup, pii, quality, rans, sentencepieces, simhash, tokenbin, toxicity, urlfilter
 from paralens.llm import queries as Q
+from paralens.llm import words as W
 from paralens.llm.xxh import xxh64
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -225,12 +226,54 @@ def test_toxicity_of_rare_words_and_fixed_phrases(spark):
 
 
 def test_toxicity_keeps_rare_bigrams_of_large_corpora(spark):
-    rare = 9 << 32 | 5
-    pairs = spark.createDataFrame([(8 << 32 | 4, 1 << 30, 1 << 32), (rare, 100, 0), (rare + 1, 0, 1)], "pair long, toxic long, ordinary long")
-    model, _ = toxicity.model_rows(pairs)
-    got = {int(k): float(v) for x in model.collect() for k, v in zip(toxicity._unpacked(x["low"], x["high"]), np.frombuffer(x["one"], "<f4"))}
-    key, once = (int(k) for k in toxicity.keys_of(np.array([rare, rare + 1], np.uint64), True))
-    assert len(got) == 6 and got[key] > 3 and got[once] != 0
+    codes = np.array([8 << 32 | 4, 9 << 32 | 5, 9 << 32 | 6], np.uint64)
+    counts = np.array([[1 << 30, 100, 0], [1 << 32, 0, 1]], np.int64)
+    order = np.argsort(W.mix(codes))
+    rows = toxicity._counted(W.mix(codes)[order], counts[:, order], 4)
+    model = toxicity.Model(spark.createDataFrame([tuple(x.values()) for x in rows.to_pylist()], toxicity.COUNTED))
+    often = dict(zip(*(x.tolist() for x in model.frequent())))
+    seldom = {int(k): float(v) for x in model.rows().collect() for k, v in zip(toxicity._of_ascending(bytes(x["keys"])), np.frombuffer(x["one"], "<f4"))}
+    keys = toxicity.keys_of(W.mix(codes), True, model.bits).tolist()
+    assert len(often) == 2 and len(seldom) == 4 and keys[0] in often
+    assert seldom[keys[1]] > 3 and seldom[keys[2]] != 0
+
+
+def test_toxicity_sums_against_brute_force(spark, monkeypatch):
+    # few expressions are frequent, so both ways of the lookup are taken
+    monkeypatch.setattr(toxicity, "FREQUENT", 6)
+    r = random.Random(21)
+    rows = [" ".join(r.choices(WORDS, [1 / (k + 1) for k in range(len(WORDS))], k=r.randint(0, 40))) for _ in range(60)] + ODD
+    docs = documents(spark, rows, extra=False)
+    marked = spark.createDataFrame([(k, rows[k], k % 2) for k in range(40)], "id long, text string, toxic int")
+    got = {x["h"]: x for x in toxicity.evidence(docs, marked, shard_keys=50).collect()}
+    hashes = {x["doc_id"]: x["h"] for x in docs.select("doc_id", toxicity.text_hash(F.col("text")).alias("h")).collect()}
+    fold = lambda t: [w for w in re.split(r"[\x20\x09-\x0d!-/:-@\[-`{-~]+", (t or "").lower()) if w]
+    pairs_of = lambda t: list(zip([None, *fold(t)], fold(t)))
+    pairs = {}
+    for k in range(40):
+        for p in pairs_of(rows[k]):
+            pairs.setdefault(p, [0, 0])[1 - k % 2] += 1
+    words_ = {}
+    for (_, w), n in pairs.items():
+        for c in (0, 1):
+            words_.setdefault(w, [0, 0])[c] += n[c] > 0
+
+    def values(table):
+        kind = {}
+        for c, name in enumerate(toxicity.CLASSES):
+            own = [n[c] for n in table.values()]
+            kind[f"x_{name}_total"] = sum(own)
+            kind |= {f"x_{name}_{k}": own.count(k) for k in (1, 2, 3, 4)} | {f"x_{name}_more": sum(n > 4 for n in own)}
+        counts = toxicity.Counts(kind, "x")
+        return dict(zip(table, counts.evidence(*np.array(list(table.values())).T).tolist()))
+
+    of_pairs, of_words = values(pairs), values(words_)
+    for k, t in enumerate(rows):
+        found = got[hashes[k]]
+        v = [of_words.get(w, 0) for w in fold(t)]
+        b = [of_pairs.get(p, 0) for p in pairs_of(t)]
+        want = {"n_words": max(1, len(v)), "n_pairs": max(1, len(b)), "words": sum(v), "pairs": sum(b), "words4": sum(max(x, 0) ** 4 for x in v), "pairs4": sum(max(x, 0) ** 4 for x in b)}
+        assert {s: found[s] for s in want} == pytest.approx(want, rel=1e-4, abs=1e-5), (k, t)
 
 
 SPANS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -349,11 +392,11 @@ def test_token_shards(spark, tmp_path):
     from tokenizers import Tokenizer
 
     path = Q.tokenizer_file("byte_bpe_50k.json")
-    rows = texts(3) + ODD + ["  a b", "a\n b c\t d ", "<|endoftext|> hi", "a\x85 b"]
+    rows = texts(3) + ODD + ["  a b", "a\n b c\t d ", "<|endoftext|> hi", "a <|endoftext|> b", "a <|endoftext|><|endoftext|>\n", "a\x85 b"]
     docs = documents(spark, rows)
     tokenbin.write(docs, str(tmp_path / "s"), path, 2, segment_tokens=300)
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    assert t.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
     got = sorted(map(tuple, tokenbin.read(spark, str(tmp_path / "s"), with_ids=True).collect()))
     start = 0
     for k, t_ in enumerate([*rows, rows[-1]]):
