@@ -221,7 +221,6 @@ class Codec:
 
     def __init__(self, data: bytes, parity: bool = True, most: int = 400_000, threads: int = 2):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         self.model = Model.parse(data)
         self.whole = self.model.tokenizer()
         self.by_unit = self.model.by_unit()
@@ -271,6 +270,8 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         """Ids of each text as little-endian unsigned 32-bit integers, and whether they agree with the sentencepiece library."""
+        # another encoder of the same worker may have turned threads off
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
         if not self.by_unit:
             ids = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
             same = [True] * len(texts) if self.check is None else [a == b for a, b in zip(ids, self.check.encode(texts, num_threads=1))]
@@ -292,6 +293,7 @@ class Codec:
         return coded, same
 
     def decode(self, coded: list[bytes]) -> list[str]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
         return self.bare.decode_batch([np.frombuffer(c, "<u4").tolist() for c in coded], skip_special_tokens=False)
 
 
