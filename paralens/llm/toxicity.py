@@ -12,18 +12,23 @@ evidence is the logarithm of p_toxic / p_ordinary, times g / (g + CAUTION), wher
 twice the log-likelihood ratio of its two counts against the shared proportion: what
 chance explains counts for little, but nothing that was counted is left out.
 
-A text's evidence is summed over its different words and over its different bigrams;
-sums by length and fourth-power norms (which follow the strongest expressions) go
-through a logistic fit on a bounded sample of other labelled rows.
-
-Nothing whose size grows with the corpus is broadcast.  Counted expressions and the
-expressions of the texts are dealt to shards by a 47-bit hash, as many shards as the
-number of counted expressions asks for; each shard returns a few sums for each text.
+A text's evidence is summed over all its words and over all its bigrams, each as often
+as it occurs; sums by length and fourth-power norms (which follow the strongest
+expressions) go through a logistic fit on a bounded sample of other labelled rows.
+
+Counts are packed by shard of a hash and summed there.  Expressions with at least
+2**-FREQUENT of all occurrences, of which there are no more than 2**FREQUENT, are
+broadcast and looked up where the texts are; all others meet the texts' expressions in
+shards, as many as the number of counted expressions asks for, and each shard returns
+a few sums for each text.  Keys have 16 bits more than the number of counted
+expressions (48 at most), so an expression that was never counted is taken for a
+counted one with a chance of 2**-16.
 
 Rows are dealt by crc32 of the id: remainders 0 and 1 (of 4) train the models, 3 the
 fit; 2 is held out and never learnt from.  Ids, languages and sources are never
 inputs.  Null and empty texts score as texts without evidence; if a class has no
 labelled row, every score is 0.  Repeated labels of an id count as toxic if one is.
+A column of the score's name is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -44,9 +49,10 @@ U64 = np.uint64
 DISCOUNT, CAUTION, HELD_OUT, FIT, FOLDS = 0.75, 10.0, 2, 3, 4
 #: labelled rows of the fit, by order of a hash of their ids; labels that are broadcast for the join at most
 FIT_ROWS, BROADCAST_LABELS = 20_000, 2_000_000
-#: counted expressions of a shard; bytes of text whose expressions are dealt together
-SHARD_KEYS, SLICE = 1 << 22, 1 << 22
-PACKED = "shard int, kind int, slice long, low binary, high binary, one binary, other binary"
+#: counted expressions of a shard; bytes of text whose expressions are dealt together; the least share of a broadcast expression
+SHARD_KEYS, SLICE, FREQUENT = 1 << 20, 1 << 22, 18
+COUNTED = "shard int, codes binary, counts binary"
+PACKED = "shard int, kind int, slice long, keys binary, one binary, other binary"
 SUMS = ("n_words", "n_pairs", "words", "words4", "pairs", "pairs4")
 CLASSES = ("toxic", "ordinary")
 
@@ -101,42 +107,122 @@ def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
     return source.join(F.broadcast(marks) if small else marks, "id")
 
 
-def pair_counts(rows: DataFrame, held_keys: int = 1 << 20) -> DataFrame:
-    """(pair, toxic, ordinary): counts of every bigram of the rows' texts, keyed by two 32-bit hashes."""
+def _planes(values: np.ndarray) -> bytes:
+    """The bytes of the values, all lowest ones first: what small values leave zero compresses away."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def _of_planes(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _ascending(keys: np.ndarray) -> bytes:
+    """Ascending unsigned keys, as steps."""
+    return _planes(np.diff(keys, prepend=U64(0)))
+
+
+def _of_ascending(data: bytes) -> np.ndarray:
+    return np.cumsum(_of_planes(data, "<u8"), dtype=U64)
+
+
+def _added(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different codes, ascending, and the sums of their columns of counts."""
+    order = np.argsort(codes)
+    codes = codes[order]
+    marks = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+    return codes[marks], np.add.reduceat(counts[:, order], marks, axis=1) if len(codes) else counts
+
+
+def _counted(codes: np.ndarray, counts: np.ndarray, shards: int) -> pa.RecordBatch:
+    """Ascending codes and rows of their counts, packed by shard."""
+    ends = np.searchsorted((codes >> U64(32)) * U64(shards) >> U64(32), np.arange(shards + 1, dtype=U64)).tolist()
+    rows = [(k, _ascending(codes[a:b]), _planes(np.ascontiguousarray(counts[:, a:b]).astype("<i8").ravel())) for k, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2)]], names=["shard", "codes", "counts"])
+
+
+def _uncounted(codes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    codes = _of_ascending(codes)
+    return codes, _of_planes(counts, "<i8").reshape(-1, len(codes))
+
+
+def _merged(rows: DataFrame, shards: int) -> DataFrame:
+    """Packed counts with one row for each shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            codes, counts = _added(np.concatenate([c for c, _ in held]), np.concatenate([n for _, n in held], axis=1))
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([_ascending(codes)], pa.binary()), pa.array([_planes(np.ascontiguousarray(counts).ravel())], pa.binary())], names=["shard", "codes", "counts"])
+
+        held: list[tuple] = []
+        at, size = None, 0
+        for batch in batches:
+            for shard, codes, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and shard != at:
+                    yield flush()
+                    held, size = [], 0
+                at = shard
+                held.append(_uncounted(codes, counts))
+                size += len(held[-1][0])
+                if size > 1 << 21 and len(held) > 1:
+                    held = [_added(np.concatenate([c for c, _ in held]), np.concatenate([n for _, n in held], axis=1))]
+                    size = len(held[0][0]) // 2
+        if held:
+            yield flush()
+
+    return rows.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, COUNTED)
+
+
+def _shards(rows: DataFrame, shard_keys: int) -> int:
+    """Shards for the counts of the rows' texts, by the bytes of text (about six for each word)."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // (6 * shard_keys)))
+
+
+def pair_counts(rows: DataFrame, shard_keys: int = SHARD_KEYS, held_keys: int = 1 << 20) -> DataFrame:
+    """Packed counts (toxic, ordinary) of every bigram of the rows' texts, keyed by mixed pairs of 32-bit hashes."""
     ship(rows.sparkSession)
+    shards = _shards(rows, shard_keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            keys, toxic = np.concatenate(held, axis=1)
-            order = np.argsort(keys)
-            keys = keys[order]
-            marks = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            a = np.add.reduceat(toxic[order], marks).astype(np.int32)
-            n = np.diff(marks, append=len(keys)).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(keys[marks].view(np.int64)), pa.array(a), pa.array(n - a)], names=["pair", "toxic", "ordinary"])
+            return _counted(*_added(np.concatenate([c for c, _ in held]), np.concatenate([n for _, n in held], axis=1)), shards)
 
         for batch in W.slices(batches, "text"):
             u, v, owner = bigrams(batch.column("text"))
             if not len(u):
                 continue
-            held.append(np.stack([(u << U64(32)) | v, (batch.column("toxic").to_numpy()[owner] > 0).astype(U64)]))
-            size += len(u)
+            toxic = (batch.column("toxic").to_numpy()[owner] > 0).astype(np.int64)
+            held.append(_added(W.mix((u << U64(32)) | v), np.stack([toxic, 1 - toxic])))
+            size += len(held[-1][0])
             if size >= held_keys:
                 yield flush()
                 held, size = [], 0
         if held:
             yield flush()
 
-    counted = rows.select("text", "toxic").mapInArrow(run, "pair long, toxic int, ordinary int")
-    return counted.groupBy("pair").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    return _merged(rows.select("text", "toxic").mapInArrow(run, COUNTED), shards)
+
+
+def word_counts(pairs: DataFrame, shards: int) -> DataFrame:
+    """Packed continuation counts (toxic, ordinary) and occurrences of every word, from packed counts of bigrams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, codes, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                codes, counts = _uncounted(codes, counts)
+                words = W.mix(W.unmix(codes) & U64(0xFFFFFFFF))
+                yield _counted(*_added(words, np.concatenate([counts > 0, counts.sum(axis=0, keepdims=True)])), shards)
+
+    return _merged(pairs.mapInArrow(run, COUNTED), shards)
 
 
-def keys_of(codes: np.ndarray, pairs: bool) -> np.ndarray:
-    """48-bit keys of words (32-bit hashes) or bigrams; the last bit tells which."""
-    return (W.mix(codes + U64(0x9E3779B97F4A7C15)) >> U64(17) << U64(1)) | U64(pairs)
+def keys_of(codes: np.ndarray, pairs: bool, bits: int = 48) -> np.ndarray:
+    """Keys of mixed codes of words or bigrams; the last bit tells which."""
+    return (codes >> U64(65 - bits) << U64(1)) | U64(pairs)
 
 
 class Counts:
@@ -164,84 +250,118 @@ class Counts:
         return np.log(p["toxic"] / p["ordinary"]) * g / (g + CAUTION)
 
 
-def _counts_of_counts(kind: str) -> list:
-    out = []
-    for c in CLASSES:
-        out.append(F.sum(c).alias(f"{kind}_{c}_total"))
-        out += [F.count(F.when(F.col(c) == k, 1)).alias(f"{kind}_{c}_{k}") for k in (1, 2, 3, 4)]
-        out.append(F.count(F.when(F.col(c) > 4, 1)).alias(f"{kind}_{c}_more"))
-    return out
-
-
-def _high(keys: np.ndarray) -> bytes:
-    """The upper 16 of 48 bits of ascending keys, as steps (which compress well)."""
-    return np.diff(keys >> U64(32), prepend=U64(0)).astype("<u2").tobytes()
+def _totals(counted: DataFrame, kind: str) -> dict:
+    """Totals and counts of counts of the classes, and the number of codes and occurrences."""
+    names = [f"{kind}_{c}_{k}" for c in CLASSES for k in ("total", 1, 2, 3, 4, "more")] + ["n", "tokens"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for codes, counts in zip(*(c.to_pylist() for c in batch.select(["codes", "counts"]).columns)):
+                codes, counts = _uncounted(codes, counts)
+                out = []
+                for own in counts[:2]:
+                    out += [own.sum(), *[(own == k).sum() for k in (1, 2, 3, 4)], (own > 4).sum()]
+                out += [len(codes), counts[2:].sum() if len(counts) > 2 else counts.sum()]
+                yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in out], names=names)
 
-def _unpacked(low: bytes, high: bytes) -> np.ndarray:
-    return (np.cumsum(np.frombuffer(high, "<u2").astype(U64)).astype(U64) << U64(32)) | np.frombuffer(low, "<u4").astype(U64)
+    found = counted.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return found.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first().asDict()
 
 
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=[f.split()[0] for f in PACKED.split(", ")])
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    columns = list(zip(*rows)) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=[f.split()[0] for f in PACKED.split(", ")])
 
 
-def _parts(keys: np.ndarray, shards: int) -> Iterator[tuple[int, int, int]]:
+def _parts(keys: np.ndarray, shards: int, bits: int) -> Iterator[tuple[int, int, int]]:
     """(shard, begin, end) of ascending keys."""
-    ends = np.searchsorted(keys * U64(shards) >> U64(48), np.arange(shards + 1, dtype=U64)).tolist()
+    place = (keys >> U64(max(0, bits - 32))) * U64(shards) >> U64(min(32, bits))
+    ends = np.searchsorted(place, np.arange(shards + 1, dtype=U64)).tolist()
     return ((k, a, b) for k, (a, b) in enumerate(zip(ends, ends[1:])) if b > a)
 
 
-def _packed_model(counted: DataFrame, counts: Counts, pairs: bool, shards: int) -> DataFrame:
-    """Keys and evidence of counted expressions, packed by shard."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> pa.RecordBatch:
-            codes, toxic, ordinary = (np.concatenate(x) for x in zip(*held))
-            keys = keys_of(codes, pairs)
-            order = np.argsort(keys)
-            keys, value = keys[order], counts.evidence(toxic, ordinary)[order].astype("<f4")
-            return _packed([(k, 0, 0, keys[a:b].astype("<u4").tobytes(), _high(keys[a:b]), value[a:b].tobytes(), b"") for k, a, b in _parts(keys, shards)])
-
-        held: list[tuple] = []
-        for batch in batches:
-            if batch.num_rows:
-                held.append((batch.column(0).to_numpy().view(U64), batch.column(1).to_numpy(), batch.column(2).to_numpy()))
-            if sum(len(x[0]) for x in held) >= 1 << 20:
-                yield flush()
-                held = []
-        if held:
-            yield flush()
-
-    return counted.mapInArrow(run, PACKED)
-
-
-def _text_rows(docs: DataFrame, shards: int) -> DataFrame:
-    """The different words and bigrams of (h, text), packed by shard, and a row of hashes and numbers for each slice."""
+class Model:
+    """What the lookups need: evidence of frequent expressions, shards and key bits."""
+
+    def __init__(self, pairs: DataFrame, shard_keys: int = SHARD_KEYS):
+        self.spark = pairs.sparkSession
+        of_pairs = _totals(pairs, "pairs")
+        self.some = bool(of_pairs["pairs_toxic_total"] and of_pairs["pairs_ordinary_total"])
+        if not self.some:
+            return
+        words = stored(word_counts(pairs, max(self.spark.sparkContext.defaultParallelism, -(-of_pairs["n"] // shard_keys))), "words")
+        of_words = _totals(words, "words")
+        n = of_pairs["n"] + of_words["n"]
+        self.bits = min(48, max(24, int(n).bit_length() + 16))
+        self.shards = max(self.spark.sparkContext.defaultParallelism, -(-n // shard_keys))
+        self.tokens = of_pairs["tokens"]
+        self.tables = [(pairs, Counts(of_pairs, "pairs"), True), (words, Counts(of_words, "words"), False)]
+
+    def frequent(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys, ascending, and evidence of the expressions with a large share of the occurrences; a bounded number."""
+        keys, values = [np.zeros(0, U64)], [np.zeros(0, "<f4")]
+        for table, counts, pairs in self.tables:
+            for row in self._evidence(table, counts, pairs, True).toLocalIterator():
+                keys.append(_of_ascending(row["keys"]))
+                values.append(np.frombuffer(row["one"], "<f4"))
+        keys, values = np.concatenate(keys), np.concatenate(values)
+        order = np.argsort(keys)
+        return keys[order], values[order]
+
+    def rows(self) -> DataFrame:
+        """Keys and evidence of all other counted expressions, packed by shard."""
+        first, second = (self._evidence(*t, False) for t in self.tables)
+        return first.union(second)
+
+    def _evidence(self, table: DataFrame, counts: Counts, pairs: bool, frequent: bool) -> DataFrame:
+        least, shards, bits = self.tokens / (1 << FREQUENT), self.shards, self.bits
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for codes, own in zip(*(c.to_pylist() for c in batch.select(["codes", "counts"]).columns)):
+                    codes, own = _uncounted(codes, own)
+                    some = ((own[2] if len(own) > 2 else own.sum(axis=0)) >= least) == frequent
+                    keys, value = keys_of(codes[some], pairs, bits), counts.evidence(own[0][some], own[1][some]).astype("<f4")
+                    yield _packed([(k, 0, 0, _ascending(keys[a:b]), value[a:b].tobytes(), b"") for k, a, b in _parts(keys, shards, bits)])
+
+        return table.mapInArrow(run, PACKED)
+
+
+def _text_rows(docs: DataFrame, model: Model, frequent) -> DataFrame:
+    """The words and bigrams of (h, text) that are not frequent, packed by shard, and a row of hashes, numbers and sums for each slice."""
+    shards, bits = model.shards, model.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nth = TaskContext.get().partitionId() << 32
+        known, evidence = frequent.value
         for whole in W.slices(batches, "text", SLICE):
             for lo in range(0, whole.num_rows, 65_535):
                 batch = whole.slice(lo, 65_535)
-                u, v, owner = bigrams(batch.column("text"))
-                keys = np.concatenate([keys_of(v, False), keys_of((u << U64(32)) | v, True)])
-                owner = np.concatenate([owner, owner])
-                order = np.lexsort((owner, keys))
-                keys, owner = keys[order], owner[order]
-                new = np.ones(len(keys), bool)
-                new[1:] = keys[1:] != keys[:-1]
-                once = new.copy()
-                once[1:] |= owner[1:] != owner[:-1]
-                keys, owner, new = keys[once], owner[once].astype("<u2"), new[once]
-                pair = (keys & U64(1)).astype(bool)
-                n = np.stack([np.bincount(owner[~pair], minlength=batch.num_rows), np.bincount(owner[pair], minlength=batch.num_rows)]).astype("<u4")
-                rows = [(nth % shards, 2, nth, batch.column("h").to_numpy().astype("<i8").tobytes(), b"", n.tobytes(), b"")]
-                for k, a, b in _parts(keys, shards):
-                    first = np.flatnonzero(new[a:b])
-                    own = keys[a:b][first]
-                    rows.append((k, 1, nth, own.astype("<u4").tobytes(), _high(own), np.diff(first, append=b - a).astype("<u2").tobytes(), owner[a:b].tobytes()))
+                codes, owners, base = [], [], 0
+                for piece in W.slices(iter([batch]), "text"):
+                    u, v, owner = bigrams(piece.column("text"))
+                    codes.append(np.concatenate([keys_of(W.mix(v), False, bits), keys_of(W.mix((u << U64(32)) | v), True, bits)]))
+                    owners.append(np.concatenate([owner, owner]) + base)
+                    base += piece.num_rows
+                keys = np.sort((np.concatenate(codes) << U64(16)) | np.concatenate(owners).astype(U64))
+                owner, keys = (keys & U64(0xFFFF)).astype("<u2"), keys >> U64(16)
+                n = np.bincount(owner, minlength=batch.num_rows).astype("<u4") // 2
+                new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+                own, times = keys[new], np.diff(new, append=len(keys))
+                sums = np.zeros((2, 2 * batch.num_rows))
+                if len(known):
+                    found = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    hit = known[found] == own
+                    at = np.repeat(hit, times)
+                    value = np.repeat(evidence[found[hit]], times[hit]).astype(np.float64)
+                    cell = 2 * owner[at].astype(np.int64) + (keys[at] & U64(1)).astype(np.int64)
+                    sums = np.stack([np.bincount(cell, w, 2 * batch.num_rows) for w in (value, np.maximum(value, 0) ** 4)])
+                    own, times, owner = own[~hit], times[~hit], owner[~at]
+                ends = np.concatenate([[0], np.cumsum(times)])
+                rows = [(nth % shards, 2, nth, batch.column("h").to_numpy().astype("<i8").tobytes(), n.tobytes(), sums.tobytes())]
+                for k, a, b in _parts(own, shards, bits):
+                    rows.append((k, 1, nth, _ascending(own[a:b]), _planes(times[a:b].astype("<u4")), owner[ends[a] : ends[b]].tobytes()))
                 yield _packed(rows)
                 nth += 1
 
@@ -249,23 +369,23 @@ def _text_rows(docs: DataFrame, shards: int) -> DataFrame:
 
 
 def _looked_up(rows: DataFrame) -> DataFrame:
-    """(slice, head, docs, sums): four sums for each text of a slice that has counted expressions in a shard.
+    """(slice, docs, n, sums): four sums for each text of a slice that has counted expressions in a shard.
 
-    Rows of hashes and numbers go through as heads.
+    Rows of hashes, numbers and sums go through as heads; ``n`` is null in all others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held, keys, values = None, [], np.zeros(0, U64), np.zeros(0, "<f4")
         for batch in batches:
             out = []
-            for at, kind, slice_, low, high, one, other in zip(*(c.to_pylist() for c in batch.columns)):
+            for at, kind, slice_, own, one, other in zip(*(c.to_pylist() for c in batch.columns)):
                 if at != shard:
                     shard, held, keys, values = at, [], np.zeros(0, U64), np.zeros(0, "<f4")
                 if kind == 0:
-                    held.append((_unpacked(low, high), np.frombuffer(one, "<f4")))
+                    held.append((_of_ascending(own), np.frombuffer(one, "<f4")))
                     continue
                 if kind == 2:
-                    out.append((slice_, True, low, one))
+                    out.append((slice_, own, one, other))
                     continue
                 if held:
                     keys, values = (np.concatenate(x) for x in zip(*held))
@@ -273,11 +393,11 @@ def _looked_up(rows: DataFrame) -> DataFrame:
                     keys, values, held = keys[order], values[order], []
                 if not len(keys):
                     continue
-                own = _unpacked(low, high)
+                own = _of_ascending(own)
                 found = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                 value = np.where(keys[found] == own, values[found], 0).astype(np.float64)
                 docs = np.frombuffer(other, "<u2")
-                times = np.frombuffer(one, "<u2")
+                times = _of_planes(one, "<u4")
                 value, pair = np.repeat(value, times), np.repeat(own & U64(1), times).astype(np.int64)
                 some = value != 0
                 if not some.any():
@@ -285,11 +405,11 @@ def _looked_up(rows: DataFrame) -> DataFrame:
                 who, at_doc = np.unique(docs[some], return_inverse=True)
                 value, cell = value[some], 2 * at_doc + pair[some]
                 sums = [np.bincount(cell, w, 2 * len(who)).astype("<f4") for w in (value, np.maximum(value, 0) ** 4)]
-                out.append((slice_, False, who.astype("<u2").tobytes(), np.stack(sums).tobytes()))
+                out.append((slice_, who.astype("<u2").tobytes(), None, np.stack(sums).tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.bool_(), pa.binary(), pa.binary()))], names=["slice", "head", "docs", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["slice", "docs", "n", "sums"])
 
-    return rows.mapInArrow(run, "slice long, head boolean, docs binary, sums binary")
+    return rows.mapInArrow(run, "slice long, docs binary, n binary, sums binary")
 
 
 def _summed(parts: DataFrame) -> DataFrame:
@@ -300,23 +420,23 @@ def _summed(parts: DataFrame) -> DataFrame:
         at = None
 
         def flush() -> pa.RecordBatch:
-            h, n = next((np.frombuffer(d, "<i8"), np.frombuffer(x, "<u4")) for head, d, x in held if head)
-            sums = np.zeros((2, len(h), 2))
-            for head, d, x in held:
-                if not head:
+            h, n, sums = next((np.frombuffer(d, "<i8"), np.frombuffer(n, "<u4"), np.frombuffer(x, "<f8")) for d, n, x in held if n is not None)
+            sums = sums.reshape(2, len(h), 2).copy()
+            for d, head, x in held:
+                if head is None:
                     who = np.frombuffer(d, "<u2")
                     sums[:, who] += np.frombuffer(x, "<f4").reshape(2, len(who), 2)
-            n = np.maximum(n.reshape(2, -1), 1).astype(float)
-            values = (n[0], n[1], sums[0, :, 0], sums[1, :, 0], sums[0, :, 1], sums[1, :, 1])
+            n = np.maximum(n, 1).astype(float)
+            values = (n, n, sums[0, :, 0], sums[1, :, 0], sums[0, :, 1], sums[1, :, 1])
             return pa.RecordBatch.from_arrays([pa.array(h), *map(pa.array, values)], names=["h", *SUMS])
 
         for batch in batches:
-            for slice_, head, docs, sums in zip(*(c.to_pylist() for c in batch.columns)):
+            for slice_, docs, n, sums in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and slice_ != at:
                     yield flush()
                     held = []
                 at = slice_
-                held.append((head, docs, sums))
+                held.append((docs, n, sums))
         if held:
             yield flush()
 
@@ -327,32 +447,21 @@ def text_hash(text):
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def model_rows(pairs: DataFrame, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame | None, int]:
-    """Every counted bigram and word with its evidence, packed, and the number of shards; None if a class has no words."""
-    of_pairs = pairs.agg(*_counts_of_counts("pairs"), F.count("*").alias("n")).first()
-    if not of_pairs["pairs_toxic_total"] or not of_pairs["pairs_ordinary_total"]:
-        return None, 0
-    words = pairs.groupBy(F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("word")).agg(*[F.count(F.when(F.col(c) > 0, 1)).alias(c) for c in CLASSES])
-    words = stored(words, "words")
-    of_words = words.agg(*_counts_of_counts("words"), F.count("*").alias("n")).first()
-    shards = max(pairs.sparkSession.sparkContext.defaultParallelism, -(-(of_pairs["n"] + of_words["n"]) // shard_keys))
-    return _packed_model(pairs, Counts(of_pairs.asDict(), "pairs"), True, shards).union(_packed_model(words, Counts(of_words.asDict(), "words"), False, shards)), shards
-
-
 def evidence(docs: DataFrame, rows: DataFrame, text: str = "text", shard_keys: int = SHARD_KEYS) -> DataFrame | None:
     """(h, SUMS) of each different text of ``docs``; None if a class of the rows (id, text, toxic) has no words."""
-    model, shards = model_rows(stored(pair_counts(rows), "bigrams"), shard_keys)
-    if model is None:
+    model = Model(stored(pair_counts(rows, shard_keys), "bigrams"), shard_keys)
+    if not model.some:
         return None
+    frequent = docs.sparkSession.sparkContext.broadcast(model.frequent())
     source = docs.select(text_hash(docs[text]).alias("h"), docs[text].cast("string").alias("text"))
-    dealt = model.union(_text_rows(source, shards)).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    dealt = model.rows().union(_text_rows(source, model, frequent)).repartition(model.shards, "shard").sortWithinPartitions("shard", "kind")
     found = _summed(_looked_up(dealt).repartition("slice").sortWithinPartitions("slice"))
     # copies of a text have the same sums
     return stored(found.groupBy("h").agg(*[F.max(s).alias(s) for s in SUMS]), "evidence")
 
 
 def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", name: str = "toxicity", fit_rows: int = FIT_ROWS, **options) -> DataFrame:
-    """The rows of ``docs`` with a column of scores; all columns are kept."""
+    """The rows of ``docs`` with a column of scores; all other columns are kept."""
     ship(docs.sparkSession)
     rows = labelled(docs, labels, key, text, label)
     sums = evidence(docs, rows.where(F.col("fold") != FIT), text, **options)

@@ -42,6 +42,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
+def unmix(h: np.ndarray) -> np.ndarray:
+    """What mix() made h of."""
+    h = (h ^ (h >> U64(33))) * U64(pow(0xC4CEB9FE1A85EC53, -1, 1 << 64))
+    h = (h ^ (h >> U64(33))) * U64(pow(0xFF51AFD7ED558CCD, -1, 1 << 64))
+    return h ^ (h >> U64(33))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, end to end, and the n + 1 offsets of the texts."""
     column = pc.fill_null(column.cast(pa.large_binary()), b"")
