@@ -3,10 +3,11 @@
 Fingerprint: 64-bit majority over the XXH64 values of a text's word shingles.
 Search: two fingerprints within radius r share, of r + 2 blocks of bits, at least
 two whole blocks; each fingerprint is dealt to one cell for each pair of blocks,
-so all partners meet in some cell.  In a cell the fingerprints are sorted by Gray
-rank and put under nodes that factor out the bits all of the node's members share;
-a query walks the nodes, adds the differences in each node's own shared bits, and
-leaves a whole group once the sum exceeds r.  A cell with more fingerprints than
+so all partners meet in some cell.  The fingerprints of a task's cells are sorted by
+Gray rank and put under nodes that factor out the bits all of the node's members
+share, one tree for each cell whatever its size; a query walks its cell's tree, adds
+the differences in each node's own shared bits, and leaves a whole group once the sum
+exceeds r.  All links come out of this index.  A cell with more fingerprints than
 ``cell_rows`` is split into sub-cells for all pairs of its salted parts, so no task
 gathers an unbounded cell and no pair is lost.  A cell returns only a spanning
 forest of its links (at most one row for each member), and the components of all
@@ -92,71 +93,75 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Gray-sorted codes under levels of nodes; a node keeps the bits its members share."""
-
-    def __init__(self, codes: np.ndarray, fan: int = 8):
-        self.codes = codes[np.argsort(gray_rank(codes), kind="stable")]
-        self.fan = fan
+    """Gray-sorted codes of cells under levels of nodes, a tree for each cell; a node keeps the bits its members share."""
+
+    def __init__(self, codes: np.ndarray, cells: np.ndarray | None = None, fan: int = 8):
+        cells = np.zeros(len(codes), dtype=np.int64) if cells is None else cells
+        self.order = np.lexsort((gray_rank(codes), cells))
+        self.codes = codes[self.order]
+        #: the different cells, ascending; the root of each one's tree has its place
+        self.cells, of_cell = np.unique(cells[self.order], return_inverse=True)
+        #: of each code: its tree
+        self.tree = of_cell
         # level 0: the codes, every bit of which is shared
-        level = [(self.codes, np.full(len(codes), ~U64(0)))]
-        while len(level[-1][0]) > fan:
-            bits, mask = level[-1]
-            marks = np.arange(0, len(bits), fan)
+        bits, mask = self.codes, np.full(len(codes), ~U64(0))
+        last = np.arange(len(codes))
+        self.levels = [[bits, mask, None, None, last]]
+        while len(bits) > len(self.cells):
+            count = np.bincount(of_cell, minlength=len(self.cells))
+            nth = np.arange(len(bits)) - np.repeat(np.cumsum(count) - count, count)
+            marks = np.flatnonzero(nth % fan == 0)
             high, low = np.bitwise_and.reduceat(bits & mask, marks), np.bitwise_and.reduceat(~bits & mask, marks)
-            level.append((high, high | low))
-        # what a parent shares is taken out of its children
-        self.levels = []
-        for k, (bits, mask) in enumerate(level):
-            if k + 1 < len(level):
-                mask = mask & ~np.repeat(level[k + 1][1], fan)[: len(mask)]
-            self.levels.append((bits, mask))
-
-    def within(self, queries: np.ndarray, radius: int, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query, member) places of all pairs within the radius; members in Gray order."""
-        top = len(self.levels) - 1
-        step = max(1, most // max(1, len(self.levels[top][0])))
-        for lo in range(0, len(queries), step):
-            some = queries[lo : lo + step]
-            n = len(self.levels[top][0])
-            q, node = np.repeat(np.arange(len(some)), n), np.tile(np.arange(n), len(some))
-            so_far = np.zeros(len(q), dtype=np.uint8)
-            stack = [(top, q, node, so_far)]
-            while stack:
-                k, q, node, so_far = stack.pop()
-                if len(q) > most:
-                    half = len(q) // 2
-                    stack += [(k, q[half:], node[half:], so_far[half:]), (k, q[:half], node[:half], so_far[:half])]
-                    continue
-                bits, mask = self.levels[k]
-                so_far = so_far + np.bitwise_count((some[q] ^ bits[node]) & mask[node])
-                keep = so_far <= radius
-                q, node, so_far = q[keep], node[keep], so_far[keep]
-                if not len(q):
-                    continue
-                if k == 0:
-                    yield q + lo, node
-                    continue
-                below = len(self.levels[k - 1][0])
-                child = (node[:, None] * self.fan + np.arange(self.fan)).ravel()
-                ok = child < below
-                stack.append((k - 1, np.repeat(q, self.fan)[ok], child[ok], np.repeat(so_far, self.fan)[ok]))
-
-
-def forest(codes: np.ndarray, radius: int) -> np.ndarray:
-    """For distinct codes, each one's representative: equal for codes linked within the radius."""
-    n = len(codes)
-    root = np.arange(n)
-    if n < 2:
-        return root
-    if n <= 48:
-        a, b = np.triu_indices(n, 1)
-        near = np.bitwise_count(codes[a] ^ codes[b]) <= radius
-        pairs = [(a[near], b[near])]
-    else:
-        index = GrayIndex(codes)
-        order = np.argsort(gray_rank(codes), kind="stable")
-        pairs = ((q, order[m]) for q, m in index.within(codes, radius))
-    for a, b in pairs:
+            children = np.diff(marks, append=len(bits))
+            bits, shared, of_cell, last = high, high | low, of_cell[marks], last[marks + children - 1]
+            # what a parent shares is taken out of its children
+            self.levels[-1][1] = mask & ~np.repeat(shared, children)
+            mask = shared
+            self.levels.append([bits, mask, marks, children, last])
+
+    def within(self, queries: np.ndarray, radius: int, trees: np.ndarray | None = None, after: np.ndarray | None = None, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, member) places of all pairs within the radius, members in Gray order.
+
+        ``trees``: each query's tree (the only one if not given).  ``after``: places
+        up to which members are of no interest to a query.
+        """
+        trees = np.zeros(len(queries), dtype=np.int64) if trees is None else trees
+        if not len(self.codes):
+            return
+        stack = [(len(self.levels) - 1, np.arange(len(queries)), trees, np.zeros(len(queries), dtype=np.uint8))]
+        while stack:
+            k, q, node, so_far = stack.pop()
+            if len(q) > most:
+                half = len(q) // 2
+                stack += [(k, q[half:], node[half:], so_far[half:]), (k, q[:half], node[:half], so_far[:half])]
+                continue
+            bits, mask, first, children, last = self.levels[k]
+            so_far = so_far + np.bitwise_count((queries[q] ^ bits[node]) & mask[node])
+            keep = so_far <= radius
+            if after is not None:
+                keep &= last[node] > after[q]
+            q, node, so_far = q[keep], node[keep], so_far[keep]
+            if not len(q):
+                continue
+            if k == 0:
+                yield q, node
+                continue
+            per = children[node]
+            ends = np.cumsum(per)
+            below = np.arange(ends[-1]) + np.repeat(first[node] - (ends - per), per)
+            stack.append((k - 1, np.repeat(q, per), below, np.repeat(so_far, per)))
+
+    def links(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of all pairs of codes of one cell within the radius."""
+        places = np.arange(len(self.codes))
+        return self.within(self.codes, radius, self.tree, places)
+
+
+def forest(codes: np.ndarray, radius: int, cells: np.ndarray | None = None) -> np.ndarray:
+    """For the codes of cells, each one's representative: equal for codes of a cell that are linked within the radius."""
+    index = GrayIndex(codes, cells)
+    root = np.arange(len(codes))
+    for a, b in index.links(radius):
         while True:
             # hook the larger root below the smaller, then flatten; repeat until the pairs agree
             ra, rb = root[a], root[b]
@@ -170,7 +175,9 @@ def forest(codes: np.ndarray, radius: int) -> np.ndarray:
                     break
                 root = up
             a, b = a[differ], b[differ]
-    return root
+    out = np.empty_like(root)
+    out[index.order] = index.order[root]
+    return out
 
 
 def block_masks(radius: int) -> list[int]:
@@ -206,20 +213,11 @@ def links(fps: DataFrame, radius: int = 4, cell_rows: int = 20_000) -> DataFrame
         held: list[np.ndarray] = []
 
         def solved(rows: np.ndarray, marks: np.ndarray) -> pa.RecordBatch:
-            out_a, out_b = [], []
-            two = np.flatnonzero(np.diff(marks) == 2)
-            x, y = rows[3][marks[two]].view(U64), rows[3][marks[two] + 1].view(U64)
-            near = np.bitwise_count(x ^ y) <= radius
-            out_a.append(x[near])
-            out_b.append(y[near])
-            for k in np.flatnonzero(np.diff(marks) > 2):
-                codes = np.unique(rows[3][marks[k] : marks[k + 1]]).view(U64)
-                root = forest(codes, radius)
-                own = np.flatnonzero(root != np.arange(len(codes)))
-                out_a.append(codes[own])
-                out_b.append(codes[root[own]])
-            a, b = np.concatenate(out_a).view(np.int64), np.concatenate(out_b).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            sizes = np.diff(marks)
+            codes = rows[3][marks[0] : marks[-1]].view(U64)
+            root = forest(codes, radius, np.repeat(np.arange(len(sizes)), sizes))
+            own = np.flatnonzero(codes[root] != codes)
+            return pa.RecordBatch.from_arrays([pa.array(codes[own].view(np.int64)), pa.array(codes[root[own]].view(np.int64))], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:

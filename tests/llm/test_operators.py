@@ -67,6 +67,29 @@ def test_gray_index_finds_all_pairs():
     assert got == want
 
 
+def test_gray_index_finds_the_links_of_every_cell(monkeypatch):
+    r = np.random.default_rng(4)
+    sizes = np.array([1, 2, 3, 7, 8, 9, 64, 65, 300, 0, 5])
+    cells = np.repeat(np.arange(len(sizes)), sizes)
+    codes = r.integers(0, 2**63, len(cells), dtype=np.uint64)
+    near = r.permutation(len(cells))[:200]
+    codes[near] = codes[near - 1] ^ np.bitwise_or.reduce([np.uint64(1) << r.integers(0, 64, 200, dtype=np.uint64) for _ in range(4)])
+    root = simhash.forest(codes, 4, cells)
+    want = np.arange(len(cells))
+    while True:
+        before = want.copy()
+        for a in range(len(cells)):
+            linked = np.flatnonzero((cells == cells[a]) & (np.bitwise_count(codes ^ codes[a]) <= 4))
+            want[linked] = want[linked].min()
+        if (before == want).all():
+            break
+    assert len(set(want.tolist())) < len(cells) - 20
+    assert [[root[a] == root[b] for b in range(len(cells))] for a in range(len(cells))] == [[want[a] == want[b] for b in range(len(cells))] for a in range(len(cells))]
+    assert (cells[root] == cells).all()
+    monkeypatch.setattr(simhash.GrayIndex, "within", lambda *_: iter(()))
+    assert (simhash.forest(codes, 4, cells) == np.arange(len(cells))).all()
+
+
 def test_simhash_components(spark):
     rows = texts() + ODD
     got = {r["id"]: r for r in simhash.near_duplicates(documents(spark, rows), cell_rows=3).collect()}
