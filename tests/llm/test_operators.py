@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -186,6 +187,44 @@ def test_decontamination(spark):
     assert decontam.matches(documents(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_against_brute_force(spark, monkeypatch):
+    r = random.Random(15)
+    some = [f"w{k}" for k in range(400)]
+    item = [r.choices(some, k=r.choice([3, 5, 9, 14, 30, 31, 60])) for _ in range(25)] + [["a", "b"] * 12]
+    rows = []
+    for k in range(160):
+        own = list(r.choice(item))
+        for _ in range(r.randint(0, 2)):  # words put in, taken out or changed
+            at = r.randrange(len(own))
+            own[at : at + r.randint(0, 1)] = r.choices(some, k=r.randint(0, 1))
+        rows.append(" ".join(r.choices(some, k=r.randint(0, 20)) + own[: r.choice([90, 90, r.randint(1, 60)])] + r.choices(some, k=r.randint(0, 20))))
+    rows += [" ".join(item[4] + item[4] + item[5])] + ODD
+
+    def shingles(w):
+        k = min(5, len(w))
+        return Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+
+    want = {}
+    for d, t in enumerate(rows):
+        w = [x for x in re.split(r"[\x20\x09-\x0d]+", (t or "").lower()) if x]
+        for i, own in enumerate(item):
+            size = min(len(own), len(w))
+            for s in range(len(w) - size + 1 if size and len(set(w)) > 1 else 0):
+                a, b = shingles(w[s : s + size]), shingles(own)
+                sim = (a & b).total() / (a | b).total()
+                if sim >= 0.8 and sim > want.get((d, i), (0, 0))[1]:
+                    want[d, i] = (s, sim)
+    docs, bench = documents(spark, rows, extra=False), spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(item)], "item_id long, text string")
+    got = {(x["id"], x["item"]): (x["first_word"], x["similarity"]) for x in decontam.matches(docs, bench).collect()}
+    assert len(want) > 60 and got.items() <= want.items() and len(got) >= 0.98 * len(want)
+    assert got == {(x["id"], x["item"]): (x["first_word"], x["similarity"]) for x in decontam.matches(docs, bench, group_bytes=900).collect()}
+    kept = {x["doc_id"] for x in decontam.decontaminated(docs, bench, group_bytes=900).collect()}
+    assert kept == set(range(len(rows))) - {d for d, _ in got}
+    # what the fingerprints don't find is not found
+    monkeypatch.setattr(decontam.HammingBlocks, "search", lambda self, codes: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    assert not list(decontam.Items([0], [" ".join(item[4])], 0.8, 19).matches(W.folded_words(pa.array(rows))))
+
+
 def test_hamming_blocks_find_all_in_radius():
     r = np.random.default_rng(2)
     codes = r.integers(0, 2**63, 300, dtype=np.uint64)
