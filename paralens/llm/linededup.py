@@ -197,8 +197,12 @@ class Lines:
 
 
 PACKED = ("<u8", "<u4", "<u8", "<u4", "<u4")
-#: list, part (-1 in a list that is not split or holds one part), k1, size, pos, sketches, words before
-POSTS = ("<u8", "<i4", "<u8", "<u4", "<u4", "<u8", "<u4")
+#: key, cell of the key's list, part (-1 in a list that is not split or holds one part), k1, size, pos, sketches, words before
+POSTS = ("<u4", "<u8", "<i4", "<u8", "<u4", "<u4", "<u8", "<u4")
+
+
+def _list(key: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    return W.mix((key.astype(U64) << U64(32)) ^ W.mix(cell))
 
 
 def _expanded(rows: list[bytes], threshold: float, shards: int) -> Iterator[tuple[int, bytes]]:
@@ -217,8 +221,8 @@ def _expanded(rows: list[bytes], threshold: float, shards: int) -> Iterator[tupl
     other = _runs(np.zeros(len(at), dtype=np.int64), times)
     lo, hi = np.minimum(own[which], other), np.maximum(own[which], other)
     at, owner, part = at[which], owner[which], np.where(lo != hi, own[which], -1)
-    lists = W.mix((key[at].astype(U64) << U64(32)) ^ W.mix((lo.astype(U64) << U64(32)) | hi.astype(U64)))
-    shard = (lists >> U64(32)) * U64(shards) >> U64(32)
+    cell = (lo.astype(U64) << U64(32)) | hi.astype(U64)
+    shard = (_list(key[at], cell) >> U64(32)) * U64(shards) >> U64(32)
     order = np.argsort(shard, kind="stable")
     ends = np.searchsorted(shard[order], np.arange(shards + 1, dtype=U64)).tolist()
     pos = at - first_key[owner]
@@ -226,7 +230,7 @@ def _expanded(rows: list[bytes], threshold: float, shards: int) -> Iterator[tupl
         if b > a:
             o = order[a:b]
             s = owner[o]
-            yield k, _pack(lists[o], part[o].astype("<i4"), k1[s], size[s].astype("<u4"), pos[o].astype("<u4"), sketch[_runs(first_word[s], words[s])], key[_runs(first_key[s], pos[o])])
+            yield k, _pack(key[at[o]], cell[o], part[o].astype("<i4"), k1[s], size[s].astype("<u4"), pos[o].astype("<u4"), sketch[_runs(first_word[s], words[s])], key[_runs(first_key[s], pos[o])])
 
 
 def sketch_level(size: np.ndarray) -> np.ndarray:
@@ -254,7 +258,8 @@ def _share(values: np.ndarray, a: np.ndarray, na: np.ndarray, b: np.ndarray, nb:
 
 def _candidates(rows: list[bytes], threshold: float) -> tuple[np.ndarray, ...]:
     """(k1, list, pos, part) of the posts that pass all filters with another post of their list."""
-    lists, part, k1, size, pos, sketch, before = (np.concatenate(x) for x in zip(*(_unpack(r, *POSTS) for r in rows)))
+    key, cell, part, k1, size, pos, sketch, before = (np.concatenate(x) for x in zip(*(_unpack(r, *POSTS) for r in rows)))
+    lists = _list(key, cell)
     size, pos = size.astype(np.int64), pos.astype(np.int64)
     level = sketch_level(size)
     begin, first = _ends(1 << level)[:-1], _ends(pos)[:-1]
@@ -529,6 +534,13 @@ def decisions(docs: DataFrame, counts, table: DataFrame, firsts: DataFrame, thre
     return found.groupBy("k1", "k2").agg(F.min(F.struct("id", "h", "line")).alias("best"), F.sum("links").alias("links"))
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+    total = np.zeros(BUCKETS, dtype=np.int64)
+    for batch in batches:
+        total[batch.column("place").to_numpy() % BUCKETS] = 1
+    return total
+
+
 def lines_found(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, h, line, removed, class, links) of every line that repeats or matches another.
 
@@ -556,13 +568,20 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     """
     found = lines_found(docs, key, text, threshold)
     per_doc = found.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("line")))).alias("gone"), F.sum("links").alias("n_links"))
+    per_doc = stored(per_doc, "line-documents")
+    bits = _dense(per_doc.select(F.xxhash64("id", "h").alias("place")), _places, BUCKETS) > 0
+    bits = F.lit(np.packbits(bits, bitorder="little").view("<i8"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[key].alias("k"), docs[text].cast("string").alias("t"), F.xxhash64(docs[text].cast("string")).alias("th"))
-    joined = rows.join(per_doc, rows["k"].eqNullSafe(per_doc["id"]) & (rows["th"] == per_doc["h"]), "left")
+    # documents of which a bit table of fixed size says that no line was found need no join; what it lets pass too much, the join finds nothing for
+    place = F.pmod(F.xxhash64("k", "th"), F.lit(BUCKETS)).cast("int")
+    some = F.getbit(F.get(bits, F.shiftright(place, 6)), place.bitwiseAND(F.lit(63))) == 1
+    joined = rows.where(some).join(per_doc, F.col("k").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h")), "left").select("row", "t", "gone", "n_links")
+    whole = rows.where(~some).select("row", "t", F.lit(None).cast("array<int>").alias("gone"), F.lit(None).cast("long").alias("n_links"))
     gone = F.coalesce("gone", F.array().cast("array<int>"))
     lines = F.split("t", "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
     kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    return joined.select(
+    return joined.unionByName(whole).select(
         "row",
         F.when(F.size(gone) > 0, kept).otherwise(F.col("t")).alias("text"),
         F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"),
