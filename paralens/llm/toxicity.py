@@ -19,8 +19,9 @@ expressions) go through a logistic fit on a bounded sample of other labelled row
 Counts are packed by shard of a hash and summed there.  Expressions with at least
 2**-FREQUENT of all occurrences, of which there are no more than 2**FREQUENT, are
 broadcast and looked up where the texts are; all others meet the texts' expressions in
-shards, as many as the number of counted expressions asks for, and each shard returns
-a few sums for each text.  Keys have 16 bits more than the number of counted
+shards, as many as the counted expressions and the texts ask for, and each shard
+returns a few sums for each text.  A bit table of fixed size spares expressions that
+were never counted the way; it loses none that was, and spares less the more there are.  Keys have 16 bits more than the number of counted
 expressions (48 at most), so an expression that was never counted is taken for a
 counted one with a chance of 2**-16.
 
@@ -38,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,7 +52,9 @@ DISCOUNT, CAUTION, HELD_OUT, FIT, FOLDS = 0.75, 10.0, 2, 3, 4
 #: labelled rows of the fit, by order of a hash of their ids; labels that are broadcast for the join at most
 FIT_ROWS, BROADCAST_LABELS = 20_000, 2_000_000
 #: counted expressions of a shard; bytes of text whose expressions are dealt together; the least share of a broadcast expression
-SHARD_KEYS, SLICE, FREQUENT = 1 << 20, 1 << 22, 18
+SHARD_KEYS, SLICE, FREQUENT = 1 << 20, 1 << 23, 18
+#: bytes of text for which there is a shard; bits of the places in the bit table
+SHARD_BYTES, TABLE = 1 << 24, 27
 COUNTED = "shard int, codes binary, counts binary"
 PACKED = "shard int, kind int, slice long, keys binary, one binary, other binary"
 SUMS = ("n_words", "n_pairs", "words", "words4", "pairs", "pairs4")
@@ -108,13 +112,14 @@ def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """The bytes of the values, all lowest ones first: what small values leave zero compresses away."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    """The values compressed by their bytes, all lowest ones first."""
+    raw = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
 def _of_planes(data: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _ascending(keys: np.ndarray) -> bytes:
@@ -173,16 +178,16 @@ def _merged(rows: DataFrame, shards: int) -> DataFrame:
     return rows.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, COUNTED)
 
 
-def _shards(rows: DataFrame, shard_keys: int) -> int:
-    """Shards for the counts of the rows' texts, by the bytes of text (about six for each word)."""
+def _shards(rows: DataFrame, shard_bytes: int) -> int:
+    """Shards by the bytes of the rows' texts."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // (6 * shard_keys)))
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // shard_bytes))
 
 
-def pair_counts(rows: DataFrame, shard_keys: int = SHARD_KEYS, held_keys: int = 1 << 20) -> DataFrame:
+def pair_counts(rows: DataFrame, held_keys: int = 1 << 20) -> DataFrame:
     """Packed counts (toxic, ordinary) of every bigram of the rows' texts, keyed by mixed pairs of 32-bit hashes."""
     ship(rows.sparkSession)
-    shards = _shards(rows, shard_keys)
+    shards = _shards(rows, SHARD_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -281,10 +286,15 @@ def _parts(keys: np.ndarray, shards: int, bits: int) -> Iterator[tuple[int, int,
     return ((k, a, b) for k, (a, b) in enumerate(zip(ends, ends[1:])) if b > a)
 
 
+def _place(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Places of keys in the bit table."""
+    return ((keys >> U64(bits - TABLE)) if bits > TABLE else keys).astype(np.int64)
+
+
 class Model:
     """What the lookups need: evidence of frequent expressions, shards and key bits."""
 
-    def __init__(self, pairs: DataFrame, shard_keys: int = SHARD_KEYS):
+    def __init__(self, pairs: DataFrame, shard_keys: int = SHARD_KEYS, least_shards: int = 1):
         self.spark = pairs.sparkSession
         of_pairs = _totals(pairs, "pairs")
         self.some = bool(of_pairs["pairs_toxic_total"] and of_pairs["pairs_ordinary_total"])
@@ -294,7 +304,7 @@ class Model:
         of_words = _totals(words, "words")
         n = of_pairs["n"] + of_words["n"]
         self.bits = min(48, max(24, int(n).bit_length() + 16))
-        self.shards = max(self.spark.sparkContext.defaultParallelism, -(-n // shard_keys))
+        self.shards = max(self.spark.sparkContext.defaultParallelism, -(-n // shard_keys), least_shards)
         self.tokens = of_pairs["tokens"]
         self.tables = [(pairs, Counts(of_pairs, "pairs"), True), (words, Counts(of_words, "words"), False)]
 
@@ -309,6 +319,25 @@ class Model:
         order = np.argsort(keys)
         return keys[order], values[order]
 
+    def table(self) -> np.ndarray:
+        """The bit table: whether the upper bits of some key that is not frequent are these."""
+        bits_ = self.bits
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for keys in batch.column("keys").to_pylist():
+                    place = np.unique(_place(_of_ascending(keys), bits_))
+                    first = int(place[0]) >> 3
+                    bits = np.zeros((int(place[-1]) >> 3) + 1 - first << 3, dtype=bool)
+                    bits[place - (first << 3)] = True
+                    yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([_planes(np.packbits(bits, bitorder="little"))], pa.binary())], names=["first", "bits"])
+
+        out = np.zeros(1 << TABLE - 3, dtype=np.uint8)
+        for row in self.rows().select("keys").mapInArrow(run, "first long, bits binary").toLocalIterator():
+            bits = _of_planes(row["bits"], "u1")
+            out[row["first"] : row["first"] + len(bits)] |= bits
+        return out
+
     def rows(self) -> DataFrame:
         """Keys and evidence of all other counted expressions, packed by shard."""
         first, second = (self._evidence(*t, False) for t in self.tables)
@@ -334,7 +363,7 @@ def _text_rows(docs: DataFrame, model: Model, frequent) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nth = TaskContext.get().partitionId() << 32
-        known, evidence = frequent.value
+        known, evidence, table = frequent.value
         for whole in W.slices(batches, "text", SLICE):
             for lo in range(0, whole.num_rows, 65_535):
                 batch = whole.slice(lo, 65_535)
@@ -358,10 +387,13 @@ def _text_rows(docs: DataFrame, model: Model, frequent) -> DataFrame:
                     cell = 2 * owner[at].astype(np.int64) + (keys[at] & U64(1)).astype(np.int64)
                     sums = np.stack([np.bincount(cell, w, 2 * batch.num_rows) for w in (value, np.maximum(value, 0) ** 4)])
                     own, times, owner = own[~hit], times[~hit], owner[~at]
+                place = _place(own, bits)
+                hit = (table[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+                owner, own, times = owner[np.repeat(hit, times)], own[hit], times[hit]
                 ends = np.concatenate([[0], np.cumsum(times)])
                 rows = [(nth % shards, 2, nth, batch.column("h").to_numpy().astype("<i8").tobytes(), n.tobytes(), sums.tobytes())]
                 for k, a, b in _parts(own, shards, bits):
-                    rows.append((k, 1, nth, _ascending(own[a:b]), _planes(times[a:b].astype("<u4")), owner[ends[a] : ends[b]].tobytes()))
+                    rows.append((k, 1, nth, _ascending(own[a:b]), _planes(times[a:b].astype("<u4")), _planes(owner[ends[a] : ends[b]])))
                 yield _packed(rows)
                 nth += 1
 
@@ -396,7 +428,7 @@ def _looked_up(rows: DataFrame) -> DataFrame:
                 own = _of_ascending(own)
                 found = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                 value = np.where(keys[found] == own, values[found], 0).astype(np.float64)
-                docs = np.frombuffer(other, "<u2")
+                docs = _of_planes(other, "<u2")
                 times = _of_planes(one, "<u4")
                 value, pair = np.repeat(value, times), np.repeat(own & U64(1), times).astype(np.int64)
                 some = value != 0
@@ -449,11 +481,11 @@ def text_hash(text):
 
 def evidence(docs: DataFrame, rows: DataFrame, text: str = "text", shard_keys: int = SHARD_KEYS) -> DataFrame | None:
     """(h, SUMS) of each different text of ``docs``; None if a class of the rows (id, text, toxic) has no words."""
-    model = Model(stored(pair_counts(rows, shard_keys), "bigrams"), shard_keys)
+    source = docs.select(text_hash(docs[text]).alias("h"), docs[text].cast("string").alias("text"))
+    model = Model(stored(pair_counts(rows), "bigrams"), shard_keys, _shards(source, SHARD_BYTES))
     if not model.some:
         return None
-    frequent = docs.sparkSession.sparkContext.broadcast(model.frequent())
-    source = docs.select(text_hash(docs[text]).alias("h"), docs[text].cast("string").alias("text"))
+    frequent = docs.sparkSession.sparkContext.broadcast((*model.frequent(), model.table()))
     dealt = model.rows().union(_text_rows(source, model, frequent)).repartition(model.shards, "shard").sortWithinPartitions("shard", "kind")
     found = _summed(_looked_up(dealt).repartition("slice").sortWithinPartitions("slice"))
     # copies of a text have the same sums
