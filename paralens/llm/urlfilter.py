@@ -9,8 +9,11 @@ them; both are personalised PageRanks in the scaled form
 
     x(v) = seed(v) + damping * sum over u of x(u) * weight(u, v) / out(u)
 
-with distrust on the reversed edges.  A host is blocked if its distrust exceeds its
-trust by more than ``threshold``.
+with distrust on the reversed edges.  Each host has a threshold of its own: it is
+blocked if its distrust is at least ``floor`` (of the distrust of a host all of whose
+pages are blocked) and exceeds its trust by more than the share ``threshold`` of both.
+After ``steps`` steps a rank lacks what walks of more steps add, at most
+damping ** (steps + 1) / (1 - damping) of the largest seed.
 
 Ranks are whole billionths, so sums don't depend on their order.  Edges are one row
 for each pair of hosts, counted before they move; a host with many pages or links is
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-DAMPING, STEPS, THRESHOLD, UNIT = 0.85, 12, 0.5, 1_000_000_000
+DAMPING, STEPS, THRESHOLD, FLOOR, UNIT = 0.85, 12, 0.5, 0.1, 1_000_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: the host of a link to a host, in group 1
 LINK = r"""<[aA]\s[^>]*?[hH][rR][eE][fF]\s*=\s*["']?\s*(?:[hH][tT][tT][pP][sS]?:)?//([^/?#"'\s>]+)"""
@@ -70,7 +73,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.groupBy("a", "b").agg(F.count("*").alias("weight"))
 
 
-def judged(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_id", url: str = "url", html: str = "html", damping: float = DAMPING, steps: int = STEPS, threshold: float = THRESHOLD) -> DataFrame:
+def judged(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_id", url: str = "url", html: str = "html", damping: float = DAMPING, steps: int = STEPS, threshold: float = THRESHOLD, floor: float = FLOOR) -> DataFrame:
     """(id, host, path, rule, verdict, trust, distrust) of every page."""
     host, path = host_and_path(pages[url].cast("string"))
     rows = pages.select(pages[key].alias("id"), host.alias("host"), path.alias("path"), pages[html].cast("string").alias("html"))
@@ -87,11 +90,12 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_id",
     scores = cut(scores.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")))
     found = named.join(scores, "host", "left")
     trust_, distrust_ = F.coalesce("trust", F.lit(0)), F.coalesce("distrust", F.lit(0))
-    verdict = F.coalesce("says", F.when(distrust_ - trust_ > int(threshold * UNIT), "block").otherwise("allow"))
+    bad = (distrust_ >= int(floor * UNIT)) & (1000 * (distrust_ - trust_) > int(1000 * threshold) * (distrust_ + trust_))
+    verdict = F.coalesce("says", F.when(bad, "block").otherwise("allow"))
     return found.select("id", "host", "path", "rule", verdict.alias("verdict"), trust_.alias("trust"), distrust_.alias("distrust"))
 
 
-def sql(rules: list[tuple[str, str]], damping: float = DAMPING, steps: int = STEPS, threshold: float = THRESHOLD) -> str:
+def sql(rules: list[tuple[str, str]], damping: float = DAMPING, steps: int = STEPS, threshold: float = THRESHOLD, floor: float = FLOOR) -> str:
     """The same as SQL over the view ``pages``, one common table for each step."""
     link = LINK.replace("'", "''")
     fits = []
@@ -115,5 +119,7 @@ def sql(rules: list[tuple[str, str]], damping: float = DAMPING, steps: int = STE
             moved = f"select b as host, cast(floor(cast(x as double) * {damping} * weight / out_) as bigint) as x from {side}_{k} join share_{side} on host = a"
             parts.append(f"{side}_{k + 1} as (select host, cast(sum(x) as bigint) as x from (select * from {side}_0 union all {moved}) group by host having sum(x) > 0)")
     scores = f"scores as (select host, cast(sum(t) as bigint) as trust, cast(sum(d) as bigint) as distrust from (select host, x as t, 0 as d from allow_{steps} union all select host, 0, x from block_{steps}) group by host)"
-    body = f"select page_id, named.host, path, rule, coalesce(says, case when coalesce(distrust, 0) - coalesce(trust, 0) > {int(threshold * UNIT)} then 'block' else 'allow' end) as verdict, coalesce(trust, 0) as trust, coalesce(distrust, 0) as distrust from named left join scores on named.host = scores.host"
+    d, t = "coalesce(distrust, 0)", "coalesce(trust, 0)"
+    bad = f"{d} >= {int(floor * UNIT)} and 1000 * ({d} - {t}) > {int(1000 * threshold)} * ({d} + {t})"
+    body = f"select page_id, named.host, path, rule, coalesce(says, case when {bad} then 'block' else 'allow' end) as verdict, coalesce(trust, 0) as trust, coalesce(distrust, 0) as distrust from named left join scores on named.host = scores.host"
     return f"with {', '.join([*parts, scores])} {body}"

@@ -480,12 +480,16 @@ def test_url_filter(spark):
         (8, "no scheme", "<a"),
         (9, "http://bad.net/q", ""),
         (9, "http://bad.net/q", ""),
+        (10, "http://mixed.org/fr/2", link.format("bad.net") + link.format("friend.com")),
+        (11, "http://mixed.org/x", None),
     ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {x["id"]: x for x in urlfilter.judged(pages, Q.URL_RULES).collect()}
     assert {k: (v["rule"], v["verdict"]) for k, v in got.items()} == {
-        1: ("org/fr/", "allow"), 2: (None, "allow"), 3: ("net/", "block"), 4: (None, "block"), 5: ("example.net/en/", "allow"), 6: (None, "allow"), 7: (None, "allow"), 8: (None, "allow"), 9: ("net/", "block"),
+        1: ("org/fr/", "allow"), 2: (None, "allow"), 3: ("net/", "block"), 4: (None, "block"), 5: ("example.net/en/", "allow"), 6: (None, "allow"), 7: (None, "allow"), 8: (None, "allow"), 9: ("net/", "block"), 10: ("org/fr/", "allow"), 11: (None, "allow"),
     }
+    # as much trust as distrust doesn't block
+    assert got[11]["distrust"] > 0.1 * urlfilter.UNIT and got[11]["trust"] > 0
     assert got[2]["trust"] > 0 and got[4]["distrust"] > got[4]["trust"] and (got[7]["host"], got[7]["path"]) == ("", "")
     assert got[5]["host"] == "a.example.net" and got[2]["path"] == "/a"
     assert urlfilter.judged(pages.limit(0), Q.URL_RULES).count() == 0
