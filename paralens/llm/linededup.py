@@ -47,7 +47,7 @@ from .common import ship, stored, whole_groups
 
 U64 = np.uint64
 BUCKETS, CHUNK = 1 << 22, 1 << 16
-THRESHOLD, LIST_ROWS, MOST_LEVEL = 0.8, 1 << 14, 10
+THRESHOLD, LIST_ROWS, MOST_LEVEL = 0.8, 1 << 14, 11
 #: bytes of packed sets that are expanded into posts at once; bytes of posts of a shard
 FLUSH, SHARD = 4 << 20, 16 << 20
 
@@ -122,6 +122,15 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return np.array([a.nbytes for a in arrays], "<u4").tobytes() + b"".join(a.tobytes() for a in arrays)
 
 
+def _planes(values: np.ndarray) -> np.ndarray:
+    """The bytes of the values, all lowest ones first: what small values leave zero compresses away."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+
+
+def _of_planes(values: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(values.view(np.uint8).reshape(values.itemsize, -1).T).view(values.dtype).ravel()
+
+
 def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     sizes = np.frombuffer(data, "<u4", len(kinds)).tolist()
     out, at = [], 4 * len(kinds)
@@ -168,17 +177,17 @@ class Lines:
         return sums[self.first[1:]] - sums[self.first[:-1]]
 
     def sketches(self, lines: np.ndarray) -> np.ndarray:
-        """Of each given line: parities of the number of words in each of 64 * 2**level groups, end to end."""
+        """Of each given line: parities of the number of words in each of 32 * 2**level groups, end to end."""
         size = self.size[lines]
         level = sketch_level(size)
         ends = _ends(1 << level)
         own = _runs(self.first[lines], size)
         nth = np.repeat(np.arange(len(lines)), size)
         # the group's low bits are the same at every level, so a sketch folds onto a shorter one
-        group = (self.h[own] & U64((64 << MOST_LEVEL) - 1)).astype(np.int64) & ((64 << level[nth]) - 1)
-        bit = U64(1) << (group & 63).astype(U64)
-        place = ends[:-1][nth] + (group >> 6)
-        out = np.zeros(int(ends[-1]), dtype=U64)
+        group = (self.h[own] & U64((32 << MOST_LEVEL) - 1)).astype(np.int64) & ((32 << level[nth]) - 1)
+        bit = np.uint32(1) << (group & 31).astype(np.uint32)
+        place = ends[:-1][nth] + (group >> 5)
+        out = np.zeros(int(ends[-1]), dtype="<u4")
         if level.any():
             order = np.argsort(place, kind="stable")
             place, bit = place[order], bit[order]
@@ -196,9 +205,10 @@ class Lines:
         return _pack(self.key1[lines], size.astype("<u4"), self.sketches(lines), (self.h[at] >> U64(32)).astype("<u4"), parts.astype("<u4"))
 
 
-PACKED = ("<u8", "<u4", "<u8", "<u4", "<u4")
-#: key, cell of the key's list, part (-1 in a list that is not split or holds one part), k1, size, pos, sketches, words before
-POSTS = ("<u4", "<u8", "<i4", "<u8", "<u4", "<u4", "<u8", "<u4")
+PACKED = ("<u8", "<u4", "<u4", "<u4", "<u4")
+#: key, cell of the key's list, part (-1 in a list that is not split or holds one part), upper and lower bits of the set's key,
+#: size, pos, posted keys before, all by bytes, and sketches and the posted keys before
+POSTS = ("<u4", "<u8", "<i4", "<u4", "<u2", "<u4", "<u4", "<u4", "<u4", "<u4")
 
 
 def _list(key: np.ndarray, cell: np.ndarray) -> np.ndarray:
@@ -213,7 +223,12 @@ def _expanded(rows: list[bytes], threshold: float, shards: int) -> Iterator[tupl
     prefix, words = _prefix(size, threshold), 1 << sketch_level(size)
     first_key, first_word = _ends(prefix)[:-1], _ends(words)[:-1]
     at = np.flatnonzero(parts)
-    owner = np.repeat(np.arange(len(size)), prefix)[at]
+    owner = np.repeat(np.arange(len(size)), prefix)
+    # of each place of a prefix: posted keys before it; words counted once share their key with no other
+    posted, so_far = key[at], _ends(parts > 0)
+    first_posted = so_far[first_key]
+    before = so_far[:-1] - first_posted[owner]
+    owner = owner[at]
     times = parts[at].astype(np.int64)
     own = (W.mix(k1[owner] + U64(7)) % times.astype(U64)).astype(np.int64)
     # one row for each cell of the list: the pairs of the row's part with every part
@@ -230,12 +245,13 @@ def _expanded(rows: list[bytes], threshold: float, shards: int) -> Iterator[tupl
         if b > a:
             o = order[a:b]
             s = owner[o]
-            yield k, _pack(key[at[o]], cell[o], part[o].astype("<i4"), k1[s], size[s].astype("<u4"), pos[o].astype("<u4"), sketch[_runs(first_word[s], words[s])], key[_runs(first_key[s], pos[o])])
+            columns = (key[at[o]], cell[o], part[o].astype("<i4"), (k1[s] >> U64(32)).astype("<u4"), ((k1[s] >> U64(16)) & U64(0xFFFF)).astype("<u2"), size[s].astype("<u4"), pos[o].astype("<u4"), before[at[o]].astype("<u4"))
+            yield k, _pack(*map(_planes, columns), sketch[_runs(first_word[s], words[s])], posted[_runs(first_posted[s], before[at[o]])])
 
 
 def sketch_level(size: np.ndarray) -> np.ndarray:
-    """Levels grow so slowly that sets of matching sizes are one level apart at most."""
-    return np.searchsorted(80 << np.arange(MOST_LEVEL), size, "left")
+    """A sketch has about as many bits as the set has words."""
+    return np.searchsorted(40 << np.arange(MOST_LEVEL), size, "left")
 
 
 def _need(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
@@ -257,28 +273,33 @@ def _share(values: np.ndarray, a: np.ndarray, na: np.ndarray, b: np.ndarray, nb:
 
 
 def _candidates(rows: list[bytes], threshold: float) -> tuple[np.ndarray, ...]:
-    """(k1, list, pos, part) of the posts that pass all filters with another post of their list."""
-    key, cell, part, k1, size, pos, sketch, before = (np.concatenate(x) for x in zip(*(_unpack(r, *POSTS) for r in rows)))
-    lists = _list(key, cell)
-    size, pos = size.astype(np.int64), pos.astype(np.int64)
+    """(48 bits of k1, list, pos, part) of the posts that pass all filters with another post of their list."""
+    columns = list(zip(*(_unpack(r, *POSTS) for r in rows)))
+    key, cell, part, high, low, size, pos, n_before = (np.concatenate([_of_planes(x) for x in c]) for c in columns[:8])
+    sketch, before = (np.concatenate(c) for c in columns[8:])
+    k1, lists = (high.astype(U64) << U64(16)) | low, _list(key, cell)
+    size, pos, n_before = (x.astype(np.int64) for x in (size, pos, n_before))
     level = sketch_level(size)
-    begin, first = _ends(1 << level)[:-1], _ends(pos)[:-1]
-    order = np.argsort((size.astype(U64) << U64(32)) | (k1 >> U64(32)))
+    begin, first = _ends(1 << level)[:-1], _ends(n_before)[:-1]
+    order = np.argsort((size.astype(U64) << U64(48)) | k1)
     order = order[np.argsort(lists[order], kind="stable")]
     new = np.ones(len(order), dtype=bool)
-    new[1:] = (lists[order[1:]] != lists[order[:-1]]) | (k1[order[1:]] != k1[order[:-1]])
+    # equal sets: 48 bits of the key, the size and the first 32 bits of the sketch
+    new[1:] = (lists[order[1:]] != lists[order[:-1]]) | (k1[order[1:]] != k1[order[:-1]]) | (size[order[1:]] != size[order[:-1]]) | (sketch[begin[order[1:]]] != sketch[begin[order[:-1]]])
     order = order[new]
-    lists, part, k1, size, pos, level, begin, first = (x[order] for x in (lists, part, k1, size, pos, level, begin, first))
+    lists, part, k1, size, pos, level, begin, first, n_before = (x[order] for x in (lists, part, k1, size, pos, level, begin, first, n_before))
 
     def differing(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Bits in which the sketches of the rows differ, on the shorter one's level (that of i)."""
         out = np.zeros(len(i), dtype=np.int64)
         for k in np.unique(level[i]).tolist():
             some = np.flatnonzero(level[i] == k)
-            a, b, longer = begin[i[some]], begin[j[some]], level[j[some]] > k
+            a, b, further = begin[i[some]], begin[j[some]], level[j[some]] - k
             for word in range(1 << k):
                 other = sketch[b + word]
-                other = np.where(longer, other ^ sketch[np.where(longer, b + word + (1 << k), b)], other)
+                for fold in range(1, 1 << int(further.max())):
+                    longer = fold < 1 << further
+                    other = np.where(longer, other ^ sketch[np.where(longer, b + word + (fold << k), b)], other)
                 out[some] += np.bitwise_count(sketch[a + word] ^ other)
         return out
 
@@ -296,7 +317,7 @@ def _candidates(rows: list[bytes], threshold: float) -> tuple[np.ndarray, ...]:
         some = np.flatnonzero(ok)
         some = some[size[i[some]] + size[j[some]] - differing(i[some], j[some]) >= 2 * need[some]]
         a, b = i[some], j[some]
-        mine = ~_share(before, first[a], pos[a], first[b], pos[b])
+        mine = ~_share(before, first[a], n_before[a], first[b], n_before[b])
         marked[a[mine]] = marked[b[mine]] = True
         step += 1
 
@@ -438,7 +459,7 @@ def line_table(docs: DataFrame, counts, threshold: float) -> DataFrame:
 
 
 def flagged(table: DataFrame, threshold: float) -> DataFrame:
-    """(k1, list, pos, part) of the sets that pass all filters with some other set, and the lists in which they do."""
+    """(k48, list, pos, part) of the sets that pass all filters with some other set, and the lists in which they do; ``k48`` is k1's upper bits."""
     spark = table.sparkSession
     packed = table.where("line = -1").select("packed")
     size = packed.agg(F.sum(F.length("packed"))).first()[0] or 0
@@ -461,7 +482,7 @@ def flagged(table: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved() -> pa.RecordBatch:
             k1, lists, pos, part = _candidates(held, threshold)
-            return pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), pa.array(lists.view(np.int64)), pa.array(pos.astype(np.int32)), pa.array(part)], names=["k1", "list", "pos", "part"])
+            return pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), pa.array(lists.view(np.int64)), pa.array(pos.astype(np.int32)), pa.array(part)], names=["k48", "list", "pos", "part"])
 
         held: list[bytes] = []
         at = None
@@ -476,7 +497,7 @@ def flagged(table: DataFrame, threshold: float) -> DataFrame:
             yield solved()
 
     posts = packed.mapInArrow(expand, "shard int, data binary").repartition(shards, "shard").sortWithinPartitions("shard")
-    return posts.mapInArrow(run, "k1 long, list long, pos int, part int")
+    return posts.mapInArrow(run, "k48 long, list long, pos int, part int")
 
 
 def _place(k1: np.ndarray, of_id: np.ndarray, h: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -487,8 +508,8 @@ def _place(k1: np.ndarray, of_id: np.ndarray, h: np.ndarray, line: np.ndarray) -
 def decisions(docs: DataFrame, counts, table: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
     """(k1, k2, best, links): of each set with links, its first matching set's first occurrence and its links."""
     spark = docs.sparkSession
-    posts = flagged(table, threshold).groupBy("k1").agg(F.collect_list(F.struct("list", "pos", "part")).alias("posts"))
-    marks = firsts.join(posts, "k1").select("k1", "k2", "first", F.xxhash64("first.id").alias("of_id"), F.col("first.h").alias("h"), F.col("first.line").alias("line"), "posts")
+    posts = flagged(table, threshold).groupBy("k48").agg(F.collect_list(F.struct("list", "pos", "part")).alias("posts"))
+    marks = firsts.join(posts, F.shiftrightunsigned("k1", 16) == F.col("k48")).select("k1", "k2", "first", F.xxhash64("first.id").alias("of_id"), F.col("first.h").alias("h"), F.col("first.line").alias("line"), "posts")
     marks = stored(marks, "line-candidates")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
@@ -534,13 +555,6 @@ def decisions(docs: DataFrame, counts, table: DataFrame, firsts: DataFrame, thre
     return found.groupBy("k1", "k2").agg(F.min(F.struct("id", "h", "line")).alias("best"), F.sum("links").alias("links"))
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-    total = np.zeros(BUCKETS, dtype=np.int64)
-    for batch in batches:
-        total[batch.column("place").to_numpy() % BUCKETS] = 1
-    return total
-
-
 def lines_found(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, h, line, removed, class, links) of every line that repeats or matches another.
 
@@ -568,20 +582,13 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     """
     found = lines_found(docs, key, text, threshold)
     per_doc = found.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("line")))).alias("gone"), F.sum("links").alias("n_links"))
-    per_doc = stored(per_doc, "line-documents")
-    bits = _dense(per_doc.select(F.xxhash64("id", "h").alias("place")), _places, BUCKETS) > 0
-    bits = F.lit(np.packbits(bits, bitorder="little").view("<i8"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[key].alias("k"), docs[text].cast("string").alias("t"), F.xxhash64(docs[text].cast("string")).alias("th"))
-    # documents of which a bit table of fixed size says that no line was found need no join; what it lets pass too much, the join finds nothing for
-    place = F.pmod(F.xxhash64("k", "th"), F.lit(BUCKETS)).cast("int")
-    some = F.getbit(F.get(bits, F.shiftright(place, 6)), place.bitwiseAND(F.lit(63))) == 1
-    joined = rows.where(some).join(per_doc, F.col("k").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h")), "left").select("row", "t", "gone", "n_links")
-    whole = rows.where(~some).select("row", "t", F.lit(None).cast("array<int>").alias("gone"), F.lit(None).cast("long").alias("n_links"))
+    joined = rows.join(per_doc, rows["k"].eqNullSafe(per_doc["id"]) & (rows["th"] == per_doc["h"]), "left")
     gone = F.coalesce("gone", F.array().cast("array<int>"))
     lines = F.split("t", "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
     kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    return joined.unionByName(whole).select(
+    return joined.select(
         "row",
         F.when(F.size(gone) > 0, kept).otherwise(F.col("t")).alias("text"),
         F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"),
