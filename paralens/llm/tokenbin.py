@@ -55,8 +55,7 @@ class UnitEncoder:
         pre = spec.get("pre_tokenizer") or {}
         self.by_unit = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
         #: added tokens are cut out of a text before anything else, so texts that hold one are encoded whole
-        added = [t["content"] for t in spec.get("added_tokens") or [] if t["content"]]
-        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+        self.added = [t["content"] for t in spec.get("added_tokens") or [] if t["content"]]
         self.most = most
         self.first: dict[str, bytes] = {}
         #: by the unit without the space before it
@@ -96,8 +95,8 @@ class UnitEncoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if not self.by_unit:
             return self._encode(texts)
-        if self.added is not None:
-            whole = [k for k, t in enumerate(texts) if self.added.search(t)]
+        if self.added:
+            whole = [k for k, t in enumerate(texts) if any(a in t for a in self.added)]
             if whole:
                 held = set(whole)
                 rest = iter(self([t for k, t in enumerate(texts) if k not in held]))
