@@ -54,7 +54,7 @@ FIT_ROWS, BROADCAST_LABELS = 20_000, 2_000_000
 #: counted expressions of a shard; bytes of text whose expressions are dealt together; the least share of a broadcast expression
 SHARD_KEYS, SLICE, FREQUENT = 1 << 20, 1 << 23, 18
 #: bytes of text for which there is a shard; bits of the places in the bit table
-SHARD_BYTES, TABLE = 1 << 24, 27
+SHARD_BYTES, TABLE = 1 << 26, 27
 COUNTED = "shard int, codes binary, counts binary"
 PACKED = "shard int, kind int, slice long, keys binary, one binary, other binary"
 SUMS = ("n_words", "n_pairs", "words", "words4", "pairs", "pairs4")
@@ -314,7 +314,7 @@ class Model:
         for table, counts, pairs in self.tables:
             for row in self._evidence(table, counts, pairs, True).toLocalIterator():
                 keys.append(_of_ascending(row["keys"]))
-                values.append(np.frombuffer(row["one"], "<f4"))
+                values.append(_of_planes(row["one"], "<f4"))
         keys, values = np.concatenate(keys), np.concatenate(values)
         order = np.argsort(keys)
         return keys[order], values[order]
@@ -352,7 +352,7 @@ class Model:
                     codes, own = _uncounted(codes, own)
                     some = ((own[2] if len(own) > 2 else own.sum(axis=0)) >= least) == frequent
                     keys, value = keys_of(codes[some], pairs, bits), counts.evidence(own[0][some], own[1][some]).astype("<f4")
-                    yield _packed([(k, 0, 0, _ascending(keys[a:b]), value[a:b].tobytes(), b"") for k, a, b in _parts(keys, shards, bits)])
+                    yield _packed([(k, 0, 0, _ascending(keys[a:b]), _planes(value[a:b]), b"") for k, a, b in _parts(keys, shards, bits)])
 
         return table.mapInArrow(run, PACKED)
 
@@ -414,7 +414,7 @@ def _looked_up(rows: DataFrame) -> DataFrame:
                 if at != shard:
                     shard, held, keys, values = at, [], np.zeros(0, U64), np.zeros(0, "<f4")
                 if kind == 0:
-                    held.append((_of_ascending(own), np.frombuffer(one, "<f4")))
+                    held.append((_of_ascending(own), _of_planes(one, "<f4")))
                     continue
                 if kind == 2:
                     out.append((slice_, own, one, other))
@@ -437,7 +437,7 @@ def _looked_up(rows: DataFrame) -> DataFrame:
                 who, at_doc = np.unique(docs[some], return_inverse=True)
                 value, cell = value[some], 2 * at_doc + pair[some]
                 sums = [np.bincount(cell, w, 2 * len(who)).astype("<f4") for w in (value, np.maximum(value, 0) ** 4)]
-                out.append((slice_, who.astype("<u2").tobytes(), None, np.stack(sums).tobytes()))
+                out.append((slice_, _planes(np.diff(who.astype("<u2"), prepend=np.uint16(0))), None, _planes(np.stack(sums).ravel())))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["slice", "docs", "n", "sums"])
 
@@ -456,8 +456,8 @@ def _summed(parts: DataFrame) -> DataFrame:
             sums = sums.reshape(2, len(h), 2).copy()
             for d, head, x in held:
                 if head is None:
-                    who = np.frombuffer(d, "<u2")
-                    sums[:, who] += np.frombuffer(x, "<f4").reshape(2, len(who), 2)
+                    who = np.cumsum(_of_planes(d, "<u2"), dtype=np.int64)
+                    sums[:, who] += _of_planes(x, "<f4").reshape(2, len(who), 2)
             n = np.maximum(n, 1).astype(float)
             values = (n, n, sums[0, :, 0], sums[1, :, 0], sums[0, :, 1], sums[1, :, 1])
             return pa.RecordBatch.from_arrays([pa.array(h), *map(pa.array, values)], names=["h", *SUMS])

@@ -251,6 +251,66 @@ def test_quality_rules(spark):
     assert quality.assessed(documents(spark, rows).limit(0), labels).count() == 0
 
 
+def test_quality_ratio_against_brute_force(spark):
+    import math
+    import struct
+
+    def h64(data, seed=42):
+        x = xxhash.xxh64_intdigest(data, seed)
+        return x - (1 << 64) if x >> 63 else x
+
+    def grams(t, buckets):
+        h = [h64(w.encode()) for w in words(t, lower=False)]
+        pair = lambda a, b: h64(struct.pack("<q", b), h64(struct.pack("<q", a)) & (2**64 - 1))
+        return [x % buckets for x in [*h, *map(pair, h, h[1:])]]
+
+    rows = texts(14) + ODD
+    rows += rows[3:5]
+    docs = documents(spark, rows)
+    rows = [*rows, rows[-1]]  # documents() repeats a row
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(30)] + [(6, 0), (None, 1), (7, None)], "doc_id long, quality int")
+    good = {k for k in range(30) if k % 3 == 0} - {6}
+    ids = [*range(len(rows) - 1), len(rows) - 2]
+    corpus, trusted = Counter(), Counter()
+    for k, t in zip(ids, rows):
+        corpus.update(grams(t, 97))
+        if k in good:
+            trusted.update(grams(t, 97))
+    weight = [math.log(trusted[b] + 1) - math.log(trusted.total() + 97) - math.log(corpus[b] + 1) + math.log(corpus.total() + 97) for b in range(97)]
+    ratios = [sum(weight[b] for b in g) / len(g) if g else 0.0 for g in (grams(t, 97) for t in rows)]
+    least = sorted(v for v, t in zip(ratios, rows) if len(words(t)) >= 20)[10] + 1e-6
+    found = quality.assessed(docs, labels, buckets=97, threshold=least).collect()
+    assert len(found) == len(rows)
+    for x in found:
+        ratio = ratios[x["id"]]
+        assert x["ratio"] == pytest.approx(ratio, abs=1e-9) and x["kept"] == (not x["base_failed"] and ratio >= least)
+    assert any(x["kept"] for x in found) and any(not x["kept"] and not x["base_failed"] for x in found)
+
+
+def test_pipeline_toxicity_stage_rejects(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(17)
+    rows = []
+    for k in range(240):
+        w = [f"w{r.randint(0, 300)}" for _ in range(r.randint(5, 60))]
+        for _ in range(3 * (k % 5 == 0)):
+            w.insert(r.randrange(len(w)), r.choice(["vile", "awful"]))
+        rows.append(" ".join(w))
+    data = [(k, t, 0.5) for k, t in enumerate(rows)] + [(None, None, 1.0), (None, "w1 w2", 1.0), (3, rows[3], 0.5)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, toxicity_score double")
+    spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(240)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = corpus_pipeline.toxicity(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    left = [x["doc_id"] for x in kept.collect()]
+    assert sorted(k for k in left if k is not None) == sorted([k for k in range(240) if k % 5] + [3]) and left.count(None) == 2
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        again = [x["doc_id"] for x in stage(spark, docs, str(tmp_path)).collect()]
+        assert None in again and len(again) >= 230
+    assert corpus_pipeline.toxicity(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_toxicity(spark):
     r = random.Random(7)
     rows = []
@@ -295,7 +355,7 @@ def test_toxicity_keeps_rare_bigrams_of_large_corpora(spark):
     rows = toxicity._counted(W.mix(codes)[order], counts[:, order], 4)
     model = toxicity.Model(spark.createDataFrame([tuple(x.values()) for x in rows.to_pylist()], toxicity.COUNTED))
     often = dict(zip(*(x.tolist() for x in model.frequent())))
-    seldom = {int(k): float(v) for x in model.rows().collect() for k, v in zip(toxicity._of_ascending(bytes(x["keys"])), np.frombuffer(x["one"], "<f4"))}
+    seldom = {int(k): float(v) for x in model.rows().collect() for k, v in zip(toxicity._of_ascending(bytes(x["keys"])), toxicity._of_planes(bytes(x["one"]), "<f4"))}
     keys = toxicity.keys_of(W.mix(codes), True, model.bits).tolist()
     assert len(often) == 2 and len(seldom) == 4 and keys[0] in often
     assert seldom[keys[1]] > 3 and seldom[keys[2]] != 0
