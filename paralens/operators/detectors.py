@@ -7,7 +7,8 @@ detector_ord (the order in which detectors run), row_ord (order within one).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable
+from typing import Protocol
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,6 @@ from pyspark.sql.window import Window
 from ..functions import geometry as g
 from ..functions import text as tx
 from ..plans.profile import Profile
-from ..sources.tables import stored
 from . import solvers
 from .groupwise import per_group
 from .matching import PAIR
@@ -25,9 +25,8 @@ from .matching import PAIR
 ORDER = {name: k for k, name in enumerate(("page", "rasterized", "missing", "added", "alignment", "geometry", "fragmented", "invisible", "out_of_page", "overlap", "vectorized", "numbers", "untranslated", "glossary"))}
 
 
-@dataclass
-class Context:
-    """The tables of a comparison; ``source`` and ``target`` hold regions of paired pages."""
+class Context(Protocol):
+    """The tables of a comparison that detectors read; ``source`` and ``target`` hold regions of paired pages."""
 
     profile: Profile
     entries: DataFrame
@@ -37,7 +36,10 @@ class Context:
     target: DataFrame
     matches: DataFrame
     diffs: DataFrame
-    glossary: DataFrame | None = None
+    claims: DataFrame
+    vectorized: DataFrame
+    flows: tuple[DataFrame, DataFrame]
+    glossary: DataFrame | None
 
 
 def _box(p: str) -> Column:
@@ -95,10 +97,10 @@ def page_issues(c: Context) -> DataFrame:
 def rasterized(c: Context) -> DataFrame:
     """(pair, text, image) claims: transparent matched text under an unmatched image, with what an issue needs."""
     p = c.profile
-    text = c.diffs.where(g.is_text("s_type") & g.is_text("t_type") & (F.col("t_opacity") <= p.t("invisible_opacity")))
+    text = c.diffs.where(g.is_text("s_type") & g.is_text("t_type") & (F.col("t_opacity") <= p.t("invisible_opacity_threshold")))
     images = c.target.where("t_type = 'image'").join(c.matches, [*PAIR, "t_region_id"], "left_anti")
     images = images.select(*PAIR, *[F.col(f"t_{k}").alias(f"i_{k}") for k in ("region_id", "region_ord", "x", "y", "width", "height")])
-    near = text.join(images, PAIR).withColumn("overlap", g.intersection_ratio("t_", "i_")).where(F.col("overlap") >= p.t("rasterized_overlap"))
+    near = text.join(images, PAIR).withColumn("overlap", g.intersection_ratio("t_", "i_")).where(F.col("overlap") >= p.t("rasterized_image_overlap_ratio"))
 
     def solve(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         kept = solvers.claim([((-o, t, i), t, i) for o, t, i in zip(rows["overlap"], rows["t_region_id"], rows["i_region_id"])])
@@ -144,7 +146,7 @@ def added_issues(c: Context, claims: DataFrame) -> DataFrame:
 
 def text_flows(regions: DataFrame, p: str, profile: Profile) -> DataFrame:
     """(pair_id, report_page, {p}region_ord, flow): text lines chained into flows, for one side."""
-    ratios = [profile.t(k) for k in ("flow_gap", "flow_back", "flow_overlap", "flow_font")]
+    ratios = [profile.t(k) for k in ("alignment_line_gap_ratio", "flow_back", "alignment_horizontal_overlap_ratio", "alignment_font_size_tolerance_ratio")]
 
     def solve(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         flow = solvers.flows(*[rows[f"{p}{k}"] for k in ("x", "y", "width", "height", "type", "font_size")], *ratios)
@@ -173,7 +175,7 @@ def flow_alignment(regions: DataFrame, flow: DataFrame, p: str, page_width: str,
     )
     order = F.array_sort(F.array(*[F.struct(F.col(k).alias("spread"), F.lit(k).alias("name")) for k in edges]))
     found = found.withColumns({"best": F.get(order, 0), "confidence": F.get(order, 1)["spread"] - F.get(order, 0)["spread"]})
-    sure = (F.col("lines") >= profile.t("flow_lines")) & (F.col("best.spread") <= profile.t("flow_edge")) & (F.col("confidence") >= profile.t("flow_margin"))
+    sure = (F.col("lines") >= profile.t("alignment_min_lines")) & (F.col("best.spread") <= profile.t("alignment_edge_tolerance_ratio")) & (F.col("confidence") >= profile.t("alignment_confidence_margin"))
     return found.withColumn("alignment", F.when(sure, F.col("best.name"))).drop("best")
 
 
@@ -186,7 +188,7 @@ def alignment(c: Context) -> tuple[DataFrame, DataFrame]:
     lines = lines.join(sf.withColumnRenamed("flow", "s_flow"), [*PAIR, "s_region_ord"]).join(tf.withColumnRenamed("flow", "t_flow"), [*PAIR, "t_region_ord"])
     votes = lines.groupBy(*PAIR, "s_flow", "t_flow").agg(F.count("*").alias("votes"), F.first("t_page").alias("t_page"))
     votes = votes.withColumn("ratio", F.col("votes") / F.sum("votes").over(Window.partitionBy(*PAIR, "s_flow")))
-    least = p.t("flow_match")
+    least = p.t("alignment_group_match_ratio")
 
     def solve(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         some = np.flatnonzero(rows["ratio"] >= least)
@@ -223,9 +225,9 @@ def alignment(c: Context) -> tuple[DataFrame, DataFrame]:
 def label_width(p: Profile) -> Column:
     """A short label whose width alone follows the language."""
     chars = lambda q: F.length(F.regexp_replace(F.coalesce(f"{q}text", F.lit("")), r"(?U)\s", ""))
-    same_font = F.col("font_change").isNull() | (F.abs("font_change") <= p.t("label_font"))
-    short = (chars("s_") <= p.t("label_chars")) & (chars("t_") <= p.t("label_chars"))
-    return g.is_text("s_type") & g.is_text("t_type") & short & (F.abs("dh") <= p.t("label_height")) & same_font & (F.abs("dw") > F.abs("dh"))
+    same_font = F.col("font_change").isNull() | (F.abs("font_change") <= p.t("text_resize_font_tolerance_ratio"))
+    short = (chars("s_") <= p.t("text_label_max_chars")) & (chars("t_") <= p.t("text_label_max_chars"))
+    return g.is_text("s_type") & g.is_text("t_type") & short & (F.abs("dh") <= p.t("text_resize_height_tolerance_ratio")) & same_font & (F.abs("dw") > F.abs("dh"))
 
 
 def geometry_issues(c: Context, explained: DataFrame | None) -> DataFrame:
@@ -240,20 +242,20 @@ def geometry_issues(c: Context, explained: DataFrame | None) -> DataFrame:
     ids = {"source": F.col("s_region_id"), "target": F.col("t_region_id"), "box": "t_"}
     place = lambda k: F.col("s_region_ord") * 4 + k
     out = []
-    if p.on("shifted"):
+    if p.on("region_shifted"):
         size = F.greatest(F.abs("dx"), F.abs("dy"))
-        hit = rows.where((size > p.t("shift")) & ~F.col("known"))
-        out.append(_issues(hit, "geometry", "region_shifted", F.when(size > p.t("severe_shift"), "high").otherwise("medium"), _id("p", F.col("t_page"), "-shift-", F.col("t_region_id")), {"x_shift_ratio": F.col("dx"), "y_shift_ratio": F.col("dy")} | both, row_ord=place(0), **ids))
-    if p.on("shrink"):
-        hit = rows.where(F.col("font_change") < p.t("font_shrink"))
-        out.append(_issues(hit, "geometry", "font_shrink", p.band("shrink", F.abs("font_change")), _id("p", F.col("t_page"), "-font-", F.col("t_region_id")), {"font_size_change_ratio": F.col("font_change")} | both, row_ord=place(1), **ids))
+        hit = rows.where((size > p.t("shifted_ratio")) & ~F.col("known"))
+        out.append(_issues(hit, "geometry", "region_shifted", F.when(size > p.t("severely_shifted_ratio"), "high").otherwise("medium"), _id("p", F.col("t_page"), "-shift-", F.col("t_region_id")), {"x_shift_ratio": F.col("dx"), "y_shift_ratio": F.col("dy")} | both, row_ord=place(0), **ids))
+    if p.on("font_shrink"):
+        hit = rows.where(F.col("font_change") < p.t("font_shrink_ratio"))
+        out.append(_issues(hit, "geometry", "font_shrink", p.band("font_shrink_bands", F.abs("font_change")), _id("p", F.col("t_page"), "-font-", F.col("t_region_id")), {"font_size_change_ratio": F.col("font_change")} | both, row_ord=place(1), **ids))
     if p.on("font_grow"):
-        hit = rows.where(F.col("font_change") > p.t("font_grow"))
+        hit = rows.where(F.col("font_change") > p.t("font_grow_ratio"))
         out.append(_issues(hit, "geometry", "typography_changed", "medium", _id("p", F.col("t_page"), "-fontgrow-", F.col("t_region_id")), {"font_size_change_ratio": F.col("font_change")} | both, row_ord=place(2), **ids))
-    if p.on("resized"):
+    if p.on("region_resized"):
         size = F.greatest(F.abs("dw"), F.abs("dh"))
-        hit = rows.where((size > p.t("resize")) & ~F.col("known") & ~label_width(p))
-        out.append(_issues(hit, "geometry", "region_resized", p.band("resize", size), _id("p", F.col("t_page"), "-resize-", F.col("t_region_id")), {"width_change_ratio": F.col("dw"), "height_change_ratio": F.col("dh"), "resize_magnitude": size} | both, row_ord=place(3), **ids))
+        hit = rows.where((size > p.t("region_resize_ratio")) & ~F.col("known") & ~label_width(p))
+        out.append(_issues(hit, "geometry", "region_resized", p.band("region_resize_bands", size), _id("p", F.col("t_page"), "-resize-", F.col("t_region_id")), {"width_change_ratio": F.col("dw"), "height_change_ratio": F.col("dh"), "resize_magnitude": size} | both, row_ord=place(3), **ids))
     return _union(out)
 
 
@@ -267,7 +269,7 @@ def fragmented_issues(c: Context) -> DataFrame:
     """Narrow target text of one to three letters."""
     p = c.profile
     letters = F.regexp_count("t_text", F.lit(r"\p{L}"))
-    hit = _with_source(c).where(g.is_text("t_type") & (F.col("t_width") <= p.t("fragment_width"))).withColumn("letters", letters).where(F.col("letters").between(1, p.t("fragment_letters")))
+    hit = _with_source(c).where(g.is_text("t_type") & (F.col("t_width") <= p.t("fragment_max_width"))).withColumn("letters", letters).where(F.col("letters").between(1, p.t("fragment_max_letters")))
     metrics = {"text": F.col("t_text"), "source_text": F.col("s_text"), "target_text": F.col("t_text"), "bbox_width": F.col("t_width"), "letter_count": F.col("letters"), "target_bbox": _box("t_")}
     return _issues(hit, "fragmented", "text_fragmented", "medium", _id("p", F.col("t_page"), "-frag-", F.col("t_region_id")), metrics, source=F.col("s_region_id"), target=F.col("t_region_id"), box="t_", row_ord=F.col("t_region_ord"))
 
@@ -277,8 +279,8 @@ def invisible_issues(c: Context, claims: DataFrame) -> DataFrame:
     p = c.profile
     paper = c.pages.where("side = 'target'").select("pair_id", F.col("page").alias("t_page"), "background_color", "dark_boxes")
     rows = _with_source(c).where(g.is_text("t_type")).join(claims.select(*PAIR, "t_region_id"), [*PAIR, "t_region_id"], "left_anti").join(paper, ["pair_id", "t_page"])
-    transparent = F.coalesce(F.col("t_opacity") <= p.t("invisible_opacity"), F.lit(False))
-    light = p.t("light_channel")
+    transparent = F.coalesce(F.col("t_opacity") <= p.t("invisible_opacity_threshold"), F.lit(False))
+    light = p.t("invisible_color_threshold")
 
     def covers(b: Column) -> Column:
         wide = F.greatest(F.lit(0.0), F.least(g.right("t_"), b["x"] + b["width"]) - F.greatest(F.col("t_x"), b["x"]))
@@ -314,7 +316,7 @@ def overlap_pairs(target: DataFrame, profile: Profile) -> DataFrame:
     first = target.select(*PAIR, "t_page", "tp_width", "tp_height", *[f"t_{k}" for k in columns])
     second = target.select(*PAIR, *[F.col(f"t_{k}").alias(f"o_{k}") for k in columns])
     meet = (F.col("t_region_ord") < F.col("o_region_ord")) & (F.col("t_y") < g.bottom("o_")) & (F.col("o_y") < g.bottom("t_"))
-    rows = first.join(second, PAIR).where(meet).withColumn("ratio", g.intersection_ratio("t_", "o_")).where(F.col("ratio") > profile.t("overlap"))
+    rows = first.join(second, PAIR).where(meet).withColumn("ratio", g.intersection_ratio("t_", "o_")).where(F.col("ratio") > profile.t("overlap_ratio"))
     with_image = (g.is_text("t_type") & (F.col("o_type") == "image")) | (g.is_text("o_type") & (F.col("t_type") == "image"))
     return rows.withColumn("with_image", with_image).where(F.col("with_image") | (g.is_text("t_type") & g.is_text("o_type")))
 
@@ -335,8 +337,8 @@ def overlap_issues(c: Context, claims: DataFrame) -> DataFrame:
     text_area = F.when(text_first, g.area("t_")).otherwise(g.area("o_"))
     inside = F.when(text_first, g.center_inside("t_", "o_")).otherwise(g.center_inside("o_", "t_"))
     was_inside = F.coalesce(F.when(text_first, g.center_inside("a_", "b_")).otherwise(g.center_inside("b_", "a_")), F.lit(False))
-    image_ok = (text_area / (F.col("tp_width") * F.col("tp_height")) > p.t("caption_area")) & inside & ~was_inside
-    rows = rows.withColumn("before", before).where((~F.col("with_image") | image_ok) & (F.col("ratio") - F.col("before") > p.t("overlap_increase")))
+    image_ok = (text_area / (F.col("tp_width") * F.col("tp_height")) > p.t("image_caption_area_ratio")) & inside & ~was_inside
+    rows = rows.withColumn("before", before).where((~F.col("with_image") | image_ok) & (F.col("ratio") - F.col("before") > p.t("overlap_increase_ratio")))
     metrics = {
         "overlap_ratio": F.col("ratio"),
         "source_overlap_ratio": F.col("before"),
@@ -361,7 +363,7 @@ def vectorized_pages(c: Context) -> DataFrame:
     t = c.target.groupBy(*PAIR).agg(F.sum(F.length(F.coalesce("t_text", F.lit("")))).alias("target_chars"))
     pages = c.entries.where("kind = 'pair'").select(*PAIR, "t_page")
     both = pages.join(s, PAIR).join(t, PAIR, "left").withColumn("target_chars", F.coalesce("target_chars", F.lit(0)))
-    return both.where((F.col("source_chars") >= p.t("vectorized_source_chars")) & (F.col("target_chars") <= F.col("source_chars") * p.t("vectorized_target_part")))
+    return both.where((F.col("source_chars") >= p.t("vectorized_min_source_chars")) & (F.col("target_chars") <= F.col("source_chars") * p.t("vectorized_max_target_ratio")))
 
 
 def vectorized_issues(pages: DataFrame) -> DataFrame:
@@ -408,7 +410,7 @@ def number_issues(c: Context) -> DataFrame:
     rows = rows.join(place, [*PAIR, "t_region_id"], "left").join(c.entries.select(*PAIR, "t_page", F.col("kind")).where("kind = 'pair'").drop("kind"), PAIR)
     n = F.size("missing") + F.size("extra")
     metrics = {"source_numbers": F.col("in_source"), "target_numbers": F.col("in_target"), "missing_numbers": F.col("missing"), "extra_numbers": F.col("extra"), "diff_count": n, "target_text": F.col("t_text")}
-    return _issues(rows, "numbers", "number_mismatch", c.profile.band("numbers", n), _id("p", F.col("t_page"), "-numbers"), metrics, source=F.col("missing_anchor"), target=F.col("t_region_id"), box="t_")
+    return _issues(rows, "numbers", "number_mismatch", c.profile.band("number_mismatch_bands", n), _id("p", F.col("t_page"), "-numbers"), metrics, source=F.col("missing_anchor"), target=F.col("t_region_id"), box="t_")
 
 
 def untranslated_issues(c: Context) -> DataFrame:
@@ -418,24 +420,28 @@ def untranslated_issues(c: Context) -> DataFrame:
     rows = c.diffs.where(g.is_text("t_type") & (F.coalesce("t_text", F.lit("")) != "")).join(scripts, PAIR)
     letters = tx.letters(F.col("t_text"))
     rows = rows.withColumns({"letters": letters, "rest": tx.letters(tx.without_acronyms(F.col("t_text"))), "own": tx.script_letters(F.col("t_text"), F.col("s_script"))})
-    least, part = F.lit(p.t("untranslated_letters")), F.lit(p.t("untranslated"))
+    least, part = F.lit(p.t("untranslated_min_letters")), F.lit(p.t("untranslated_ratio"))
     for language, thresholds in p.language_thresholds.items():
-        least, part = F.when(F.col("language") == language, thresholds["untranslated_letters"]).otherwise(least), F.when(F.col("language") == language, thresholds["untranslated"]).otherwise(part)
+        least, part = F.when(F.col("language") == language, thresholds["untranslated_min_letters"]).otherwise(least), F.when(F.col("language") == language, thresholds["untranslated_ratio"]).otherwise(part)
     rows = rows.where((F.col("letters") >= least) & (F.col("rest") >= least)).withColumn("ratio", F.col("own") / F.col("letters")).where(F.col("ratio") >= part)
     metrics = {"source_script": F.col("s_script"), "source_language_ratio": F.round("ratio", 3), "threshold": part, "sample": F.substring("t_text", 1, 60)} | evidence(True, True, True)
-    return _issues(rows, "untranslated", "untranslated_text", p.band("untranslated", F.col("ratio")), _id("p", F.col("t_page"), "-untranslated-", F.col("t_region_id")), metrics, source=F.col("s_region_id"), target=F.col("t_region_id"), box="t_", row_ord=F.col("s_region_ord"))
+    return _issues(rows, "untranslated", "untranslated_text", p.band("untranslated_bands", F.col("ratio")), _id("p", F.col("t_page"), "-untranslated-", F.col("t_region_id")), metrics, source=F.col("s_region_id"), target=F.col("t_region_id"), box="t_", row_ord=F.col("s_region_ord"))
 
 
 def glossary_issues(c: Context) -> DataFrame:
     """Matched regions whose source has a term and whose target none of its translations.
 
     ``glossary``: glossary_id, version, term_ord, term, translations, note, case_sensitive.
-    Glossaries of up to 100,000 entries are broadcast; larger ones are left to Spark's planner.
+    A term with a Latin letter stands in a text as whole words, so its first run of word
+    characters is one of the text's; any other term is found through its first character.
+    Regions meet terms by that key, and the whole term is looked for in what meets.
     """
-    terms = c.glossary.select(*[F.col(k).alias(f"g_{k}") for k in ("glossary_id", "version", "term_ord", "term", "translations", "note", "case_sensitive")])
-    if terms.limit(100_001).count() <= 100_000:
-        terms = F.broadcast(terms)
-    rows = c.diffs.where("s_text <> '' and t_text <> ''").join(terms, tx.term_hit(F.col("s_text"), F.col("g_term"), F.col("g_case_sensitive")))
+    word = r"[\p{L}\p{M}\p{N}_]+"
+    key = lambda term: F.when(term.rlike("[A-Za-z]") & term.rlike(word), F.lower(F.regexp_extract(term, word, 0))).otherwise(F.substring(term, 1, 1))
+    terms = c.glossary.where("term <> ''").select(*[F.col(k).alias(f"g_{k}") for k in ("glossary_id", "version", "term_ord", "term", "translations", "note", "case_sensitive")]).withColumn("key", key(F.col("g_term")))
+    texts = c.diffs.where("s_text <> '' and t_text <> ''")
+    keys = F.array_distinct(F.concat(F.transform(F.regexp_extract_all("s_text", F.lit(word), F.lit(0)), F.lower), F.split("s_text", "")))
+    rows = texts.withColumn("key", F.explode(keys)).join(terms, "key").drop("key").where(tx.term_hit(F.col("s_text"), F.col("g_term"), F.col("g_case_sensitive")))
     rows = rows.where(~F.exists("g_translations", lambda x: tx.term_hit(F.col("t_text"), x, F.col("g_case_sensitive"))))
     metrics = {"term": F.col("g_term"), "allowed_translations": F.col("g_translations"), "note": F.col("g_note"), "glossary_reference": F.concat_ws("@", "g_glossary_id", "g_version")} | evidence(True, True)
     return _issues(rows, "glossary", "glossary_violation", "high", _id("p", F.col("t_page"), "-glossary-", F.col("t_region_id"), "-", F.substring("g_term", 1, 20)), metrics, source=F.col("s_region_id"), target=F.col("t_region_id"), box="t_", row_ord=F.col("s_region_ord") * 1_000_000 + F.col("g_term_ord"))
@@ -449,29 +455,41 @@ def _union(parts: list[DataFrame]) -> DataFrame | None:
     return out
 
 
-def all_issues(c: Context) -> DataFrame:
-    """Every detector that is on, with what one's findings take from another's."""
-    p = c.profile
-    claims = stored(rasterized(c), "claims")
-    parts = [page_issues(c)]
-    if p.on("rasterized"):
-        parts.append(rasterized_issues(c, claims))
-    vectorized = stored(vectorized_pages(c), "vectorized")
-    if p.on("missing"):
-        lost = missing_issues(c).join(vectorized.select(*PAIR, F.lit("missing_element").alias("type")), [*PAIR, "type"], "left_anti")
-        parts += [lost, added_issues(c, claims)]
-    explained = None
-    if p.on("alignment"):
-        changed, explained = alignment(c)
-        explained = stored(explained, "explained")
-        parts.append(stored(changed, "flow-issues"))
-    parts.append(geometry_issues(c, explained))
-    for toggle, make in (("fragmented", lambda: fragmented_issues(c)), ("invisible", lambda: invisible_issues(c, claims)), ("out_of_page", lambda: out_of_page_issues(c)), ("overlap", lambda: overlap_issues(c, claims))):
-        if p.on(toggle):
-            parts.append(make())
-    parts.append(vectorized_issues(vectorized))
-    content = [number_issues(c) if p.on("numbers") else None, untranslated_issues(c) if p.on("untranslated") else None, glossary_issues(c) if c.glossary is not None else None]
-    inner = _union(content)
-    if inner is not None:
-        parts.append(inner.join(vectorized.select(*PAIR), PAIR, "left_anti"))
+def _geometry(c: Context) -> DataFrame | None:
+    return geometry_issues(c, c.flows[1] if c.profile.on("text_alignment_changed") else None)
+
+
+def _lost(c: Context) -> DataFrame:
+    """Missing regions; text of vectorized pages is not missing."""
+    return missing_issues(c).join(c.vectorized.select(*PAIR, F.lit("missing_element").alias("type")), [*PAIR, "type"], "left_anti")
+
+
+def _content(make: Callable[[Context], DataFrame]) -> Callable[[Context], DataFrame]:
+    """Content detectors leave vectorized pages alone."""
+    return lambda c: make(c).join(c.vectorized.select(*PAIR), PAIR, "left_anti")
+
+
+#: every detector with its switch (none: always on), the types it can raise, and what makes its issues
+DETECTORS: tuple[tuple[str | None, tuple[str, ...], Callable[[Context], DataFrame | None]], ...] = (
+    (None, ("page_missing", "added_element"), page_issues),
+    ("text_rasterized", ("text_rasterized",), lambda c: rasterized_issues(c, c.claims)),
+    ("missing_element", ("missing_image", "missing_element"), _lost),
+    ("missing_element", ("added_element",), lambda c: added_issues(c, c.claims)),
+    ("text_alignment_changed", ("text_alignment_changed",), lambda c: c.flows[0]),
+    (None, ("region_shifted", "font_shrink", "typography_changed", "region_resized"), _geometry),
+    ("text_fragmented", ("text_fragmented",), fragmented_issues),
+    ("invisible_text", ("invisible_text",), lambda c: invisible_issues(c, c.claims)),
+    ("content_out_of_page", ("content_out_of_page",), out_of_page_issues),
+    ("overlap", ("text_overlap", "text_image_overlap"), lambda c: overlap_issues(c, c.claims)),
+    (None, ("text_vectorized",), lambda c: vectorized_issues(c.vectorized)),
+    ("number_mismatch", ("number_mismatch",), _content(number_issues)),
+    ("untranslated_text", ("untranslated_text",), _content(untranslated_issues)),
+    (None, ("glossary_violation",), lambda c: _content(glossary_issues)(c) if c.glossary is not None else None),
+)
+
+
+def issues(c: Context, types: Iterable[str] = ()) -> DataFrame:
+    """The issues of every detector that is on, or of those only that can raise one of the types."""
+    wanted = set(types)
+    parts = [make(c) for toggle, raised, make in DETECTORS if (toggle is None or c.profile.on(toggle)) and (not wanted or wanted & set(raised))]
     return _union(parts)

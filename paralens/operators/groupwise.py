@@ -55,13 +55,16 @@ def per_group(df: DataFrame, keys: list[str], order: list[str], solve: Callable[
             for k in keys:
                 differs[1:] |= columns[k][1:] != columns[k][:-1]
             marks = np.flatnonzero(differs)
-            out = []
-            for lo, hi in zip(marks, [*marks[1:], len(table)]):
-                found = solve({c: v[lo:hi] for c, v in columns.items()})
-                n = len(next(iter(found.values()))) if found else 0
+            found, sizes, at = [], [], []
+            for lo, hi in zip(marks.tolist(), [*marks[1:].tolist(), len(table)]):
+                own = solve({c: v[lo:hi] for c, v in columns.items()})
+                n = len(next(iter(own.values()))) if own else 0
                 if n:
-                    out.append(pd.DataFrame({**{k: np.full(n, columns[k][lo]) for k in keys}, **found}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                    found.append(own)
+                    sizes.append(n)
+                    at.append(lo)
+            if found:
+                # one frame for the batch, with each group's keys repeated
+                yield pd.DataFrame({**{k: np.repeat(columns[k][at], sizes) for k in keys}, **{c: np.concatenate([f[c] for f in found]) for c in found[0]}})
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

@@ -49,19 +49,32 @@ def scores(source: DataFrame, target: DataFrame, profile: Profile) -> DataFrame:
     return joined.withColumn("score", total)
 
 
-def matched(scored: DataFrame, profile: Profile) -> DataFrame:
-    """The rows of ``scores`` that the best one-to-one assignment keeps, at least at the minimum score."""
+def matched(source: DataFrame, target: DataFrame, profile: Profile) -> DataFrame:
+    """The rows of ``scores`` that the best one-to-one assignment keeps, at least at the minimum score.
+
+    Both sides of a page pair meet in one pass, which scores and assigns them.
+    """
+    columns = ["n", "region_ord", "region_id", "type", "x", "y", "width", "height"]
+    sizes = ["sp_width", "sp_height", "tp_width", "tp_height"]
+    sides = [rows.select(*PAIR, F.lit(k).alias("side"), *sizes, *[F.col(p + c).alias(c) for c in columns]) for k, (rows, p) in enumerate(((source, "s_"), (target, "t_")))]
+    both = sides[0].unionByName(sides[1])
+    weights, least, text_types = (profile.position, profile.size, profile.type, profile.order), profile.minimum_score, profile.text_types
+
     def solve(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        s, t = rows["s_region_ord"].astype(np.int64), rows["t_region_ord"].astype(np.int64)
-        matrix = np.zeros((s.max() + 1, t.max() + 1))
-        matrix[s, t] = rows["score"]
-        pairs = solvers.assign(matrix)
-        return {"s_region_ord": np.array([a for a, _ in pairs], dtype=np.int32), "t_region_ord": np.array([b for _, b in pairs], dtype=np.int32)}
-
-    types = dict(scored.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in [*PAIR, "s_region_ord", "t_region_ord"])
-    chosen = per_group(scored.select(*PAIR, "s_region_ord", "t_region_ord", "score"), PAIR, ["s_region_ord", "t_region_ord"], solve, schema)
-    return scored.join(chosen, [*PAIR, "s_region_ord", "t_region_ord"]).where(F.col("score") >= profile.minimum_score)
+        n = int((rows["side"] == 0).sum())
+        s, t = ({c: v[part] for c, v in rows.items()} for part in (slice(0, n), slice(n, None)))
+        if not n or n == len(rows["side"]):
+            return {}
+        parts = solvers.similarities(s, t, text_types)
+        total = sum((w * p for w, p in zip(weights[1:], parts[1:])), weights[0] * parts[0])
+        pairs = np.array([p for p in solvers.assign(total) if total[p] >= least], dtype=np.int64).reshape(-1, 2)
+        i, j = pairs[:, 0], pairs[:, 1]
+        ids = {"s_region_ord": s["region_ord"][i], "t_region_ord": t["region_ord"][j], "s_region_id": s["region_id"][i], "t_region_id": t["region_id"][j]}
+        return ids | {name: p[i, j] for name, p in zip(("position", "size", "type", "order", "score"), (*parts, total))}
+
+    types = dict(both.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in PAIR) + f", s_region_ord {types['region_ord']}, t_region_ord {types['region_ord']}, s_region_id string, t_region_id string, position double, size double, type double, `order` double, score double"
+    return per_group(both, PAIR, ["side", "region_ord"], solve, schema)
 
 
 def unmatched(source: DataFrame, target: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -31,7 +31,12 @@ def page_results(entries: DataFrame, issues: DataFrame, profile: Profile) -> Dat
     rows = entries.select(*PAGE).join(per_page, PAGE, "left").na.fill(0, ["off", "n", "critical", "high"])
     score = F.greatest(F.lit(0.0), 100 - F.col("off"))
     rows = rows.withColumn("score", score)
-    status = F.when((F.col("critical") == 1) | (F.col("score") < profile.fail_score), "fail").when((F.col("high") == 1) | (F.col("score") < profile.pass_score), "review").otherwise("pass")
+    failed, doubtful = F.col("score") < profile.fail_score, F.col("score") < profile.pass_score
+    if profile.critical_forces_fail:
+        failed = failed | (F.col("critical") == 1)
+    if profile.high_forces_review:
+        doubtful = doubtful | (F.col("high") == 1)
+    status = F.when(failed, "fail").when(doubtful, "review").otherwise("pass")
     return rows.select(*PAGE, F.col("n").alias("issue_count"), "score", status.alias("status"))
 
 

@@ -157,3 +157,48 @@ def top_issues(issues: DataFrame, n: int) -> DataFrame:
     """The first n issues of each pair in report order."""
     order = Window.partitionBy("pair_id").orderBy("report_page", "detector_ord", "row_ord", "issue_id")
     return issues.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+
+
+def page_of(rows: DataFrame, order: list, number: int, size: int) -> DataFrame:
+    """Page ``number`` (from 1) of a list with ``size`` rows a page."""
+    return rows.orderBy(*order).offset((number - 1) * size).limit(size)
+
+
+def put_glossary(versions: DataFrame, new: DataFrame, now: int) -> DataFrame:
+    """Glossary versions with new ones; one that is there is overwritten but keeps its status and creation time."""
+    keys = ["glossary_id", "version"]
+    kept = versions.select(*keys, F.col("status").alias("_status"), F.col("created_at").alias("_created"))
+    fresh = new.join(kept, keys, "left").withColumns({"status": F.coalesce("_status", F.lit("active")), "created_at": F.coalesce("_created", F.lit(now).cast("long")), "updated_at": F.lit(now).cast("long")}).drop("_status", "_created")
+    return versions.join(new.select(*keys), keys, "left_anti").unionByName(fresh)
+
+
+def archive_glossary(versions: DataFrame, which: DataFrame, now: int) -> DataFrame:
+    """The active ones of the named versions are archived; references to them still load."""
+    keys = ["glossary_id", "version"]
+    marked = versions.join(which.select(*keys).distinct().withColumn("_hit", F.lit(True)), keys, "left")
+    hit = F.coalesce("_hit", F.lit(False)) & (F.col("status") == "active")
+    return marked.withColumns({"updated_at": F.when(hit, F.lit(now).cast("long")).otherwise(F.col("updated_at")), "status": F.when(hit, "archived").otherwise(F.col("status"))}).drop("_hit")
+
+
+def archive_samples(samples: DataFrame, which: DataFrame) -> DataFrame:
+    """The named samples are archived, but for built-in ones, which are read-only."""
+    marked = samples.join(which.select("sample_id").distinct().withColumn("_hit", F.lit(True)), "sample_id", "left")
+    hit = F.coalesce("_hit", F.lit(False)) & (F.col("origin") != "builtin")
+    return marked.withColumn("status", F.when(hit, "archived").otherwise(F.col("status"))).drop("_hit")
+
+
+#: what the tables of the store hold
+DESCRIPTIONS = {
+    "files": {"file_id": "digest of the content", "text": "content", "first_doc": "smallest document with the content"},
+    "records": {"record_id": "comparison", "source_file_id": "source content", "target_file_id": "target content", "status": "verdict", "score_milli": "score in thousandths", "created_at": "place in time"},
+    "samples": {"sample_id": "sample", "source_file_id": "source content", "target_file_id": "target content", "status": "active or archived", "updated_at": "last change", "name": "unique whatever its case"},
+    "decisions": {"pair_id": "comparison", "issue_id": "issue", "decision": "what the reviewer says", "reviewed_at": "place in time"},
+    "profiles": {"profile_id": "profile family", "version": "version", "status": "draft, published or archived"},
+    "glossaries": {"glossary_id": "glossary family", "version": "version", "name": "name", "entry_count": "number of terms", "status": "active or archived", "created_at": "first save", "updated_at": "last change"},
+}
+
+
+def schema_descriptions(spark) -> DataFrame:
+    """The data dictionary: (table_name, column_name, description), by table and column."""
+    rows = [(t, c, d) for t, columns in DESCRIPTIONS.items() for c, d in columns.items()]
+    return spark.createDataFrame(rows, "table_name string, column_name string, description string").orderBy("table_name", "column_name")

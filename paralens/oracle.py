@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from .functions.text import DIGITS_FROM, DIGITS_TO
 from .plans.profile import CAPS, DEDUCTIONS
+from .operators.store import DESCRIPTIONS
 from .sources.fixtures import CJK, LATIN
 
 _NUMBER = r"\d+(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
@@ -90,28 +91,28 @@ CTES = {
     "nums": f"select pair_id, report_page, side, region_ord, region_id, unnest({_NUMBERS}) as number from (select * from sr union all select * from tr)",
     "bag": "select pair_id, report_page, number, count(*) filter (where side = 'source') as a, count(*) filter (where side = 'target') as b from nums group by all",
     "numbers": "select pair_id, report_page, sum(greatest(0, a - b)) as missing, sum(greatest(0, b - a)) as extra from bag group by all having sum(abs(a - b)) > 0",
-    "issues": f"""select pair_id, report_page, report_page as page, 'p' || report_page || '-missing-page' as issue_id, 'page_missing' as type, 'critical' as severity, null as s_id, null as t_id, 'missing' as kind from entries where kind = 'missing'
-        union all select pair_id, report_page, report_page, 'p' || report_page || '-extra-page', 'added_element', 'high', null, null, 'extra' from entries where kind = 'extra'
-        union all select pair_id, report_page, page, 'p' || page || '-missing-' || region_id, case when type = 'image' then 'missing_image' else 'missing_element' end, case when type = 'image' then 'critical' else 'high' end, region_id, null, 'pair' from alone_s s
+    "issues": f"""select pair_id, report_page, report_page as page, 'p' || report_page || '-missing-page' as issue_id, 'page_missing' as type, 'critical' as severity, null as s_id, null as t_id, 'missing' as kind, 0 as det, 0 as ro from entries where kind = 'missing'
+        union all select pair_id, report_page, report_page, 'p' || report_page || '-extra-page', 'added_element', 'high', null, null, 'extra', 0, 0 from entries where kind = 'extra'
+        union all select pair_id, report_page, page, 'p' || page || '-missing-' || region_id, case when type = 'image' then 'missing_image' else 'missing_element' end, case when type = 'image' then 'critical' else 'high' end, region_id, null, 'pair', 2, region_ord from alone_s s
             where not (type <> 'image' and exists (select 1 from tr o where o.pair_id = s.pair_id and o.report_page = s.report_page and o.type in {_TEXTS} and {_overlap('s', 'o')} >= 0.4)) and not (type <> 'image' and exists (select 1 from vec v where v.pair_id = s.pair_id and v.report_page = s.report_page))
-        union all select pair_id, report_page, page, 'p' || page || '-added-' || region_id, 'added_element', 'low', null, region_id, 'pair' from alone_t
-        union all select pair_id, report_page, t_page, 'p' || t_page || '-shift-' || t_id, 'region_shifted', case when greatest(abs(dx), abs(dy)) > 0.15 then 'high' else 'medium' end, s_id, t_id, 'pair' from d where greatest(abs(dx), abs(dy)) > 0.05
-        union all select pair_id, report_page, t_page, 'p' || t_page || '-font-' || t_id, 'font_shrink', case when abs(fc) >= 0.4 then 'high' when abs(fc) >= 0.2 then 'medium' else 'high' end, s_id, t_id, 'pair' from d where fc < -0.2
-        union all select pair_id, report_page, t_page, 'p' || t_page || '-fontgrow-' || t_id, 'typography_changed', 'medium', s_id, t_id, 'pair' from d where fc > 0.25
-        union all select pair_id, report_page, t_page, 'p' || t_page || '-resize-' || t_id, 'region_resized', case when greatest(abs(dw), abs(dh)) >= 0.8 then 'high' when greatest(abs(dw), abs(dh)) >= 0.5 then 'medium' else 'high' end, s_id, t_id, 'pair' from d where greatest(abs(dw), abs(dh)) > 0.5
+        union all select pair_id, report_page, page, 'p' || page || '-added-' || region_id, 'added_element', 'low', null, region_id, 'pair', 3, region_ord from alone_t
+        union all select pair_id, report_page, t_page, 'p' || t_page || '-shift-' || t_id, 'region_shifted', case when greatest(abs(dx), abs(dy)) > 0.15 then 'high' else 'medium' end, s_id, t_id, 'pair', 5, s_ord * 4 from d where greatest(abs(dx), abs(dy)) > 0.05
+        union all select pair_id, report_page, t_page, 'p' || t_page || '-font-' || t_id, 'font_shrink', case when abs(fc) >= 0.4 then 'high' when abs(fc) >= 0.2 then 'medium' else 'high' end, s_id, t_id, 'pair', 5, s_ord * 4 + 1 from d where fc < -0.2
+        union all select pair_id, report_page, t_page, 'p' || t_page || '-fontgrow-' || t_id, 'typography_changed', 'medium', s_id, t_id, 'pair', 5, s_ord * 4 + 2 from d where fc > 0.25
+        union all select pair_id, report_page, t_page, 'p' || t_page || '-resize-' || t_id, 'region_resized', case when greatest(abs(dw), abs(dh)) >= 0.8 then 'high' when greatest(abs(dw), abs(dh)) >= 0.5 then 'medium' else 'high' end, s_id, t_id, 'pair', 5, s_ord * 4 + 3 from d where greatest(abs(dw), abs(dh)) > 0.5
             and not (s_type in {_TEXTS} and t_type in {_TEXTS} and length(regexp_replace(s_text, '\\s', '', 'g')) <= 30 and length(regexp_replace(t_text, '\\s', '', 'g')) <= 30 and abs(dh) <= 0.2 and (fc is null or abs(fc) <= 0.1) and abs(dw) > abs(dh))
-        union all select t.pair_id, t.report_page, t.page, 'p' || t.page || '-frag-' || t.region_id, 'text_fragmented', 'medium', m.s_id, t.region_id, 'pair' from tr t left join m on m.pair_id = t.pair_id and m.report_page = t.report_page and m.t_id = t.region_id where t.type in {_TEXTS} and t.width <= 18 and length(regexp_replace(t.text, '[^\\p{{L}}]', '', 'g')) between 1 and 3
-        union all select t.pair_id, t.report_page, t.page, 'p' || t.page || '-invisible-' || t.region_id, 'invisible_text', 'high', m.s_id, t.region_id, 'pair' from tr t left join m on m.pair_id = t.pair_id and m.report_page = t.report_page and m.t_id = t.region_id where t.type in {_TEXTS} and (coalesce(t.opacity <= 0.01, false)
+        union all select t.pair_id, t.report_page, t.page, 'p' || t.page || '-frag-' || t.region_id, 'text_fragmented', 'medium', m.s_id, t.region_id, 'pair', 6, t.region_ord from tr t left join m on m.pair_id = t.pair_id and m.report_page = t.report_page and m.t_id = t.region_id where t.type in {_TEXTS} and t.width <= 18 and length(regexp_replace(t.text, '[^\\p{{L}}]', '', 'g')) between 1 and 3
+        union all select t.pair_id, t.report_page, t.page, 'p' || t.page || '-invisible-' || t.region_id, 'invisible_text', 'high', m.s_id, t.region_id, 'pair', 7, t.region_ord from tr t left join m on m.pair_id = t.pair_id and m.report_page = t.report_page and m.t_id = t.region_id where t.type in {_TEXTS} and (coalesce(t.opacity <= 0.01, false)
             or (t.color = '#FFFFFF' and not exists (select 1 from tr i where i.pair_id = t.pair_id and i.report_page = t.report_page and i.type = 'image' and {_shared('t', 'i')} >= 0.3::double * (t.width * t.height))))
-        union all select pair_id, report_page, page, 'p' || page || '-out-' || region_id, 'content_out_of_page', 'critical', null, region_id, 'pair' from tr where x < 0 or y < 0 or x + width > 500 or y + height > 800
-        union all select pair_id, report_page, t_page, 'p' || t_page || '-overlap-' || a_id || '-' || b_id, case when with_image then 'text_image_overlap' else 'text_overlap' end, case when with_image then 'critical' else 'high' end, null, a_id, 'pair' from new_laps
-        union all select pair_id, report_page, t_page, 'p' || t_page || '-vectorized', 'text_vectorized', 'info', null, null, 'pair' from vec
-        union all select n.pair_id, n.report_page, e.t_page, 'p' || e.t_page || '-numbers', 'number_mismatch', case when missing + extra >= 5 then 'high' else 'medium' end, sa.region_id, coalesce(ta.region_id, m.t_id), 'pair' from numbers n join entries e on e.pair_id = n.pair_id and e.report_page = n.report_page and e.kind = 'pair'
+        union all select pair_id, report_page, page, 'p' || page || '-out-' || region_id, 'content_out_of_page', 'critical', null, region_id, 'pair', 8, region_ord from tr where x < 0 or y < 0 or x + width > 500 or y + height > 800
+        union all select pair_id, report_page, t_page, 'p' || t_page || '-overlap-' || a_id || '-' || b_id, case when with_image then 'text_image_overlap' else 'text_overlap' end, case when with_image then 'critical' else 'high' end, null, a_id, 'pair', 9, a * 1000000 + b from new_laps
+        union all select pair_id, report_page, t_page, 'p' || t_page || '-vectorized', 'text_vectorized', 'info', null, null, 'pair', 10, 0 from vec
+        union all select n.pair_id, n.report_page, e.t_page, 'p' || e.t_page || '-numbers', 'number_mismatch', case when missing + extra >= 5 then 'high' else 'medium' end, sa.region_id, coalesce(ta.region_id, m.t_id), 'pair', 11, 0 from numbers n join entries e on e.pair_id = n.pair_id and e.report_page = n.report_page and e.kind = 'pair'
             left join (select pair_id, report_page, arg_min(region_id, region_ord) as region_id from nums join bag using (pair_id, report_page, number) where side = 'source' and a > b group by all) sa on sa.pair_id = n.pair_id and sa.report_page = n.report_page
             left join (select pair_id, report_page, arg_min(region_id, region_ord) as region_id from nums join bag using (pair_id, report_page, number) where side = 'target' and b > a group by all) ta on ta.pair_id = n.pair_id and ta.report_page = n.report_page
             left join m on m.pair_id = n.pair_id and m.report_page = n.report_page and m.s_id = sa.region_id where not exists (select 1 from vec v where v.pair_id = n.pair_id and v.report_page = n.report_page)
-        union all select t.pair_id, t.report_page, t.page, 'p' || t.page || '-untranslated-' || t.region_id, 'untranslated_text', case when l / a >= 0.9 then 'high' when l / a >= 0.7 then 'medium' else 'high' end, m.s_id, t.region_id, 'pair'
-            from (select *, {_script_count('text', 'latin')} as l, {_script_count('text', 'latin')} + {_script_count('text', 'cjk')} as a from tr) t join m on m.pair_id = t.pair_id and m.report_page = t.report_page and m.t_id = t.region_id
+        union all select t.pair_id, t.report_page, t.page, 'p' || t.page || '-untranslated-' || t.region_id, 'untranslated_text', case when l / a >= 0.9 then 'high' when l / a >= 0.7 then 'medium' else 'high' end, m.s_id, t.region_id, 'pair', 12, so.region_ord
+            from (select *, {_script_count('text', 'latin')} as l, {_script_count('text', 'latin')} + {_script_count('text', 'cjk')} as a from tr) t join m on m.pair_id = t.pair_id and m.report_page = t.report_page and m.t_id = t.region_id join sr so on so.pair_id = m.pair_id and so.report_page = m.report_page and so.region_id = m.s_id
             join scripts p on p.pair_id = t.pair_id and p.report_page = t.report_page and p.side = 'source' left join scripts q on q.pair_id = t.pair_id and q.report_page = t.report_page and q.side = 'target'
             where t.type in {_TEXTS} and coalesce(t.text, '') <> '' and p.script = 'latin' and (q.script is null or q.script <> p.script) and a >= 8 and a - {_ACRONYMS} >= 8 and l / a >= 0.7 and not exists (select 1 from vec v where v.pair_id = t.pair_id and v.report_page = t.report_page)""",
     "per_type": "select pair_id, report_page, kind, type, sum(case severity " + " ".join(f"when '{s}' then {v}" for s, v in DEDUCTIONS.items()) + " end) as off, max(severity = 'critical') as critical, max(severity = 'high') as high, count(*) as n from issues group by all",
@@ -122,6 +123,18 @@ CTES = {
     "records": "select pair_id as record_id, a.file_id as source_file_id, b.file_id as target_file_id, 'doc' || pair_id as source_name, 'doc' || (pair_id + 1) as target_name, status, floor(score * 1000 + 0.5)::bigint as score_milli, (pair_id * 7919) % 10007 as created_at from doc_results join documents x on x.doc_id = pair_id join files a on a.text = x.text join documents y on y.doc_id = pair_id + 1 join files b on b.text = y.text",
     "samples": "select d.doc_id as sample_id, a.file_id as source_file_id, b.file_id as target_file_id, case when d.doc_id % 3 = 0 then 'archived' else 'active' end as status, (d.doc_id * 31) % 1009 as updated_at, case when d.doc_id % 4 = 0 then 'Sample ' else 'sample ' end || (d.doc_id % 500) as name from documents d join files a on a.text = d.text join documents e on e.doc_id = d.doc_id + 1 join files b on b.text = e.text",
     "decisions": "select pair_id, issue_id, case when (pair_id + length(issue_id)) % 2 = 0 then 'accepted' else 'rejected' end as decision, (pair_id * 13) % 101 as reviewed_at from issues where (pair_id * 3 + length(issue_id)) % 4 = 0",
+    "near_pages": "select s.pair_id, s.page as s_page, t.page as t_page from (select distinct pair_id, page from spans where side = 'source') s join t_pages t on s.pair_id = t.pair_id and abs(s.page - t.page) <= 3",
+    "page_scores_of": f"select n.pair_id, n.s_page, n.t_page, s.region_ord as so, t.region_ord as to_, (0.4::double * {_position('s', 't')} + 0.25::double * {_size('s', 't')} + 0.2::double * case when s.type = t.type then 1.0::double when s.type in {_TEXTS} and t.type in {_TEXTS} then 0.8::double else 0.0::double end) / (0.4::double + 0.25::double + 0.2::double) as score from near_pages n join regions s on s.side = 'source' and s.pair_id = n.pair_id and s.page = n.s_page join regions t on t.side = 'target' and t.pair_id = n.pair_id and t.page = n.t_page",
+    "clear_lines": "select pair_id, i, i // 6 + 1 as page, i % 6 as k, pair_id % 4 as edit, cast(20 + 45 * ((i // 6 + 1) % 4) as double) as x0, cast(30 + 120 * (i % 6) + 20 * ((i // 6 + 1) % 3) as double) as y, cast(60 + 10 * ((i * 7) % 9) as double) as w0, case when i % 3 <> 0 then 10.0::double else 90.0::double end as gap, case when pair_id % 4 = 1 then i // 6 when pair_id % 4 = 2 then i // 6 + 2 else i // 6 + 1 end as to_page, pair_id % 4 = 0 and i % 7 = 5 and i % 3 <> 0 as raster from lines",
+    "clear_parts": "select *, 0 as part, x0 as x, case when i % 3 = 0 then w0 else w0 + gap + 40 end as width, case when i % 3 = 0 then 'label ' || i else 'label ' || i || chr(10) || 'value' end as text from clear_lines union all select *, 1, x0 + w0 + gap, 40.0::double, 'value' from clear_lines where i % 3 = 0",
+    "clear_all": """select pair_id, 'source' as side, page, i, k, part, x, y, width, 20.0::double as height, 'paragraph' as type, text from clear_parts
+        union all select pair_id, 'target', to_page, i, k, part, x + 3, y, width, 20.0::double, 'paragraph', text from clear_parts where not (edit = 1 and page = 1) and not (edit = 3 and i % 5 = 4)
+        union all select pair_id, 'target', page, i, 100 + k, 0, x0 + 3, y, w0 + 50, 20.0::double, 'image', null from clear_lines where raster
+        union all select pair_id, 'target', 1, -1, 0, 0, 200.0::double, 400.0::double, 90.0::double, 25.0::double, 'paragraph', 'front' from clear_lines where edit = 2 and i = 0""",
+    "clear_regions": "select *, 'p' || page || '-r' || k || case when part > 0 then '-c' || (part + 1) else '' end as region_id, row_number() over (partition by pair_id, side, page order by y, x, k, part) - 1 as region_ord from clear_all",
+    "clear_entries": """select distinct pair_id, page as s_page, case when edit = 1 and page = 1 then null else to_page end as t_page from clear_lines
+        union all select distinct pair_id, null, 1 from clear_lines where edit = 2""",
+    "clear_matches": "select s.pair_id, s.page as report_page, t.page as t_page, s.region_id as s_id, t.region_id as t_id, s.i, s.part, s.x as sx, s.y as sy, s.width as sw, t.x as tx, t.y as ty from clear_regions s join clear_regions t on s.pair_id = t.pair_id and s.side = 'source' and t.side = 'target' and s.i = t.i and s.part = t.part and t.type <> 'image'",
 }
 
 
@@ -135,7 +148,10 @@ def sql(body: str) -> str:
         for name in set(re.findall(r"\b[a-z_]+\b", todo.pop())) & set(CTES) - need:
             need.add(name)
             todo.append(CTES[name])
-    parts = [f"{name} as ({CTES[name]})" for name in CTES if name in need]
+    # tables that others read more than once are made once
+    used = " ".join([body, *[CTES[name] for name in need]])
+    once = {name for name in need if len(re.findall(rf"\b{name}\b", used)) > 1}
+    parts = [f"{name} as {'materialized ' if name in once else ''}({CTES[name]})" for name in CTES if name in need]
     return (f"with {', '.join(parts)} " if parts else "") + body
 
 
@@ -162,6 +178,40 @@ BODIES = {
     "overlap_pairs": f"select pair_id, report_page, a_id as first_region, b_id as second_region, {_E6.format('ratio')} as ratio_e6, with_image from laps",
     "covered_text": f"select s.pair_id, s.report_page, s.region_id from alone_s s where s.type <> 'image' and exists (select 1 from tr o where o.pair_id = s.pair_id and o.report_page = s.report_page and o.type in {_TEXTS} and {_overlap('s', 'o')} >= 0.4)",
     "region_styles": "select pair_id, side, page, region_id, opacity, case when color is null then 0 else 1 end as n_colors, color as first_color from regions",
+    "page_similarity": f"""select n.pair_id, n.s_page, n.t_page, {_E6.format('((f.v / greatest(sn.n, tn.n) + b.v / greatest(sn.n, tn.n)) / 2)')} as similarity_e6 from near_pages n
+        join (select pair_id, page, count(*) as n from spans where side = 'source' group by all) sn on sn.pair_id = n.pair_id and sn.page = n.s_page join (select pair_id, page, count(*) as n from spans where side = 'target' group by all) tn on tn.pair_id = n.pair_id and tn.page = n.t_page
+        join (select pair_id, s_page, t_page, sum(best) as v from (select pair_id, s_page, t_page, so, max(score) as best from page_scores_of group by all) group by all) f on f.pair_id = n.pair_id and f.s_page = n.s_page and f.t_page = n.t_page
+        join (select pair_id, s_page, t_page, sum(best) as v from (select pair_id, s_page, t_page, to_, max(score) as best from page_scores_of group by all) group by all) b on b.pair_id = n.pair_id and b.s_page = n.s_page and b.t_page = n.t_page""",
+    "regions_components": "select pair_id, side, page, region_id, type, x, y, width, height, text, region_ord::int as region_ord from clear_regions",
+    "page_alignment": "select pair_id, s_page, t_page, coalesce(s_page, t_page) as report_page, case when t_page is null then 'missing' when s_page is null then 'extra' else 'pair' end as kind from clear_entries",
+    "match_full": f"select pair_id, report_page, s_id as s_region_id, t_id as t_region_id, 100 as type_pct, {_E6.format('(1 - sqrt((tx - sx) * (tx - sx) + (ty - sy) * (ty - sy)) / sqrt(890000.0::double))')} as position_e6, 1000000 as size_e6 from clear_matches",
+    "issue_rasterized": "select m.pair_id, m.report_page, m.t_page as page, 'p' || m.t_page || '-rasterized-' || i.region_id as issue_id, 'text_rasterized' as type, 'high' as severity, m.s_id as source_region, i.region_id as target_region from clear_matches m join clear_regions i on i.pair_id = m.pair_id and i.side = 'target' and i.type = 'image' and i.i = m.i",
+    "issue_alignment": "select pair_id, page as report_page, page, 'p' || page || '-alignment-p' || page || '-r0-p' || page || '-r' || (n - 1) as issue_id, 'text_alignment_changed' as type, 'high' as severity, 'p' || page || '-r0' as source_region, 'p' || page || '-r0' as target_region from (select pair_id, i // 10 + 1 as page, count(*) as n from lines where pair_id % 3 <> 0 group by all) where n >= 3",
+    "issue_glossary": " union all ".join(
+        f"select d.pair_id, d.report_page, d.t_page as page, 'p' || d.t_page || '-glossary-' || d.t_id || '-{term}' as issue_id, 'glossary_violation' as type, 'high' as severity, d.s_id as source_region, d.t_id as target_region from d where regexp_matches(d.s_text, '{flag}(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_]){term}($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])') and d.t_text <> '' and not ({' or '.join(f"contains(d.t_text, '{a}')" for a in allowed)}) and not exists (select 1 from vec v where v.pair_id = d.pair_id and v.report_page = d.report_page)"
+        for term, flag, allowed in (("The", "(?i)", "的"), ("und", "", "和与"), ("la", "", "这"))
+    ),
+    "document_report": "select r.pair_id, r.status, r.page_count, floor(r.score * 1000 + 0.5)::bigint as score_milli, p.pass_pages, p.review_pages, p.fail_pages, " + ", ".join(f"coalesce(i.{s}, 0) as {s}" for s in DEDUCTIONS) + ", coalesce(i.issue_total, 0) as issue_total from doc_results r join (select pair_id, count(*) filter (where status = 'pass') as pass_pages, count(*) filter (where status = 'review') as review_pages, count(*) filter (where status = 'fail') as fail_pages from results group by pair_id) p on p.pair_id = r.pair_id left join (select pair_id, " + ", ".join(f"count(*) filter (where severity = '{s}') as {s}" for s in DEDUCTIONS) + ", count(*) as issue_total from issues group by pair_id) i on i.pair_id = r.pair_id",
+    "top_issues": "select pair_id, place::int as place, report_page, issue_id, type, severity from (select *, row_number() over (partition by pair_id order by report_page, det, ro, issue_id) as place from issues) where place <= 10",
+    "bbox_groups": "select pair_id, page, floor(x + 0.5)::bigint as x, floor(y + 0.5)::bigint as y, floor(width + 0.5)::bigint as width, floor(height + 0.5)::bigint as height, count(*) as n, string_agg(issue_id, ',' order by issue_id) as issue_ids from (select i.pair_id, i.page, i.issue_id, coalesce(t.x, s.x) as x, coalesce(t.y, s.y) as y, coalesce(t.width, s.width) as width, coalesce(t.height, s.height) as height from issues i left join tr t on t.pair_id = i.pair_id and t.report_page = i.report_page and t.region_id = i.t_id left join sr s on i.type in ('missing_image', 'missing_element') and s.pair_id = i.pair_id and s.report_page = i.report_page and s.region_id = i.s_id) where x is not null group by 1, 2, 3, 4, 5, 6",
+    "nested_reports": "select r.pair_id, r.status, 'translation-balanced@1' as profile_reference, r.page_count as pages, sha256(coalesce(i.ids, '')) as issues_sha256 from doc_results r left join (select pair_id, string_agg(issue_id, ',' order by report_page, case kind when 'pair' then 0 when 'missing' then 1 else 2 end, det, ro, issue_id) as ids from issues group by pair_id) i on i.pair_id = r.pair_id",
+    "history_page": "select record_id from records order by created_at desc, record_id desc limit 8 offset 16",
+    "glossary_upsert": """with rows_ as (select 'g' || (doc_id % 40) as glossary_id, doc_id % 7 as version, 'n' || (doc_id % 11) as name, doc_id % 3 as part, doc_id % 13 as entry_count from documents), one as (select glossary_id, version, part, max(name) as name, max(entry_count) as entry_count from rows_ group by all),
+        gone as (select glossary_id, version from one where part = 2 and version = 3)
+        select glossary_id, version, coalesce(n.name, o.name) as name, coalesce(n.entry_count, o.entry_count) as entry_count, case when g.version is null then 'active' else 'archived' end as status, case when o.version is null then 2 else 1 end as created_at, case when g.version is not null then 3 when n.version is not null then 2 else 1 end as updated_at
+        from (select * from one where part = 0) o full join (select * from one where part = 1) n using (glossary_id, version) left join gone g using (glossary_id, version)""",
+    "sample_create": """select sample_id, name, case when sample_id % 5 = 0 and sample_id % 10 <> 0 then 'archived' else status end as status, case when sample_id % 10 = 0 then 'builtin' else 'user' end as origin from (select sample_id, name, status from samples where sample_id % 3 = 0
+        union all select sample_id, name, status from (select *, row_number() over (partition by lower(name) order by sample_id) as nth from samples where sample_id % 3 = 1 and source_file_id <> target_file_id and lower(name) not in (select lower(name) from samples where sample_id % 3 = 0)) where nth = 1)""",
+    "schema_descriptions": "select * from (values " + ", ".join(f"('{t}', '{c}', '{d}')" for t, columns in DESCRIPTIONS.items() for c, d in columns.items()) + ") v(table_name, column_name, description)",
+    "scan_blocks": """select pair_id, row_number() over (partition by pair_id order by i, s)::int - 1 as block_ord, block_id, type, x, y, width, height, font_size, color, text, i::int as source_block_index, opacity_milli, weight, italic from (
+        select pair_id, i, s, 'p1-b' || i || '-l0-s' || s as block_id, 'text' as type, cast(10 + 100 * s as double) as x, cast(20 * i as double) as y, cast((pair_id * 3 + i) % 4 * 10 as double) as width, 10.0::double as height, case when (pair_id + i) % 3 > 0 then cast((pair_id + i) % 3 * 6 as double) end as font_size, '#' || printf('%06X', (pair_id * 65793) % 16777216) as color, 't' || i || '.' || s as text,
+            cast(floor(least(1.0::double, ((pair_id + i) % 3 * 130) / 255.0::double) * 1000 + 0.5) as bigint) as opacity_milli, case when (i % 4) * 8 & 16 > 0 then 700 else 400 end as weight, (i % 4) * 8 & 2 > 0 as italic
+            from lines, (values (0), (1)) v(s) where (pair_id + i) % 5 <> 0 and (pair_id * 3 + i) % 4 > 0
+        union all select pair_id, i, -1, 'p1-b' || i || '-image', 'image', 10.0::double, cast(20 * i as double), 50.0::double, 10.0::double, null, null, null, null, null, false from lines where (pair_id + i) % 5 = 0 and i % 2 = 1)""",
+    "scan_pages": """select pair_id, case when light and 800 - 100 * (pair_id % 6) > 500 then own when light and 800 - 100 * (pair_id % 6) = 500 then own else '#FAFAFA' end as background_color, images + (case when not light and not small then 1 else 0 end) + (case when wide then 1 else 0 end) as dark_boxes,
+        image_area + (case when not light and not small then 500 * (800 - 100 * (pair_id % 6)) else 0 end) + (case when wide then 50 * (pair_id % 11) * 100 else 0 end) as dark_area from (
+        select pair_id, '#' || printf('%02X', pair_id * 7 % 64 + 192) || printf('%02X', pair_id * 11 % 64 + 192) || printf('%02X', pair_id * 13 % 64 + 192) as own, least(pair_id * 7 % 64, pair_id * 11 % 64, pair_id * 13 % 64) + 192 >= 0.92::double * 255 and 800 - 100 * (pair_id % 6) >= 400 as light, least(pair_id * 7 % 64, pair_id * 11 % 64, pair_id * 13 % 64) + 192 >= 0.92::double * 255 as small,
+            50 * (pair_id % 11) * 100 >= 40000 as wide, count(*) filter (where (pair_id + i) % 5 = 0) as images, coalesce(sum(case when (pair_id + i) % 5 = 0 then 50 * 10 * (i % 2) end), 0)::bigint as image_area from lines group by pair_id)""",
     "issue_page_missing": "select pair_id, report_page, issue_id, severity from issues where type = 'page_missing'",
     "issue_extra_page": "select pair_id, report_page, issue_id, severity from issues where kind = 'extra'",
     "issue_missing": _of("'missing_image', 'missing_element'"),
@@ -191,7 +241,7 @@ BODIES = {
     "related_issues": "select a.pair_id, a.report_page, a.issue_id, count(*) as related from issues a join issues b on a.pair_id = b.pair_id and a.report_page = b.report_page and a.kind = b.kind and a.s_id is not distinct from b.s_id and a.t_id is not distinct from b.t_id and a.issue_id <> b.issue_id group by all",
     "ui_rollup": "select i.pair_id, count(*) filter (where severity in ('critical', 'high')) as severe, count(*) filter (where severity not in ('critical', 'high')) as general, count(d.issue_id) as reviewed, cast(floor(100 * count(d.issue_id) / count(*) + 0.5) as bigint) as reviewed_percent from issues i left join (select distinct pair_id, issue_id from decisions) d on d.pair_id = i.pair_id and d.issue_id = i.issue_id group by i.pair_id",
     "stored_files": "select file_id, first_doc from files",
-    "history_list": "select record_id, source_file_id, target_file_id, status, score_milli, row_number() over (order by created_at desc, record_id desc) as place from records",
+    "history_list": "select record_id, source_file_id, target_file_id, status, score_milli, created_at from records",
     "history_search": "select record_id, status from records where status = 'fail' and (contains(lower(source_name), '7') or contains(lower(target_name), '7'))",
     "history_evict": "select record_id from records qualify row_number() over (order by created_at desc, record_id desc) <= 100",
     "sample_autolink": "select record_id, arg_max(sample_id, (updated_at, sample_id)) as sample_id from records r join samples s on r.source_file_id = s.source_file_id and r.target_file_id = s.target_file_id and s.status = 'active' group by record_id",
@@ -202,7 +252,7 @@ BODIES = {
     "number_tokens": f"select doc_id, unnest({_NUMBERS}) as number from documents",
     "digit_normalize": f"select doc_id, sha256(translate(text, '{DIGITS_FROM}', '{DIGITS_TO}')) as digest from documents where text is not null",
     "bcp47_normalize": "select doc_id, lang || '-' || case doc_id % 3 when 0 then 'Latn' when 1 then 'GB' else 'x1' end as tag from documents",
-    "band_severity": "select doc_id, " + ", ".join(f"case when (doc_id % 100) / {m} >= {hi} then 'high' when (doc_id % 100) / {m} >= {lo} then 'medium' else 'high' end as {b}" for b, m, hi, lo in (("numbers", "10.0::double", 5, 1), ("shrink", "100.0::double", 0.4, 0.2), ("untranslated", "100.0::double", 0.9, 0.7), ("resize", "100.0::double", 0.8, 0.5))) + " from documents",
+    "band_severity": "select doc_id, " + ", ".join(f"case when (doc_id % 100) / {m} >= {hi} then 'high' when (doc_id % 100) / {m} >= {lo} then 'medium' else 'high' end as {b}" for b, m, hi, lo in (("number_mismatch_bands", "10.0::double", 5, 1), ("font_shrink_bands", "100.0::double", 0.4, 0.2), ("untranslated_bands", "100.0::double", 0.9, 0.7), ("region_resize_bands", "100.0::double", 0.8, 0.5))) + " from documents",
     "profile_publish": "select source as profile_id, doc_id as version, case when doc_id % 3 = 0 then case when source = 'src3' then 'published' else 'draft' end when doc_id % 3 = 1 then 'published' else 'archived' end as status from documents",
     "legacy_import": "select lang || '-' || (doc_id % 50) as import_key, case when max(doc_id % 3 = 0) then 'old' else 'new' end as origin from documents group by 1",
     "language_backfill": "select doc_id as record_id, case when doc_id % 2 = 1 then 'fr' when doc_id % 3 = 0 then 'en' when doc_id % 3 = 1 then 'zh' end as source_language from documents",

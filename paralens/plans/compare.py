@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,20 +15,100 @@ from .profile import Profile
 STAGES = ("parse", "group", "alignment", "match", "detect", "report")
 
 
-@dataclass
 class Comparison:
-    """The tables of one comparison of many pairs."""
+    """The tables of one comparison of many pairs; each is made when it is first asked for, from those it needs only.
 
-    pages: DataFrame
-    blocks: DataFrame
-    regions: DataFrame
-    entries: DataFrame
-    matches: DataFrame
-    diffs: DataFrame
-    issues: DataFrame
-    page_results: DataFrame
-    documents: DataFrame
-    context: detectors.Context = field(repr=False)
+    Tables that several others read are written once as Parquet in the shared folder:
+    their lineage ends there and their columns stay prunable.
+    """
+
+    def __init__(self, pages_: DataFrame, blocks: DataFrame, profile: Profile, glossary: DataFrame | None, split: bool, paired: DataFrame | None, matched: DataFrame | None, group: Callable | None):
+        self.profile, self.glossary = profile, glossary
+        self._given = (pages_, blocks, split, paired, matched, group)
+
+    @property
+    def context(self) -> Comparison:
+        """What the detectors read: the comparison itself."""
+        return self
+
+    @cached_property
+    def pages(self) -> DataFrame:
+        return stored(self._given[0], "pages")
+
+    @cached_property
+    def blocks(self) -> DataFrame:
+        return stored(self._given[1], "blocks")
+
+    @cached_property
+    def regions(self) -> DataFrame:
+        _, _, split, _, _, group = self._given
+        return stored(group(self.blocks, self.profile) if group else grouping.regions(self.blocks, self.profile, split), "regions")
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        paired = self._given[3]
+        if paired is None and self.profile.align_pages:
+            paired = pages.aligned(self.pages, pages.similarity(self.regions, self.pages, self.profile), self.profile)
+        return stored(pages.entries(pages.identity(self.pages) if paired is None else paired), "entries")
+
+    @cached_property
+    def _sides(self) -> tuple[DataFrame, DataFrame]:
+        source, target = matching.on_entries(self.regions, self.pages, self.entries)
+        return stored(source, "source"), stored(target, "target")
+
+    @property
+    def source(self) -> DataFrame:
+        """Source regions of paired pages."""
+        return self._sides[0]
+
+    @property
+    def target(self) -> DataFrame:
+        """Target regions of paired pages."""
+        return self._sides[1]
+
+    @cached_property
+    def matches(self) -> DataFrame:
+        known = self._given[4]
+        if known is None:
+            return stored(matching.matched(self.source, self.target, self.profile), "matches")
+        keys = [*matching.PAIR, "s_region_id", "t_region_id"]
+        return stored(matching.scores(self.source, self.target, self.profile).join(known.select(*keys), keys), "matches")
+
+    @cached_property
+    def diffs(self) -> DataFrame:
+        return stored(matching.diffs(self.matches, self.source, self.target), "diffs")
+
+    @cached_property
+    def claims(self) -> DataFrame:
+        """Transparent text with the image that stands for it."""
+        return stored(detectors.rasterized(self), "claims")
+
+    @cached_property
+    def vectorized(self) -> DataFrame:
+        """Pages whose text turned into drawings."""
+        return stored(detectors.vectorized_pages(self), "vectorized")
+
+    @cached_property
+    def flows(self) -> tuple[DataFrame, DataFrame]:
+        """Issues of changed alignment, and the regions whose shifts and sizes they explain."""
+        changed, explained = detectors.alignment(self)
+        return stored(changed, "flow-issues"), stored(explained, "explained")
+
+    def issues_of(self, *types: str) -> DataFrame:
+        """The issues of some types, from the detectors that can raise them only."""
+        return detectors.issues(self, types).where(F.col("type").isin(*types))
+
+    @cached_property
+    def issues(self) -> DataFrame:
+        return stored(detectors.issues(self), "issues")
+
+    @cached_property
+    def page_results(self) -> DataFrame:
+        return scoring.page_results(self.entries, self.issues, self.profile)
+
+    @cached_property
+    def documents(self) -> DataFrame:
+        return scoring.document_results(self.pages, self.page_results, self.issues)
 
 
 def compare(pages_: DataFrame, blocks: DataFrame, profile: Profile | None = None, glossary: DataFrame | None = None, split: bool = True, paired: DataFrame | None = None, matched: DataFrame | None = None, group: Callable | None = None) -> Comparison:
@@ -39,28 +119,7 @@ def compare(pages_: DataFrame, blocks: DataFrame, profile: Profile | None = None
     and ``matched`` (pair_id, report_page, s_region_id, t_region_id) replace page
     alignment and the assignment where the truth is known; ``group`` replaces grouping.
     """
-    profile = profile or Profile()
-    # every detector reads these tables; written once, their lineage ends there and their columns stay prunable
-    pages_, blocks = stored(pages_, "pages"), stored(blocks, "blocks")
-    regions = group(blocks, profile) if group else grouping.regions(blocks, profile, split)
-    regions = stored(regions, "regions")
-    if paired is None:
-        paired = pages.aligned(pages_, pages.similarity(regions, pages_, profile), profile) if profile.align_pages else pages.identity(pages_)
-    entries = stored(pages.entries(paired), "entries")
-    source, target = matching.on_entries(regions, pages_, entries)
-    source, target = stored(source, "source"), stored(target, "target")
-    scored = matching.scores(source, target, profile)
-    if matched is None:
-        matches = matching.matched(scored, profile)
-    else:
-        matches = scored.join(matched.select(*matching.PAIR, "s_region_id", "t_region_id"), [*matching.PAIR, "s_region_id", "t_region_id"])
-    matches = stored(matches, "matches")
-    diffs = stored(matching.diffs(matches, source, target), "diffs")
-    context = detectors.Context(profile, entries, pages_, regions, source, target, matches, diffs, glossary)
-    issues = stored(detectors.all_issues(context), "issues")
-    results = scoring.page_results(entries, issues, profile)
-    documents = scoring.document_results(pages_, results, issues)
-    return Comparison(pages_, blocks, regions, entries, matches, diffs, issues, results, documents, context)
+    return Comparison(pages_, blocks, profile or Profile(), glossary, split, paired, matched, group)
 
 
 def stage(found: Comparison, name: str) -> DataFrame:

@@ -41,46 +41,86 @@ CAPS = {
 }
 #: Points off for each issue of a severity.
 DEDUCTIONS = {"info": 0.0, "low": 1.0, "medium": 4.0, "high": 10.0, "critical": 25.0}
-#: The detectors that can be switched off.
-TOGGLES = ("missing", "shifted", "shrink", "out_of_page", "overlap", "numbers", "untranslated", "resized", "fragmented", "font_grow", "invisible", "rasterized", "alignment")
-#: Thresholds of detection.
+#: The detectors that can be switched off, as published profiles name them.
+TOGGLES = (
+    "missing_element",
+    "region_shifted",
+    "font_shrink",
+    "content_out_of_page",
+    "overlap",
+    "number_mismatch",
+    "untranslated_text",
+    "region_resized",
+    "text_fragmented",
+    "font_grow",
+    "invisible_text",
+    "text_rasterized",
+    "text_alignment_changed",
+)
+#: Thresholds of detection, as published profiles name them.
 THRESHOLDS = {
-    "shift": 0.05,
-    "severe_shift": 0.15,
-    "font_shrink": -0.20,
-    "font_grow": 0.25,
-    "overlap": 0.05,
-    "overlap_increase": 0.05,
-    "caption_area": 0.005,
-    "untranslated": 0.7,
-    "untranslated_letters": 8,
-    "resize": 0.5,
-    "fragment_width": 18.0,
-    "fragment_letters": 3,
-    "light_channel": 235,
-    "invisible_opacity": 0.01,
-    "dark_overlap": 0.3,
-    "rasterized_overlap": 0.8,
-    "vectorized_source_chars": 30,
-    "vectorized_target_part": 0.1,
-    "flow_lines": 3,
-    "flow_gap": 0.6,
-    "flow_overlap": 0.3,
-    "flow_font": 0.15,
-    "flow_edge": 0.015,
-    "flow_margin": 0.01,
-    "flow_match": 0.6,
-    "flow_back": 0.25,
-    "label_chars": 30,
-    "label_height": 0.2,
-    "label_font": 0.1,
+    "shifted_ratio": 0.05,
+    "severely_shifted_ratio": 0.15,
+    "font_shrink_ratio": -0.20,
+    "overlap_ratio": 0.05,
+    "overlap_increase_ratio": 0.05,
+    "image_caption_area_ratio": 0.005,
+    "untranslated_ratio": 0.7,
+    "untranslated_min_letters": 8,
+    "conversion_noise_ratio": 0.03,
+    "region_resize_ratio": 0.5,
+    "font_grow_ratio": 0.25,
+    "fragment_max_width": 18.0,
+    "fragment_max_letters": 3,
+    "invisible_color_threshold": 235,
+    "invisible_opacity_threshold": 0.01,
+    "rasterized_image_overlap_ratio": 0.8,
+    "vectorized_min_source_chars": 30,
+    "vectorized_max_target_ratio": 0.1,
+    "alignment_min_lines": 3,
+    "alignment_line_gap_ratio": 0.6,
+    "alignment_horizontal_overlap_ratio": 0.3,
+    "alignment_font_size_tolerance_ratio": 0.15,
+    "alignment_edge_tolerance_ratio": 0.015,
+    "alignment_confidence_margin": 0.01,
+    "alignment_group_match_ratio": 0.6,
+    "text_label_max_chars": 30,
+    "text_resize_height_tolerance_ratio": 0.2,
+    "text_resize_font_tolerance_ratio": 0.1,
 }
-#: Fixed values: (at least, severity) of each graded measure.
+#: Limits that profiles don't carry.
+LIMITS = {"flow_back": 0.25, "dark_overlap": 0.3}
+#: Fixed values: (at least, severity) of each graded measure, as published profiles name them.
 BANDS = {
-    "numbers": ((5.0, "high"), (1.0, "medium")),
-    "shrink": ((0.4, "high"), (0.2, "medium")),
-    "untranslated": ((0.9, "high"), (0.7, "medium")),
-    "resize": ((0.8, "high"), (0.5, "medium")),
+    "number_mismatch_bands": ((5.0, "high"), (1.0, "medium")),
+    "font_shrink_bands": ((0.4, "high"), (0.2, "medium")),
+    "untranslated_bands": ((0.9, "high"), (0.7, "medium")),
+    "region_resize_bands": ((0.8, "high"), (0.5, "medium")),
+}
+#: Where a published profile keeps a setting, by its name here.
+PLACES = {
+    "position": ("matching", "weights", "position"),
+    "size": ("matching", "weights", "size"),
+    "type": ("matching", "weights", "type"),
+    "order": ("matching", "weights", "order"),
+    "minimum_score": ("matching", "minimum_score"),
+    "merged_coverage": ("matching", "merged_text_coverage_ratio"),
+    "text_types": ("matching", "text_type_similarity"),
+    "analog_position": ("detectors", "layout_analog_weights", "position"),
+    "analog_size": ("detectors", "layout_analog_weights", "size"),
+    "align_pages": ("alignment", "enabled"),
+    "max_page_shift": ("alignment", "max_shift"),
+    "skip_penalty": ("alignment", "skip_penalty"),
+    "shift_margin": ("alignment", "shift_margin"),
+    "heading_ratio": ("grouping", "heading_ratio"),
+    "span_gap_ratio": ("grouping", "disconnected_span_gap_ratio"),
+    "pass_score": ("scoring", "pass_score"),
+    "fail_score": ("scoring", "fail_score"),
+    "critical_forces_fail": ("scoring", "critical_forces_fail"),
+    "high_forces_review": ("scoring", "high_forces_review"),
+    "deductions": ("scoring", "severity_deductions"),
+    "caps": ("scoring", "issue_type_deduction_caps"),
+    "severity_overrides": ("detectors", "severity_overrides"),
 }
 
 
@@ -109,6 +149,8 @@ class Profile:
     span_gap_ratio: float = 3.0
     pass_score: float = 90.0
     fail_score: float = 75.0
+    critical_forces_fail: bool = True
+    high_forces_review: bool = True
     off: tuple[str, ...] = ()
     thresholds: dict = field(default_factory=lambda: dict(THRESHOLDS))
     bands: dict = field(default_factory=lambda: dict(BANDS))
@@ -126,7 +168,7 @@ class Profile:
             raise ValueError("matching weights must add up to 1")
         if abs(self.analog_position + self.analog_size - 1) > 1e-6:
             raise ValueError("layout weights must add up to 1")
-        if self.thresholds["severe_shift"] <= self.thresholds["shift"]:
+        if self.thresholds["severely_shifted_ratio"] <= self.thresholds["shifted_ratio"]:
             raise ValueError("the severe shift must exceed the shift")
         if self.fail_score >= self.pass_score:
             raise ValueError("the fail score must be below the pass score")
@@ -143,7 +185,7 @@ class Profile:
         return toggle not in self.off
 
     def t(self, name: str) -> float:
-        return self.thresholds[name]
+        return LIMITS[name] if name in LIMITS else self.thresholds[name]
 
     def content_thresholds(self, language: str) -> dict:
         """Thresholds of the content detectors for a language pair; an override replaces all."""
@@ -159,13 +201,44 @@ class Profile:
             out = F.when(value >= least, F.lit(severity)).otherwise(out)
         return out
 
-    def with_noise(self, extra: float = 0.03) -> Profile:
+    def with_noise(self, extra: float | None = None) -> Profile:
         """For converted inputs: both shift thresholds raised."""
-        return replace(self, thresholds=self.thresholds | {k: self.thresholds[k] + extra for k in ("shift", "severe_shift")})
+        extra = self.t("conversion_noise_ratio") if extra is None else extra
+        return replace(self, thresholds=self.thresholds | {k: self.thresholds[k] + extra for k in ("shifted_ratio", "severely_shifted_ratio")})
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), sort_keys=True)
 
+    def published(self) -> dict:
+        """The profile in the nested form of published profiles."""
+        out: dict = {"profile_id": self.profile_id, "version": self.version, "status": self.status, "language": self.language}
+        for name, place in PLACES.items():
+            at = out
+            for part in place[:-1]:
+                at = at.setdefault(part, {})
+            at[place[-1]] = getattr(self, name)
+        bands = {k: [{"gte": least, "severity": severity} for least, severity in v] for k, v in self.bands.items()}
+        out["detectors"] |= {"enabled": {t: self.on(t) for t in TOGGLES}, "thresholds": self.thresholds | bands}
+        out["language_overrides"] = {k: {"thresholds": v} for k, v in self.language_thresholds.items()}
+        return out
+
+    @classmethod
+    def from_published(cls, text: str) -> Profile:
+        """A profile from the JSON of a published one; missing settings get defaults, names and descriptions are passed over."""
+        given = merge_defaults(cls().published(), json.loads(text))
+        values = {k: given[k] for k in ("profile_id", "version", "status", "language")}
+        for name, place in PLACES.items():
+            at = given
+            for part in place:
+                at = at[part]
+            values[name] = at
+        detectors = given["detectors"]
+        values["off"] = tuple(t for t in TOGGLES if not detectors["enabled"][t])
+        values["thresholds"] = {k: detectors["thresholds"][k] for k in THRESHOLDS}
+        values["bands"] = {k: tuple((b["gte"], b["severity"]) for b in detectors["thresholds"][k]) for k in BANDS}
+        values["language_thresholds"] = {k: THRESHOLDS | {t: x for t, x in v.get("thresholds", {}).items() if t in THRESHOLDS} for k, v in given["language_overrides"].items()}
+        return cls(**values)
+
     @classmethod
     def from_json(cls, text: str) -> Profile:
         """Missing keys get defaults, also inside the tables; old values win.  Unknown keys are an error."""

@@ -106,3 +106,74 @@ def true_matches(blocks_: DataFrame) -> DataFrame:
         return blocks_.where(F.col("side") == name).select("pair_id", "i", F.col("page").alias(f"{p}page"), region.alias(f"{p}region_id"))
 
     return side("source", "s_").join(side("target", "t_"), ["pair_id", "i"]).select("pair_id", F.col("s_page").alias("report_page"), "s_region_id", "t_region_id")
+
+
+CLEAR_LINES, FLOW_LINES = 6, 10
+
+
+def _text_block(rows: DataFrame, side: str, **columns) -> DataFrame:
+    """Blocks of text in 10 points; ``columns`` give what differs."""
+    base = {"side": F.lit(side), "type": F.lit("text"), "height": F.lit(20.0), "font_size": F.lit(10.0), "color": F.lit("#000000"), "opacity": F.lit(1.0)} | columns
+    order = ["pair_id", "side", "page", "block_ord", "block_id", "type", "x", "y", "width", "height", "font_size", "color", "text", "source_block_index", "opacity"]
+    return rows.select("pair_id", *[base[c].alias(c) if c in base else F.col(c) for c in order[1:]])
+
+
+def clear_blocks(documents: DataFrame) -> DataFrame:
+    """Both sides of pairs whose regions, pages and matches leave no doubt.
+
+    A line is a source block of two spans: near ones stay one region, far ones fall
+    apart.  The target drops the first page, gets a new one in front, drops lines, or
+    turns lines into images over transparent text, by pair mod 4.
+    """
+    page, k = (F.col("i") / CLEAR_LINES).cast("long") + 1, F.col("i") % CLEAR_LINES
+    rows = lines(documents).select("pair_id", "i", page.alias("page"), k.alias("k"), (F.col("pair_id") % 4).alias("edit"))
+    rows = rows.withColumns({"x0": (20 + 45 * (F.col("page") % 4)).cast("double"), "y": (30 + 120 * F.col("k") + 20 * (F.col("page") % 3)).cast("double"), "w0": (60 + 10 * ((F.col("i") * 7) % 9)).cast("double"), "gap": F.when(F.col("i") % 3 != 0, 10.0).otherwise(90.0)})
+    spans = rows.withColumn("s", F.explode(F.array(F.lit(0), F.lit(1))))
+
+    def placed(r: DataFrame, side: str, move: float, page: F.Column, opacity: F.Column) -> DataFrame:
+        x = F.col("x0") + move + F.when(F.col("s") == 1, F.col("w0") + F.col("gap")).otherwise(0.0)
+        r = r.withColumn("page", page.cast("long"))
+        return _text_block(r, side, block_ord=(F.col("k") * 2 + F.col("s")).cast("int"), block_id=F.concat(F.lit("p"), F.col("page"), F.lit("-b"), F.col("k"), F.lit("-s"), F.col("s")), x=x, width=F.when(F.col("s") == 1, 40.0).otherwise(F.col("w0")), text=F.when(F.col("s") == 1, F.lit("value")).otherwise(F.concat(F.lit("label "), F.col("i"))), source_block_index=F.col("k").cast("int"), opacity=opacity)
+
+    target = spans.where("not (edit = 1 and page = 1) and not (edit = 3 and i % 5 = 4)")
+    moved = F.when(F.col("edit") == 1, F.col("page") - 1).when(F.col("edit") == 2, F.col("page") + 1).otherwise(F.col("page"))
+    raster = (F.col("edit") == 0) & (F.col("i") % 7 == 5) & (F.col("i") % 3 != 0)
+    none = F.lit(None)
+    images = _text_block(rows.where(raster), "target", type=F.lit("image"), block_ord=(100 + F.col("k")).cast("int"), block_id=F.concat(F.lit("p"), F.col("page"), F.lit("-b"), 100 + F.col("k"), F.lit("-image")), x=F.col("x0") + 3.0, width=F.col("w0") + 50.0, text=none.cast("string"), source_block_index=(100 + F.col("k")).cast("int"), opacity=none.cast("double"), font_size=none.cast("double"), color=none.cast("string"))
+    front = _text_block(rows.where("edit = 2 and i = 0").withColumn("page", F.lit(1).cast("long")), "target", block_ord=F.lit(0), block_id=F.lit("p1-b0-s0"), x=F.lit(200.0), y=F.lit(400.0), width=F.lit(90.0), height=F.lit(25.0), text=F.lit("front"), source_block_index=F.lit(0))
+    return placed(spans, "source", 0.0, F.col("page"), F.lit(1.0)).unionByName(placed(target, "target", 3.0, moved, F.when(raster, 0.0).otherwise(1.0))).unionByName(images).unionByName(front)
+
+
+def flow_blocks(documents: DataFrame) -> DataFrame:
+    """Both sides of pairs whose pages are one flow of lines: left in the source; left, right or centred in the target by pair mod 3."""
+    page, k = (F.col("i") / FLOW_LINES).cast("long") + 1, F.col("i") % FLOW_LINES
+    rows = lines(documents).select("pair_id", "i", page.alias("page"), k.alias("k"), (100 + 13 * ((F.col("i") * 5) % 11)).cast("double").alias("width"))
+    edit = F.col("pair_id") % 3
+    moved = F.when(edit == 0, 60.0).when(edit == 1, 440 - F.col("width")).otherwise(250 - F.col("width") / 2)
+    side = lambda name, x: _text_block(rows, name, block_ord=F.col("k").cast("int"), block_id=F.concat(F.lit("p"), F.col("page"), F.lit("-b"), F.col("k")), x=x, y=(20 + 24 * F.col("k")).cast("double"), text=F.concat(F.lit("line "), F.col("i")), source_block_index=F.col("k").cast("int"))
+    return side("source", F.lit(60.0)).unionByName(side("target", moved))
+
+
+def layouts(documents: DataFrame) -> DataFrame:
+    """One raw page layout for each document: a block for each of its first lines or images, and three fills."""
+    n = F.size(F.split("text", "\n", -1))
+    rows = documents.where("text is not null").select(F.col("doc_id").alias("pair_id"), F.lit("source").alias("side"), F.lit(1).alias("page"), F.lit(500.0).alias("width"), F.lit(800.0).alias("height"), n.alias("n"))
+
+    def box(*values) -> F.Column:
+        return F.array(*[(v if isinstance(v, F.Column) else F.lit(v)).cast("double") for v in values])
+
+    def block(i: F.Column) -> F.Column:
+        image = (F.col("pair_id") + i) % 5 == 0
+        width = (F.col("pair_id") * 3 + i) % 4 * 10
+        span = lambda s: F.struct(F.concat(F.lit("t"), i, F.lit("."), F.lit(s)).alias("text"), box(10 + 100 * s, 20 * i, 10 + 100 * s + width, 20 * i + 10).alias("bbox"), ((F.col("pair_id") + i) % 3 * 6).cast("double").alias("size"), ((i % 4) * 8).cast("int").alias("flags"), ((F.col("pair_id") * 65793) % 16777216).cast("int").alias("color"), ((F.col("pair_id") + i) % 3 * 130).cast("int").alias("alpha"), F.lit("f").alias("font"))
+        lines_ = F.array(F.struct(F.array(span(0), span(1)).alias("spans")))
+        return F.struct(image.cast("int").alias("type"), box(10, 20 * i, 60, 20 * i + 10 * (i % 2)).alias("bbox"), F.lit(5).alias("width"), F.lit(4).alias("height"), F.when(~image, lines_).alias("lines"))
+
+    channel = lambda k: F.lpad(F.hex(F.col("pair_id") * k % 64 + 192), 2, "0")
+    own = F.concat(F.lit("#"), channel(7), channel(11), channel(13))
+    fills = F.array(
+        F.struct(box(0, 0, 500, 800 - 100 * (F.col("pair_id") % 6)).alias("bbox"), own.alias("color")),
+        F.struct(box(0, 0, 500, 500).alias("bbox"), F.lit("#FAFAFA").alias("color")),
+        F.struct(box(0, 0, 50 * (F.col("pair_id") % 11), 100).alias("bbox"), F.lit("#FFEE00").alias("color")),
+    )
+    return rows.select("pair_id", "side", "page", "width", "height", F.transform(F.sequence(F.lit(0), F.col("n") - 1), block).alias("blocks"), fills.alias("fills"))

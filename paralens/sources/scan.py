@@ -105,21 +105,23 @@ def blocks(layouts: DataFrame) -> DataFrame:
     return both.withColumn("block_ord", F.row_number().over(order) - 1).drop("place")
 
 
-def lightness(color: Column) -> Column:
-    """Mean channel of a ``#RRGGBB`` colour, 0 to 1."""
-    total = sum((F.conv(F.substring(color, k, 2), 16, 10).cast("double") for k in (2, 4, 6)), F.lit(0.0))
-    return F.when(color.rlike("^#[0-9A-Fa-f]{6}$"), total / (3 * 255))
+def darkest(color: Column) -> Column:
+    """The smallest channel of a ``#RRGGBB`` colour, 0 to 1; null if it isn't one."""
+    return F.when(color.rlike("^#[0-9A-Fa-f]{6}$"), F.least(*[F.conv(F.substring(color, k, 2), 16, 10).cast("double") for k in (2, 4, 6)]) / 255)
 
 
 def pages(layouts: DataFrame) -> DataFrame:
-    """Page sizes, the largest light fill of half a page as background, dark fills and images as dark boxes."""
+    """Page sizes, the largest light fill of half a page as background, dark fills and images as dark boxes.
+
+    A fill is dark if any of its channels is; among equal light fills the first is the background.
+    """
     area = lambda f: (f["bbox"][2] - f["bbox"][0]) * (f["bbox"][3] - f["bbox"][1])
     paper = F.col("width") * F.col("height")
     box = lambda b: F.struct(b[0].alias("x"), b[1].alias("y"), (b[2] - b[0]).alias("width"), (b[3] - b[1]).alias("height"))
     fills = F.coalesce("fills", F.array().cast("array<struct<bbox:array<double>,color:string>>"))
-    light = F.filter(fills, lambda f: (lightness(f["color"]) >= LIGHT) & (area(f) >= LIGHT_PART * paper))
-    best = F.array_max(F.transform(light, lambda f: F.struct(area(f).alias("a"), f["color"].alias("c"))))
-    dark = F.filter(fills, lambda f: (lightness(f["color"]) < LIGHT) & (area(f) >= DARK_PART * paper))
+    light = F.filter(fills, lambda f: (darkest(f["color"]) >= LIGHT) & (area(f) >= LIGHT_PART * paper))
+    best = F.array_max(F.transform(light, lambda f, i: F.struct(area(f).alias("a"), (-i).alias("nth"), F.upper(f["color"]).alias("c"))))
+    dark = F.filter(fills, lambda f: (darkest(f["color"]) < LIGHT) & (area(f) >= DARK_PART * paper))
     images = F.filter("blocks", lambda b: b["type"] == 1)
     boxes = F.concat(F.transform(dark, lambda f: box(f["bbox"])), F.transform(images, lambda b: box(b["bbox"])))
     return layouts.select("pair_id", "side", "page", "width", "height", best["c"].alias("background_color"), boxes.alias("dark_boxes"))

@@ -1,6 +1,7 @@
 """The comparison engine on small hand-made pairs, and its sequential solvers against brute force."""
 
 import itertools
+import json
 import random
 
 import numpy as np
@@ -188,6 +189,44 @@ def test_profile_rules():
         Profile.from_json('{"unknown": 1}')
 
 
+def test_published_profiles():
+    p = Profile(off=("region_shifted",), high_forces_review=False, language_thresholds={"latin-cjk": Profile().thresholds | {"untranslated_ratio": 0.5}})
+    assert Profile.from_published(json.dumps(p.published())) == p
+    text = '{"profile_id": "own", "name": "x", "matching": {"weights": {"position": 0.5, "size": 0.15}}, "detectors": {"enabled": {"font_grow": false}, "thresholds": {"alignment_edge_tolerance_ratio": 0.02, "number_mismatch_bands": [{"gte": 2, "severity": "low"}]}}, "scoring": {"critical_forces_fail": false}}'
+    q = Profile.from_published(text)
+    assert (q.position, q.size, q.type, q.off, q.critical_forces_fail) == (0.5, 0.15, 0.2, ("font_grow",), False)
+    assert q.t("alignment_edge_tolerance_ratio") == 0.02 and q.bands["number_mismatch_bands"] == ((2, "low"),) and q.profile_id == "own"
+
+
+def test_forced_verdicts_can_be_switched_off(spark):
+    entries = spark.createDataFrame([("a", 1, "pair"), ("b", 1, "pair")], "pair_id string, report_page int, kind string")
+    issues = spark.createDataFrame([("a", 1, "out_of_page", "content_out_of_page", "critical"), ("b", 1, "geometry", "font_shrink", "high")], "pair_id string, report_page int, detector string, type string, severity string")
+    status = lambda p: {r["pair_id"]: r["status"] for r in scoring.page_results(entries, issues, p).collect()}
+    assert status(Profile()) == {"a": "fail", "b": "review"}
+    assert status(Profile(critical_forces_fail=False, high_forces_review=False, pass_score=85.0)) == {"a": "review", "b": "pass"}
+
+
+def test_flows_against_a_plain_version():
+    r = np.random.default_rng(5)
+    for _ in range(60):
+        n = int(r.integers(0, 14))
+        y = np.sort(r.integers(0, 12, n) * 9.0)
+        x, w, h = r.integers(0, 60, n) * 1.0, r.integers(5, 60, n) * 1.0, r.integers(8, 14, n) * 1.0
+        kind, font = r.choice(["paragraph", "heading"], n), r.choice([10.0, 10.5, 14.0, np.nan], n)
+        want, last = [], []
+        for k in range(n):
+            fits = []
+            for f, p in enumerate(last):
+                gap, tall = y[k] - y[p] - h[p], max(h[p], h[k])
+                both = max(0.0, min(x[p] + w[p], x[k] + w[k]) - max(x[p], x[k])) / min(w[p], w[k])
+                sized = np.isnan(font[p]) or np.isnan(font[k]) or abs(font[p] - font[k]) / max(font[p], font[k]) <= 0.15
+                if kind[p] == kind[k] and y[k] >= y[p] and -0.25 * tall <= gap <= 0.6 * tall and both >= 0.3 and sized:
+                    fits.append((abs(gap), f))
+            want.append(min(fits)[1] if fits else len(last))
+            last[want[-1] : want[-1] + 1] = [k]
+        assert solvers.flows(x, y, w, h, kind, font, 0.6, 0.25, 0.3, 0.15).tolist() == want
+
+
 def test_store_rules(spark):
     old = spark.createDataFrame([("a", 1, "x"), ("b", 1, "x")], "k string, v int, d string")
     new = spark.createDataFrame([("a", 1, "y"), ("c", 0, "z")], "k string, v int, d string")
@@ -206,6 +245,8 @@ def test_layout_scan(spark):
     layouts = spark.createDataFrame([page], scan.LAYOUT)
     rows = {r["block_id"]: r for r in scan.blocks(layouts).collect()}
     assert set(rows) == {"p1-b0-l0-s0", "p1-b1-image"} and rows["p1-b0-l0-s0"]["color"] == "#0000FF" and rows["p1-b0-l0-s0"]["weight"] == 700
+    pale = layouts.withColumn("fills", F.array(F.struct(F.array(*[F.lit(v) for v in (0.0, 0.0, 100.0, 60.0)]).alias("bbox"), F.lit("#FFFFC0").alias("color"))))
+    assert scan.pages(pale).first()["background_color"] is None and len(scan.pages(pale).first()["dark_boxes"]) == 2
     paper = scan.pages(layouts).first()
     assert paper["background_color"] == "#FFFFFF" and len(paper["dark_boxes"]) == 2
 
