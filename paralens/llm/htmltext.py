@@ -10,10 +10,11 @@ indents, tables as aligned columns with spans, preformatted text as it stands.
 
 Not visible: head, script, style, template and fallback contents, ``hidden``
 elements, closed dialogs and details, and what ``display:none`` or
-``visibility:hidden`` hides, in a style attribute or by a simple selector (tag,
-class, id) of the page's own style sheets, as far as their media apply to a screen; of
-several values the important, the more specific, the later one holds.  A
-``visibility:visible`` inside shows again.
+``visibility:hidden`` hides, in a style attribute or by a selector of the page's own
+style sheets (tags, classes, ids, all of them together, descendants and children), as
+far as their media apply to a screen; of several values the important, the more
+specific, the later one holds.  A ``visibility:visible`` inside shows again.  Other
+values of ``display`` put an element on lines of its own or into the line.
 
 Null html counts as empty; repeated pages keep a row each; an empty table gives no rows.
 """
@@ -55,7 +56,8 @@ _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 _CSS = re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|[{};]|[^{};\"']+|[\"']", re.S)
 _DISPLAY = re.compile(r"none|block|inline|contents|list-item|flow-root|flex|grid|(?:inline-)(?:block|flex|grid|table)|table(?:-[a-z-]+)?|ruby(?:-[a-z-]+)?|-webkit-(?:inline-)?(?:box|flex)|(?:block|inline)(?:flow|flow-root|flex|grid|table|ruby)|run-in|initial|inherit|unset|revert(?:-layer)?")
-_SELECTOR = re.compile(r"([a-zA-Z][\w-]*)?(?:([.#])([\w-]+))?")
+_COMPOUND = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)")
+_INLINE = re.compile(r"inline.*|contents|ruby.*|-webkit-inline-.*|run-in|initial|unset")
 _COMMENT = re.compile(r"/\*.*?\*/", re.S)
 
 
@@ -250,8 +252,31 @@ def parse(text: str) -> Node:
     return root
 
 
+def _selector(text: str) -> tuple[list[tuple[str, str, set[str], set[str]]], int] | None:
+    """A selector's parts from the last to the first, each (combinator after it, tag, classes, ids), and its weight; None if it has others."""
+    parts, weight, before = [], 0, ""
+    for word in re.sub(r"\s*>\s*", " > ", text.strip()).split():
+        if word == ">":
+            if not parts or before == ">":
+                return None
+            before = ">"
+            continue
+        m = _COMPOUND.fullmatch(word)
+        if not m or not word:
+            return None
+        marks = re.findall(r"[.#][\w-]+", m[2])
+        classes, ids = ({x[1:] for x in marks if x[0] == mark} for mark in ".#")
+        tag = "" if m[1] in (None, "*") else m[1].lower()
+        if parts:
+            parts[-1] = (before or " ", *parts[-1][1:])
+        parts.append(("", tag, classes, ids))
+        weight += 100 * len(ids) + 10 * len(classes) + bool(tag)
+        before = ""
+    return (parts[::-1], weight) if parts and not before else None
+
+
 def _sheet(root: Node) -> list[tuple]:
-    """(tag, '.' or '#', name, weight, effects) of simple selectors that hide or show, from the page's style elements."""
+    """(selector's parts, weight, effects) of the rules that hide, show or lay out, from the page's style elements."""
     out: list[tuple] = []
     todo = [root]
     while todo:
@@ -261,9 +286,9 @@ def _sheet(root: Node) -> list[tuple]:
             for selectors, body in _rules(css):
                 effects = _effects(body)
                 for selector in selectors.split(",") if effects else ():
-                    m = _SELECTOR.fullmatch(selector.strip())
-                    if m and (m[1] or m[2]):
-                        out.append(((m[1] or "").lower(), m[2] or "", m[3] or "", {"#": 100, ".": 10}.get(m[2], 0) + bool(m[1]), effects))
+                    found = _selector(selector)
+                    if found:
+                        out.append((*found, effects))
         todo += [c for c in reversed(node.children) if isinstance(c, Node)]
     return out
 
@@ -356,23 +381,47 @@ def _effects(css: str) -> list[tuple[str, str, bool]]:
 class Renderer:
     def __init__(self, root: Node):
         self.rules = _sheet(root)
+        self.parents: dict[int, Node] = {}
+        if any(len(parts) > 1 for parts, _, _ in self.rules):
+            todo = [root]
+            while todo:
+                node = todo.pop()
+                inner = [c for c in node.children if isinstance(c, Node)]
+                self.parents.update((id(c), node) for c in inner)
+                todo += inner
+
+    def fits(self, node: Node, parts: list[tuple], k: int = 0) -> bool:
+        """Whether a selector's parts from the k-th on fit an element and its ancestors."""
+        _, tag, classes, ids = parts[k]
+        if tag and tag != node.name or (classes or ids) and not node.attributes:
+            return False
+        if classes and not classes <= set((node.get("class") or "").split()) or ids and ids != {node.get("id")}:
+            return False
+        if k + 1 == len(parts):
+            return True
+        above = self.parents.get(id(node))
+        if parts[k + 1][0] == ">":
+            return above is not None and self.fits(above, parts, k + 1)
+        while above is not None:
+            if self.fits(above, parts, k + 1):
+                return True
+            above = self.parents.get(id(above))
+        return False
 
     def state(self, node: Node, visible: bool) -> tuple[bool, bool]:
         """Whether the element is laid out, and whether its text is visible."""
+        return self.look(node, visible)[:2]
+
+    def look(self, node: Node, visible: bool) -> tuple[bool, bool, bool | None]:
+        """state(), and whether styles make the element a block (None: they say nothing)."""
         if node.name in UNSEEN:
-            return False, False
+            return False, False, None
         if node.attributes and node.name == "input" and (node.get("type") or "").lower() == "hidden":
-            return False, False
+            return False, False, None
         own = bool(node.attributes) and node.get("hidden") is not None or node.name == "dialog" and node.get("open") is None
         display, rank = "none" if own else "", {"display": (False, -1), "visibility": (False, -1)}
         inherited, shown = visible, visible
-        found: list[tuple[int, list]] = []
-        for tag, mark, name, weight, effects in self.rules:
-            if tag and tag != node.name:
-                continue
-            if mark == "." and name not in (node.get("class") or "").split() or mark == "#" and node.get("id") != name:
-                continue
-            found.append((weight, effects))
+        found = [(weight, effects) for parts, weight, effects in self.rules if self.fits(node, parts)]
         if node.attributes and (style := node.get("style")) is not None:
             found.append((1000, _effects(style)))
         for weight, effects in found:
@@ -381,10 +430,12 @@ class Renderer:
                     continue
                 rank[name] = important, weight
                 if name == "display":
-                    display = "none" if value == "none" or value.startswith("revert") and own else ""
+                    display = ("none" if own else "") if value.startswith("revert") else value
                 else:
                     shown = value in ("visible", "initial") or value not in ("hidden", "collapse") and inherited
-        return (False, False) if display == "none" else (True, shown)
+        if display == "none":
+            return False, False, None
+        return True, shown, None if display in ("", "inherit") else not _INLINE.fullmatch(display)
 
     def block(self, node: Node, visible: bool = True, pre: bool = False) -> list[str]:
         """The lines of an element's contents; blank lines only between other lines."""
@@ -441,7 +492,7 @@ class Renderer:
             if callable(item):
                 item()
                 continue
-            laid, inner = self.state(item, shown)
+            laid, inner, as_block = self.look(item, shown)
             if not laid:
                 continue
             name = item.name
@@ -476,7 +527,7 @@ class Renderer:
                 if name in SPACED and not (name in ("ul", "ol") and node.name in ("li", "ul", "ol")):
                     blank()
                 continue
-            if name in BLOCK or name in TABLE_PARTS:
+            if name in BLOCK or name in TABLE_PARTS if as_block is None else as_block:
                 end_line()
                 if name in SPACED:
                     blank()

@@ -522,6 +522,22 @@ def test_html_style_cascade():
     assert htmltext.render("<p hidden style='display:block'>a</p><p hidden>b")[1] == "a"
 
 
+def test_html_selectors_and_display():
+    for page, text in {
+        "a<span style=display:block>b</span>c": "a\nb\nc",
+        "<style>.b{display:flex}</style>a<b class=b>b</b>c": "a\nb\nc",
+        "<style>.b{display:inline-block}</style>a<div class=b>b</div>c": "abc",
+        "<style>div .n{display:none}</style><div><i><b class=n>x</b></i></div><b class=n>y</b>": "y",
+        "<style>div>.n{display:none}</style><div><i><b class=n>x</b></i><b class=n>z</b></div>": "x",
+        "<style>#a b.n i{display:none}</style><p id=a><b class='m n'><u><i>x</i></u></b><b><i>y</i></b>": "y",
+        "<style>p.a.b{visibility:hidden}</style><p class='b a'>z</p><p class=a>w": "w",
+        "<style>div .n{display:none} .n{display:inline}</style><div><b class=n>x</b></div>y": "y",
+        "<style>a:hover,.n[x]{display:none} ul > li + li{display:none}</style><ul><li>p<li>q</ul>": "- p\n- q",
+        "<style>> b{display:none} b >{display:none}</style><b>x</b>": "x",
+    }.items():
+        assert htmltext.render(page)[1] == text, page
+
+
 def test_html_query_covers_all_pages(spark):
     pages = spark.createDataFrame([(1, "<p>a", "z"), (1, "<p>a", "z"), (2, None, None)], "page_id long, html string, text string")
     assert sorted((x["id"], x["text"]) for x in htmltext.rendered(pages).collect()) == [(1, "a"), (1, "a"), (2, "")]
