@@ -128,7 +128,7 @@ CTES = {
     "clear_lines": "select pair_id, i, i // 6 + 1 as page, i % 6 as k, pair_id % 4 as edit, cast(20 + 45 * ((i // 6 + 1) % 4) as double) as x0, cast(30 + 120 * (i % 6) + 20 * ((i // 6 + 1) % 3) as double) as y, cast(60 + 10 * ((i * 7) % 9) as double) as w0, case when i % 3 <> 0 then 10.0::double else 90.0::double end as gap, case when pair_id % 4 = 1 then i // 6 when pair_id % 4 = 2 then i // 6 + 2 else i // 6 + 1 end as to_page, pair_id % 4 = 0 and i % 7 = 5 and i % 3 <> 0 as raster from lines",
     "clear_parts": "select *, 0 as part, x0 as x, case when i % 3 = 0 then w0 else w0 + gap + 40 end as width, case when i % 3 = 0 then 'label ' || i else 'label ' || i || chr(10) || 'value' end as text from clear_lines union all select *, 1, x0 + w0 + gap, 40.0::double, 'value' from clear_lines where i % 3 = 0",
     "clear_all": """select pair_id, 'source' as side, page, i, k, part, x, y, width, 20.0::double as height, 'paragraph' as type, text from clear_parts
-        union all select pair_id, 'target', to_page, i, k, part, x + 3, y, width, 20.0::double, 'paragraph', text from clear_parts where not (edit = 1 and page = 1) and not (edit = 3 and i % 5 = 4)
+        union all select pair_id, 'target', to_page, i, k, part, x + 3, y, width, 20.0::double, 'paragraph', text from clear_parts where not (edit = 1 and page = 1) and not (edit = 3 and k = 5)
         union all select pair_id, 'target', page, i, 100 + k, 0, x0 + 3, y, w0 + 50, 20.0::double, 'image', null from clear_lines where raster
         union all select pair_id, 'target', 1, -1, 0, 0, 200.0::double, 400.0::double, 90.0::double, 25.0::double, 'paragraph', 'front' from clear_lines where edit = 2 and i = 0""",
     "clear_regions": "select *, 'p' || page || '-r' || k || case when part > 0 then '-c' || (part + 1) else '' end as region_id, row_number() over (partition by pair_id, side, page order by y, x, k, part) - 1 as region_ord from clear_all",

@@ -135,7 +135,7 @@ def clear_blocks(documents: DataFrame) -> DataFrame:
         r = r.withColumn("page", page.cast("long"))
         return _text_block(r, side, block_ord=(F.col("k") * 2 + F.col("s")).cast("int"), block_id=F.concat(F.lit("p"), F.col("page"), F.lit("-b"), F.col("k"), F.lit("-s"), F.col("s")), x=x, width=F.when(F.col("s") == 1, 40.0).otherwise(F.col("w0")), text=F.when(F.col("s") == 1, F.lit("value")).otherwise(F.concat(F.lit("label "), F.col("i"))), source_block_index=F.col("k").cast("int"), opacity=opacity)
 
-    target = spans.where("not (edit = 1 and page = 1) and not (edit = 3 and i % 5 = 4)")
+    target = spans.where("not (edit = 1 and page = 1) and not (edit = 3 and k = 5)")
     moved = F.when(F.col("edit") == 1, F.col("page") - 1).when(F.col("edit") == 2, F.col("page") + 1).otherwise(F.col("page"))
     raster = (F.col("edit") == 0) & (F.col("i") % 7 == 5) & (F.col("i") % 3 != 0)
     none = F.lit(None)
