@@ -287,6 +287,23 @@ def test_quality_ratio_against_brute_force(spark):
     assert any(x["kept"] for x in found) and any(not x["kept"] and not x["base_failed"] for x in found)
 
 
+def test_quality_threshold_follows_held_out_documents(spark):
+    r = random.Random(41)
+    rows = [" ".join(r.choices(WORDS[:12] if k % 2 else WORDS[8:], k=r.randint(25, 60))) for k in range(200)]
+    docs = documents(spark, rows, extra=False)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(160)], "doc_id long, quality int")
+    found = {x["id"]: x for x in quality.assessed(docs, labels, keep=0.9).collect()}
+    held = [k for k in range(160) if k % 2 and zlib.crc32(str(k).encode()) % 4 == quality.HELD_OUT]
+    weight = quality.weights(docs, labels, held_out=quality.HELD_OUT)
+    least = quality.derived_threshold(docs, labels, weight, keep=0.9)
+    ratios = sorted((found[k]["ratio"] for k in held), reverse=True)
+    assert least <= ratios[-(-9 * len(held) // 10) - 1] < least + 0.001 + 1e-9
+    assert all(found[k]["kept"] == (not found[k]["base_failed"] and found[k]["ratio"] >= least) for k in found)
+    assert sum(found[k]["kept"] for k in range(161, 200, 2)) > 3 * sum(found[k]["kept"] for k in range(160, 200, 2))
+    none = quality.assessed(docs, labels.where("quality = 0")).collect()
+    assert all(x["ratio"] == 0 and x["kept"] == (not x["base_failed"]) for x in none)
+
+
 def test_pipeline_toxicity_stage_rejects(spark, tmp_path):
     import corpus_pipeline
 
