@@ -44,7 +44,9 @@ def numbers(text: Column) -> Column:
 
 
 def count_of(text: Column, pattern: str) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(pattern))
+    """How many characters of a text a pattern of single characters takes."""
+    text = F.coalesce(text, F.lit(""))
+    return F.length(text) - F.length(F.regexp_replace(text, f"(?:{pattern})+", ""))
 
 
 def letters(text: Column) -> Column:
@@ -66,10 +68,8 @@ def script_letters(text: Column, script: Column) -> Column:
 
 def main_script(text: Column) -> Column:
     """The script with most letters; null without letters or on a tie."""
-    votes = F.array(*[F.struct(count_of(text, p).alias("n"), F.lit(s).alias("script")) for s, p in SCRIPTS.items()])
-    top = F.array_max(F.transform(votes, lambda v: v["n"]))
-    best = F.filter(votes, lambda v: v["n"] == top)
-    return F.when((top > 0) & (F.size(best) == 1), F.get(best, 0)["script"])
+    votes = F.sort_array(F.array(*[F.struct(count_of(text, p).alias("n"), F.lit(s).alias("script")) for s, p in SCRIPTS.items()]), asc=False)
+    return F.when((votes[0]["n"] > 0) & (votes[0]["n"] > votes[1]["n"]), votes[0]["script"])
 
 
 def term_hit(text: Column, term: Column, case_sensitive: Column) -> Column:

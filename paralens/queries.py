@@ -114,12 +114,13 @@ def structured_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def covered_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source regions that target text covers, of those that a part of the matches leaves alone."""
     from .functions import geometry as g
 
     c = known(spark, sf_dir)
-    alone, _ = matching.unmatched(c.context.source, c.context.target, c.matches)
-    texts = c.context.target.where(g.is_text("t_type")).select("pair_id", "report_page", "t_x", "t_y", "t_width", "t_height")
-    hits = alone.where("s_type <> 'image'").join(texts, ["pair_id", "report_page"]).where(g.intersection_ratio("s_", "t_") >= c.context.profile.merged_coverage)
+    alone, _ = matching.unmatched(c.source, c.target, c.matches.where("s_region_ord % 6 <> 0"))
+    texts = c.target.where(g.is_text("t_type")).select("pair_id", "report_page", "t_x", "t_y", "t_width", "t_height")
+    hits = alone.where("s_type <> 'image'").join(texts, ["pair_id", "report_page"]).where(g.intersection_ratio("s_", "t_") >= c.profile.merged_coverage)
     return hits.select("pair_id", "report_page", F.col("s_region_id").alias("region_id")).distinct()
 
 
@@ -136,8 +137,15 @@ def stage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def integrity_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breaches of every rule of the data model, put into the known tables."""
     c = known(spark, sf_dir)
-    return grouping.integrity(c.blocks, c.pages, c.regions).groupBy("rule").agg(F.count("*").alias("n"))
+    b = c.blocks.withColumn("width", F.when((F.col("pair_id") % 11 == 3) & (F.col("page") == 1), 0.0).otherwise(F.col("width")))
+    b = b.where("not (pair_id % 5 = 4 and block_ord = 1 and side = 'target')")
+    p = c.pages.where("not (pair_id % 13 = 5 and page = 2)").withColumn("width", F.when(F.col("pair_id") % 19 == 2, 0.0).otherwise(F.col("width")))
+    r = c.regions
+    twice = lambda df, which: df.unionByName(df.where(which))
+    found = grouping.integrity(twice(b, "pair_id % 7 = 0 and block_ord = 0"), twice(p, "pair_id % 17 = 1"), twice(r, "pair_id % 23 = 4 and region_ord = 0"))
+    return found.groupBy("rule").agg(F.count("*").alias("n"))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
