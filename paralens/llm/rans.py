@@ -25,9 +25,20 @@ LOW = np.uint64(1 << 31)
 U64 = np.uint64
 
 
-def table_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Symbols in ascending order, their frequencies (at least 1, total 2**bits) and the bits."""
-    symbols, counts = np.unique(ids, return_counts=True)
+def symbols_of(ids: np.ndarray, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different ids, ascending, the place of each id among them, and their counts; memory doesn't grow with the ids' size."""
+    if len(ids) and ids.max() < most:
+        counts = np.bincount(ids)
+        symbols = np.flatnonzero(counts)
+        row = np.zeros(len(counts), dtype=np.int64)
+        row[symbols] = np.arange(len(symbols))
+        return symbols.astype(np.uint32), row[ids], counts[symbols]
+    symbols, rows, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    return symbols.astype(np.uint32), rows.astype(np.int64), counts
+
+
+def table_of(symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """Frequencies of the symbols (at least 1, total 2**bits) and the bits."""
     bits = min(24, max(12, int(4 * max(1, len(symbols)) - 1).bit_length()))
     if len(symbols) > 1 << bits:
         raise ValueError("too many different ids for one table")
@@ -35,7 +46,7 @@ def table_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     freq = freq.astype(np.int64)
     if len(freq):
         freq[np.argmax(counts)] += (1 << bits) - freq.sum()
-    return symbols.astype(np.uint32), freq.astype(np.uint32), bits
+    return freq.astype(np.uint32), bits
 
 
 def _encode(sym: np.ndarray, freq: np.ndarray, start: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,14 +86,13 @@ def _decode(state: np.ndarray, words: np.ndarray, begin: np.ndarray, steps: int,
 def encode(ids: np.ndarray, lanes: int = 32, steps: int = 512) -> bytes:
     """One segment of the ids (unsigned, below 2**32); no ids give a segment without blocks."""
     ids = np.asarray(ids)
-    symbols, freq, bits = table_of(ids)
+    symbols, rows, counts = symbols_of(ids)
+    freq, bits = table_of(symbols, counts)
     table = zlib.compress(symbols.astype("<u4").tobytes() + freq.astype("<u4").tobytes(), 1)
     size = lanes * steps
     whole = len(ids) // size
     out = [b""]
-    row = np.zeros(int(symbols[-1]) + 1 if len(symbols) else 0, dtype=np.int64)
-    row[symbols] = np.arange(len(symbols))
-    rows, f64 = row[ids], freq.astype(U64)
+    f64 = freq.astype(U64)
     begin = np.concatenate([[0], np.cumsum(f64)[:-1]]).astype(U64) if len(f64) else f64
     parts = [(rows[: whole * size].reshape(whole, steps, lanes), [size] * whole)] if whole else []
     if rest := len(ids) - whole * size:
@@ -90,10 +100,10 @@ def encode(ids: np.ndarray, lanes: int = 32, steps: int = 512) -> bytes:
         padded = np.full(left * lanes, int(np.argmax(freq)))
         padded[:rest] = rows[whole * size :]
         parts.append((padded.reshape(1, left, lanes), [rest]))
-    for sym, counts in parts:
+    for sym, sizes in parts:
         state, words, used = _encode(sym, f64, begin, bits)
         ends = np.cumsum(used)
-        for k, n in enumerate(counts):
+        for k, n in enumerate(sizes):
             body = state[k].astype("<u8").tobytes() + words[ends[k] - used[k] : ends[k]].astype("<u4").tobytes()
             out += [BLOCK.pack(n, int(used[k]), zlib.crc32(body)), body]
     out[0] = HEADER.pack(MAGIC, VERSION, bits, lanes, steps, len(ids), sum(len(c) for _, c in parts), len(table), zlib.crc32(table)) + table

@@ -595,6 +595,7 @@ def test_rans_round_trip_and_checksums():
         ids = np.minimum(r.zipf(1.3, n), 2**31).astype(np.uint32)
         data = rans.encode(ids)
         assert (rans.decode(data) == ids).all()
+        assert (rans.decode(rans.encode(ids % 5000)) == ids % 5000).all()
         if n > 40_000:
             assert (rans.decode(data, 1, 2) == ids[16384 : 3 * 16384]).all()
             broken = bytearray(data)
