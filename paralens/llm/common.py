@@ -83,3 +83,4 @@ def whole_groups(batches, keys: list[str]):
             held.append(batch)
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    pa.default_memory_pool().release_unused()

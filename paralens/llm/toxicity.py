@@ -52,7 +52,7 @@ DISCOUNT, CAUTION, HELD_OUT, FIT, FOLDS = 0.75, 10.0, 2, 3, 4
 #: labelled rows of the fit, by order of a hash of their ids; labels that are broadcast for the join at most
 FIT_ROWS, BROADCAST_LABELS = 20_000, 2_000_000
 #: counted expressions of a shard; bytes of text whose expressions are dealt together; the least share of a broadcast expression
-SHARD_KEYS, SLICE, FREQUENT = 1 << 20, 1 << 23, 18
+SHARD_KEYS, SLICE, FREQUENT = 1 << 20, 1 << 22, 18
 #: bytes of text for which there is a shard; bits of the places in the bit table
 SHARD_BYTES, TABLE = 1 << 26, 27
 COUNTED = "shard int, codes binary, counts binary"
@@ -111,6 +111,11 @@ def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
     return source.join(F.broadcast(marks) if small else marks, "id")
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of a batch one by one, as Python values."""
+    return (tuple(v.as_py() for v in row) for row in zip(*batch.columns))
+
+
 def _planes(values: np.ndarray) -> bytes:
     """The values compressed by their bytes, all lowest ones first."""
     raw = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
@@ -162,7 +167,7 @@ def _merged(rows: DataFrame, shards: int) -> DataFrame:
         held: list[tuple] = []
         at, size = None, 0
         for batch in batches:
-            for shard, codes, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            for shard, codes, counts in _rows(batch):
                 if held and shard != at:
                     yield flush()
                     held, size = [], 0
@@ -217,7 +222,7 @@ def word_counts(pairs: DataFrame, shards: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, codes, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            for _, codes, counts in _rows(batch):
                 codes, counts = _uncounted(codes, counts)
                 words = W.mix(W.unmix(codes) & U64(0xFFFFFFFF))
                 yield _counted(*_added(words, np.concatenate([counts > 0, counts.sum(axis=0, keepdims=True)])), shards)
@@ -261,7 +266,7 @@ def _totals(counted: DataFrame, kind: str) -> dict:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for codes, counts in zip(*(c.to_pylist() for c in batch.select(["codes", "counts"]).columns)):
+            for codes, counts in _rows(batch.select(["codes", "counts"])):
                 codes, counts = _uncounted(codes, counts)
                 out = []
                 for own in counts[:2]:
@@ -348,7 +353,7 @@ class Model:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for codes, own in zip(*(c.to_pylist() for c in batch.select(["codes", "counts"]).columns)):
+                for codes, own in _rows(batch.select(["codes", "counts"])):
                     codes, own = _uncounted(codes, own)
                     some = ((own[2] if len(own) > 2 else own.sum(axis=0)) >= least) == frequent
                     keys, value = keys_of(codes[some], pairs, bits), counts.evidence(own[0][some], own[1][some]).astype("<f4")
@@ -410,7 +415,7 @@ def _looked_up(rows: DataFrame) -> DataFrame:
         shard, held, keys, values = None, [], np.zeros(0, U64), np.zeros(0, "<f4")
         for batch in batches:
             out = []
-            for at, kind, slice_, own, one, other in zip(*(c.to_pylist() for c in batch.columns)):
+            for at, kind, slice_, own, one, other in _rows(batch):
                 if at != shard:
                     shard, held, keys, values = at, [], np.zeros(0, U64), np.zeros(0, "<f4")
                 if kind == 0:
@@ -463,7 +468,7 @@ def _summed(parts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(h), *map(pa.array, values)], names=["h", *SUMS])
 
         for batch in batches:
-            for slice_, docs, n, sums in zip(*(c.to_pylist() for c in batch.columns)):
+            for slice_, docs, n, sums in _rows(batch):
                 if held and slice_ != at:
                     yield flush()
                     held = []
@@ -489,7 +494,9 @@ def evidence(docs: DataFrame, rows: DataFrame, text: str = "text", shard_keys: i
     dealt = model.rows().union(_text_rows(source, model, frequent)).repartition(model.shards, "shard").sortWithinPartitions("shard", "kind")
     found = _summed(_looked_up(dealt).repartition("slice").sortWithinPartitions("slice"))
     # copies of a text have the same sums
-    return stored(found.groupBy("h").agg(*[F.max(s).alias(s) for s in SUMS]), "evidence")
+    sums = stored(found.groupBy("h").agg(*[F.max(s).alias(s) for s in SUMS]), "evidence")
+    frequent.destroy()
+    return sums
 
 
 def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", name: str = "toxicity", fit_rows: int = FIT_ROWS, **options) -> DataFrame:

@@ -18,13 +18,15 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
+#: bytes that are hashed at once
+PIECE = 1 << 18
 
 
 def _powers(kind: str, base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept between calls."""
     have = _POWERS.get(kind)
     if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 20), base, dtype=U64)
+        steps = np.full(max(n, PIECE + 1), base, dtype=U64)
         steps[0] = 1
         have = _POWERS[kind] = np.cumprod(steps, dtype=U64)
     return have[:n]
@@ -87,10 +89,20 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        n = len(self.data)
-        sums = np.zeros(n + 1, dtype=U64)
-        np.cumsum((self.data.astype(U64) + U64(0x51)) * _powers("up", _BASE, n), out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * _powers("down", _INVERSE, n + 1)[self.start])
+        out = np.empty(len(self), dtype=U64)
+        done = 0
+        while done < len(self):
+            # pieces of bounded size (one word at least), so that a long text needs little memory
+            base = self.start[done]
+            upto = max(done + 1, int(np.searchsorted(self.end, base + PIECE, side="right")))
+            piece = self.data[base : self.end[upto - 1]]
+            n = len(piece)
+            sums = np.zeros(n + 1, dtype=U64)
+            np.cumsum((piece.astype(U64) + U64(0x51)) * _powers("up", _BASE, n), out=sums[1:])
+            start = self.start[done:upto] - base
+            out[done:upto] = mix((sums[self.end[done:upto] - base] - sums[start]) * _powers("down", _INVERSE, n + 1)[start])
+            done = upto
+        return out
 
     def spaced(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The texts with one space between words: bytes, and each word's start and end there."""
@@ -140,6 +152,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 19)
             upto = max(done + 1, int(np.searchsorted(sizes, base + most, side="right")))
             yield batch.slice(done, upto - done)
             done = upto
+    # workers live on after their tasks: what Arrow keeps for later goes back
+    pa.default_memory_pool().release_unused()
 
 
 def folded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
