@@ -49,7 +49,7 @@ U64 = np.uint64
 BUCKETS, CHUNK = 1 << 22, 1 << 16
 THRESHOLD, LIST_ROWS, MOST_LEVEL = 0.8, 1 << 14, 11
 #: bytes of packed sets that are expanded into posts at once; bytes of posts of a shard
-FLUSH, SHARD = 4 << 20, 16 << 20
+FLUSH, SHARD = 4 << 20, 4 << 20
 
 
 def _dense(rows: DataFrame, fill, size: int) -> np.ndarray:
