@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, linededup, pii, quality, sentencepieces, simhash, tokenbin, toxicity, urlfilter
+from . import decontam, exactdedup, htmltext, linededup, pii, quality, sentencepieces, simhash, tokenbin, toxicity, urlfilter
 from .common import shared, table
 
 END_OF_TEXT = 2
@@ -72,6 +72,11 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read(spark, path).withColumnRenamed("id", "doc_id")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exactdedup.groups(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha256").alias("text_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_sentencepiece": op2_sentencepiece,
@@ -83,8 +88,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_personal_data": op9_personal_data,
     "op10_token_binary": op10_token_binary,
+    "op11_exact_dedup": op11_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": urlfilter.sql(URL_RULES),
+    "op11_exact_dedup": exactdedup.sql(),
 }
