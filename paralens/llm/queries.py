@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exactdedup, htmltext, linededup, pii, quality, sentencepieces, simhash, tokenbin, toxicity, urlfilter
+from . import convrepair, decontam, exactdedup, htmltext, linededup, pii, quality, sentencepieces, simhash, tokenbin, toxicity, urlfilter
 from .common import shared, table
 
 END_OF_TEXT = 2
@@ -77,6 +77,10 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha256").alias("text_sha256"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convrepair.of_damaged(table(spark, sf_dir, "conversations")).withColumnRenamed("id", "conv_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_sentencepiece": op2_sentencepiece,
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_personal_data": op9_personal_data,
     "op10_token_binary": op10_token_binary,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
