@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import convrepair, decontam, exactdedup, htmltext, linededup, pii, quality, sentencepieces, simhash, tokenbin, toxicity, urlfilter
+from . import convrepair, convtrie, decontam, exactdedup, htmltext, linededup, pii, quality, sentencepieces, simhash, tokenbin, toxicity, urlfilter
 from .common import shared, table
 
 END_OF_TEXT = 2
@@ -81,6 +81,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convrepair.of_damaged(table(spark, sf_dir, "conversations")).withColumnRenamed("id", "conv_id")
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convtrie.trie(convtrie.rebuilt(convtrie.sequences(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_sentencepiece": op2_sentencepiece,
@@ -94,9 +98,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_binary": op10_token_binary,
     "op11_exact_dedup": op11_exact_dedup,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": urlfilter.sql(URL_RULES),
     "op11_exact_dedup": exactdedup.sql(),
+    "op13_conversation_trie": convtrie.sql(),
 }
