@@ -59,7 +59,7 @@ def size_similarity(a: str, b: str) -> Column:
     return (part("width") + part("height")) / 2
 
 
-def type_similarity(a: str, b: str, both_text: float) -> Column:
+def type_similarity(a: str, b: str, both_text: Column | float) -> Column:
     return F.when(F.col(a) == F.col(b), 1.0).when(is_text(a) & is_text(b), both_text).otherwise(0.0)
 
 

@@ -1,8 +1,11 @@
 """Detectors: each turns a comparison's tables into rows of one issue table.
 
 Columns of an issue: pair_id, report_page, page, issue_id, type, severity,
-source_region, target_region, x, y, width, height, metrics (JSON), detector,
+source_region, target_region, x, y, width, height, evidence (evidence.ALL), detector,
 detector_ord (the order in which detectors run), row_ord (order within one).
+
+The tables lie in buckets by page pair, so no detector moves them: regions meet regions,
+matches, flows and page data on the page pair and further columns.
 """
 
 from __future__ import annotations
@@ -17,10 +20,11 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as g
 from ..functions import text as tx
-from ..plans.profile import Profile
-from . import solvers
+from ..plans.rules import Rules
+from . import evidence as ev
+from . import solvers, terms
 from .groupwise import per_group
-from .matching import PAIR
+from .matching import PAIR, banded, meeting
 
 ORDER = {name: k for k, name in enumerate(("page", "rasterized", "missing", "added", "alignment", "geometry", "fragmented", "invisible", "out_of_page", "overlap", "vectorized", "numbers", "untranslated", "glossary"))}
 
@@ -28,40 +32,22 @@ ORDER = {name: k for k, name in enumerate(("page", "rasterized", "missing", "add
 class Context(Protocol):
     """The tables of a comparison that detectors read; ``source`` and ``target`` hold regions of paired pages."""
 
-    profile: Profile
-    entries: DataFrame
-    pages: DataFrame
-    regions: DataFrame
+    rules: Rules
+    sheets: DataFrame
     source: DataFrame
     target: DataFrame
-    matches: DataFrame
-    diffs: DataFrame
+    laid: DataFrame
     claims: DataFrame
-    vectorized: DataFrame
-    flows: tuple[DataFrame, DataFrame]
+    lines: DataFrame
+    flows: DataFrame
     glossary: DataFrame | None
 
 
-def _box(p: str) -> Column:
-    return F.struct(*[F.col(f"{p}{c}").alias(c) for c in ("x", "y", "width", "height")])
-
-
-def evidence(source: bool, target: bool, match: bool = False) -> dict[str, Column]:
-    """What an issue tells of its regions."""
-    out: dict[str, Column] = {}
-    for yes, p, name in ((source, "s_", "source"), (target, "t_", "target")):
-        if yes:
-            out |= {f"{name}_text": F.col(f"{p}text"), f"{name}_bbox": _box(p), f"{name}_region_type": F.col(f"{p}type")}
-    if match:
-        out |= {"match_score": F.col("score"), "match_metrics": F.struct("position", "size", "type", "order")}
-    return out
-
-
-def _issues(df: DataFrame, detector: str, kind: Column | str, severity: Column | str, issue_id: Column, metrics: dict[str, Column], page: str = "t_page", source: Column | None = None, target: Column | None = None, box: str | None = None, row_ord: Column | None = None) -> DataFrame:
+def _issue(detector: str, kind: Column | str, severity: Column | str, issue_id: Column, told: dict[str, Column], page: str = "t_page", source: Column | None = None, target: Column | None = None, box: str | None = None, row_ord: Column | None = None) -> Column:
+    """An issue as a struct, without its page pair."""
     as_column = lambda v: F.lit(v) if isinstance(v, str) else v
     none = F.lit(None)
-    return df.select(
-        *PAIR,
+    return F.struct(
         F.col(page).alias("page"),
         issue_id.alias("issue_id"),
         as_column(kind).alias("type"),
@@ -69,38 +55,57 @@ def _issues(df: DataFrame, detector: str, kind: Column | str, severity: Column |
         (none if source is None else source).cast("string").alias("source_region"),
         (none if target is None else target).cast("string").alias("target_region"),
         *[(none.cast("double") if box is None else F.col(f"{box}{c}")).alias(c) for c in ("x", "y", "width", "height")],
-        F.to_json(F.struct(*[v.alias(k) for k, v in metrics.items()])).alias("metrics"),
+        ev.struct(told).alias("evidence"),
         F.lit(detector).alias("detector"),
         F.lit(ORDER[detector]).alias("detector_ord"),
         (F.lit(0) if row_ord is None else row_ord).cast("long").alias("row_ord"),
     )
 
 
+def _issues(df: DataFrame, *args, **options) -> DataFrame:
+    return df.select(*PAIR, _issue(*args, **options).alias("i")).select(*PAIR, "i.*")
+
+
+def _each(df: DataFrame, hits: list[tuple[Column, Column]]) -> DataFrame | None:
+    """The issues of all (condition, issue) that a row meets, in one pass."""
+    if not hits:
+        return None
+    found = F.filter(F.array(*[F.when(F.coalesce(hit, F.lit(False)), issue) for hit, issue in hits]), lambda i: i.isNotNull())
+    return df.select(*PAIR, F.explode(found).alias("i")).select(*PAIR, "i.*")
+
+
 def _id(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
+def _on(c: Context, toggle: str) -> Column | None:
+    """Whether the row's profile has a detector on; None: no row's has."""
+    if c.rules.carried:
+        return F.col(f"rules.detectors.on.{toggle}")
+    return F.lit(True) if c.rules.profile.on(toggle) else None
+
+
 def page_issues(c: Context) -> DataFrame:
     """Source pages without a target page, and target pages without a source page."""
-    counts = c.regions.groupBy("pair_id", "side", "page").agg(F.count("*").alias("n"))
+    lost = _issue("page", "page_missing", "critical", _id("p", F.col("report_page"), "-missing-page"), {"source_region_count": F.col("s_n")}, page="report_page")
+    extra = _issue("page", "added_element", "high", _id("p", F.col("report_page"), "-extra-page"), {"target_region_count": F.col("t_n")}, page="report_page")
+    return _each(c.sheets, [(F.col("kind") == "missing", lost), (F.col("kind") == "extra", extra)])
 
-    def side(kind: str, name: str, column: str, key: str) -> DataFrame:
-        rows = c.entries.where(F.col("kind") == kind).withColumn("page", F.col(column))
-        own = counts.where(F.col("side") == name).drop("side")
-        rows = rows.join(own, ["pair_id", "page"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        missing = kind == "missing"
-        return _issues(rows, "page", "page_missing" if missing else "added_element", "critical" if missing else "high", _id("p", F.col("report_page"), "-missing-page" if missing else "-extra-page"), {key: F.col("n")}, page="report_page")
 
-    return side("missing", "source", "s_page", "source_region_count").unionByName(side("extra", "target", "t_page", "target_region_count"))
+def _matched(c: Context) -> DataFrame:
+    return c.laid.where("s_region_id is not null")
+
+
+def _claimed(c: Context) -> DataFrame:
+    """(pair, t_region_id, claimed): the text and the image of each claim."""
+    return c.claims.select(*PAIR, F.explode(F.array(F.struct(F.col("t_region_id").alias("id"), F.lit("text").alias("claimed")), F.struct(F.col("i_region_id").alias("id"), F.lit("image").alias("claimed")))).alias("r")).select(*PAIR, F.col("r.id").alias("t_region_id"), "r.claimed")
 
 
 def rasterized(c: Context) -> DataFrame:
     """(pair, text, image) claims: transparent matched text under an unmatched image, with what an issue needs."""
-    p = c.profile
-    text = c.diffs.where(g.is_text("s_type") & g.is_text("t_type") & (F.col("t_opacity") <= p.t("invisible_opacity_threshold")))
-    images = c.target.where("t_type = 'image'").join(c.matches, [*PAIR, "t_region_id"], "left_anti")
-    images = images.select(*PAIR, *[F.col(f"t_{k}").alias(f"i_{k}") for k in ("region_id", "region_ord", "x", "y", "width", "height")])
-    near = text.join(images, PAIR).withColumn("overlap", g.intersection_ratio("t_", "i_")).where(F.col("overlap") >= p.t("rasterized_image_overlap_ratio"))
+    text = _matched(c).where(g.is_text("s_type") & g.is_text("t_type") & (F.col("t_opacity") <= c.rules.t("invisible_opacity_threshold")))
+    images = c.laid.where("t_type = 'image' and s_region_id is null").select(*PAIR, "sp_height", "tp_height", "bands", *[F.col(f"t_{k}").alias(f"i_{k}") for k in ("region_id", "region_ord", "x", "y", "width", "height")])
+    near = meeting(text, "t_", banded(images, "i_").drop("sp_height", "tp_height", "bands"), "i_").withColumn("overlap", g.intersection_ratio("t_", "i_")).where(F.col("overlap") >= c.rules.t("rasterized_image_overlap_ratio")).drop("band", "t_band", "i_band")
 
     def solve(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         kept = solvers.claim([((-o, t, i), t, i) for o, t, i in zip(rows["overlap"], rows["t_region_id"], rows["i_region_id"])])
@@ -113,98 +118,115 @@ def rasterized(c: Context) -> DataFrame:
 
 
 def rasterized_issues(c: Context, claims: DataFrame) -> DataFrame:
-    metrics = evidence(True, True, True) | {
+    # what is told of the image wins over what is told of the text
+    told = ev.of("s_", "t_", True) | {
         "region_type": F.lit("image"),
         "type_change": F.lit("text->image"),
         "text_opacity": F.col("t_opacity"),
         "image_overlap_ratio": F.col("overlap"),
         "invisible_text_region": F.col("t_region_id"),
-        "invisible_text_bbox": _box("t_"),
+        "invisible_text_bbox": ev.box("t_"),
         "visible_image_region": F.col("i_region_id"),
-        "target_bbox": _box("i_"),
+        "target_bbox": ev.box("i_"),
         "target_region_type": F.lit("image"),
     }
-    return _issues(claims, "rasterized", "text_rasterized", c.profile.severity("text_rasterized", "high"), _id("p", F.col("t_page"), "-rasterized-", F.col("i_region_id")), metrics, source=F.col("s_region_id"), target=F.col("i_region_id"), box="i_", row_ord=F.col("i_region_ord"))
+    return _issues(claims, "rasterized", "text_rasterized", c.rules.severity("text_rasterized", "high"), _id("p", F.col("t_page"), "-rasterized-", F.col("i_region_id")), told, source=F.col("s_region_id"), target=F.col("i_region_id"), box="i_", row_ord=F.col("i_region_ord"))
 
 
-def missing_issues(c: Context) -> DataFrame:
-    """Unmatched source regions, but text that target text covers; the page is the source page."""
-    alone = c.source.join(c.matches, [*PAIR, "s_region_id"], "left_anti")
-    texts = c.target.where(g.is_text("t_type")).select(*[F.col(k).alias(f"o_{k}") for k in PAIR], *[F.col(f"t_{k}").alias(f"o_{k}") for k in ("x", "y", "width", "height")])
-    covers = (F.col("pair_id") == F.col("o_pair_id")) & (F.col("report_page") == F.col("o_report_page")) & (F.col("s_type") != "image") & (g.intersection_ratio("s_", "o_") >= c.profile.merged_coverage)
-    image = F.col("s_type") == "image"
-    rows = alone.join(texts, covers, "left_anti")
-    return _issues(rows, "missing", F.when(image, "missing_image").otherwise("missing_element"), F.when(image, "critical").otherwise("high"), _id("p", F.col("s_page"), "-missing-", F.col("s_region_id")), {"region_type": F.col("s_type")} | evidence(True, False), page="s_page", source=F.col("s_region_id"), box="s_", row_ord=F.col("s_region_ord"))
+def covered(c: Context, rows: DataFrame) -> DataFrame:
+    """The source regions of ``rows`` that target text covers: pair and s_region_id, once each."""
+    texts = c.target.where(g.is_text("t_type")).select(*PAIR, "sp_height", "tp_height", "bands", *[F.col(f"t_{k}").alias(f"o_{k}") for k in ("x", "y", "width", "height")])
+    near = meeting(rows.where("s_type <> 'image'"), "s_", banded(texts, "o_").drop("sp_height", "tp_height", "bands"), "o_")
+    return near.where(g.intersection_ratio("s_", "o_") >= c.rules.value("merged_coverage")).select(*PAIR, "s_region_id").distinct()
 
 
-def added_issues(c: Context, claims: DataFrame) -> DataFrame:
-    """Unmatched target regions, but images that stand for rasterized text."""
-    alone = c.target.join(c.matches, [*PAIR, "t_region_id"], "left_anti")
-    alone = alone.join(claims.select(*PAIR, F.col("i_region_id").alias("t_region_id")), [*PAIR, "t_region_id"], "left_anti")
-    return _issues(alone, "added", "added_element", "low", _id("p", F.col("t_page"), "-added-", F.col("t_region_id")), {"region_type": F.col("t_type")} | evidence(False, True), target=F.col("t_region_id"), box="t_", row_ord=F.col("t_region_ord"))
+def missing_issues(c: Context) -> DataFrame:
+    """Unmatched source regions, but text that target text covers or that turned into drawings; the page is the source page."""
+    alone = c.source.join(_matched(c).select(*PAIR, "s_region_id"), [*PAIR, "s_region_id"], "left_anti")
+    image = F.col("s_type") == "image"
+    rows = alone.where(image | ~F.col("vectorized"))
+    rows = rows.join(covered(c, rows), [*PAIR, "s_region_id"], "left_anti")
+    return _issues(rows, "missing", F.when(image, "missing_image").otherwise("missing_element"), F.when(image, "critical").otherwise("high"), _id("p", F.col("s_page"), "-missing-", F.col("s_region_id")), {"region_type": F.col("s_type")} | ev.of("s_"), page="s_page", source=F.col("s_region_id"), box="s_", row_ord=F.col("s_region_ord"))
 
 
-def text_flows(regions: DataFrame, p: str, profile: Profile) -> DataFrame:
-    """(pair_id, report_page, {p}region_ord, flow): text lines chained into flows, for one side."""
-    ratios = [profile.t(k) for k in ("alignment_line_gap_ratio", "flow_back", "alignment_horizontal_overlap_ratio", "alignment_font_size_tolerance_ratio")]
+def text_lines(source: DataFrame, target: DataFrame, rules: Rules) -> DataFrame:
+    """The text regions of both sides with the flow that chains them: pair, side, region_ord, region_id, box, page_width, flow."""
+    ratios = ("alignment_line_gap_ratio", "flow_back", "alignment_horizontal_overlap_ratio", "alignment_font_size_tolerance_ratio")
+    own = ["region_ord", "region_id", "x", "y", "width", "height"]
 
     def solve(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        flow = solvers.flows(*[rows[f"{p}{k}"] for k in ("x", "y", "width", "height", "type", "font_size")], *ratios)
-        return {f"{p}region_ord": rows[f"{p}region_ord"], "flow": flow.astype(np.int32)}
+        flow = solvers.flows(*[rows[k] for k in ("x", "y", "width", "height", "type", "font_size")], *[rows[k][0] for k in ratios])
+        return {k: rows[k] for k in [*own, "page_width"]} | {"flow": flow.astype(np.int32)}
 
-    types = dict(regions.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in [*PAIR, f"{p}region_ord"]) + ", flow int"
-    lines = regions.where(g.is_text(f"{p}type")).select(*PAIR, *[f"{p}{k}" for k in ("region_ord", "x", "y", "width", "height", "type", "font_size")])
-    return per_group(lines, PAIR, [f"{p}y", f"{p}x", f"{p}region_ord"], solve, schema)
+    sides = [rows.where(g.is_text(f"{p}type")).select(*PAIR, F.lit(name).alias("side"), *[F.col(f"{p}{k}").alias(k) for k in [*own, "type", "font_size"]], F.col(f"{p[0]}p_width").alias("page_width"), *[rules.t(k).alias(k) for k in ratios]) for rows, p, name in ((source, "s_", "source"), (target, "t_", "target"))]
+    both = sides[0].unionByName(sides[1])
+    types = dict(both.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in [*PAIR, "side", *own, "page_width"]) + ", flow int"
+    return per_group(both, [*PAIR, "side"], ["y", "x", "region_ord"], solve, schema)
 
 
-def flow_alignment(regions: DataFrame, flow: DataFrame, p: str, page_width: str, profile: Profile) -> DataFrame:
-    """Of each flow: its lines, first and last region, box, spreads of the edges and the alignment these give."""
-    rows = regions.join(flow, [*PAIR, f"{p}region_ord"])
-    edges = {"left": F.col(f"{p}x"), "right": F.col(f"{p}x") + F.col(f"{p}width"), "center": F.col(f"{p}x") + F.col(f"{p}width") / 2}
-    first, last = F.struct(f"{p}y", f"{p}x", f"{p}region_ord"), F.struct(f"{p}y", f"{p}x", f"{p}region_ord")
-    found = rows.groupBy(*PAIR, "flow").agg(
+def flow_alignment(lines: DataFrame, rules: Rules, keys: list[str]) -> DataFrame:
+    """Of each flow: its lines, first and last region, box, spreads of the edges and the alignment these give.
+
+    ``lines``: the columns of text_lines(); ``keys`` tell flows apart.
+    """
+    edges = {"left": F.col("x"), "right": F.col("x") + F.col("width"), "center": F.col("x") + F.col("width") / 2}
+    place = F.struct("y", "x", "region_ord")
+    carried = [F.first("rules").alias("rules")] if "rules" in lines.columns else []
+    found = lines.groupBy(*keys).agg(
         F.count("*").alias("lines"),
-        F.min_by(f"{p}region_id", first).alias("first_region"),
-        F.max_by(f"{p}region_id", last).alias("last_region"),
-        F.min(f"{p}x").alias("x"),
-        F.min(f"{p}y").alias("y"),
-        (F.max(F.col(f"{p}x") + F.col(f"{p}width")) - F.min(f"{p}x")).alias("width"),
-        (F.max(F.col(f"{p}y") + F.col(f"{p}height")) - F.min(f"{p}y")).alias("height"),
-        *[((F.max(e) - F.min(e)) / F.first(page_width)).alias(k) for k, e in edges.items()],
+        F.min_by("region_id", place).alias("first_region"),
+        F.max_by("region_id", place).alias("last_region"),
+        F.min("x").alias("x"),
+        F.min("y").alias("y"),
+        (F.max(F.col("x") + F.col("width")) - F.min("x")).alias("width"),
+        (F.max(F.col("y") + F.col("height")) - F.min("y")).alias("height"),
+        *[((F.max(e) - F.min(e)) / F.first("page_width")).alias(k) for k, e in edges.items()],
+        *carried,
     )
     order = F.array_sort(F.array(*[F.struct(F.col(k).alias("spread"), F.lit(k).alias("name")) for k in edges]))
     found = found.withColumns({"best": F.get(order, 0), "confidence": F.get(order, 1)["spread"] - F.get(order, 0)["spread"]})
-    sure = (F.col("lines") >= profile.t("alignment_min_lines")) & (F.col("best.spread") <= profile.t("alignment_edge_tolerance_ratio")) & (F.col("confidence") >= profile.t("alignment_confidence_margin"))
-    return found.withColumn("alignment", F.when(sure, F.col("best.name"))).drop("best")
-
-
-def alignment(c: Context) -> tuple[DataFrame, DataFrame]:
-    """Changed flows as issues, and (pair, t_region_id) whose shifts and sizes they explain."""
-    p = c.profile
-    sf, tf = text_flows(c.source, "s_", p), text_flows(c.target, "t_", p)
-    sa, ta = flow_alignment(c.source, sf, "s_", "sp_width", p), flow_alignment(c.target, tf, "t_", "tp_width", p)
-    lines = c.diffs.select(*PAIR, "s_region_ord", "t_region_ord", "t_region_id", "t_page")
-    lines = lines.join(sf.withColumnRenamed("flow", "s_flow"), [*PAIR, "s_region_ord"]).join(tf.withColumnRenamed("flow", "t_flow"), [*PAIR, "t_region_ord"])
-    votes = lines.groupBy(*PAIR, "s_flow", "t_flow").agg(F.count("*").alias("votes"), F.first("t_page").alias("t_page"))
+    sure = (F.col("lines") >= rules.t("alignment_min_lines")) & (F.col("best.spread") <= rules.t("alignment_edge_tolerance_ratio")) & (F.col("confidence") >= rules.t("alignment_confidence_margin"))
+    return found.withColumn("alignment", F.when(sure, F.col("best.name"))).drop("best", "rules")
+
+
+def _line_pairs(c: Context) -> DataFrame:
+    """(pair, t_region_id, t_page, s_flow, t_flow) of matched text."""
+    side = lambda name, p: c.lines.where(F.col("side") == name).select(*PAIR, F.col("region_id").alias(f"{p}region_id"), F.col("flow").alias(f"{p}flow"))
+    met = _matched(c).select(*PAIR, "s_region_id", "t_region_id", "t_page")
+    return met.join(side("source", "s_"), [*PAIR, "s_region_id"]).join(side("target", "t_"), [*PAIR, "t_region_id"])
+
+
+def changed_flows(c: Context) -> DataFrame:
+    """Pairs of flows whose alignment differs, with what is known of both (s_, t_), votes, ratio and t_page."""
+    votes = _line_pairs(c).groupBy(*PAIR, "s_flow", "t_flow").agg(F.count("*").alias("votes"), F.first("t_page").alias("t_page"))
     votes = votes.withColumn("ratio", F.col("votes") / F.sum("votes").over(Window.partitionBy(*PAIR, "s_flow")))
-    least = p.t("alignment_group_match_ratio")
+    some = c.rules.attach(votes).where(F.col("ratio") >= c.rules.t("alignment_group_match_ratio"))
 
     def solve(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        some = np.flatnonzero(rows["ratio"] >= least)
-        kept = solvers.claim([((-rows["votes"][k], -rows["ratio"][k], rows["s_flow"][k], rows["t_flow"][k]), rows["s_flow"][k], rows["t_flow"][k]) for k in some])
-        return {"s_flow": rows["s_flow"][some[kept]].astype(np.int32), "t_flow": rows["t_flow"][some[kept]].astype(np.int32)}
+        kept = solvers.claim([((-v, -r, s, t), s, t) for v, r, s, t in zip(rows["votes"], rows["ratio"], rows["s_flow"], rows["t_flow"])])
+        return {k: rows[k][kept] for k in ("s_flow", "t_flow", "votes", "ratio", "t_page")}
 
-    types = dict(votes.dtypes)
-    schema = f"pair_id {types['pair_id']}, report_page {types['report_page']}, s_flow int, t_flow int"
-    paired = votes.join(per_group(votes.select(*PAIR, "s_flow", "t_flow", "votes", "ratio"), PAIR, ["s_flow", "t_flow"], solve, schema), [*PAIR, "s_flow", "t_flow"])
+    types = dict(some.dtypes)
+    own = ["s_flow", "t_flow", "votes", "ratio", "t_page"]
+    schema = ", ".join(f"{k} {types[k]}" for k in [*PAIR, *own])
+    paired = per_group(some.select(*PAIR, *own), PAIR, ["s_flow", "t_flow"], solve, schema)
+    found = flow_alignment(c.rules.attach(c.lines), c.rules, [*PAIR, "side", "flow"])
 
-    def named(df: DataFrame, q: str) -> DataFrame:
-        return df.select(*PAIR, *[F.col(k).alias(f"{q}{k}") for k in df.columns if k not in PAIR])
+    def named(name: str, q: str) -> DataFrame:
+        return found.where(F.col("side") == name).select(*PAIR, *[F.col(k).alias(f"{q}{k}") for k in found.columns if k not in (*PAIR, "side")])
 
-    changed = paired.join(named(sa, "s_"), [*PAIR, "s_flow"]).join(named(ta, "t_"), [*PAIR, "t_flow"]).where("s_alignment <> t_alignment")
-    spreads = lambda q: F.struct(*[F.col(f"{q}{k}").alias(k) for k in ("left", "right", "center", "confidence")])
-    metrics = {
+    return paired.join(named("source", "s_"), [*PAIR, "s_flow"]).join(named("target", "t_"), [*PAIR, "t_flow"]).where("s_alignment <> t_alignment")
+
+
+def alignment_issues(c: Context) -> DataFrame:
+    """Flows whose horizontal alignment changed."""
+    spreads = lambda q: F.struct(*[F.round(f"{q}{k}", 6).alias(k) for k in ("left", "right", "center", "confidence")])
+    rows = c.flows
+    for regions, p in ((c.source, "s_"), (c.target, "t_")):
+        told = regions.select(*PAIR, F.col(f"{p}region_id").alias(f"{p}first_region"), *[F.col(f"{p}{k}").alias(f"{p}1_{k}") for k in ("text", "type", "x", "y", "width", "height")])
+        rows = rows.join(told, [*PAIR, f"{p}first_region"])
+    told = {
         "source_alignment": F.col("s_alignment"),
         "target_alignment": F.col("t_alignment"),
         "source_line_count": F.col("s_lines"),
@@ -213,123 +235,121 @@ def alignment(c: Context) -> tuple[DataFrame, DataFrame]:
         "target_spreads": spreads("t_"),
         "group_match_count": F.col("votes"),
         "group_match_ratio": F.col("ratio"),
-    }
+    } | ev.of("s_1_", "t_1_")
     order = F.row_number().over(Window.partitionBy(*PAIR).orderBy("t_y", "t_first_region", "t_last_region"))
-    issues = _issues(changed, "alignment", "text_alignment_changed", "high", _id("p", F.col("t_page"), "-alignment-", F.col("t_first_region"), "-", F.col("t_last_region")), metrics, source=F.col("s_first_region"), target=F.col("t_first_region"), box="t_", row_ord=order)
-    flows = changed.select(*PAIR, "s_flow", "t_flow")
-    own = c.target.join(tf.withColumnRenamed("flow", "t_flow"), [*PAIR, "t_region_ord"]).join(flows.select(*PAIR, "t_flow"), [*PAIR, "t_flow"], "left_semi").select(*PAIR, "t_region_id")
-    strays = lines.join(flows.select(*PAIR, "s_flow", F.col("t_flow").alias("f")), [*PAIR, "s_flow"]).where("t_flow <> f").select(*PAIR, "t_region_id")
-    return issues, own.unionByName(strays).distinct()
+    return _issues(rows, "alignment", "text_alignment_changed", "high", _id("p", F.col("t_page"), "-alignment-", F.col("t_first_region"), "-", F.col("t_last_region")), told, source=F.col("s_first_region"), target=F.col("t_first_region"), box="t_", row_ord=order)
 
 
-def label_width(p: Profile) -> Column:
+def explained(c: Context) -> DataFrame:
+    """(pair, t_region_id): regions whose shifts and sizes changed flows explain: their lines, and strays of the source flow."""
+    flows = c.flows.select(*PAIR, "s_flow", "t_flow")
+    own = c.lines.where("side = 'target'").select(*PAIR, F.col("region_id").alias("t_region_id"), F.col("flow").alias("t_flow")).join(flows.select(*PAIR, "t_flow"), [*PAIR, "t_flow"], "left_semi").select(*PAIR, "t_region_id")
+    strays = _line_pairs(c).join(flows.select(*PAIR, "s_flow", F.col("t_flow").alias("f")), [*PAIR, "s_flow"]).where("t_flow <> f").select(*PAIR, "t_region_id")
+    return own.unionByName(strays).distinct()
+
+
+def label_width(rules: Rules) -> Column:
     """A short label whose width alone follows the language."""
     chars = lambda q: F.length(F.regexp_replace(F.coalesce(f"{q}text", F.lit("")), r"(?U)\s", ""))
-    same_font = F.col("font_change").isNull() | (F.abs("font_change") <= p.t("text_resize_font_tolerance_ratio"))
-    short = (chars("s_") <= p.t("text_label_max_chars")) & (chars("t_") <= p.t("text_label_max_chars"))
-    return g.is_text("s_type") & g.is_text("t_type") & short & (F.abs("dh") <= p.t("text_resize_height_tolerance_ratio")) & same_font & (F.abs("dw") > F.abs("dh"))
-
-
-def geometry_issues(c: Context, explained: DataFrame | None) -> DataFrame:
-    """Shifts, font changes and size changes of matched regions."""
-    p = c.profile
-    rows = c.diffs
-    if explained is None:
-        rows = rows.withColumn("known", F.lit(False))
-    else:
-        rows = rows.join(explained.withColumn("mark", F.lit(True)), [*PAIR, "t_region_id"], "left").withColumn("known", F.coalesce("mark", F.lit(False))).drop("mark")
-    both = evidence(True, True, True)
+    same_font = F.col("font_change").isNull() | (F.abs("font_change") <= rules.t("text_resize_font_tolerance_ratio"))
+    short = (chars("s_") <= rules.t("text_label_max_chars")) & (chars("t_") <= rules.t("text_label_max_chars"))
+    return g.is_text("s_type") & g.is_text("t_type") & short & (F.abs("dh") <= rules.t("text_resize_height_tolerance_ratio")) & same_font & (F.abs("dw") > F.abs("dh"))
+
+
+def geometry_issues(c: Context) -> DataFrame | None:
+    """Shifts, font changes and size changes of matched regions, in one pass."""
+    r = c.rules
+    rows, known = _matched(c), F.lit(False)
+    if _on(c, "text_alignment_changed") is not None:
+        # flows of pairs whose profile doesn't look at alignment aren't there
+        rows = rows.join(explained(c).withColumn("explained", F.lit(True)), [*PAIR, "t_region_id"], "left")
+        known = F.coalesce("explained", F.lit(False))
+    both = ev.of("s_", "t_", True)
     ids = {"source": F.col("s_region_id"), "target": F.col("t_region_id"), "box": "t_"}
     place = lambda k: F.col("s_region_ord") * 4 + k
-    out = []
-    if p.on("region_shifted"):
-        size = F.greatest(F.abs("dx"), F.abs("dy"))
-        hit = rows.where((size > p.t("shifted_ratio")) & ~F.col("known"))
-        out.append(_issues(hit, "geometry", "region_shifted", F.when(size > p.t("severely_shifted_ratio"), "high").otherwise("medium"), _id("p", F.col("t_page"), "-shift-", F.col("t_region_id")), {"x_shift_ratio": F.col("dx"), "y_shift_ratio": F.col("dy")} | both, row_ord=place(0), **ids))
-    if p.on("font_shrink"):
-        hit = rows.where(F.col("font_change") < p.t("font_shrink_ratio"))
-        out.append(_issues(hit, "geometry", "font_shrink", p.band("font_shrink_bands", F.abs("font_change")), _id("p", F.col("t_page"), "-font-", F.col("t_region_id")), {"font_size_change_ratio": F.col("font_change")} | both, row_ord=place(1), **ids))
-    if p.on("font_grow"):
-        hit = rows.where(F.col("font_change") > p.t("font_grow_ratio"))
-        out.append(_issues(hit, "geometry", "typography_changed", "medium", _id("p", F.col("t_page"), "-fontgrow-", F.col("t_region_id")), {"font_size_change_ratio": F.col("font_change")} | both, row_ord=place(2), **ids))
-    if p.on("region_resized"):
-        size = F.greatest(F.abs("dw"), F.abs("dh"))
-        hit = rows.where((size > p.t("region_resize_ratio")) & ~F.col("known") & ~label_width(p))
-        out.append(_issues(hit, "geometry", "region_resized", p.band("region_resize_bands", size), _id("p", F.col("t_page"), "-resize-", F.col("t_region_id")), {"width_change_ratio": F.col("dw"), "height_change_ratio": F.col("dh"), "resize_magnitude": size} | both, row_ord=place(3), **ids))
-    return _union(out)
-
-
-def _with_source(c: Context) -> DataFrame:
-    """Target regions with their matched source region, if any."""
-    s = c.diffs.select(*PAIR, "t_region_id", *[k for k in c.diffs.columns if k.startswith("s_") and k not in ("s_n", "s_page")])
-    return c.target.join(s, [*PAIR, "t_region_id"], "left")
-
-
-def fragmented_issues(c: Context) -> DataFrame:
-    """Narrow target text of one to three letters."""
-    p = c.profile
-    letters = F.regexp_count("t_text", F.lit(r"\p{L}"))
-    hit = _with_source(c).where(g.is_text("t_type") & (F.col("t_width") <= p.t("fragment_max_width"))).withColumn("letters", letters).where(F.col("letters").between(1, p.t("fragment_max_letters")))
-    metrics = {"text": F.col("t_text"), "source_text": F.col("s_text"), "target_text": F.col("t_text"), "bbox_width": F.col("t_width"), "letter_count": F.col("letters"), "target_bbox": _box("t_")}
-    return _issues(hit, "fragmented", "text_fragmented", "medium", _id("p", F.col("t_page"), "-frag-", F.col("t_region_id")), metrics, source=F.col("s_region_id"), target=F.col("t_region_id"), box="t_", row_ord=F.col("t_region_ord"))
+    moved, grown = F.greatest(F.abs("dx"), F.abs("dy")), F.greatest(F.abs("dw"), F.abs("dh"))
+    font = {"font_size_change_ratio": F.col("font_change")} | both
+    name = lambda what: _id("p", F.col("t_page"), f"-{what}-", F.col("t_region_id"))
+    made = (
+        ("region_shifted", (moved > r.t("shifted_ratio")) & ~known, lambda: _issue("geometry", "region_shifted", F.when(moved > r.t("severely_shifted_ratio"), "high").otherwise("medium"), name("shift"), {"x_shift_ratio": F.col("dx"), "y_shift_ratio": F.col("dy")} | both, row_ord=place(0), **ids)),
+        ("font_shrink", F.col("font_change") < r.t("font_shrink_ratio"), lambda: _issue("geometry", "font_shrink", r.band("font_shrink_bands", F.abs("font_change")), name("font"), font, row_ord=place(1), **ids)),
+        ("font_grow", F.col("font_change") > r.t("font_grow_ratio"), lambda: _issue("geometry", "typography_changed", "medium", name("fontgrow"), font, row_ord=place(2), **ids)),
+        ("region_resized", (grown > r.t("region_resize_ratio")) & ~known & ~label_width(r), lambda: _issue("geometry", "region_resized", r.band("region_resize_bands", grown), name("resize"), {"width_change_ratio": F.col("dw"), "height_change_ratio": F.col("dh"), "resize_magnitude": grown} | both, row_ord=place(3), **ids)),
+    )
+    return _each(rows, [(_on(c, toggle) & hit, issue()) for toggle, hit, issue in made if _on(c, toggle) is not None])
+
+
+def region_issues(c: Context) -> DataFrame | None:
+    """What one target region shows by itself: narrow fragments, invisible text, text off the page, added regions; in one pass."""
+    r = c.rules
+    paper = c.sheets.where("kind = 'pair'").select(*PAIR, "background_color", "dark_boxes")
+    rows = c.laid.join(_claimed(c), [*PAIR, "t_region_id"], "left").join(paper, PAIR)
+    ids = {"target": F.col("t_region_id"), "box": "t_", "row_ord": F.col("t_region_ord")}
+    with_source = ids | {"source": F.col("s_region_id")}
+    name = lambda what: _id("p", F.col("t_page"), f"-{what}-", F.col("t_region_id"))
+    both, texts = ev.of("s_", "t_"), {"source_text": F.col("s_text"), "target_text": F.col("t_text")}
 
+    alone = F.col("s_region_id").isNull() & ~F.coalesce(F.col("claimed") == "image", F.lit(False))
+    added = _issue("added", "added_element", "low", name("added"), {"region_type": F.col("t_type")} | ev.of(target="t_"), **ids)
 
-def invisible_issues(c: Context, claims: DataFrame) -> DataFrame:
-    """Transparent target text, or light text on a light page away from dark boxes."""
-    p = c.profile
-    paper = c.pages.where("side = 'target'").select("pair_id", F.col("page").alias("t_page"), "background_color", "dark_boxes")
-    rows = _with_source(c).where(g.is_text("t_type")).join(claims.select(*PAIR, "t_region_id"), [*PAIR, "t_region_id"], "left_anti").join(paper, ["pair_id", "t_page"])
-    transparent = F.coalesce(F.col("t_opacity") <= p.t("invisible_opacity_threshold"), F.lit(False))
-    light = p.t("invisible_color_threshold")
+    letters = F.regexp_count("t_text", F.lit(r"\p{L}"))
+    narrow = g.is_text("t_type") & (F.col("t_width") <= r.t("fragment_max_width")) & letters.between(F.lit(1), r.t("fragment_max_letters"))
+    fragment = _issue("fragmented", "text_fragmented", "medium", name("frag"), {"text": F.col("t_text"), "bbox_width": F.col("t_width"), "letter_count": letters} | texts | both, **with_source)
+
+    light = r.t("invisible_color_threshold")
 
     def covers(b: Column) -> Column:
         wide = F.greatest(F.lit(0.0), F.least(g.right("t_"), b["x"] + b["width"]) - F.greatest(F.col("t_x"), b["x"]))
         high = F.greatest(F.lit(0.0), F.least(g.bottom("t_"), b["y"] + b["height"]) - F.greatest(F.col("t_y"), b["y"]))
-        return wide * high >= F.lit(p.t("dark_overlap")) * g.area("t_")
+        return wide * high >= r.t("dark_overlap") * g.area("t_")
 
-    pale = (g.min_channel(F.col("background_color")) >= light) & (F.size("t_colors") > 0) & F.forall("t_colors", lambda x: g.min_channel(x) >= light)
-    pale = F.coalesce(F.col("background_color").isNotNull() & pale & ~F.exists(F.coalesce("dark_boxes", F.array()), covers), F.lit(False))
-    hit = rows.where(transparent | pale)
-    metrics = {"text_color": F.get("t_colors", 0), "background_color": F.col("background_color"), "text_opacity": F.col("t_opacity"), "text": F.substring("t_text", 1, 60), "source_text": F.col("s_text"), "target_text": F.col("t_text"), "target_bbox": _box("t_")}
-    return _issues(hit, "invisible", "invisible_text", "high", _id("p", F.col("t_page"), "-invisible-", F.col("t_region_id")), metrics, source=F.col("s_region_id"), target=F.col("t_region_id"), box="t_", row_ord=F.col("t_region_ord"))
+    pale = F.col("background_color").isNotNull() & (g.min_channel(F.col("background_color")) >= light) & (F.size("t_colors") > 0) & F.forall("t_colors", lambda x: g.min_channel(x) >= light)
+    pale = F.coalesce(pale & ~F.exists(F.coalesce("dark_boxes", F.array()), covers), F.lit(False))
+    transparent = F.coalesce(F.col("t_opacity") <= r.t("invisible_opacity_threshold"), F.lit(False))
+    unseen = g.is_text("t_type") & ~F.coalesce(F.col("claimed") == "text", F.lit(False)) & (transparent | pale)
+    invisible = _issue("invisible", "invisible_text", "high", name("invisible"), {"text_color": F.get("t_colors", 0), "background_color": F.col("background_color"), "text_opacity": F.col("t_opacity"), "text": F.substring("t_text", 1, 60)} | texts | both, **with_source)
 
+    outside = (F.col("t_x") < 0) | (F.col("t_y") < 0) | (g.right("t_") > F.col("tp_width")) | (g.bottom("t_") > F.col("tp_height"))
+    out = _issue("out_of_page", "content_out_of_page", "critical", name("out"), {"page_width": F.col("tp_width"), "page_height": F.col("tp_height")} | ev.of(target="t_"), **ids)
 
-def out_of_page_issues(c: Context) -> DataFrame:
-    hit = c.target.where((F.col("t_x") < 0) | (F.col("t_y") < 0) | (g.right("t_") > F.col("tp_width")) | (g.bottom("t_") > F.col("tp_height")))
-    metrics = {"page_width": F.col("tp_width"), "page_height": F.col("tp_height")} | evidence(False, True)
-    return _issues(hit, "out_of_page", "content_out_of_page", "critical", _id("p", F.col("t_page"), "-out-", F.col("t_region_id")), metrics, target=F.col("t_region_id"), box="t_", row_ord=F.col("t_region_ord"))
+    made = (("missing_element", alone, added), ("text_fragmented", narrow, fragment), ("invisible_text", unseen, invisible), ("content_out_of_page", outside, out))
+    return _each(rows, [(_on(c, toggle) & hit, issue) for toggle, hit, issue in made if _on(c, toggle) is not None])
 
 
-def layout_analogs(source: DataFrame, target: DataFrame, profile: Profile) -> DataFrame:
+def layout_analogs(source: DataFrame, target: DataFrame, rules: Rules) -> DataFrame:
     """(pair, t_region_ord, a_region_ord, a_x, a_y, a_width, a_height, a_score): the source region most like each target region in place and size."""
-    left = target.select(*PAIR, "sp_width", "sp_height", "tp_width", "tp_height", *[f"t_{k}" for k in ("region_ord", "type", "x", "y", "width", "height")])
+    carried = ["rules"] if rules.carried else []
+    left = target.select(*PAIR, "sp_width", "sp_height", "tp_width", "tp_height", *carried, *[f"t_{k}" for k in ("region_ord", "type", "x", "y", "width", "height")])
     right = source.select(*PAIR, *[F.col(f"s_{k}").alias(f"a_{k}") for k in ("region_ord", "type", "x", "y", "width", "height")])
     alike = (F.col("a_type") == F.col("t_type")) | (g.is_text("a_type") & g.is_text("t_type"))
-    score = F.lit(profile.analog_position) * g.position_similarity("a_", "t_", F.greatest("sp_width", "tp_width"), F.greatest("sp_height", "tp_height")) + F.lit(profile.analog_size) * g.size_similarity("a_", "t_")
-    best = left.join(right, PAIR).where(alike).withColumn("a_score", score).groupBy(*PAIR, "t_region_ord").agg(F.max_by(F.struct("a_region_ord", "a_x", "a_y", "a_width", "a_height", "a_score"), F.struct("a_score", -F.col("a_region_ord"))).alias("a"))
-    return best.select(*PAIR, "t_region_ord", "a.*").where(F.col("a_score") >= profile.minimum_score)
+    score = rules.value("analog_position") * g.position_similarity("a_", "t_", F.greatest("sp_width", "tp_width"), F.greatest("sp_height", "tp_height")) + rules.value("analog_size") * g.size_similarity("a_", "t_")
+    rows = left.join(right, PAIR).where(alike).withColumn("a_score", score).where(F.col("a_score") >= rules.value("minimum_score"))
+    best = rows.groupBy(*PAIR, "t_region_ord").agg(F.max_by(F.struct("a_region_ord", "a_x", "a_y", "a_width", "a_height", "a_score"), F.struct("a_score", -F.col("a_region_ord"))).alias("a"))
+    return best.select(*PAIR, "t_region_ord", "a.*")
 
 
-def overlap_pairs(target: DataFrame, profile: Profile) -> DataFrame:
+def overlap_pairs(target: DataFrame, rules: Rules) -> DataFrame:
     """Pairs of a page's regions (t_ before o_ in order) whose overlap exceeds the limit: two texts, or text and image."""
     columns = ["region_ord", "region_id", "type", "text", "x", "y", "width", "height"]
-    first = target.select(*PAIR, "t_page", "tp_width", "tp_height", *[f"t_{k}" for k in columns])
-    second = target.select(*PAIR, *[F.col(f"t_{k}").alias(f"o_{k}") for k in columns])
-    meet = (F.col("t_region_ord") < F.col("o_region_ord")) & (F.col("t_y") < g.bottom("o_")) & (F.col("o_y") < g.bottom("t_"))
-    rows = first.join(second, PAIR).where(meet).withColumn("ratio", g.intersection_ratio("t_", "o_")).where(F.col("ratio") > profile.t("overlap_ratio"))
+    carried = ["rules"] if rules.carried else []
+    first = target.select(*PAIR, "t_page", "tp_width", "tp_height", "sp_height", "bands", *carried, *[f"t_{k}" for k in columns])
+    second = banded(target.select(*PAIR, "sp_height", "tp_height", "bands", *[F.col(f"t_{k}").alias(f"o_{k}") for k in columns]), "o_").drop("sp_height", "tp_height", "bands")
+    rows = meeting(first, "t_", second, "o_").where("t_region_ord < o_region_ord").withColumn("ratio", g.intersection_ratio("t_", "o_")).where(F.col("ratio") > rules.t("overlap_ratio"))
     with_image = (g.is_text("t_type") & (F.col("o_type") == "image")) | (g.is_text("o_type") & (F.col("t_type") == "image"))
     return rows.withColumn("with_image", with_image).where(F.col("with_image") | (g.is_text("t_type") & g.is_text("o_type")))
 
 
-def overlap_issues(c: Context, claims: DataFrame) -> DataFrame:
+def overlap_issues(c: Context) -> DataFrame:
     """Overlaps that the source layout doesn't have, or has clearly less of."""
-    p = c.profile
-    pairs = overlap_pairs(c.target, p)
-    claimed = claims.select(*PAIR, F.least("t_region_id", "i_region_id").alias("lo"), F.greatest("t_region_id", "i_region_id").alias("hi"))
+    r = c.rules
+    pairs = overlap_pairs(c.target, r)
+    claimed = c.claims.select(*PAIR, F.least("t_region_id", "i_region_id").alias("lo"), F.greatest("t_region_id", "i_region_id").alias("hi"))
     pairs = pairs.withColumns({"lo": F.least("t_region_id", "o_region_id"), "hi": F.greatest("t_region_id", "o_region_id")}).join(claimed, [*PAIR, "lo", "hi"], "left_anti")
-    analogs = layout_analogs(c.source, c.target, p)
+    # only regions that overlap need their analog
+    lapping = pairs.select(*PAIR, F.explode(F.array("t_region_ord", "o_region_ord")).alias("t_region_ord")).distinct()
+    analogs = layout_analogs(c.source, c.target.join(lapping, [*PAIR, "t_region_ord"], "left_semi"), r)
     box = ["x", "y", "width", "height"]
-    one = analogs.select(*PAIR, "t_region_ord", *[F.col(f"a_{k}").alias(f"a_{k}") for k in box])
+    one = analogs.select(*PAIR, "t_region_ord", *[f"a_{k}" for k in box])
     two = analogs.select(*PAIR, F.col("t_region_ord").alias("o_region_ord"), *[F.col(f"a_{k}").alias(f"b_{k}") for k in box])
     rows = pairs.join(one, [*PAIR, "t_region_ord"], "left").join(two, [*PAIR, "o_region_ord"], "left")
     before = F.coalesce(g.intersection_ratio("a_", "b_"), F.lit(0.0))
@@ -337,9 +357,9 @@ def overlap_issues(c: Context, claims: DataFrame) -> DataFrame:
     text_area = F.when(text_first, g.area("t_")).otherwise(g.area("o_"))
     inside = F.when(text_first, g.center_inside("t_", "o_")).otherwise(g.center_inside("o_", "t_"))
     was_inside = F.coalesce(F.when(text_first, g.center_inside("a_", "b_")).otherwise(g.center_inside("b_", "a_")), F.lit(False))
-    image_ok = (text_area / (F.col("tp_width") * F.col("tp_height")) > p.t("image_caption_area_ratio")) & inside & ~was_inside
-    rows = rows.withColumn("before", before).where((~F.col("with_image") | image_ok) & (F.col("ratio") - F.col("before") > p.t("overlap_increase_ratio")))
-    metrics = {
+    image_ok = (text_area / (F.col("tp_width") * F.col("tp_height")) > r.t("image_caption_area_ratio")) & inside & ~was_inside
+    rows = rows.withColumn("before", before).where((~F.col("with_image") | image_ok) & (F.col("ratio") - F.col("before") > r.t("overlap_increase_ratio")))
+    told = {
         "overlap_ratio": F.col("ratio"),
         "source_overlap_ratio": F.col("before"),
         "overlap_increase_ratio": F.col("ratio") - F.col("before"),
@@ -348,148 +368,114 @@ def overlap_issues(c: Context, claims: DataFrame) -> DataFrame:
         "other_text": F.col("o_text"),
         "primary_region_type": F.col("t_type"),
         "other_region_type": F.col("o_type"),
-        "other_bbox": _box("o_"),
-        "target_bbox": _box("t_"),
-    }
+        "other_bbox": ev.box("o_"),
+    } | ev.of(target="t_")
     kind = F.when(F.col("with_image"), "text_image_overlap").otherwise("text_overlap")
     severity = F.when(F.col("with_image"), "critical").otherwise("high")
-    return _issues(rows, "overlap", kind, severity, _id("p", F.col("t_page"), "-overlap-", F.col("t_region_id"), "-", F.col("o_region_id")), metrics, target=F.col("t_region_id"), box="t_", row_ord=F.col("t_region_ord") * 1_000_000 + F.col("o_region_ord"))
+    return _issues(rows, "overlap", kind, severity, _id("p", F.col("t_page"), "-overlap-", F.col("t_region_id"), "-", F.col("o_region_id")), told, target=F.col("t_region_id"), box="t_", row_ord=F.col("t_region_ord") * 1_000_000 + F.col("o_region_ord"))
 
 
-def vectorized_pages(c: Context) -> DataFrame:
-    """(pair, t_page, source_chars, target_chars) of pages whose text turned into drawings."""
-    p = c.profile
-    s = c.source.groupBy(*PAIR).agg(F.sum(F.length(F.coalesce("s_text", F.lit("")))).alias("source_chars"))
-    t = c.target.groupBy(*PAIR).agg(F.sum(F.length(F.coalesce("t_text", F.lit("")))).alias("target_chars"))
-    pages = c.entries.where("kind = 'pair'").select(*PAIR, "t_page")
-    both = pages.join(s, PAIR).join(t, PAIR, "left").withColumn("target_chars", F.coalesce("target_chars", F.lit(0)))
-    return both.where((F.col("source_chars") >= p.t("vectorized_min_source_chars")) & (F.col("target_chars") <= F.col("source_chars") * p.t("vectorized_max_target_ratio")))
-
-
-def vectorized_issues(pages: DataFrame) -> DataFrame:
-    return _issues(pages, "vectorized", "text_vectorized", "info", _id("p", F.col("t_page"), "-vectorized"), {"source_text_chars": F.col("source_chars"), "target_text_chars": F.col("target_chars")})
+def vectorized_issues(c: Context) -> DataFrame:
+    return _issues(c.sheets.where("vectorized"), "vectorized", "text_vectorized", "info", _id("p", F.col("t_page"), "-vectorized"), {"source_text_chars": F.col("s_chars"), "target_text_chars": F.col("t_chars")})
 
 
 def page_scripts(rows: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """(keys, script): the script that most regions vote for; 'mixed' on a tie, no row without votes."""
     votes = rows.withColumn("script", tx.main_script(F.col(text))).where("script is not null").groupBy(*keys, "script").agg(F.count("*").alias("n"))
-    top = votes.groupBy(*keys).agg(F.max("n").alias("top"))
-    best = votes.join(top, keys).where("n = top").groupBy(*keys).agg(F.count("*").alias("winners"), F.min("script").alias("script"))
-    return best.select(*keys, F.when(F.col("winners") > 1, "mixed").otherwise(F.col("script")).alias("script"))
+    best = votes.groupBy(*keys).agg(F.max(F.struct("n", "script")).alias("best"), F.collect_list("n").alias("all"))
+    tied = F.size(F.filter("all", lambda n: n == F.col("best.n"))) > 1
+    return best.select(*keys, F.when(tied, "mixed").otherwise(F.col("best.script")).alias("script"))
 
 
 def languages(c: Context) -> DataFrame:
-    """(pair, s_script, t_script, language) of every page pair."""
-    pages = c.entries.where("kind = 'pair'").select(*PAIR)
+    """(pair, s_script, t_script, language) of every page pair whose text didn't turn into drawings."""
+    pages = c.sheets.where("kind = 'pair' and not vectorized")
     s, t = page_scripts(c.source, "s_text", PAIR).withColumnRenamed("script", "s_script"), page_scripts(c.target, "t_text", PAIR).withColumnRenamed("script", "t_script")
     pair = F.when(F.col("s_script").isNull() | F.col("t_script").isNull() | (F.col("s_script") == F.col("t_script")), "default").otherwise(F.concat_ws("-", "s_script", "t_script"))
-    return pages.join(s, PAIR, "left").join(t, PAIR, "left").withColumn("language", pair if c.profile.language == "auto" else F.lit(c.profile.language))
-
+    carried = ["rules"] if c.rules.carried else []
+    return pages.select(*PAIR, "t_page", *carried).join(s, PAIR, "left").join(t, PAIR, "left").withColumn("language", F.coalesce(c.rules.language(), pair))
 
-def _number_counts(rows: DataFrame, p: str, name: str) -> DataFrame:
-    return rows.select(*PAIR, F.explode(tx.numbers(F.col(f"{p}text"))).alias("number")).groupBy(*PAIR, "number").agg(F.count("*").cast("int").alias(name))
 
-
-def number_issues(c: Context) -> DataFrame:
+def number_issues(c: Context, language: DataFrame) -> DataFrame:
     """Numbers that a page pair doesn't keep, as multisets; one issue for each page at most."""
-    s, t = _number_counts(c.source, "s_", "in_source"), _number_counts(c.target, "t_", "in_target")
-    both = s.join(t, [*PAIR, "number"], "full").na.fill(0, ["in_source", "in_target"])
-    both = both.withColumns({"missing": F.greatest(F.lit(0), F.col("in_source") - F.col("in_target")), "extra": F.greatest(F.lit(0), F.col("in_target") - F.col("in_source"))})
+    holder = F.struct("ord", "id")
+    sides = [rows.select(*PAIR, F.lit(side).alias("side"), F.col(f"{p}region_ord").alias("ord"), F.col(f"{p}region_id").alias("id"), F.explode(tx.numbers(F.col(f"{p}text"))).alias("number")) for rows, p, side in ((c.source, "s_", 0), (c.target, "t_", 1))]
+    bag = sides[0].unionByName(sides[1]).groupBy(*PAIR, "number").agg(*[x for k, name in enumerate(("source", "target")) for x in (F.count(F.when(F.col("side") == k, 1)).cast("int").alias(f"in_{name}"), F.min(F.when(F.col("side") == k, holder)).alias(f"{name}_holder"))])
+    bag = bag.withColumns({"missing": F.greatest(F.lit(0), F.col("in_source") - F.col("in_target")), "extra": F.greatest(F.lit(0), F.col("in_target") - F.col("in_source"))})
     listed = lambda k: F.array_sort(F.flatten(F.collect_list(F.array_repeat("number", F.col(k))))).alias(k)
-    found = both.groupBy(*PAIR).agg(*[listed(k) for k in ("in_source", "in_target", "missing", "extra")]).where((F.size("missing") > 0) | (F.size("extra") > 0))
-
-    def anchor(rows: DataFrame, p: str, k: str) -> DataFrame:
-        holders = rows.select(*PAIR, f"{p}region_ord", f"{p}region_id", F.explode(tx.numbers(F.col(f"{p}text"))).alias("number"))
-        hits = holders.join(both.where(F.col(k) > 0).select(*PAIR, "number"), [*PAIR, "number"], "left_semi")
-        return hits.groupBy(*PAIR).agg(F.min_by(f"{p}region_id", f"{p}region_ord").alias(f"{k}_anchor"))
-
-    mapped = c.matches.select(*PAIR, F.col("s_region_id").alias("missing_anchor"), F.col("t_region_id").alias("mapped"))
-    rows = found.join(anchor(c.target, "t_", "extra"), PAIR, "left").join(anchor(c.source, "s_", "missing"), PAIR, "left").join(mapped, [*PAIR, "missing_anchor"], "left")
-    rows = rows.withColumn("t_region_id", F.coalesce("extra_anchor", "mapped"))
-    place = c.target.select(*PAIR, "t_region_id", "t_x", "t_y", "t_width", "t_height", "t_text")
-    rows = rows.join(place, [*PAIR, "t_region_id"], "left").join(c.entries.select(*PAIR, "t_page", F.col("kind")).where("kind = 'pair'").drop("kind"), PAIR)
+    anchor = lambda k, name: F.min(F.when(F.col(k) > 0, F.col(f"{name}_holder")))["id"].alias(f"{k}_anchor")
+    found = bag.groupBy(*PAIR).agg(*[listed(k) for k in ("in_source", "in_target", "missing", "extra")], anchor("missing", "source"), anchor("extra", "target")).where((F.size("missing") > 0) | (F.size("extra") > 0))
+    mapped = _matched(c).select(*PAIR, F.col("s_region_id").alias("missing_anchor"), F.col("t_region_id").alias("mapped"))
+    rows = c.rules.content_on(found.join(language, PAIR), "number_mismatch").join(mapped, [*PAIR, "missing_anchor"], "left")
+    rows = rows.withColumns({"t_region_id": F.coalesce("extra_anchor", "mapped"), "s_region_id": F.col("missing_anchor")})
+    for regions, p in ((c.source, "s_"), (c.target, "t_")):
+        rows = rows.join(regions.select(*PAIR, *[f"{p}{k}" for k in ("region_id", "text", "type", "x", "y", "width", "height")]), [*PAIR, f"{p}region_id"], "left")
     n = F.size("missing") + F.size("extra")
-    metrics = {"source_numbers": F.col("in_source"), "target_numbers": F.col("in_target"), "missing_numbers": F.col("missing"), "extra_numbers": F.col("extra"), "diff_count": n, "target_text": F.col("t_text")}
-    return _issues(rows, "numbers", "number_mismatch", c.profile.band("number_mismatch_bands", n), _id("p", F.col("t_page"), "-numbers"), metrics, source=F.col("missing_anchor"), target=F.col("t_region_id"), box="t_")
+    told = {"source_numbers": F.col("in_source"), "target_numbers": F.col("in_target"), "missing_numbers": F.col("missing"), "extra_numbers": F.col("extra"), "diff_count": n} | ev.of("s_", "t_")
+    return _issues(rows, "numbers", "number_mismatch", c.rules.content_band("number_mismatch_bands", n), _id("p", F.col("t_page"), "-numbers"), told, source=F.col("missing_anchor"), target=F.col("t_region_id"), box="t_")
 
 
-def untranslated_issues(c: Context) -> DataFrame:
+def untranslated_issues(c: Context, language: DataFrame) -> DataFrame:
     """Matched target text that still is mostly in the source's script."""
-    p = c.profile
-    scripts = languages(c).where("s_script is not null and s_script <> 'mixed' and (t_script is null or s_script <> t_script)")
-    rows = c.diffs.where(g.is_text("t_type") & (F.coalesce("t_text", F.lit("")) != "")).join(scripts, PAIR)
+    scripts = c.rules.content_on(language, "untranslated_text").where("s_script is not null and s_script <> 'mixed' and (t_script is null or s_script <> t_script)").drop("t_page")
+    rows = _matched(c).drop("rules").where(g.is_text("t_type") & (F.coalesce("t_text", F.lit("")) != "")).join(scripts, PAIR)
     letters = tx.letters(F.col("t_text"))
-    rows = rows.withColumns({"letters": letters, "rest": tx.letters(tx.without_acronyms(F.col("t_text"))), "own": tx.script_letters(F.col("t_text"), F.col("s_script"))})
-    least, part = F.lit(p.t("untranslated_min_letters")), F.lit(p.t("untranslated_ratio"))
-    for language, thresholds in p.language_thresholds.items():
-        least, part = F.when(F.col("language") == language, thresholds["untranslated_min_letters"]).otherwise(least), F.when(F.col("language") == language, thresholds["untranslated_ratio"]).otherwise(part)
-    rows = rows.where((F.col("letters") >= least) & (F.col("rest") >= least)).withColumn("ratio", F.col("own") / F.col("letters")).where(F.col("ratio") >= part)
-    metrics = {"source_script": F.col("s_script"), "source_language_ratio": F.round("ratio", 3), "threshold": part, "sample": F.substring("t_text", 1, 60)} | evidence(True, True, True)
-    return _issues(rows, "untranslated", "untranslated_text", p.band("untranslated_bands", F.col("ratio")), _id("p", F.col("t_page"), "-untranslated-", F.col("t_region_id")), metrics, source=F.col("s_region_id"), target=F.col("t_region_id"), box="t_", row_ord=F.col("s_region_ord"))
+    least, part = c.rules.content_t("untranslated_min_letters"), c.rules.content_t("untranslated_ratio")
+    rows = rows.withColumn("letters", letters).where(F.col("letters") >= least).withColumns({"rest": tx.letters(tx.without_acronyms(F.col("t_text"))), "own": tx.script_letters(F.col("t_text"), F.col("s_script"))})
+    rows = rows.where(F.col("rest") >= least).withColumn("ratio", F.col("own") / F.col("letters")).where(F.col("ratio") >= part)
+    told = {"source_script": F.col("s_script"), "source_language_ratio": F.round("ratio", 3), "threshold": part, "sample": F.substring("t_text", 1, 60)} | ev.of("s_", "t_", True)
+    return _issues(rows, "untranslated", "untranslated_text", c.rules.content_band("untranslated_bands", F.col("ratio")), _id("p", F.col("t_page"), "-untranslated-", F.col("t_region_id")), told, source=F.col("s_region_id"), target=F.col("t_region_id"), box="t_", row_ord=F.col("s_region_ord"))
 
 
 def glossary_issues(c: Context) -> DataFrame:
     """Matched regions whose source has a term and whose target none of its translations.
 
     ``glossary``: glossary_id, version, term_ord, term, translations, note, case_sensitive.
-    A term with a Latin letter stands in a text as whole words, so its first run of word
-    characters is one of the text's; any other term is found through its first character.
-    Regions meet terms by that key, and the whole term is looked for in what meets.
     """
-    word = r"[\p{L}\p{M}\p{N}_]+"
-    key = lambda term: F.when(term.rlike("[A-Za-z]") & term.rlike(word), F.lower(F.regexp_extract(term, word, 0))).otherwise(F.substring(term, 1, 1))
-    terms = c.glossary.where("term <> ''").select(*[F.col(k).alias(f"g_{k}") for k in ("glossary_id", "version", "term_ord", "term", "translations", "note", "case_sensitive")]).withColumn("key", key(F.col("g_term")))
-    texts = c.diffs.where("s_text <> '' and t_text <> ''")
-    keys = F.array_distinct(F.concat(F.transform(F.regexp_extract_all("s_text", F.lit(word), F.lit(0)), F.lower), F.split("s_text", "")))
-    rows = texts.withColumn("key", F.explode(keys)).join(terms, "key").drop("key").where(tx.term_hit(F.col("s_text"), F.col("g_term"), F.col("g_case_sensitive")))
-    rows = rows.where(~F.exists("g_translations", lambda x: tx.term_hit(F.col("t_text"), x, F.col("g_case_sensitive"))))
-    metrics = {"term": F.col("g_term"), "allowed_translations": F.col("g_translations"), "note": F.col("g_note"), "glossary_reference": F.concat_ws("@", "g_glossary_id", "g_version")} | evidence(True, True)
-    return _issues(rows, "glossary", "glossary_violation", "high", _id("p", F.col("t_page"), "-glossary-", F.col("t_region_id"), "-", F.substring("g_term", 1, 20)), metrics, source=F.col("s_region_id"), target=F.col("t_region_id"), box="t_", row_ord=F.col("s_region_ord") * 1_000_000 + F.col("g_term_ord"))
-
-
-def _union(parts: list[DataFrame]) -> DataFrame | None:
-    out = None
-    for part in parts:
-        if part is not None:
-            out = part if out is None else out.unionByName(part)
-    return out
+    rows = terms.breaches(_matched(c).where("not vectorized and s_text <> '' and t_text <> ''"), c.glossary)
+    told = {"term": F.col("g_term"), "allowed_translations": F.col("g_translations"), "note": F.col("g_note"), "glossary_reference": F.concat_ws("@", "g_glossary_id", "g_version")} | ev.of("s_", "t_")
+    return _issues(rows, "glossary", "glossary_violation", "high", _id("p", F.col("t_page"), "-glossary-", F.col("t_region_id"), "-", F.substring("g_term", 1, 20)), told, source=F.col("s_region_id"), target=F.col("t_region_id"), box="t_", row_ord=F.col("s_region_ord") * 1_000_000 + F.col("g_term_ord"))
 
 
-def _geometry(c: Context) -> DataFrame | None:
-    return geometry_issues(c, c.flows[1] if c.profile.on("text_alignment_changed") else None)
+def _content(make: Callable[[Context, DataFrame], DataFrame]) -> Callable[[Context], DataFrame]:
+    """Content detectors go by the language pair of a page and leave vectorized pages alone."""
+    return lambda c: make(c, languages(c))
 
 
-def _lost(c: Context) -> DataFrame:
-    """Missing regions; text of vectorized pages is not missing."""
-    return missing_issues(c).join(c.vectorized.select(*PAIR, F.lit("missing_element").alias("type")), [*PAIR, "type"], "left_anti")
+def _when(toggle: str, make: Callable[[Context], DataFrame]) -> Callable[[Context], DataFrame | None]:
+    """A detector's issues, of pairs whose profile has it on."""
 
+    def issues_(c: Context) -> DataFrame | None:
+        if not c.rules.carried:
+            return make(c) if c.rules.profile.on(toggle) else None
+        found = c.rules.attach(make(c))
+        return c.rules.on(found, toggle).drop("rules")
 
-def _content(make: Callable[[Context], DataFrame]) -> Callable[[Context], DataFrame]:
-    """Content detectors leave vectorized pages alone."""
-    return lambda c: make(c).join(c.vectorized.select(*PAIR), PAIR, "left_anti")
+    return issues_
 
 
-#: every detector with its switch (none: always on), the types it can raise, and what makes its issues
-DETECTORS: tuple[tuple[str | None, tuple[str, ...], Callable[[Context], DataFrame | None]], ...] = (
-    (None, ("page_missing", "added_element"), page_issues),
-    ("text_rasterized", ("text_rasterized",), lambda c: rasterized_issues(c, c.claims)),
-    ("missing_element", ("missing_image", "missing_element"), _lost),
-    ("missing_element", ("added_element",), lambda c: added_issues(c, c.claims)),
-    ("text_alignment_changed", ("text_alignment_changed",), lambda c: c.flows[0]),
-    (None, ("region_shifted", "font_shrink", "typography_changed", "region_resized"), _geometry),
-    ("text_fragmented", ("text_fragmented",), fragmented_issues),
-    ("invisible_text", ("invisible_text",), lambda c: invisible_issues(c, c.claims)),
-    ("content_out_of_page", ("content_out_of_page",), out_of_page_issues),
-    ("overlap", ("text_overlap", "text_image_overlap"), lambda c: overlap_issues(c, c.claims)),
-    (None, ("text_vectorized",), lambda c: vectorized_issues(c.vectorized)),
-    ("number_mismatch", ("number_mismatch",), _content(number_issues)),
-    ("untranslated_text", ("untranslated_text",), _content(untranslated_issues)),
-    (None, ("glossary_violation",), lambda c: _content(glossary_issues)(c) if c.glossary is not None else None),
+#: every detector with the types it can raise, and what makes its issues
+DETECTORS: tuple[tuple[tuple[str, ...], Callable[[Context], DataFrame | None]], ...] = (
+    (("page_missing", "added_element"), page_issues),
+    (("text_rasterized",), _when("text_rasterized", lambda c: rasterized_issues(c, c.claims))),
+    (("missing_image", "missing_element"), _when("missing_element", missing_issues)),
+    (("text_alignment_changed",), _when("text_alignment_changed", alignment_issues)),
+    (("region_shifted", "font_shrink", "typography_changed", "region_resized"), geometry_issues),
+    (("added_element", "text_fragmented", "invisible_text", "content_out_of_page"), region_issues),
+    (("text_overlap", "text_image_overlap"), _when("overlap", overlap_issues)),
+    (("text_vectorized",), vectorized_issues),
+    (("number_mismatch",), _content(number_issues)),
+    (("untranslated_text",), _content(untranslated_issues)),
+    (("glossary_violation",), lambda c: glossary_issues(c) if c.glossary is not None else None),
 )
 
 
 def issues(c: Context, types: Iterable[str] = ()) -> DataFrame:
     """The issues of every detector that is on, or of those only that can raise one of the types."""
     wanted = set(types)
-    parts = [make(c) for toggle, raised, make in DETECTORS if (toggle is None or c.profile.on(toggle)) and (not wanted or wanted & set(raised))]
-    return _union(parts)
+    out = None
+    for raised, make in DETECTORS:
+        part = make(c) if not wanted or wanted & set(raised) else None
+        if part is not None:
+            out = part if out is None else out.unionByName(part)
+    return out

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.profile import Profile
+from ..plans.rules import Rules
 from . import solvers
 from .groupwise import per_group
 
@@ -21,7 +22,7 @@ def page_median_font(blocks: DataFrame) -> DataFrame:
     return blocks.where("type = 'text' and font_size is not null").groupBy(*PAGE).agg(F.median("font_size").alias("median_font"))
 
 
-def _parts(blocks: DataFrame, ratio: float) -> DataFrame:
+def _parts(blocks: DataFrame, rules: Rules) -> DataFrame:
     """Adds ``part``: the component of a block within its source block, from 0.
 
     Only source blocks of two or more text blocks can fall apart; all others pass by.
@@ -31,30 +32,23 @@ def _parts(blocks: DataFrame, ratio: float) -> DataFrame:
     single = counted.where("n = 1 or not_text = 1").select("*", F.lit(0).alias("part"), F.lit(False).alias("by_place"))
 
     def solve(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        x, y, w, h = g["x"], g["y"], g["width"], g["height"]
-        a, b = np.triu_indices(len(x), 1)
-        limit = np.maximum(h[a], h[b]) * ratio
-        across = np.maximum(x[a], x[b]) - np.minimum(x[a] + w[a], x[b] + w[b])
-        down = np.maximum(y[a], y[b]) - np.minimum(y[a] + h[a], y[b] + h[b])
-        joined = ((down <= 0) & (across <= limit)) | ((down <= limit) & ((across <= 0) | (np.abs(x[a] - x[b]) <= limit)))
-        root = solvers.components(len(x), np.stack([a, b], axis=1)[joined])
-        order = sorted(set(root), key=lambda r: (y[root == r].min(), x[root == r].min()))
-        return {"block_ord": g["block_ord"], "part": np.array([order.index(r) for r in root], dtype=np.int32)}
+        return {"block_ord": g["block_ord"], "part": solvers.span_parts(g["x"], g["y"], g["width"], g["height"], g["ratio"][0])}
 
     several = counted.where("n > 1 and not_text = 0")
     types = dict(blocks.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in [*group, "block_ord"]) + ", part int"
-    split = per_group(several.select(*group, "block_ord", "x", "y", "width", "height"), group, ["block_ord"], solve, schema)
+    split = per_group(several.select(*group, "block_ord", "x", "y", "width", "height", rules.value("span_gap_ratio").cast("double").alias("ratio")), group, ["block_ord"], solve, schema)
     return single.unionByName(several.join(split, [*group, "block_ord"]).withColumn("by_place", F.lit(True))).drop("n", "not_text")
 
 
-def regions(blocks: DataFrame, profile: Profile, split: bool = True) -> DataFrame:
+def regions(blocks: DataFrame, rules: Rules | Profile, split: bool = True) -> DataFrame:
     """The regions of all pages with ids, order, text, style, children and neighbours.
 
     ``split=False`` leaves source blocks whole (inputs with one span for each block).
     """
-    indexed = blocks.withColumn("source_index", F.coalesce("source_block_index", "block_ord"))
-    parts = _parts(indexed, profile.span_gap_ratio) if split else indexed.withColumns({"part": F.lit(0), "by_place": F.lit(False)})
+    rules = Rules(rules) if isinstance(rules, Profile) else rules
+    indexed = rules.attach(blocks).withColumn("source_index", F.coalesce("source_block_index", "block_ord"))
+    parts = _parts(indexed, rules) if split else indexed.withColumns({"part": F.lit(0), "by_place": F.lit(False)})
     # parts are ordered by place, whole source blocks as they came
     order = F.struct(*[F.when(F.col("by_place"), F.col(c)).alias(c) for c in ("y", "x", "block_id")], "block_ord")
     text = F.col("type") == "text"
@@ -78,8 +72,8 @@ def regions(blocks: DataFrame, profile: Profile, split: bool = True) -> DataFram
         F.transform(F.array_sort(F.collect_list(F.when(F.col("color") != "", F.struct(order.alias("place"), "color")))), lambda s: s["color"]).alias("colors"),
     )
     image, is_text = F.col("first_type") == "image", F.col("has_text") == 1
-    joined = grouped.join(page_median_font(blocks), PAGE, "left")
-    heading = F.col("text_font") >= F.col("median_font") * profile.heading_ratio
+    joined = rules.attach(grouped.join(page_median_font(blocks), PAGE, "left"))
+    heading = F.col("text_font") >= F.col("median_font") * rules.value("heading_ratio")
     kind = F.when(image, "image").when(~is_text, F.col("first_type")).when(F.coalesce(heading, F.lit(False)), "heading").otherwise("paragraph")
     described = joined.select(
         *PAGE,

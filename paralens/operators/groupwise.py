@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -28,7 +30,8 @@ def per_group(df: DataFrame, keys: list[str], order: list[str], solve: Callable[
     """``keys`` and what ``solve`` returns for each group's columns (arrays in ``order``).
 
     ``solve`` returns arrays of one length; none or empty ones give no rows.
-    ``schema`` names the keys first.
+    ``schema`` names the keys first.  Rows are numbered within their group, which brings
+    them together and in order, and needs no shuffle where they lie by the keys already.
     """
     ship(df.sparkSession)
 
@@ -67,4 +70,5 @@ def per_group(df: DataFrame, keys: list[str], order: list[str], solve: Callable[
                 # one frame for the batch, with each group's keys repeated
                 yield pd.DataFrame({**{k: np.repeat(columns[k][at], sizes) for k in keys}, **{c: np.concatenate([f[c] for f in found]) for c in found[0]}})
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    numbered = df.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return numbered.mapInPandas(run, schema)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..plans.profile import Profile
+from ..plans.rules import Rules
 from . import solvers
 from .groupwise import per_group
 from .pages import side
@@ -15,59 +15,92 @@ from .pages import side
 PAIR = ["pair_id", "report_page"]
 
 
-def on_entries(regions: DataFrame, pages: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: regions of a page pair for each band of its height, where pairs of them are looked for
+BAND_REGIONS = 32
+
+
+def sheets(regions: DataFrame, pages: DataFrame, entries: DataFrame, rules: Rules) -> DataFrame:
+    """The report entries, each with what is known of its two pages: sizes, fills, regions, characters.
+
+    A page pair is vectorized if its text turned into drawings.
+    """
+    text = F.length(F.coalesce("text", F.lit("")))
+    counts = regions.groupBy("pair_id", "side", "page").agg(F.count("*").alias("n"), F.sum(text).alias("chars"))
+    paper = pages.join(counts, ["pair_id", "side", "page"], "left")
+    own = ["page", "width", "height", "n", "chars"]
+    s = side(paper.select("pair_id", "side", *own), "source", "s_").withColumnsRenamed({"s_width": "sp_width", "s_height": "sp_height"})
+    t = side(paper.select("pair_id", "side", *own, "background_color", "dark_boxes"), "target", "t_").withColumnsRenamed({"t_width": "tp_width", "t_height": "tp_height", "t_background_color": "background_color", "t_dark_boxes": "dark_boxes"})
+    both = rules.attach(entries).join(s, ["pair_id", "s_page"], "left").join(t, ["pair_id", "t_page"], "left").na.fill(0, ["s_n", "t_n", "s_chars", "t_chars"])
+    empty = (F.col("kind") == "pair") & (F.col("s_chars") >= rules.t("vectorized_min_source_chars")) & (F.col("t_chars") <= F.col("s_chars") * rules.t("vectorized_max_target_ratio"))
+    return both.withColumns({"vectorized": empty, "bands": F.greatest(F.lit(1), ((F.col("s_n") + F.col("t_n")) / BAND_REGIONS).cast("int"))})
+
+
+def on_sheets(regions: DataFrame, sheets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Source and target regions of paired pages with report_page, both pages' sizes and the number of regions."""
-    paired = entries.where("kind = 'pair'").select("pair_id", "s_page", "t_page", "report_page")
-    size = ["page", "width", "height"]
-    sp = side(pages, "source", "s_").select("pair_id", *[F.col(f"s_{c}").alias(f"s_{c}" if c == "page" else f"sp_{c}") for c in size])
-    tp = side(pages, "target", "t_").select("pair_id", *[F.col(f"t_{c}").alias(f"t_{c}" if c == "page" else f"tp_{c}") for c in size])
-    both = paired.join(sp, ["pair_id", "s_page"]).join(tp, ["pair_id", "t_page"])
-    out = []
-    for name, p in (("source", "s_"), ("target", "t_")):
-        counts = regions.where(F.col("side") == name).groupBy("pair_id", F.col("page").alias(f"{p}page")).agg(F.count("*").alias(f"{p}n"))
-        keep = [*PAIR, f"{p}page", "sp_width", "sp_height", "tp_width", "tp_height", f"{p}n"]
-        out.append(both.join(counts, ["pair_id", f"{p}page"]).select(*keep).join(side(regions, name, p), ["pair_id", f"{p}page"]))
-    return out[0], out[1]
-
-
-def scores(source: DataFrame, target: DataFrame, profile: Profile) -> DataFrame:
-    """The four similarities and their weighted sum for all regions of a page pair."""
-    left = source.select(*PAIR, "sp_width", "sp_height", "tp_width", "tp_height", "s_n", "s_region_ord", "s_region_id", "s_type", "s_x", "s_y", "s_width", "s_height")
+    paired = sheets.where("kind = 'pair'")
+    keep = [*PAIR, "sp_width", "sp_height", "tp_width", "tp_height", "vectorized", "bands", *(["rules"] if "rules" in sheets.columns else [])]
+    return tuple(paired.select(*keep, f"{p}page", f"{p}n").join(side(regions, name, p), ["pair_id", f"{p}page"]) for name, p in (("source", "s_"), ("target", "t_")))
+
+
+def banded(rows: DataFrame, p: str) -> DataFrame:
+    """The rows for each band of the page's height that their box crosses: ``band``, and ``{p}band``, the first of them."""
+    high = F.greatest("sp_height", "tp_height") / F.col("bands")
+    place = lambda y: F.least(F.greatest(F.floor(y / high), F.lit(0)), F.col("bands") - 1)
+    crossed = F.sequence(place(F.col(f"{p}y")), place(g.bottom(p)))
+    return rows.withColumn(f"{p}band", F.get(crossed, 0)).withColumn("band", F.explode(crossed))
+
+
+def meeting(left: DataFrame, p: str, right: DataFrame, q: str) -> DataFrame:
+    """Boxes of a page whose heights meet, each pair once: in the first band that both cross.
+
+    ``left`` has the page's sizes and bands; ``right`` has been banded.
+    """
+    first = F.col("band") == F.greatest(f"{p}band", f"{q}band")
+    meet = (F.col(f"{p}y") < g.bottom(q)) & (F.col(f"{q}y") < g.bottom(p))
+    return banded(left, p).join(right, [*PAIR, "band"]).where(first & meet)
+
+
+def scores(source: DataFrame, target: DataFrame, rules: Rules, known: DataFrame | None = None) -> DataFrame:
+    """The four similarities and their weighted sum for all regions of a page pair, or for ``known`` matches only."""
+    weights = ("position", "size", "type", "order", "text_types")
+    left = source.select(*PAIR, "sp_width", "sp_height", "tp_width", "tp_height", "s_n", "s_region_ord", "s_region_id", "s_type", "s_x", "s_y", "s_width", "s_height", *[rules.value(w).alias(f"w_{w}") for w in weights])
     right = target.select(*PAIR, "t_n", "t_region_ord", "t_region_id", "t_type", "t_x", "t_y", "t_width", "t_height")
-    joined = left.join(right, PAIR).select(
-        *PAIR,
-        "s_region_ord",
-        "t_region_ord",
-        "s_region_id",
-        "t_region_id",
-        g.position_similarity("s_", "t_", F.greatest("sp_width", "tp_width"), F.greatest("sp_height", "tp_height")).alias("position"),
-        g.size_similarity("s_", "t_").alias("size"),
-        g.type_similarity("s_type", "t_type", profile.text_types).alias("type"),
-        g.order_similarity("s_region_ord", "s_n", "t_region_ord", "t_n").alias("order"),
-    )
-    total = F.lit(profile.position) * F.col("position") + F.lit(profile.size) * F.col("size") + F.lit(profile.type) * F.col("type") + F.lit(profile.order) * F.col("order")
-    return joined.withColumn("score", total)
+    met = left.join(right, PAIR) if known is None else left.join(known, [*PAIR, "s_region_id"]).join(right, [*PAIR, "t_region_id"])
+    parts = {
+        "position": g.position_similarity("s_", "t_", F.greatest("sp_width", "tp_width"), F.greatest("sp_height", "tp_height")),
+        "size": g.size_similarity("s_", "t_"),
+        "type": g.type_similarity("s_type", "t_type", F.col("w_text_types")),
+        "order": g.order_similarity("s_region_ord", "s_n", "t_region_ord", "t_n"),
+    }
+    joined = met.select(*PAIR, "s_region_ord", "t_region_ord", "s_region_id", "t_region_id", *[v.alias(k) for k, v in parts.items()], *[f"w_{w}" for w in parts])
+    total = sum((F.col(f"w_{w}") * F.col(w) for w in ("size", "type", "order")), F.col("w_position") * F.col("position"))
+    return joined.withColumn("score", total).drop(*[f"w_{w}" for w in parts])
+
+
+#: settings that scoring and assigning a page pair needs
+WEIGHTS = ("position", "size", "type", "order", "text_types", "minimum_score")
 
 
-def matched(source: DataFrame, target: DataFrame, profile: Profile) -> DataFrame:
+def matched(source: DataFrame, target: DataFrame, rules: Rules) -> DataFrame:
     """The rows of ``scores`` that the best one-to-one assignment keeps, at least at the minimum score.
 
     Both sides of a page pair meet in one pass, which scores and assigns them.
     """
     columns = ["n", "region_ord", "region_id", "type", "x", "y", "width", "height"]
     sizes = ["sp_width", "sp_height", "tp_width", "tp_height"]
-    sides = [rows.select(*PAIR, F.lit(k).alias("side"), *sizes, *[F.col(p + c).alias(c) for c in columns]) for k, (rows, p) in enumerate(((source, "s_"), (target, "t_")))]
+    settings = [rules.value(w).cast("double").alias(f"w_{w}") for w in WEIGHTS]
+    sides = [rows.select(*PAIR, F.lit(k).alias("side"), *sizes, *settings, *[F.col(p + c).alias(c) for c in columns]) for k, (rows, p) in enumerate(((source, "s_"), (target, "t_")))]
     both = sides[0].unionByName(sides[1])
-    weights, least, text_types = (profile.position, profile.size, profile.type, profile.order), profile.minimum_score, profile.text_types
 
     def solve(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         n = int((rows["side"] == 0).sum())
         s, t = ({c: v[part] for c, v in rows.items()} for part in (slice(0, n), slice(n, None)))
         if not n or n == len(rows["side"]):
             return {}
-        parts = solvers.similarities(s, t, text_types)
-        total = sum((w * p for w, p in zip(weights[1:], parts[1:])), weights[0] * parts[0])
-        pairs = np.array([p for p in solvers.assign(total) if total[p] >= least], dtype=np.int64).reshape(-1, 2)
+        weights = [rows[f"w_{w}"][0] for w in WEIGHTS]
+        parts = solvers.similarities(s, t, weights[4])
+        total = sum((w * p for w, p in zip(weights[1:4], parts[1:])), weights[0] * parts[0])
+        pairs = np.array([p for p in solvers.assign(total) if total[p] >= weights[5]], dtype=np.int64).reshape(-1, 2)
         i, j = pairs[:, 0], pairs[:, 1]
         ids = {"s_region_ord": s["region_ord"][i], "t_region_ord": t["region_ord"][j], "s_region_id": s["region_id"][i], "t_region_id": t["region_id"][j]}
         return ids | {name: p[i, j] for name, p in zip(("position", "size", "type", "order", "score"), (*parts, total))}
@@ -82,13 +115,11 @@ def unmatched(source: DataFrame, target: DataFrame, matches: DataFrame) -> tuple
     return source.join(matches, [*PAIR, "s_region_id"], "left_anti"), target.join(matches, [*PAIR, "t_region_id"], "left_anti")
 
 
-def diffs(matches: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
-    """Matches with both regions and the relative changes of place, size and font."""
-    pages = ["sp_width", "sp_height", "tp_width", "tp_height", "s_page", "s_n"]
-    s = source.select(*PAIR, *pages, *[c for c in source.columns if c.startswith("s_") and c not in pages])
-    t = target.select(*PAIR, *[c for c in target.columns if c.startswith("t_")])
-    both = matches.drop("s_region_ord", "t_region_ord").join(s, [*PAIR, "s_region_id"]).join(t, [*PAIR, "t_region_id"])
-    return both.withColumns(
+def laid(matches: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
+    """Every target region, beside its matched source region and the relative changes of place, size and font (else nulls)."""
+    s = source.select(*PAIR, "s_page", *[c for c in source.columns if c.startswith("s_") and c != "s_page"])
+    both = matches.drop("s_region_ord", "t_region_ord").join(s, [*PAIR, "s_region_id"])
+    return target.join(both, [*PAIR, "t_region_id"], "left").withColumns(
         {
             "dx": (F.col("t_x") - F.col("s_x")) / F.col("sp_width"),
             "dy": (F.col("t_y") - F.col("s_y")) / F.col("sp_height"),

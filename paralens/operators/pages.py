@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+import numpy as np
 import pandas as pd
 
-from ..functions import geometry as g
-from ..plans.profile import Profile
+from ..plans.rules import Rules
 from . import solvers
-from .groupwise import ship
+from .groupwise import per_group, ship
 
 
 def side(df: DataFrame, name: str, prefix: str) -> DataFrame:
@@ -19,33 +19,41 @@ def side(df: DataFrame, name: str, prefix: str) -> DataFrame:
     return rows.select("pair_id", *[F.col(c).alias(prefix + c) for c in rows.columns if c != "pair_id"])
 
 
-def similarity(regions: DataFrame, pages: DataFrame, profile: Profile) -> DataFrame:
+def similarity(regions: DataFrame, pages: DataFrame, rules: Rules) -> DataFrame:
     """(pair_id, s_page, t_page, similarity) of all pages of a pair at most ``max_page_shift`` apart.
 
-    Every region takes its best score on the other side; the sums over the larger
-    number of regions are averaged over both directions.
+    A source page meets the regions of the target pages near it in one pass of arrays.
     """
-    shift = profile.max_page_shift
-    sp, tp = side(pages, "source", "s_").select("pair_id", "s_page", F.col("s_width").alias("sw"), F.col("s_height").alias("sh")), side(pages, "target", "t_").select("pair_id", "t_page", F.col("t_width").alias("tw"), F.col("t_height").alias("th"))
-    near = sp.join(tp, "pair_id").where(F.abs(F.col("s_page") - F.col("t_page")) <= shift)
-    columns = ["page", "region_ord", "type", "x", "y", "width", "height"]
-    s = side(regions, "source", "s_").select("pair_id", *[f"s_{c}" for c in columns])
-    t = side(regions, "target", "t_").select("pair_id", *[f"t_{c}" for c in columns])
-    sn, tn = s.groupBy("pair_id", "s_page").agg(F.count("*").alias("sn")), t.groupBy("pair_id", "t_page").agg(F.count("*").alias("tn"))
-    total = profile.position + profile.size + profile.type
-    score = (
-        F.lit(profile.position) * g.position_similarity("s_", "t_", F.greatest("sw", "tw"), F.greatest("sh", "th"))
-        + F.lit(profile.size) * g.size_similarity("s_", "t_")
-        + F.lit(profile.type) * g.type_similarity("s_type", "t_type", profile.text_types)
-    ) / F.lit(total)
-    scored = near.join(s, ["pair_id", "s_page"]).join(t, ["pair_id", "t_page"]).select("pair_id", "s_page", "t_page", "s_region_ord", "t_region_ord", score.alias("score"))
-    key = ["pair_id", "s_page", "t_page"]
-    forward = scored.groupBy(*key, "s_region_ord").agg(F.max("score").alias("best")).groupBy(*key).agg(F.sum("best").alias("forward"))
-    backward = scored.groupBy(*key, "t_region_ord").agg(F.max("score").alias("best")).groupBy(*key).agg(F.sum("best").alias("backward"))
-    both = near.join(sn, ["pair_id", "s_page"], "left").join(tn, ["pair_id", "t_page"], "left").join(forward, key, "left").join(backward, key, "left")
-    most = F.greatest("sn", "tn")
-    value = F.when(F.col("sn").isNull() & F.col("tn").isNull(), 1.0).when(F.col("sn").isNull() | F.col("tn").isNull(), 0.0).otherwise((F.col("forward") / most + F.col("backward") / most) / 2)
-    return both.select(*key, value.alias("similarity"))
+    columns = ["region_ord", "type", "x", "y", "width", "height"]
+    weights = ("position", "size", "type", "text_types")
+    paper = rules.attach(pages).select("pair_id", "side", "page", F.col("width").alias("wide"), F.col("height").alias("high"), rules.value("max_page_shift").cast("long").alias("shift"), *[rules.value(w).cast("double").alias(f"w_{w}") for w in weights])
+    # a page without regions keeps a row
+    rows = paper.join(regions.select("pair_id", "side", "page", *columns), ["pair_id", "side", "page"], "left")
+    own = rows.where("side = 'source'").withColumn("s_page", F.col("page"))
+    near = rows.where("side = 'target'").withColumn("s_page", F.explode(F.sequence(F.col("page").cast("long") - F.col("shift"), F.col("page").cast("long") + F.col("shift")))).withColumn("s_page", F.col("s_page").cast(dict(rows.dtypes)["page"]))
+
+    def solve(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        n = int((g["side"] == "source").sum())
+        if not n or n == len(g["side"]):
+            return {}
+
+        def page(lo: int, hi: int, p: str) -> dict[str, np.ndarray]:
+            there = np.flatnonzero(~np.isnan(g["x"][lo:hi].astype(float))) + lo
+            return {k: g[k][there] for k in columns} | {f"{p}p_width": g["wide"][lo:hi], f"{p}p_height": g["high"][lo:hi]}
+
+        source = page(0, n, "s")
+        found, value = [], []
+        cuts = [n, *(np.flatnonzero(np.diff(g["page"][n:])) + n + 1).tolist(), len(g["page"])]
+        for lo, hi in zip(cuts, cuts[1:]):
+            target = page(lo, hi, "t")
+            sizes = {k: target[k] for k in ("tp_width", "tp_height")}
+            found.append(g["page"][lo])
+            value.append(solvers.page_similarity(source | sizes, target, tuple(g[f"w_{w}"][0] for w in weights)))
+        return {"t_page": np.array(found), "similarity": np.array(value)}
+
+    types = dict(rows.dtypes)
+    schema = f"pair_id {types['pair_id']}, s_page {types['page']}, t_page {types['page']}, similarity double"
+    return per_group(own.unionByName(near).drop("shift"), ["pair_id", "s_page"], ["side", "page", "region_ord"], solve, schema)
 
 
 def identity(pages: DataFrame) -> DataFrame:
@@ -55,25 +63,26 @@ def identity(pages: DataFrame) -> DataFrame:
     return s.join(t, ["pair_id", "number"], "full").drop("number")
 
 
-def aligned(pages: DataFrame, similar: DataFrame, profile: Profile) -> DataFrame:
-    """(pair_id, s_page, t_page) by the best monotone alignment of each pair of documents."""
+def aligned(pages: DataFrame, regions: DataFrame, rules: Rules) -> DataFrame:
+    """(pair_id, s_page, t_page) by the best monotone alignment of each pair of documents; pages of equal number where a profile aligns none."""
     ship(pages.sparkSession)
     numbers = pages.groupBy("pair_id").agg(*[F.sort_array(F.collect_set(F.when(F.col("side") == n, F.col("page")))).alias(n) for n in ("source", "target")])
-    scores = similar.groupBy("pair_id").agg(F.collect_list(F.struct("s_page", "t_page", "similarity")).alias("scores"))
+    scores = similarity(regions, pages, rules).groupBy("pair_id").agg(F.collect_list(F.struct("s_page", "t_page", "similarity")).alias("scores"))
     kind, page = pages.schema["pair_id"].dataType, pages.schema["page"].dataType
     schema = T.StructType([T.StructField("pair_id", kind), T.StructField("s_page", page), T.StructField("t_page", page)])
-    skip, margin = profile.skip_penalty, profile.shift_margin
+    settings = [rules.value(k).alias(k) for k in ("skip_penalty", "shift_margin", "align_pages")]
 
     def run(batches):
         for table in batches:
             rows = []
-            for pair, source, target, scored in zip(table["pair_id"], table["source"], table["target"], table["scores"]):
-                values = {(s["s_page"], s["t_page"]): s["similarity"] for s in scored} if scored is not None else {}
-                pairs, missing, extra = solvers.align_pages(list(source), list(target), values, skip, margin)
+            for pair, source, target, scored, skip, margin, align in zip(*[table[c] for c in ("pair_id", "source", "target", "scores", "skip_penalty", "shift_margin", "align_pages")]):
+                values = {(s["s_page"], s["t_page"]): s["similarity"] for s in scored} if scored is not None and align else {}
+                pairs, missing, extra = solvers.align_pages(list(source), list(target), values, skip, margin if align else float("inf"))
                 rows += [(pair, a, b) for a, b in pairs] + [(pair, a, None) for a in missing] + [(pair, None, b) for b in extra]
             yield pd.DataFrame(rows, columns=["pair_id", "s_page", "t_page"]).astype({"s_page": "Int64", "t_page": "Int64"})
 
-    return numbers.join(scores, "pair_id", "left").mapInPandas(run, schema)
+    joined = rules.attach(numbers.join(scores, "pair_id", "left"))
+    return joined.select("pair_id", "source", "target", "scores", *settings).mapInPandas(run, schema)
 
 
 def entries(paired: DataFrame) -> DataFrame:

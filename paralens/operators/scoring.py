@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.profile import SEVERITIES, Profile
+from ..plans.rules import Rules
 
 PAGE = ["pair_id", "report_page", "kind"]
 STATUSES = ("pass", "review", "fail")
 
 
-def _lookup(column: str, table: dict[str, float], default: float) -> Column:
-    out = F.lit(default)
-    for key, value in table.items():
-        out = F.when(F.col(column) == key, value).otherwise(out)
-    return out
-
-
-def page_results(entries: DataFrame, issues: DataFrame, profile: Profile) -> DataFrame:
+def page_results(entries: DataFrame, issues: DataFrame, rules: Rules | Profile) -> DataFrame:
     """(pair_id, report_page, kind, issue_count, score, status) of every report entry.
 
     Deductions add up by issue type up to the type's cap.  Issues belong to the entry
@@ -26,16 +20,18 @@ def page_results(entries: DataFrame, issues: DataFrame, profile: Profile) -> Dat
     """
     kind = F.when(F.col("detector") != "page", "pair").when(F.col("type") == "page_missing", "missing").otherwise("extra")
     marked = issues.withColumn("kind", kind)
-    per_type = marked.groupBy(*PAGE, "type").agg(F.sum(_lookup("severity", profile.deductions, 0.0)).alias("off"), F.count("*").alias("n"), *[F.max((F.col("severity") == s).cast("int")).alias(s) for s in ("critical", "high")])
-    per_page = per_type.groupBy(*PAGE).agg(F.sum(F.least("off", _lookup("type", profile.caps, 10.0))).alias("off"), F.sum("n").alias("n"), F.max("critical").alias("critical"), F.max("high").alias("high"))
-    rows = entries.select(*PAGE).join(per_page, PAGE, "left").na.fill(0, ["off", "n", "critical", "high"])
-    score = F.greatest(F.lit(0.0), 100 - F.col("off"))
-    rows = rows.withColumn("score", score)
-    failed, doubtful = F.col("score") < profile.fail_score, F.col("score") < profile.pass_score
-    if profile.critical_forces_fail:
-        failed = failed | (F.col("critical") == 1)
-    if profile.high_forces_review:
-        doubtful = doubtful | (F.col("high") == 1)
+    rules = Rules(rules) if isinstance(rules, Profile) else rules
+    counted = marked.groupBy(*PAGE, "type", "severity").agg(F.count("*").alias("n"))
+    rows = entries.select(*PAGE, *(["rules"] if rules.carried else [])).join(counted, PAGE, "left")
+    carried = {"rules": F.first("rules")} if rules.carried else {}
+    first = [v.alias(k) for k, v in carried.items()]
+    off = F.coalesce(F.col("n"), F.lit(0)) * rules.points("deductions", "severity", 0.0)
+    per_type = rows.withColumn("off", off).groupBy(*PAGE, "type").agg(F.sum("off").alias("off"), F.sum("n").alias("n"), *[F.max((F.col("severity") == s).cast("int")).alias(s) for s in ("critical", "high")], *first)
+    capped = F.least("off", rules.points("caps", "type", 10.0))
+    rows = per_type.withColumn("off", capped).groupBy(*PAGE).agg(F.sum("off").alias("off"), F.sum("n").alias("n"), F.max("critical").alias("critical"), F.max("high").alias("high"), *first).na.fill(0, ["off", "n", "critical", "high"])
+    rows = rows.withColumn("score", F.greatest(F.lit(0.0), 100 - F.col("off")))
+    failed = (F.col("score") < rules.value("fail_score")) | (rules.value("critical_forces_fail") & (F.col("critical") == 1))
+    doubtful = (F.col("score") < rules.value("pass_score")) | (rules.value("high_forces_review") & (F.col("high") == 1))
     status = F.when(failed, "fail").when(doubtful, "review").otherwise("pass")
     return rows.select(*PAGE, F.col("n").alias("issue_count"), "score", status.alias("status"))
 

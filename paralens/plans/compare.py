@@ -8,22 +8,25 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import detectors, grouping, matching, pages, scoring
-from ..sources.tables import stored
+from ..operators import detectors, evidence, grouping, matching, pages, scoring
+from ..sources.tables import bucketed, removed, stored, together
 from .profile import Profile
+from .rules import Rules
 
 STAGES = ("parse", "group", "alignment", "match", "detect", "report")
+PAIR = matching.PAIR
 
 
 class Comparison:
     """The tables of one comparison of many pairs; each is made when it is first asked for, from those it needs only.
 
     Tables that several others read are written once as Parquet in the shared folder:
-    their lineage ends there and their columns stay prunable.
+    their lineage ends there and their columns stay prunable.  Those by page pair lie in
+    buckets of the page pair, so that what meets there isn't moved again.
     """
 
-    def __init__(self, pages_: DataFrame, blocks: DataFrame, profile: Profile, glossary: DataFrame | None, split: bool, paired: DataFrame | None, matched: DataFrame | None, group: Callable | None):
-        self.profile, self.glossary = profile, glossary
+    def __init__(self, pages_: DataFrame, blocks: DataFrame, rules: Rules, glossary: DataFrame | None, split: bool, paired: DataFrame | None, matched: DataFrame | None, group: Callable | None):
+        self.rules, self.glossary = rules, glossary
         self._given = (pages_, blocks, split, paired, matched, group)
 
     @property
@@ -31,6 +34,22 @@ class Comparison:
         """What the detectors read: the comparison itself."""
         return self
 
+    @property
+    def profile(self) -> Profile:
+        """The profile of all pairs, where there is one."""
+        return self.rules.profile
+
+    @property
+    def _spark(self):
+        return self._given[0].sparkSession
+
+    def forget(self) -> None:
+        """Deletes the tables that were made; what was read from the comparison can't be read again."""
+        for name in ("pages", "blocks", "regions", "sheets", "source", "target", "matches", "laid", "claims", "lines", "flows", "_issues"):
+            if name in self.__dict__:
+                removed(self.__dict__.pop(name))
+        self.__dict__.pop("_sides", None)
+
     @cached_property
     def pages(self) -> DataFrame:
         return stored(self._given[0], "pages")
@@ -42,26 +61,34 @@ class Comparison:
     @cached_property
     def regions(self) -> DataFrame:
         _, _, split, _, _, group = self._given
-        return stored(group(self.blocks, self.profile) if group else grouping.regions(self.blocks, self.profile, split), "regions")
+        if "blocks" not in self.__dict__ and "pages" not in self.__dict__:
+            together(self._spark, lambda: self.blocks, lambda: self.pages)
+        return stored(group(self.blocks, self.rules) if group else grouping.regions(self.blocks, self.rules, split), "regions")
 
     @cached_property
-    def entries(self) -> DataFrame:
+    def sheets(self) -> DataFrame:
+        """The report entries with what is known of their pages."""
         paired = self._given[3]
-        if paired is None and self.profile.align_pages:
-            paired = pages.aligned(self.pages, pages.similarity(self.regions, self.pages, self.profile), self.profile)
-        return stored(pages.entries(pages.identity(self.pages) if paired is None else paired), "entries")
+        if paired is None and (self.rules.carried or self.profile.align_pages):
+            paired = pages.aligned(self.pages, self.regions, self.rules)
+        entries = pages.entries(pages.identity(self.pages) if paired is None else paired)
+        return bucketed(matching.sheets(self.regions, self.pages, entries, self.rules), "sheets", PAIR)
+
+    @property
+    def entries(self) -> DataFrame:
+        return self.sheets.select("pair_id", "s_page", "t_page", "report_page", "kind")
 
     @cached_property
-    def _sides(self) -> tuple[DataFrame, DataFrame]:
-        source, target = matching.on_entries(self.regions, self.pages, self.entries)
-        return stored(source, "source"), stored(target, "target")
+    def _sides(self) -> list[DataFrame]:
+        source, target = matching.on_sheets(self.regions, self.sheets)
+        return together(self._spark, lambda: bucketed(source, "source", PAIR), lambda: bucketed(target, "target", PAIR))
 
-    @property
+    @cached_property
     def source(self) -> DataFrame:
         """Source regions of paired pages."""
         return self._sides[0]
 
-    @property
+    @cached_property
     def target(self) -> DataFrame:
         """Target regions of paired pages."""
         return self._sides[1]
@@ -70,56 +97,76 @@ class Comparison:
     def matches(self) -> DataFrame:
         known = self._given[4]
         if known is None:
-            return stored(matching.matched(self.source, self.target, self.profile), "matches")
-        keys = [*matching.PAIR, "s_region_id", "t_region_id"]
-        return stored(matching.scores(self.source, self.target, self.profile).join(known.select(*keys), keys), "matches")
+            return bucketed(matching.matched(self.source, self.target, self.rules), "matches", PAIR)
+        keys = [*PAIR, "s_region_id", "t_region_id"]
+        return bucketed(matching.scores(self.source, self.target, self.rules, known.select(*keys)), "matches", PAIR)
 
     @cached_property
+    def laid(self) -> DataFrame:
+        """Target regions beside the source regions they match, if any."""
+        return bucketed(matching.laid(self.matches, self.source, self.target), "laid", PAIR)
+
+    @property
     def diffs(self) -> DataFrame:
-        return stored(matching.diffs(self.matches, self.source, self.target), "diffs")
+        """Matched regions with their differences."""
+        return self.laid.where("s_region_id is not null")
 
     @cached_property
     def claims(self) -> DataFrame:
         """Transparent text with the image that stands for it."""
-        return stored(detectors.rasterized(self), "claims")
+        return bucketed(detectors.rasterized(self), "claims", PAIR)
 
     @cached_property
-    def vectorized(self) -> DataFrame:
-        """Pages whose text turned into drawings."""
-        return stored(detectors.vectorized_pages(self), "vectorized")
+    def lines(self) -> DataFrame:
+        """Text regions of both sides with their flows."""
+        return bucketed(detectors.text_lines(self.source, self.target, self.rules), "lines", PAIR)
 
     @cached_property
-    def flows(self) -> tuple[DataFrame, DataFrame]:
-        """Issues of changed alignment, and the regions whose shifts and sizes they explain."""
-        changed, explained = detectors.alignment(self)
-        return stored(changed, "flow-issues"), stored(explained, "explained")
+    def flows(self) -> DataFrame:
+        """Flows whose alignment changed, of pairs whose profile looks at it."""
+        changed = detectors.changed_flows(self)
+        if self.rules.carried:
+            changed = self.rules.on(self.rules.attach(changed), "text_alignment_changed").drop("rules")
+        return bucketed(changed, "flows", PAIR)
+
+    def _told(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("metrics", evidence.as_json())
 
     def issues_of(self, *types: str) -> DataFrame:
         """The issues of some types, from the detectors that can raise them only."""
-        return detectors.issues(self, types).where(F.col("type").isin(*types))
+        return self._told(detectors.issues(self, types).where(F.col("type").isin(*types)))
 
     @cached_property
+    def _issues(self) -> DataFrame:
+        self.source, self.target  # noqa: B018  both are needed twice below
+        together(self._spark, lambda: self.lines, lambda: self.laid)
+        together(self._spark, lambda: self.claims, lambda: self.flows)
+        return bucketed(detectors.issues(self), "issues", PAIR)
+
+    @property
     def issues(self) -> DataFrame:
-        return stored(detectors.issues(self), "issues")
+        """All issues; ``metrics`` is their evidence as JSON, made when it is read."""
+        return self._told(self._issues)
 
     @cached_property
     def page_results(self) -> DataFrame:
-        return scoring.page_results(self.entries, self.issues, self.profile)
+        return scoring.page_results(self.rules.attach(self.entries), self._issues, self.rules)
 
     @cached_property
     def documents(self) -> DataFrame:
-        return scoring.document_results(self.pages, self.page_results, self.issues)
+        return scoring.document_results(self.pages, self.page_results, self._issues)
 
 
-def compare(pages_: DataFrame, blocks: DataFrame, profile: Profile | None = None, glossary: DataFrame | None = None, split: bool = True, paired: DataFrame | None = None, matched: DataFrame | None = None, group: Callable | None = None) -> Comparison:
+def compare(pages_: DataFrame, blocks: DataFrame, profile: Profile | Rules | None = None, glossary: DataFrame | None = None, split: bool = True, paired: DataFrame | None = None, matched: DataFrame | None = None, group: Callable | None = None) -> Comparison:
     """Compares the source and target side of every pair.
 
     ``pages_``: pair_id, side, page, width, height, background_color, dark_boxes.
     ``blocks``: the columns of grouping.BLOCKS.  ``paired`` (pair_id, s_page, t_page)
     and ``matched`` (pair_id, report_page, s_region_id, t_region_id) replace page
     alignment and the assignment where the truth is known; ``group`` replaces grouping.
+    ``profile``: one for all pairs, or rules.by_pair() for profile versions that pairs name.
     """
-    return Comparison(pages_, blocks, profile or Profile(), glossary, split, paired, matched, group)
+    return Comparison(pages_, blocks, profile if isinstance(profile, Rules) else Rules(profile or Profile()), glossary, split, paired, matched, group)
 
 
 def stage(found: Comparison, name: str) -> DataFrame:

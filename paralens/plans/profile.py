@@ -158,6 +158,9 @@ class Profile:
     deductions: dict = field(default_factory=lambda: dict(DEDUCTIONS))
     severity_overrides: dict = field(default_factory=dict)
     language_thresholds: dict = field(default_factory=dict)
+    #: by language pair, beside its thresholds: detectors that are off, and bands
+    language_off: dict = field(default_factory=dict)
+    language_bands: dict = field(default_factory=dict)
 
     def __post_init__(self):
         self.check()
@@ -174,7 +177,7 @@ class Profile:
             raise ValueError("the fail score must be below the pass score")
         if set(self.caps) != set(CAPS) or set(self.deductions) != set(SEVERITIES):
             raise ValueError("caps and deductions need a value for each key")
-        if unknown := set(self.off) - set(TOGGLES):
+        if unknown := {t for off in (self.off, *self.language_off.values()) for t in off} - set(TOGGLES):
             raise ValueError(f"no such detector: {sorted(unknown)}")
 
     @property
@@ -187,17 +190,21 @@ class Profile:
     def t(self, name: str) -> float:
         return LIMITS[name] if name in LIMITS else self.thresholds[name]
 
-    def content_thresholds(self, language: str) -> dict:
-        """Thresholds of the content detectors for a language pair; an override replaces all."""
-        return self.language_thresholds.get(language, self.thresholds)
+    def languages(self) -> list[str]:
+        """Language pairs with settings of their own."""
+        return sorted({*self.language_thresholds, *self.language_off, *self.language_bands})
+
+    def override(self, language: str) -> tuple[dict, tuple[str, ...], dict]:
+        """Thresholds, detectors that are off, and bands of a language pair; they replace the profile's as a whole."""
+        return THRESHOLDS | self.language_thresholds.get(language, {}), tuple(self.language_off.get(language, ())), BANDS | self.language_bands.get(language, {})
 
     def severity(self, issue_type: str, default: str) -> str:
         return self.severity_overrides.get(issue_type, default)
 
-    def band(self, name: str, value: Column, default: str = "high") -> Column:
+    def band(self, name: str, value: Column, default: str = "high", bands: dict | None = None) -> Column:
         """The severity of the highest band that the value reaches."""
         out = F.lit(default)
-        for least, severity in sorted(self.bands[name]):
+        for least, severity in sorted((bands or self.bands)[name]):
             out = F.when(value >= least, F.lit(severity)).otherwise(out)
         return out
 
@@ -217,9 +224,12 @@ class Profile:
             for part in place[:-1]:
                 at = at.setdefault(part, {})
             at[place[-1]] = getattr(self, name)
-        bands = {k: [{"gte": least, "severity": severity} for least, severity in v] for k, v in self.bands.items()}
-        out["detectors"] |= {"enabled": {t: self.on(t) for t in TOGGLES}, "thresholds": self.thresholds | bands}
-        out["language_overrides"] = {k: {"thresholds": v} for k, v in self.language_thresholds.items()}
+        def nested(thresholds: dict, off: tuple[str, ...], bands: dict) -> dict:
+            graded = {k: [{"gte": least, "severity": severity} for least, severity in v] for k, v in bands.items()}
+            return {"enabled": {t: t not in off for t in TOGGLES}, "thresholds": thresholds | graded}
+
+        out["detectors"] |= nested(self.thresholds, self.off, self.bands)
+        out["language_overrides"] = {k: nested(*self.override(k)) for k in self.languages()}
         return out
 
     @classmethod
@@ -232,11 +242,16 @@ class Profile:
             for part in place:
                 at = at[part]
             values[name] = at
-        detectors = given["detectors"]
-        values["off"] = tuple(t for t in TOGGLES if not detectors["enabled"][t])
-        values["thresholds"] = {k: detectors["thresholds"][k] for k in THRESHOLDS}
-        values["bands"] = {k: tuple((b["gte"], b["severity"]) for b in detectors["thresholds"][k]) for k in BANDS}
-        values["language_thresholds"] = {k: THRESHOLDS | {t: x for t, x in v.get("thresholds", {}).items() if t in THRESHOLDS} for k, v in given["language_overrides"].items()}
+        def flat(detectors: dict) -> tuple[dict, tuple[str, ...], dict]:
+            found = detectors["thresholds"]
+            return {k: found[k] for k in THRESHOLDS}, tuple(t for t in TOGGLES if not detectors["enabled"][t]), {k: tuple((b["gte"], b["severity"]) for b in found[k]) for k in BANDS}
+
+        values["thresholds"], values["off"], values["bands"] = flat(given["detectors"])
+        base = cls().published()["detectors"]
+        own = {k: flat(merge_defaults(base, v)) for k, v in given["language_overrides"].items()}
+        values["language_thresholds"] = {k: v[0] for k, v in own.items()}
+        values["language_off"] = {k: v[1] for k, v in own.items() if v[1]}
+        values["language_bands"] = {k: v[2] for k, v in own.items() if v[2] != BANDS}
         return cls(**values)
 
     @classmethod
@@ -248,7 +263,10 @@ class Profile:
             raise ValueError(f"no such setting: {sorted(unknown)}")
         merged = merge_defaults(base, given)
         merged["off"] = tuple(merged["off"])
-        merged["bands"] = {k: tuple(map(tuple, v)) for k, v in merged["bands"].items()}
+        paired = lambda bands: {k: tuple(map(tuple, v)) for k, v in bands.items()}
+        merged["bands"] = paired(merged["bands"])
+        merged["language_off"] = {k: tuple(v) for k, v in merged["language_off"].items()}
+        merged["language_bands"] = {k: paired(v) for k, v in merged["language_bands"].items()}
         return cls(**merged)
 
 

@@ -12,6 +12,7 @@ from .functions import text as tx
 from .operators import detectors, grouping, matching, pages, scoring, store
 from .plans.compare import Comparison, compare, reports
 from .plans.profile import Profile
+from .plans.rules import Rules
 from .sources import fixtures, scan
 from .sources.tables import stored
 
@@ -97,7 +98,7 @@ def _page_issue(kind: str):
 
 def score_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = known(spark, sf_dir)
-    rows = matching.scores(c.context.source, c.context.target, c.context.profile)
+    rows = matching.scores(c.source, c.target, c.rules)
     return rows.select("pair_id", "report_page", "s_region_id", "t_region_id", _e6("position").alias("position_e6"), _e6("size").alias("size_e6"), F.round(F.col("type") * 100).cast("int").alias("type_pct"), _e6("order").alias("order_e6"))
 
 
@@ -115,13 +116,9 @@ def structured_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def covered_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source regions that target text covers, of those that a part of the matches leaves alone."""
-    from .functions import geometry as g
-
     c = known(spark, sf_dir)
     alone, _ = matching.unmatched(c.source, c.target, c.matches.where("s_region_ord % 6 <> 0"))
-    texts = c.target.where(g.is_text("t_type")).select("pair_id", "report_page", "t_x", "t_y", "t_width", "t_height")
-    hits = alone.where("s_type <> 'image'").join(texts, ["pair_id", "report_page"]).where(g.intersection_ratio("s_", "t_") >= c.profile.merged_coverage)
-    return hits.select("pair_id", "report_page", F.col("s_region_id").alias("region_id")).distinct()
+    return detectors.covered(c, alone).select("pair_id", "report_page", F.col("s_region_id").alias("region_id"))
 
 
 def dominant_script(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,9 +203,8 @@ def language_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flow_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignment of each document's lines, taken as one flow."""
     spans = fixtures.source_spans(documents(spark, sf_dir)).where("type = 'text'")
-    lines = spans.select("pair_id", F.col("page").alias("report_page"), F.col("i").alias("t_region_ord"), F.concat(F.lit("r"), "i").alias("t_region_id"), *[F.col(c).alias(f"t_{c}") for c in ("x", "y", "width", "height")], F.lit(500.0).alias("tp_width"))
-    flow = lines.select("pair_id", "report_page", "t_region_ord", F.lit(0).alias("flow"))
-    found = detectors.flow_alignment(lines, flow, "t_", "tp_width", Profile())
+    lines = spans.select("pair_id", F.col("page").alias("report_page"), F.col("i").alias("region_ord"), F.concat(F.lit("r"), "i").alias("region_id"), "x", "y", "width", "height", F.lit(500.0).alias("page_width"))
+    found = detectors.flow_alignment(lines, Rules(Profile()), ["pair_id", "report_page"])
     return found.select("pair_id", "report_page", F.col("lines"), "first_region", "last_region", "alignment", *[F.floor(F.col(c) * 1_000_000 + 0.5).cast("long").alias(f"{c}_e6") for c in ("left", "right", "center")])
 
 
@@ -228,7 +224,7 @@ def match_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = known(spark, sf_dir)
-    return pages.similarity(c.regions, c.pages, c.profile).select("pair_id", "s_page", "t_page", _e6("similarity").alias("similarity_e6"))
+    return pages.similarity(c.regions, c.pages, c.rules).select("pair_id", "s_page", "t_page", _e6("similarity").alias("similarity_e6"))
 
 
 def nested_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,8 +277,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "match_full": match_full,
     "unmatched_regions": unmatched_regions,
     "structured_diff": structured_diff,
-    "layout_analog": lambda s, d: (lambda c: detectors.layout_analogs(c.source, c.target, c.profile))(known(s, d)).select("pair_id", "report_page", "t_region_ord", "a_region_ord"),
-    "overlap_pairs": lambda s, d: detectors.overlap_pairs(known(s, d).context.target, Profile()).select("pair_id", "report_page", F.col("t_region_id").alias("first_region"), F.col("o_region_id").alias("second_region"), _e6("ratio").alias("ratio_e6"), "with_image"),
+    "layout_analog": lambda s, d: (lambda c: detectors.layout_analogs(c.source, c.target, c.rules))(known(s, d)).select("pair_id", "report_page", "t_region_ord", "a_region_ord"),
+    "overlap_pairs": lambda s, d: (lambda c: detectors.overlap_pairs(c.target, c.rules))(known(s, d)).select("pair_id", "report_page", F.col("t_region_id").alias("first_region"), F.col("o_region_id").alias("second_region"), _e6("ratio").alias("ratio_e6"), "with_image"),
     "covered_text": covered_text,
     "issue_page_missing": _page_issue("page_missing"),
     "issue_extra_page": _page_issue("added_element"),

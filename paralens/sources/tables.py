@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,3 +27,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """stored(), dealt to buckets by ``keys``: joins, groups and windows on them, or on more columns, need no shuffle.
+
+    As many buckets as the session has shuffle partitions.  Rows that don't lie by the
+    keys already are dealt before they are written, so each bucket is one file.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # tables on the same keys may be joined on more columns without a new shuffle
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", f"{shared(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
+def together(spark: SparkSession, *makers: Callable[[], DataFrame]) -> list[DataFrame]:
+    """The tables that the makers store, made at the same time; no two of them may need the same unmade table."""
+    with ThreadPoolExecutor(len(makers)) as pool:
+        inherit = inheritable_thread_target(spark)
+        return [job.result() for job in [pool.submit(inherit(make)) for make in makers]]
+
+
+def removed(df: DataFrame) -> None:
+    """Deletes the files of a table that stored() or bucketed() made."""
+    spark = df.sparkSession
+    root = shared(spark)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if jvm.org.apache.hadoop.fs.Path(root).toUri().getPath() in path.toUri().getPath():
+            path.getFileSystem(conf).delete(path, True)
