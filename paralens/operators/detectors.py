@@ -11,6 +11,7 @@ matches, flows and page data on the page pair and further columns.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import partial
 from typing import Protocol
 
 import numpy as np
@@ -43,35 +44,43 @@ class Context(Protocol):
     glossary: DataFrame | None
 
 
-def _issue(detector: str, kind: Column | str, severity: Column | str, issue_id: Column, told: dict[str, Column], page: str = "t_page", source: Column | None = None, target: Column | None = None, box: str | None = None, row_ord: Column | None = None) -> Column:
-    """An issue as a struct, without its page pair."""
+def _issue(detector: str, kind: Column | str, severity: Column | str, issue_id: Column, told: dict[str, Column], page: str = "t_page", source: Column | None = None, target: Column | None = None, box: str | None = None, row_ord: Column | None = None, keys: Iterable[str] | None = None) -> Column:
+    """An issue as a struct, without its page pair; ``keys``: what all issues of the pass tell."""
     as_column = lambda v: F.lit(v) if isinstance(v, str) else v
-    none = F.lit(None)
+    none = F.expr("cast(null as string)")
     return F.struct(
         F.col(page).alias("page"),
         issue_id.alias("issue_id"),
         as_column(kind).alias("type"),
         as_column(severity).alias("severity"),
-        (none if source is None else source).cast("string").alias("source_region"),
-        (none if target is None else target).cast("string").alias("target_region"),
-        *[(none.cast("double") if box is None else F.col(f"{box}{c}")).alias(c) for c in ("x", "y", "width", "height")],
-        ev.struct(told).alias("evidence"),
-        F.lit(detector).alias("detector"),
-        F.lit(ORDER[detector]).alias("detector_ord"),
+        (none if source is None else source).alias("source_region"),
+        (none if target is None else target).alias("target_region"),
+        *[F.expr(f"{'cast(null as double)' if box is None else box + c} as {c}") for c in ("x", "y", "width", "height")],
+        ev.part(told, keys).alias("told"),
+        F.expr(f"'{detector}' as detector"),
+        F.expr(f"{ORDER[detector]} as detector_ord"),
         (F.lit(0) if row_ord is None else row_ord).cast("long").alias("row_ord"),
     )
 
 
-def _issues(df: DataFrame, *args, **options) -> DataFrame:
-    return df.select(*PAIR, _issue(*args, **options).alias("i")).select(*PAIR, "i.*")
+ISSUE = ("page", "issue_id", "type", "severity", "source_region", "target_region", "x", "y", "width", "height", "detector", "detector_ord", "row_ord")
 
 
-def _each(df: DataFrame, hits: list[tuple[Column, Column]]) -> DataFrame | None:
-    """The issues of all (condition, issue) that a row meets, in one pass."""
+def _unpacked(df: DataFrame, keys: Iterable[str]) -> DataFrame:
+    return df.select(*PAIR, *[f"i.{c}" for c in ISSUE], ev.whole(keys, "i.told").alias("evidence"))
+
+
+def _issues(df: DataFrame, detector: str, kind: Column | str, severity: Column | str, issue_id: Column, told: dict[str, Column], **options) -> DataFrame:
+    return _unpacked(df.select(*PAIR, _issue(detector, kind, severity, issue_id, told, **options).alias("i")), told)
+
+
+def _each(df: DataFrame, hits: list[tuple[Column, Callable[[list[str]], Column], dict[str, Column]]]) -> DataFrame | None:
+    """The issues of all (condition, issue, what it tells) that a row meets, in one pass."""
     if not hits:
         return None
-    found = F.filter(F.array(*[F.when(F.coalesce(hit, F.lit(False)), issue) for hit, issue in hits]), lambda i: i.isNotNull())
-    return df.select(*PAIR, F.explode(found).alias("i")).select(*PAIR, "i.*")
+    keys = list(dict.fromkeys(k for _, _, told in hits for k in told))
+    found = F.filter(F.array(*[F.when(F.coalesce(hit, F.lit(False)), issue(keys)) for hit, issue, _ in hits]), lambda i: i.isNotNull())
+    return _unpacked(df.select(*PAIR, F.explode(found).alias("i")), keys)
 
 
 def _id(*parts: str | Column) -> Column:
@@ -87,9 +96,11 @@ def _on(c: Context, toggle: str) -> Column | None:
 
 def page_issues(c: Context) -> DataFrame:
     """Source pages without a target page, and target pages without a source page."""
-    lost = _issue("page", "page_missing", "critical", _id("p", F.col("report_page"), "-missing-page"), {"source_region_count": F.col("s_n")}, page="report_page")
-    extra = _issue("page", "added_element", "high", _id("p", F.col("report_page"), "-extra-page"), {"target_region_count": F.col("t_n")}, page="report_page")
-    return _each(c.sheets, [(F.col("kind") == "missing", lost), (F.col("kind") == "extra", extra)])
+    made = []
+    for kind, type_, severity, name, told in (("missing", "page_missing", "critical", "-missing-page", {"source_region_count": F.col("s_n")}), ("extra", "added_element", "high", "-extra-page", {"target_region_count": F.col("t_n")})):
+        issue = partial(_issue, "page", type_, severity, _id("p", F.col("report_page"), name), told, "report_page")
+        made.append((F.col("kind") == kind, lambda keys, issue=issue: issue(keys=keys), told))
+    return _each(c.sheets, made)
 
 
 def _matched(c: Context) -> DataFrame:
@@ -268,15 +279,20 @@ def geometry_issues(c: Context) -> DataFrame | None:
     ids = {"source": F.col("s_region_id"), "target": F.col("t_region_id"), "box": "t_"}
     place = lambda k: F.col("s_region_ord") * 4 + k
     moved, grown = F.greatest(F.abs("dx"), F.abs("dy")), F.greatest(F.abs("dw"), F.abs("dh"))
-    font = {"font_size_change_ratio": F.col("font_change")} | both
     name = lambda what: _id("p", F.col("t_page"), f"-{what}-", F.col("t_region_id"))
+    font = {"font_size_change_ratio": F.col("font_change")} | both
     made = (
-        ("region_shifted", (moved > r.t("shifted_ratio")) & ~known, lambda: _issue("geometry", "region_shifted", F.when(moved > r.t("severely_shifted_ratio"), "high").otherwise("medium"), name("shift"), {"x_shift_ratio": F.col("dx"), "y_shift_ratio": F.col("dy")} | both, row_ord=place(0), **ids)),
-        ("font_shrink", F.col("font_change") < r.t("font_shrink_ratio"), lambda: _issue("geometry", "font_shrink", r.band("font_shrink_bands", F.abs("font_change")), name("font"), font, row_ord=place(1), **ids)),
-        ("font_grow", F.col("font_change") > r.t("font_grow_ratio"), lambda: _issue("geometry", "typography_changed", "medium", name("fontgrow"), font, row_ord=place(2), **ids)),
-        ("region_resized", (grown > r.t("region_resize_ratio")) & ~known & ~label_width(r), lambda: _issue("geometry", "region_resized", r.band("region_resize_bands", grown), name("resize"), {"width_change_ratio": F.col("dw"), "height_change_ratio": F.col("dh"), "resize_magnitude": grown} | both, row_ord=place(3), **ids)),
+        ("region_shifted", (moved > r.t("shifted_ratio")) & ~known, "region_shifted", F.when(moved > r.t("severely_shifted_ratio"), "high").otherwise("medium"), "shift", {"x_shift_ratio": F.col("dx"), "y_shift_ratio": F.col("dy")} | both),
+        ("font_shrink", F.col("font_change") < r.t("font_shrink_ratio"), "font_shrink", r.band("font_shrink_bands", F.abs("font_change")), "font", font),
+        ("font_grow", F.col("font_change") > r.t("font_grow_ratio"), "typography_changed", F.lit("medium"), "fontgrow", font),
+        ("region_resized", (grown > r.t("region_resize_ratio")) & ~known & ~label_width(r), "region_resized", r.band("region_resize_bands", grown), "resize", {"width_change_ratio": F.col("dw"), "height_change_ratio": F.col("dh"), "resize_magnitude": grown} | both),
     )
-    return _each(rows, [(_on(c, toggle) & hit, issue()) for toggle, hit, issue in made if _on(c, toggle) is not None])
+    hits = []
+    for k, (toggle, hit, type_, severity, what, told) in enumerate(made):
+        if _on(c, toggle) is not None:
+            issue = partial(_issue, "geometry", type_, severity, name(what), told, row_ord=place(k), **ids)
+            hits.append((_on(c, toggle) & hit, lambda keys, issue=issue: issue(keys=keys), told))
+    return _each(rows, hits)
 
 
 def region_issues(c: Context) -> DataFrame | None:
@@ -290,11 +306,11 @@ def region_issues(c: Context) -> DataFrame | None:
     both, texts = ev.of("s_", "t_"), {"source_text": F.col("s_text"), "target_text": F.col("t_text")}
 
     alone = F.col("s_region_id").isNull() & ~F.coalesce(F.col("claimed") == "image", F.lit(False))
-    added = _issue("added", "added_element", "low", name("added"), {"region_type": F.col("t_type")} | ev.of(target="t_"), **ids)
+    added = {"region_type": F.col("t_type")} | ev.of(target="t_")
 
     letters = F.regexp_count("t_text", F.lit(r"\p{L}"))
     narrow = g.is_text("t_type") & (F.col("t_width") <= r.t("fragment_max_width")) & letters.between(F.lit(1), r.t("fragment_max_letters"))
-    fragment = _issue("fragmented", "text_fragmented", "medium", name("frag"), {"text": F.col("t_text"), "bbox_width": F.col("t_width"), "letter_count": letters} | texts | both, **with_source)
+    fragment = {"text": F.col("t_text"), "bbox_width": F.col("t_width"), "letter_count": letters} | texts | both
 
     light = r.t("invisible_color_threshold")
 
@@ -307,13 +323,23 @@ def region_issues(c: Context) -> DataFrame | None:
     pale = F.coalesce(pale & ~F.exists(F.coalesce("dark_boxes", F.array()), covers), F.lit(False))
     transparent = F.coalesce(F.col("t_opacity") <= r.t("invisible_opacity_threshold"), F.lit(False))
     unseen = g.is_text("t_type") & ~F.coalesce(F.col("claimed") == "text", F.lit(False)) & (transparent | pale)
-    invisible = _issue("invisible", "invisible_text", "high", name("invisible"), {"text_color": F.get("t_colors", 0), "background_color": F.col("background_color"), "text_opacity": F.col("t_opacity"), "text": F.substring("t_text", 1, 60)} | texts | both, **with_source)
+    invisible = {"text_color": F.get("t_colors", 0), "background_color": F.col("background_color"), "text_opacity": F.col("t_opacity"), "text": F.substring("t_text", 1, 60)} | texts | both
 
     outside = (F.col("t_x") < 0) | (F.col("t_y") < 0) | (g.right("t_") > F.col("tp_width")) | (g.bottom("t_") > F.col("tp_height"))
-    out = _issue("out_of_page", "content_out_of_page", "critical", name("out"), {"page_width": F.col("tp_width"), "page_height": F.col("tp_height")} | ev.of(target="t_"), **ids)
+    out = {"page_width": F.col("tp_width"), "page_height": F.col("tp_height")} | ev.of(target="t_")
 
-    made = (("missing_element", alone, added), ("text_fragmented", narrow, fragment), ("invisible_text", unseen, invisible), ("content_out_of_page", outside, out))
-    return _each(rows, [(_on(c, toggle) & hit, issue) for toggle, hit, issue in made if _on(c, toggle) is not None])
+    made = (
+        ("missing_element", alone, "added", "added_element", "low", "added", added, ids),
+        ("text_fragmented", narrow, "fragmented", "text_fragmented", "medium", "frag", fragment, with_source),
+        ("invisible_text", unseen, "invisible", "invisible_text", "high", "invisible", invisible, with_source),
+        ("content_out_of_page", outside, "out_of_page", "content_out_of_page", "critical", "out", out, ids),
+    )
+    hits = []
+    for toggle, hit, detector, type_, severity, what, told, regions in made:
+        if _on(c, toggle) is not None:
+            issue = partial(_issue, detector, type_, severity, name(what), told, **regions)
+            hits.append((_on(c, toggle) & hit, lambda keys, issue=issue: issue(keys=keys), told))
+    return _each(rows, hits)
 
 
 def layout_analogs(source: DataFrame, target: DataFrame, rules: Rules) -> DataFrame:

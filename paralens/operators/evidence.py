@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _BOX, _SPREADS = "struct<x:double,y:double,width:double,height:double>", "struct<left:double,right:double,center:double,confidence:double>"
@@ -57,40 +59,56 @@ def of(source: str | None = None, target: str | None = None, match: bool = False
     return out
 
 
-def struct(told: dict[str, Column]) -> Column:
-    """The typed struct of some keys; keys that aren't there are null."""
-    return F.struct(*[(told[k] if k in told else F.lit(None)).cast(kind).alias(k) for k, kind in ALL.items()])
+def part(told: dict[str, Column], keys: Iterable[str] | None = None) -> Column:
+    """The typed struct of the told keys, or of ``keys``, where those that aren't told are null."""
+    return F.struct(*[told[k].cast(ALL[k]).alias(k) if k in told else F.expr(f"cast(null as {ALL[k]}) as {k}") for k in (told if keys is None else keys)])
 
 
-def _kind() -> Column:
-    return F.when((F.col("type") == "added_element") & (F.col("detector") == "page"), "extra_page").otherwise(F.col("type"))
+def whole(keys: Iterable[str], at: str) -> Column:
+    """The struct of all keys from one of some keys."""
+    have = set(keys)
+    return F.expr("named_struct(" + ", ".join(f"'{k}', {f'{at}.{k}' if k in have else f'cast(null as {kind})'}" for k, kind in ALL.items()) + ")")
 
 
 #: issue types that may name no source or no target region, and then tell nothing of it
 _OPTIONAL = ("text_fragmented", "invisible_text", "number_mismatch")
 
 
-def _by_regions(kind: str, make) -> Column:
-    """make(keys) for the keys that an issue of this type tells, by which regions it names."""
-    own = KEYS[kind]
-    if kind not in _OPTIONAL:
-        return make(list(own))
-    left = lambda *gone: make([k for k in own if k in _ALWAYS.get(kind, ()) or not any(k in names for names in gone)])
-    no_source, no_target = F.col("source_region").isNull(), F.col("target_region").isNull()
-    return F.when(no_source & no_target, left(SOURCE, TARGET)).when(no_source, left(SOURCE)).when(no_target, left(TARGET)).otherwise(left())
+def _cases(make: Callable[[list[str]], str]) -> Column:
+    """make(keys) of the keys that an issue tells, by its type and by which regions it names."""
+    parts = []
+    for kind, own in KEYS.items():
+        named = "type = 'added_element' and detector = 'page'" if kind == "extra_page" else f"type = '{kind}'"
+        if kind in _OPTIONAL:
+            left = lambda *gone: make([k for k in own if k in _ALWAYS.get(kind, ()) or not any(k in names for names in gone)])  # noqa: B023, E731
+            parts += [f"when {named} and source_region is null and target_region is null then {left(SOURCE, TARGET)}", f"when {named} and source_region is null then {left(SOURCE)}", f"when {named} and target_region is null then {left(TARGET)}"]
+        # pages without a source page come before regions without one
+        parts.insert(0 if kind == "extra_page" else len(parts), f"when {named} then {make(list(own))}")
+    return F.expr(f"case {' '.join(parts)} end")
 
 
 def keys() -> Column:
     """The keys that an issue tells, in order."""
-    out = F.lit(None).cast("array<string>")
-    for kind in KEYS:
-        out = F.when(_kind() == kind, _by_regions(kind, lambda own: F.array(*[F.lit(k) for k in own]))).otherwise(out)
-    return out
+    return _cases(lambda own: "array(" + ", ".join(f"'{k}'" for k in own) + ")")
 
 
 def as_json(evidence: str = "evidence") -> Column:
     """The told keys as JSON, keys without a value as null."""
-    out = F.lit("{}")
-    for kind in KEYS:
-        out = F.when(_kind() == kind, _by_regions(kind, lambda own: F.to_json(F.struct(*[F.col(f"{evidence}.{k}") for k in own]), {"ignoreNullFields": "false"}))).otherwise(out)
-    return out
+    return _cases(lambda own: "to_json(named_struct(" + ", ".join(f"'{k}', {evidence}.{k}" for k in own) + "), map('ignoreNullFields', 'false'))")
+
+
+def _plain(value: str, kind: str) -> str:
+    """SQL for a value as text: numbers in millionths, boxes and lists comma-joined."""
+    if kind == "double":
+        return f"cast(cast(floor({value} * 1000000 + 0.5) as bigint) as string)"
+    if kind.startswith("struct"):
+        fields = [f.partition(":")[0] for f in kind[len("struct<") : -1].split(",")]
+        return f"array_join(array({', '.join(_plain(f'{value}.{f}', 'double') for f in fields)}), ',')"
+    return f"array_join({value}, ',')" if kind.startswith("array") else f"cast({value} as string)"
+
+
+def told(issues: DataFrame) -> DataFrame:
+    """(pair_id, report_page, issue_id, key, value): each key that an issue tells, its value as text."""
+    values = F.expr("map(" + ", ".join(f"'{k}', {_plain(f'evidence.{k}', kind)}" for k, kind in ALL.items()) + ")")
+    rows = issues.select("pair_id", "report_page", "issue_id", keys().alias("keys"), values.alias("values"))
+    return rows.select("pair_id", "report_page", "issue_id", F.explode("keys").alias("key"), "values").select("pair_id", "report_page", "issue_id", "key", F.col("values")[F.col("key")].alias("value"))

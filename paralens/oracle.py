@@ -46,6 +46,65 @@ def _script_count(text: str, name: str) -> str:
 _ACRONYMS = "coalesce(list_sum(list_transform(list_filter(regexp_extract_all(t.text, '[\\p{L}\\p{M}\\p{N}_]+'), lambda w: regexp_full_match(w, '[A-Z]{2,}')), lambda w: length(w))), 0)"
 _NUMBERS = f"list_transform(regexp_extract_all(translate(coalesce(text, ''), '{DIGITS_FROM}', '{DIGITS_TO}'), '{_NUMBER}'), lambda n: case when contains(n, '.') then regexp_replace(split_part(replace(n, ',', ''), '.', 1), '^0+(.)', '\\1') || '.' || split_part(n, '.', 2) else regexp_replace(replace(n, ',', ''), '^0+(.)', '\\1') end)"
 
+
+def _milli(v: str) -> str:
+    return f"cast(cast(floor(({v}) * 1000000 + 0.5) as bigint) as varchar)"
+
+
+def _boxed(a: str) -> str:
+    return " || ',' || ".join(_milli(f"{a}.{c}") for c in ("x", "y", "width", "height"))
+
+
+def _side(name: str, a: str) -> dict[str, str]:
+    return {f"{name}_text": f"{a}.text", f"{name}_bbox": _boxed(a), f"{name}_region_type": f"{a}.type"}
+
+
+def _match(s: str, t: str, order: str, kind: str) -> dict[str, str]:
+    position, size = _position(s, t), _size(s, t)
+    score = f"0.4::double * {position} + 0.25::double * {size} + 0.2::double * {kind} + 0.15::double * {order}"
+    return {"match_score": _milli(score), "match_position_similarity": _milli(position), "match_size_similarity": _milli(size), "match_type_similarity": _milli(kind), "match_order_similarity": _milli(order)}
+
+
+def _told() -> str:
+    """SQL for every key of every issue of the known pairs: each type's keys, written out."""
+    e_s, e_t = _side("source", "s"), _side("target", "t")
+    order = "(1 - abs(s.region_ord / greatest(1, s.n - 1) - t.region_ord / greatest(1, t.n - 1)))"
+    match = _match("s", "t", order, f"(case when s.type = t.type then 1.0::double when s.type in {_TEXTS} and t.type in {_TEXTS} then 0.8::double else 0.0::double end)")
+    font = {"font_size_change_ratio": _milli("d.fc")} | e_s | e_t | match
+    overlap = {"overlap_ratio": _milli("l.ratio"), "source_overlap_ratio": _milli("l.before"), "overlap_increase_ratio": _milli("l.ratio - l.before"), "other_region": "o.region_id", "primary_text": "t.text", "other_text": "o.text", "primary_region_type": "t.type", "other_region_type": "o.type", "other_bbox": _boxed("o")} | e_t
+    letters = "cast(length(regexp_replace(t.text, '[^\\p{L}]', '', 'g')) as varchar)"
+    some_source = {k: v for k, v in e_s.items() if k != "source_text"}
+    script = "length(regexp_replace(coalesce(t.text, ''), '[^{0}]', '', 'g'))"
+    latin, cjk = script.format("A-Za-z"), script.format("\\x{4e00}-\\x{9fff}\\x{3400}-\\x{4dbf}")
+    numbers = {"source_numbers": "coalesce(nl.src, '')", "target_numbers": "coalesce(nl.tgt, '')", "missing_numbers": "coalesce(nl.missing, '')", "extra_numbers": "coalesce(nl.extra, '')", "diff_count": "cast(nm.missing + nm.extra as bigint)::varchar"}
+    # type, whose regions there must be, keys
+    kinds: list[tuple[str, str, dict[str, str]]] = [
+        ("i.type in ('missing_element', 'missing_image')", "", {"region_type": "s.type"} | e_s),
+        ("i.type = 'added_element' and i.kind = 'pair'", "", {"region_type": "t.type"} | e_t),
+        ("i.type = 'region_shifted'", "", {"x_shift_ratio": _milli("d.dx"), "y_shift_ratio": _milli("d.dy")} | e_s | e_t | match),
+        ("i.type in ('font_shrink', 'typography_changed')", "", font),
+        ("i.type = 'region_resized'", "", {"width_change_ratio": _milli("d.dw"), "height_change_ratio": _milli("d.dh"), "resize_magnitude": _milli("greatest(abs(d.dw), abs(d.dh))")} | e_s | e_t | match),
+        ("i.type = 'text_fragmented'", "", {"text": "t.text", "bbox_width": _milli("t.width"), "letter_count": letters, "source_text": "s.text"} | e_t),
+        ("i.type = 'text_fragmented'", "s.pair_id is not null", some_source),
+        ("i.type = 'invisible_text'", "", {"text_color": "t.color", "background_color": "'#FFFFFF'", "text_opacity": _milli("t.opacity"), "text": "left(t.text, 60)", "source_text": "s.text"} | e_t),
+        ("i.type = 'invisible_text'", "s.pair_id is not null", some_source),
+        ("i.type = 'content_out_of_page'", "", {"page_width": "'500000000'", "page_height": "'800000000'"} | e_t),
+        ("i.type in ('text_overlap', 'text_image_overlap')", "", overlap),
+        ("i.type = 'text_vectorized'", "", {"source_text_chars": "v.source_chars::varchar", "target_text_chars": "v.target_chars::varchar"}),
+        ("i.type = 'number_mismatch'", "", numbers),
+        ("i.type = 'number_mismatch'", "s.pair_id is not null", e_s),
+        ("i.type = 'number_mismatch'", "t.pair_id is not null", e_t),
+        ("i.type = 'untranslated_text'", "", {"source_script": "'latin'", "source_language_ratio": _milli(f"round({latin} / ({latin} + {cjk}), 3)"), "threshold": "'700000'", "sample": "left(t.text, 60)"} | e_s | e_t | match),
+    ]
+    joined = """issues i left join sr s on s.pair_id = i.pair_id and s.report_page = i.report_page and s.region_id = i.s_id left join tr t on t.pair_id = i.pair_id and t.report_page = i.report_page and t.region_id = i.t_id
+        left join d on d.pair_id = i.pair_id and d.report_page = i.report_page and d.t_id = i.t_id and d.s_id = i.s_id left join new_laps l on i.det = 9 and l.pair_id = i.pair_id and l.report_page = i.report_page and i.ro = l.a * 1000000 + l.b
+        left join tr o on o.pair_id = l.pair_id and o.report_page = l.report_page and o.region_ord = l.b left join vec v on i.det = 10 and v.pair_id = i.pair_id and v.report_page = i.report_page
+        left join number_lists nl on i.det = 11 and nl.pair_id = i.pair_id and nl.report_page = i.report_page left join numbers nm on i.det = 11 and nm.pair_id = i.pair_id and nm.report_page = i.report_page"""
+    lists = ", ".join(f"case when {kind}{f' and {there}' if there else ''} then [" + ", ".join(f"{{'key': '{k}', 'value': cast({v} as varchar)}}" for k, v in keys.items()) + "] else [] end" for kind, there, keys in kinds)
+    pages = "select i.pair_id, i.report_page, i.issue_id, case when i.kind = 'missing' then 'source_region_count' else 'target_region_count' end as key, count(r.region_id)::varchar as value from issues i left join regions r on r.pair_id = i.pair_id and r.page = i.report_page and r.side = case when i.kind = 'missing' then 'source' else 'target' end where i.kind <> 'pair' group by all"
+    return f"select pair_id, report_page, issue_id, u.key as key, u.value as value from (select i.pair_id, i.report_page, i.issue_id, unnest(flatten([{lists}])) as u from {joined} where i.kind = 'pair') union all {pages}"
+
+
 #: common tables by name, in the order in which one may use another
 CTES = {
     "lines": "select doc_id as pair_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from documents where text is not null",
@@ -91,6 +150,8 @@ CTES = {
     "nums": f"select pair_id, report_page, side, region_ord, region_id, unnest({_NUMBERS}) as number from (select * from sr union all select * from tr)",
     "bag": "select pair_id, report_page, number, count(*) filter (where side = 'source') as a, count(*) filter (where side = 'target') as b from nums group by all",
     "numbers": "select pair_id, report_page, sum(greatest(0, a - b)) as missing, sum(greatest(0, b - a)) as extra from bag group by all having sum(abs(a - b)) > 0",
+    "number_lists": """select pair_id, report_page, string_agg(number, ',' order by number) filter (where what = 'source') as src, string_agg(number, ',' order by number) filter (where what = 'target') as tgt, string_agg(number, ',' order by number) filter (where what = 'missing') as missing, string_agg(number, ',' order by number) filter (where what = 'extra') as extra
+        from (select pair_id, report_page, side as what, number from nums union all select pair_id, report_page, 'missing', number from (select *, unnest(range(greatest(0, a - b))) from bag) union all select pair_id, report_page, 'extra', number from (select *, unnest(range(greatest(0, b - a))) from bag)) group by all""",
     "issues": f"""select pair_id, report_page, report_page as page, 'p' || report_page || '-missing-page' as issue_id, 'page_missing' as type, 'critical' as severity, null as s_id, null as t_id, 'missing' as kind, 0 as det, 0 as ro from entries where kind = 'missing'
         union all select pair_id, report_page, report_page, 'p' || report_page || '-extra-page', 'added_element', 'high', null, null, 'extra', 0, 0 from entries where kind = 'extra'
         union all select pair_id, report_page, page, 'p' || page || '-missing-' || region_id, case when type = 'image' then 'missing_image' else 'missing_element' end, case when type = 'image' then 'critical' else 'high' end, region_id, null, 'pair', 2, region_ord from alone_s s
@@ -197,6 +258,7 @@ BODIES = {
         f"select d.pair_id, d.report_page, d.t_page as page, 'p' || d.t_page || '-glossary-' || d.t_id || '-{term}' as issue_id, 'glossary_violation' as type, 'high' as severity, d.s_id as source_region, d.t_id as target_region from d where regexp_matches(d.s_text, '{flag}(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_]){term}($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])') and d.t_text <> '' and not ({' or '.join(f"contains(d.t_text, '{a}')" for a in allowed)}) and not exists (select 1 from vec v where v.pair_id = d.pair_id and v.report_page = d.report_page)"
         for term, flag, allowed in (("The", "(?i)", "的"), ("und", "", "和与"), ("la", "", "这"))
     ),
+    "issue_metrics": _told(),
     "document_report": "select r.pair_id, r.status, r.page_count, floor(r.score * 1000 + 0.5)::bigint as score_milli, p.pass_pages, p.review_pages, p.fail_pages, " + ", ".join(f"coalesce(i.{s}, 0) as {s}" for s in DEDUCTIONS) + ", coalesce(i.issue_total, 0) as issue_total from doc_results r join (select pair_id, count(*) filter (where status = 'pass') as pass_pages, count(*) filter (where status = 'review') as review_pages, count(*) filter (where status = 'fail') as fail_pages from results group by pair_id) p on p.pair_id = r.pair_id left join (select pair_id, " + ", ".join(f"count(*) filter (where severity = '{s}') as {s}" for s in DEDUCTIONS) + ", count(*) as issue_total from issues group by pair_id) i on i.pair_id = r.pair_id",
     "top_issues": "select pair_id, place::int as place, report_page, issue_id, type, severity from (select *, row_number() over (partition by pair_id order by report_page, det, ro, issue_id) as place from issues) where place <= 10",
     "bbox_groups": "select pair_id, page, floor(x + 0.5)::bigint as x, floor(y + 0.5)::bigint as y, floor(width + 0.5)::bigint as width, floor(height + 0.5)::bigint as height, count(*) as n, string_agg(issue_id, ',' order by issue_id) as issue_ids from (select i.pair_id, i.page, i.issue_id, coalesce(t.x, s.x) as x, coalesce(t.y, s.y) as y, coalesce(t.width, s.width) as width, coalesce(t.height, s.height) as height from issues i left join tr t on t.pair_id = i.pair_id and t.report_page = i.report_page and t.region_id = i.t_id left join sr s on i.type in ('missing_image', 'missing_element') and s.pair_id = i.pair_id and s.report_page = i.report_page and s.region_id = i.s_id) where x is not null group by 1, 2, 3, 4, 5, 6",

@@ -45,7 +45,7 @@ class Comparison:
 
     def forget(self) -> None:
         """Deletes the tables that were made; what was read from the comparison can't be read again."""
-        for name in ("pages", "blocks", "regions", "sheets", "source", "target", "matches", "laid", "claims", "lines", "flows", "_issues"):
+        for name in ("pages", "blocks", "regions", "sheets", "source", "target", "matches", "laid", "claims", "lines", "flows", "typed_issues"):
             if name in self.__dict__:
                 removed(self.__dict__.pop(name))
         self.__dict__.pop("_sides", None)
@@ -132,12 +132,16 @@ class Comparison:
     def _told(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("metrics", evidence.as_json())
 
-    def issues_of(self, *types: str) -> DataFrame:
+    def typed_issues_of(self, *types: str) -> DataFrame:
         """The issues of some types, from the detectors that can raise them only."""
-        return self._told(detectors.issues(self, types).where(F.col("type").isin(*types)))
+        return detectors.issues(self, types).where(F.col("type").isin(*types))
+
+    def issues_of(self, *types: str) -> DataFrame:
+        """typed_issues_of() with their evidence as JSON too."""
+        return self._told(self.typed_issues_of(*types))
 
     @cached_property
-    def _issues(self) -> DataFrame:
+    def typed_issues(self) -> DataFrame:
         self.source, self.target  # noqa: B018  both are needed twice below
         together(self._spark, lambda: self.lines, lambda: self.laid)
         together(self._spark, lambda: self.claims, lambda: self.flows)
@@ -146,15 +150,15 @@ class Comparison:
     @property
     def issues(self) -> DataFrame:
         """All issues; ``metrics`` is their evidence as JSON, made when it is read."""
-        return self._told(self._issues)
+        return self._told(self.typed_issues)
 
     @cached_property
     def page_results(self) -> DataFrame:
-        return scoring.page_results(self.rules.attach(self.entries), self._issues, self.rules)
+        return scoring.page_results(self.rules.attach(self.entries), self.typed_issues, self.rules)
 
     @cached_property
     def documents(self) -> DataFrame:
-        return scoring.document_results(self.pages, self.page_results, self._issues)
+        return scoring.document_results(self.pages, self.page_results, self.typed_issues)
 
 
 def compare(pages_: DataFrame, blocks: DataFrame, profile: Profile | Rules | None = None, glossary: DataFrame | None = None, split: bool = True, paired: DataFrame | None = None, matched: DataFrame | None = None, group: Callable | None = None) -> Comparison:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import detectors, grouping, matching, pages, scoring, store
+from .operators import detectors, evidence, grouping, matching, pages, scoring, store
 from .plans.compare import Comparison, compare, reports
 from .plans.profile import Profile
 from .plans.rules import Rules
@@ -213,6 +213,17 @@ def document_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known(spark, sf_dir).documents.withColumn("score_milli", F.floor(F.col("score") * 1000 + 0.5).cast("long")).drop("score")
 
 
+def issue_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every issue of the known pairs tells, key by key."""
+    return evidence.told(known(spark, sf_dir).typed_issues)
+
+
+def found_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What rasterized text, changed flows and terms tell, key by key."""
+    kinds = ((solved(spark, sf_dir), "text_rasterized"), (flowing(spark, sf_dir), "text_alignment_changed"), (known(spark, sf_dir, glossary=glossary(spark)), "glossary_violation"))
+    return reduce(DataFrame.unionByName, [evidence.told(c.typed_issues_of(t)).withColumn("type", F.lit(t)) for c, t in kinds])
+
+
 def issue_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(known(spark, sf_dir, glossary=glossary(spark)).issues_of("glossary_violation"))
 
@@ -297,6 +308,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "issue_numbers": _issue("number_mismatch"),
     "issue_untranslated": _issue("untranslated_text"),
     "issue_glossary": issue_glossary,
+    "issue_metrics": issue_metrics,
+    "found_metrics": found_metrics,
     "issue_rasterized": lambda s, d: _plain(solved(s, d).issues_of("text_rasterized")),
     "issue_alignment": lambda s, d: _plain(flowing(s, d).issues_of("text_alignment_changed")),
     "dominant_script": dominant_script,
