@@ -49,9 +49,14 @@ def count_of(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, f"(?:{pattern})+", ""))
 
 
+def uncommon(text: Column) -> Column:
+    """What neither ASCII nor the commonest script has of a text: mostly little."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), rf"[\x00-\x7F{SCRIPTS['cjk'][1:-1]}]+", "")
+
+
 def letters(text: Column) -> Column:
     """Letters of any of the scripts."""
-    return count_of(text, ANY_SCRIPT)
+    return count_of(text, SCRIPTS["latin"]) + count_of(text, SCRIPTS["cjk"]) + count_of(uncommon(text), ANY_SCRIPT)
 
 
 def without_acronyms(text: Column) -> Column:
@@ -68,8 +73,10 @@ def script_letters(text: Column, script: Column) -> Column:
 
 def main_script(text: Column) -> Column:
     """The script with most letters; null without letters or on a tie."""
-    votes = F.sort_array(F.array(*[F.struct(count_of(text, p).alias("n"), F.lit(s).alias("script")) for s, p in SCRIPTS.items()]), asc=False)
-    return F.when((votes[0]["n"] > 0) & (votes[0]["n"] > votes[1]["n"]), votes[0]["script"])
+    # a variable of transform holds what is made once
+    counts = lambda rest: F.sort_array(F.array(*[F.struct(count_of(text if name in ("latin", "cjk") else rest, p).alias("n"), F.lit(name).alias("script")) for name, p in SCRIPTS.items()]), asc=False)
+    votes = F.transform(F.array(uncommon(text)), counts)
+    return F.get(F.transform(votes, lambda v: F.when((v[0]["n"] > 0) & (v[0]["n"] > v[1]["n"]), v[0]["script"])), 0)
 
 
 def term_hit(text: Column, term: Column, case_sensitive: Column) -> Column:

@@ -41,6 +41,7 @@ class Context(Protocol):
     claims: DataFrame
     lines: DataFrame
     flows: DataFrame
+    languages: DataFrame
     glossary: DataFrame | None
 
 
@@ -407,10 +408,12 @@ def vectorized_issues(c: Context) -> DataFrame:
 
 def page_scripts(rows: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """(keys, script): the script that most regions vote for; 'mixed' on a tie, no row without votes."""
-    votes = rows.withColumn("script", tx.main_script(F.col(text))).where("script is not null").groupBy(*keys, "script").agg(F.count("*").alias("n"))
-    best = votes.groupBy(*keys).agg(F.max(F.struct("n", "script")).alias("best"), F.collect_list("n").alias("all"))
+    votes = rows.groupBy(*keys, tx.main_script(F.col(text)).alias("script")).agg(F.count("*").alias("n"))
+    # regions without a script vote for none; a filter on the script would work it out twice
+    named = F.col("script").isNotNull()
+    best = votes.groupBy(*keys).agg(F.max(F.when(named, F.struct("n", "script"))).alias("best"), F.collect_list(F.when(named, F.col("n"))).alias("all"))
     tied = F.size(F.filter("all", lambda n: n == F.col("best.n"))) > 1
-    return best.select(*keys, F.when(tied, "mixed").otherwise(F.col("best.script")).alias("script"))
+    return best.where("best is not null").select(*keys, F.when(tied, "mixed").otherwise(F.col("best.script")).alias("script"))
 
 
 def languages(c: Context) -> DataFrame:
@@ -445,10 +448,11 @@ def untranslated_issues(c: Context, language: DataFrame) -> DataFrame:
     """Matched target text that still is mostly in the source's script."""
     scripts = c.rules.content_on(language, "untranslated_text").where("s_script is not null and s_script <> 'mixed' and (t_script is null or s_script <> t_script)").drop("t_page")
     rows = _matched(c).drop("rules").where(g.is_text("t_type") & (F.coalesce("t_text", F.lit("")) != "")).join(scripts, PAIR)
-    letters = tx.letters(F.col("t_text"))
     least, part = c.rules.content_t("untranslated_min_letters"), c.rules.content_t("untranslated_ratio")
-    rows = rows.withColumn("letters", letters).where(F.col("letters") >= least).withColumns({"rest": tx.letters(tx.without_acronyms(F.col("t_text"))), "own": tx.script_letters(F.col("t_text"), F.col("s_script"))})
-    rows = rows.where(F.col("rest") >= least).withColumn("ratio", F.col("own") / F.col("letters")).where(F.col("ratio") >= part)
+    counts = F.struct(tx.letters(F.col("t_text")).alias("letters"), tx.letters(tx.without_acronyms(F.col("t_text"))).alias("rest"), tx.script_letters(F.col("t_text"), F.col("s_script")).alias("own"))
+    # exploded, so that the filters read the counts and don't make them again
+    rows = rows.where(F.length("t_text") >= least).withColumn("counts", F.explode(F.array(counts))).withColumn("ratio", F.col("counts.own") / F.col("counts.letters"))
+    rows = rows.where((F.col("counts.letters") >= least) & (F.col("counts.rest") >= least) & (F.col("ratio") >= part))
     told = {"source_script": F.col("s_script"), "source_language_ratio": F.round("ratio", 3), "threshold": part, "sample": F.substring("t_text", 1, 60)} | ev.of("s_", "t_", True)
     return _issues(rows, "untranslated", "untranslated_text", c.rules.content_band("untranslated_bands", F.col("ratio")), _id("p", F.col("t_page"), "-untranslated-", F.col("t_region_id")), told, source=F.col("s_region_id"), target=F.col("t_region_id"), box="t_", row_ord=F.col("s_region_ord"))
 
@@ -465,7 +469,7 @@ def glossary_issues(c: Context) -> DataFrame:
 
 def _content(make: Callable[[Context, DataFrame], DataFrame]) -> Callable[[Context], DataFrame]:
     """Content detectors go by the language pair of a page and leave vectorized pages alone."""
-    return lambda c: make(c, languages(c))
+    return lambda c: make(c, c.languages)
 
 
 def _when(toggle: str, make: Callable[[Context], DataFrame]) -> Callable[[Context], DataFrame | None]:

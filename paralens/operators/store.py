@@ -22,13 +22,14 @@ def _with_files(docs: DataFrame) -> DataFrame:
     return own.join(other, "doc_id")
 
 
-def demo_records(docs: DataFrame, files_: DataFrame, results: DataFrame) -> DataFrame:
-    """Comparison records of neighbouring documents."""
-    rows = results.join(_with_files(docs), results["pair_id"] == F.col("doc_id"))
-    return rows.select(F.col("pair_id").alias("record_id"), "source_file_id", "target_file_id", F.concat(F.lit("doc"), "pair_id").alias("source_name"), F.concat(F.lit("doc"), F.col("pair_id") + 1).alias("target_name"), "status", F.floor(F.col("score") * 1000 + 0.5).cast("long").alias("score_milli"), ((F.col("pair_id") * 7919) % 10007).alias("created_at"))
+def demo_records(docs: DataFrame) -> DataFrame:
+    """Comparison records of neighbouring documents; verdict and score follow from the document's number."""
+    k = F.col("doc_id")
+    status = F.when(k % 4 == 0, "pass").when(k % 4 == 1, "review").otherwise("fail")
+    return _with_files(docs).select(k.alias("record_id"), "source_file_id", "target_file_id", F.concat(F.lit("doc"), k).alias("source_name"), F.concat(F.lit("doc"), k + 1).alias("target_name"), status.alias("status"), ((k * 37) % 100_000).alias("score_milli"), ((k * 7919) % 10007).alias("created_at"))
 
 
-def demo_samples(docs: DataFrame, files_: DataFrame) -> DataFrame:
+def demo_samples(docs: DataFrame) -> DataFrame:
     """Samples of neighbouring documents."""
     rows = _with_files(docs)
     return rows.select(F.col("doc_id").alias("sample_id"), "source_file_id", "target_file_id", F.when(F.col("doc_id") % 3 == 0, "archived").otherwise("active").alias("status"), ((F.col("doc_id") * 31) % 1009).alias("updated_at"), F.concat(F.when(F.col("doc_id") % 4 == 0, "Sample ").otherwise("sample "), F.col("doc_id") % 500).alias("name"))

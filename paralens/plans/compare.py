@@ -45,7 +45,7 @@ class Comparison:
 
     def forget(self) -> None:
         """Deletes the tables that were made; what was read from the comparison can't be read again."""
-        for name in ("pages", "blocks", "regions", "sheets", "source", "target", "matches", "laid", "claims", "lines", "flows", "typed_issues"):
+        for name in ("pages", "blocks", "regions", "sheets", "source", "target", "matches", "laid", "claims", "lines", "flows", "languages", "typed_issues"):
             if name in self.__dict__:
                 removed(self.__dict__.pop(name))
         self.__dict__.pop("_sides", None)
@@ -129,6 +129,11 @@ class Comparison:
             changed = self.rules.on(self.rules.attach(changed), "text_alignment_changed").drop("rules")
         return bucketed(changed, "flows", PAIR)
 
+    @cached_property
+    def languages(self) -> DataFrame:
+        """The scripts of page pairs, and the language pair they give."""
+        return bucketed(detectors.languages(self), "languages", PAIR)
+
     def _told(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("metrics", evidence.as_json())
 
@@ -143,7 +148,7 @@ class Comparison:
     @cached_property
     def typed_issues(self) -> DataFrame:
         self.source, self.target  # noqa: B018  both are needed twice below
-        together(self._spark, lambda: self.lines, lambda: self.laid)
+        together(self._spark, lambda: self.lines, lambda: self.laid, lambda: self.languages)
         together(self._spark, lambda: self.claims, lambda: self.flows)
         return bucketed(detectors.issues(self), "issues", PAIR)
 
