@@ -64,6 +64,8 @@ def whole_groups(batches, keys: list[str]):
     import numpy as np
     import pyarrow as pa
 
+    from .words import give_back
+
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -83,4 +85,4 @@ def whole_groups(batches, keys: list[str]):
             held.append(batch)
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-    pa.default_memory_pool().release_unused()
+    give_back()

@@ -477,7 +477,9 @@ def flagged(table: DataFrame, threshold: float) -> DataFrame:
                 if sum(map(len, held)) >= FLUSH:
                     yield flush()
                     held = []
+                    W.give_back()
         yield flush()
+        W.give_back()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved() -> pa.RecordBatch:
@@ -495,6 +497,7 @@ def flagged(table: DataFrame, threshold: float) -> DataFrame:
                 held.append(data.as_py())
         if held:
             yield solved()
+        W.give_back()
 
     posts = packed.mapInArrow(expand, "shard int, data binary").repartition(shards, "shard").sortWithinPartitions("shard")
     return posts.mapInArrow(run, "k48 long, list long, pos int, part int")

@@ -8,6 +8,7 @@ A null text has no words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,6 +62,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def give_back() -> None:
+    """Returns free memory to the machine: workers live on after their tasks, and other stages' after theirs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class Words:
     """The words of a batch of texts: byte spans, owners and the first word of each text."""
 
@@ -152,8 +161,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 19)
             upto = max(done + 1, int(np.searchsorted(sizes, base + most, side="right")))
             yield batch.slice(done, upto - done)
             done = upto
-    # workers live on after their tasks: what Arrow keeps for later goes back
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def folded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
