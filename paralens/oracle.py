@@ -258,6 +258,16 @@ BODIES = {
         f"select d.pair_id, d.report_page, d.t_page as page, 'p' || d.t_page || '-glossary-' || d.t_id || '-{term}' as issue_id, 'glossary_violation' as type, 'high' as severity, d.s_id as source_region, d.t_id as target_region from d where regexp_matches(d.s_text, '{flag}(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_]){term}($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])') and d.t_text <> '' and not ({' or '.join(f"contains(d.t_text, '{a}')" for a in allowed)}) and not exists (select 1 from vec v where v.pair_id = d.pair_id and v.report_page = d.report_page)"
         for term, flag, allowed in (("The", "(?i)", "的"), ("und", "", "和与"), ("la", "", "这"))
     ),
+    "profile_versions": """with own as (select i.pair_id, i.report_page, i.kind, i.issue_id, i.type, case when i.pair_id % 3 = 1 and i.type = 'region_shifted' then case when greatest(abs(d.dx), abs(d.dy)) > 0.17 then 'high' else 'medium' end when i.pair_id % 3 = 1 and i.type = 'font_shrink' then case when abs(d.fc) >= 0.4 then 'low' else 'info' end else i.severity end as severity
+            from issues i left join d on d.pair_id = i.pair_id and d.report_page = i.report_page and d.t_id = i.t_id and d.s_id = i.s_id
+            left join scripts p on p.pair_id = i.pair_id and p.report_page = i.report_page and p.side = 'source' left join scripts q on q.pair_id = i.pair_id and q.report_page = i.report_page and q.side = 'target'
+            where not (i.pair_id % 3 = 1 and (i.type in ('typography_changed', 'text_overlap', 'text_image_overlap') or (i.type = 'region_shifted' and greatest(abs(d.dx), abs(d.dy)) <= 0.13)))
+            and not (i.pair_id % 3 = 2 and i.type = 'number_mismatch' and coalesce(p.script = 'latin' and q.script = 'cjk', false))),
+        typed as (select pair_id, report_page, kind, type, sum(case severity """ + " ".join(f"when '{s}' then {v}" for s, v in DEDUCTIONS.items()) + """ end) as off, max(severity = 'critical') as critical, max(severity = 'high') as high, count(*) as n, string_agg(issue_id || ':' || type || ':' || severity, ',') as ids from own group by all),
+        paged as (select pair_id, report_page, kind, sum(n) as n, sum(least(off, case when pair_id % 3 = 2 and type = 'font_shrink' then 4.0 else case type """ + " ".join(f"when '{t}' then {v}" for t, v in CAPS.items()) + """ end end)) as off, max(critical) as critical, max(high) as high, array_to_string(list_sort(string_split(string_agg(ids, ','), ',')), ',') as issues from typed group by all)
+        select e.pair_id, e.report_page, e.kind, coalesce(n, 0)::bigint as issue_count, greatest(0.0::double, 100 - coalesce(off, 0)::double) as score, issues,
+            case when coalesce(critical, false) or greatest(0, 100 - coalesce(off, 0)) < 75 then 'fail' when (e.pair_id % 3 <> 2 and coalesce(high, false)) or greatest(0, 100 - coalesce(off, 0)) < 90 then 'review' else 'pass' end as status
+        from entries e left join paged using (pair_id, report_page, kind)""",
     "issue_metrics": _told(),
     "document_report": "select r.pair_id, r.status, r.page_count, floor(r.score * 1000 + 0.5)::bigint as score_milli, p.pass_pages, p.review_pages, p.fail_pages, " + ", ".join(f"coalesce(i.{s}, 0) as {s}" for s in DEDUCTIONS) + ", coalesce(i.issue_total, 0) as issue_total from doc_results r join (select pair_id, count(*) filter (where status = 'pass') as pass_pages, count(*) filter (where status = 'review') as review_pages, count(*) filter (where status = 'fail') as fail_pages from results group by pair_id) p on p.pair_id = r.pair_id left join (select pair_id, " + ", ".join(f"count(*) filter (where severity = '{s}') as {s}" for s in DEDUCTIONS) + ", count(*) as issue_total from issues group by pair_id) i on i.pair_id = r.pair_id",
     "top_issues": "select pair_id, place::int as place, report_page, issue_id, type, severity from (select *, row_number() over (partition by pair_id order by report_page, det, ro, issue_id) as place from issues) where place <= 10",
@@ -271,9 +281,9 @@ BODIES = {
     "sample_create": """select sample_id, name, case when sample_id % 5 = 0 and sample_id % 10 <> 0 then 'archived' else status end as status, case when sample_id % 10 = 0 then 'builtin' else 'user' end as origin from (select sample_id, name, status from samples where sample_id % 3 = 0
         union all select sample_id, name, status from (select *, row_number() over (partition by lower(name) order by sample_id) as nth from samples where sample_id % 3 = 1 and source_file_id <> target_file_id and lower(name) not in (select lower(name) from samples where sample_id % 3 = 0)) where nth = 1)""",
     "schema_descriptions": "select * from (values " + ", ".join(f"('{t}', '{c}', '{d}')" for t, columns in DESCRIPTIONS.items() for c, d in columns.items()) + ") v(table_name, column_name, description)",
-    "scan_blocks": """select pair_id, row_number() over (partition by pair_id order by i, s)::int - 1 as block_ord, block_id, type, x, y, width, height, font_size, color, text, i::int as source_block_index, opacity_milli, weight, italic from (
+    "scan_blocks": """select pair_id, row_number() over (partition by pair_id order by i, s)::int - 1 as block_ord, block_id, type, x, y, width, height, font_size, color, text, i::int as source_block_index, opacity_milli, weight, italic, case when s >= 0 then 'f' end as font_family, case when s >= 0 then 0 end as source_line_index, case when s >= 0 then s end as source_span_index, case when s < 0 then 'block-' || i || case when i % 4 = 1 then '.png' else '.bin' end end as asset_ref, case when s < 0 then 5 end as pixel_width, case when s < 0 then 4 end as pixel_height, case when s < 0 and i % 4 = 1 then 'png' end as extension from (
         select pair_id, i, s, 'p1-b' || i || '-l0-s' || s as block_id, 'text' as type, cast(10 + 100 * s as double) as x, cast(20 * i as double) as y, cast((pair_id * 3 + i) % 4 * 10 as double) as width, 10.0::double as height, case when (pair_id + i) % 3 > 0 then cast((pair_id + i) % 3 * 6 as double) end as font_size, '#' || printf('%06X', (pair_id * 65793) % 16777216) as color, 't' || i || '.' || s as text,
-            cast(floor(least(1.0::double, ((pair_id + i) % 3 * 130) / 255.0::double) * 1000 + 0.5) as bigint) as opacity_milli, case when (i % 4) * 8 & 16 > 0 then 700 else 400 end as weight, (i % 4) * 8 & 2 > 0 as italic
+            case when (pair_id + i) % 7 <> 6 then cast(floor(least(1.0::double, ((pair_id + i) % 3 * 130) / 255.0::double) * 1000 + 0.5) as bigint) end as opacity_milli, case when (i % 4) * 8 & 16 > 0 then 700 else 400 end as weight, (i % 4) * 8 & 2 > 0 as italic
             from lines, (values (0), (1)) v(s) where (pair_id + i) % 5 <> 0 and (pair_id * 3 + i) % 4 > 0
         union all select pair_id, i, -1, 'p1-b' || i || '-image', 'image', 10.0::double, cast(20 * i as double), 50.0::double, 10.0::double, null, null, null, null, null, false from lines where (pair_id + i) % 5 = 0 and i % 2 = 1)""",
     "scan_pages": """select pair_id, case when light and 800 - 100 * (pair_id % 6) > 500 then own when light and 800 - 100 * (pair_id % 6) = 500 then own else '#FAFAFA' end as background_color, images + (case when not light and not small then 1 else 0 end) + (case when wide then 1 else 0 end) as dark_boxes,

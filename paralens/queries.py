@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from .functions import text as tx
 from .operators import detectors, evidence, grouping, matching, pages, scoring, store
 from .plans.compare import Comparison, compare, reports
 from .plans.profile import Profile
-from .plans.rules import Rules
+from .plans.rules import Rules, by_pair, profile_table
 from .sources import fixtures, scan
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,6 +226,19 @@ def found_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [evidence.told(c.typed_issues_of(t)).withColumn("type", F.lit(t)) for c, t in kinds])
 
 
+def profile_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One comparison in which pairs name three profile versions: the default, a lenient one, one with other rules for a language pair."""
+    b = blocks(spark, sf_dir)
+    base = Profile()
+    lenient = replace(base, profile_id="lenient", version=2, off=("font_grow", "overlap"), thresholds=base.thresholds | {"shifted_ratio": 0.13, "severely_shifted_ratio": 0.17}, bands=base.bands | {"font_shrink_bands": ((0.4, "low"), (0.2, "info"))})
+    spoken = replace(base, profile_id="spoken", version=3, language_off={"latin-cjk": ("number_mismatch",)}, high_forces_review=False, caps=base.caps | {"font_shrink": 4.0})
+    names = F.when(F.col("pair_id") % 3 == 0, base.reference).when(F.col("pair_id") % 3 == 1, lenient.reference).otherwise(spoken.reference)
+    rules = by_pair(fixtures.pages(b).select("pair_id").distinct().withColumn("reference", names), profile_table(spark, [base, lenient, spoken]))
+    found = compare(fixtures.pages(b), b, rules, split=False, paired=fixtures.true_pages(b), matched=fixtures.true_matches(b))
+    per_page = found.typed_issues.groupBy("pair_id", "report_page", *[F.when(F.col("detector") != "page", "pair").when(F.col("type") == "page_missing", "missing").otherwise("extra").alias("kind")]).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "issue_id", "type", "severity"))), ",").alias("issues"))
+    return found.page_results.join(per_page, ["pair_id", "report_page", "kind"], "left")
+
+
 def issue_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(known(spark, sf_dir, glossary=glossary(spark)).issues_of("glossary_violation"))
 
@@ -309,6 +323,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "issue_numbers": _issue("number_mismatch"),
     "issue_untranslated": _issue("untranslated_text"),
     "issue_glossary": issue_glossary,
+    "profile_versions": profile_versions,
     "issue_metrics": issue_metrics,
     "found_metrics": found_metrics,
     "issue_rasterized": lambda s, d: _plain(solved(s, d).issues_of("text_rasterized")),
@@ -334,7 +349,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "glossary_upsert": glossary_upsert,
     "sample_create": sample_create,
     "schema_descriptions": lambda s, d: store.schema_descriptions(s),
-    "scan_blocks": lambda s, d: scan.blocks(fixtures.layouts(documents(s, d))).select("pair_id", "block_ord", "block_id", "type", "x", "y", "width", "height", "font_size", "color", "text", "source_block_index", F.round(F.col("opacity") * 1000).cast("long").alias("opacity_milli"), "weight", "italic"),
+    "scan_blocks": lambda s, d: scan.blocks(fixtures.layouts(documents(s, d))).select("pair_id", "block_ord", "block_id", "type", "x", "y", "width", "height", "font_size", "color", "text", "source_block_index", F.round(F.col("opacity") * 1000).cast("long").alias("opacity_milli"), "weight", "italic", "font_family", "source_line_index", "source_span_index", *scan.IMAGE),
     "scan_pages": lambda s, d: scan.pages(fixtures.layouts(documents(s, d))).select("pair_id", "background_color", F.size("dark_boxes").cast("long").alias("dark_boxes"), F.aggregate("dark_boxes", F.lit(0.0), lambda acc, b: acc + b["width"] * b["height"]).cast("long").alias("dark_area")),
     "history_search": lambda s, d: store.search_records(records(s, d), "fail", "7").select("record_id", "status"),
     "history_evict": lambda s, d: store.newest(records(s, d), 100).select("record_id"),

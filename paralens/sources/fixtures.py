@@ -165,9 +165,9 @@ def layouts(documents: DataFrame) -> DataFrame:
     def block(i: F.Column) -> F.Column:
         image = (F.col("pair_id") + i) % 5 == 0
         width = (F.col("pair_id") * 3 + i) % 4 * 10
-        span = lambda s: F.struct(F.concat(F.lit("t"), i, F.lit("."), F.lit(s)).alias("text"), box(10 + 100 * s, 20 * i, 10 + 100 * s + width, 20 * i + 10).alias("bbox"), ((F.col("pair_id") + i) % 3 * 6).cast("double").alias("size"), ((i % 4) * 8).cast("int").alias("flags"), ((F.col("pair_id") * 65793) % 16777216).cast("int").alias("color"), ((F.col("pair_id") + i) % 3 * 130).cast("int").alias("alpha"), F.lit("f").alias("font"))
+        span = lambda s: F.struct(F.concat(F.lit("t"), i, F.lit("."), F.lit(s)).alias("text"), box(10 + 100 * s, 20 * i, 10 + 100 * s + width, 20 * i + 10).alias("bbox"), ((F.col("pair_id") + i) % 3 * 6).cast("double").alias("size"), ((i % 4) * 8).cast("int").alias("flags"), ((F.col("pair_id") * 65793) % 16777216).cast("int").alias("color"), F.when((F.col("pair_id") + i) % 7 != 6, (F.col("pair_id") + i) % 3 * 130).cast("int").alias("alpha"), F.lit("f").alias("font"))
         lines_ = F.array(F.struct(F.array(span(0), span(1)).alias("spans")))
-        return F.struct(image.cast("int").alias("type"), box(10, 20 * i, 60, 20 * i + 10 * (i % 2)).alias("bbox"), F.lit(5).alias("width"), F.lit(4).alias("height"), F.when(~image, lines_).alias("lines"))
+        return F.struct(image.cast("int").alias("type"), box(10, 20 * i, 60, 20 * i + 10 * (i % 2)).alias("bbox"), F.lit(5).alias("width"), F.lit(4).alias("height"), F.when(i % 4 == 1, "png").alias("ext"), F.when(~image, lines_).alias("lines"))
 
     channel = lambda k: F.lpad(F.hex(F.col("pair_id") * k % 64 + 192), 2, "0")
     own = F.concat(F.lit("#"), channel(7), channel(11), channel(13))

@@ -15,17 +15,60 @@ from pyspark.sql import functions as F
 
 #: one page: text blocks, image blocks and filled shapes with boxes as [x0, y0, x1, y1]
 LAYOUT = """pair_id string, side string, page int, width double, height double,
-blocks array<struct<type:int, bbox:array<double>, width:int, height:int, lines:array<struct<spans:array<struct<text:string, bbox:array<double>, size:double, flags:int, color:int, alpha:int, font:string>>>>>>,
+blocks array<struct<type:int, bbox:array<double>, width:int, height:int, ext:string, lines:array<struct<spans:array<struct<text:string, bbox:array<double>, size:double, flags:int, color:int, alpha:int, font:string>>>>>>,
 fills array<struct<bbox:array<double>, color:string>>"""
 MAX_BYTES, MAX_PAGES = 100 * 1024 * 1024, 500
+#: what is known of images only
+IMAGE = {"asset_ref": "string", "pixel_width": "int", "pixel_height": "int", "extension": "string"}
 BOLD, ITALIC = 16, 2
 DARK_PART, LIGHT_PART, LIGHT = 0.10, 0.50, 0.92
 
 
+class Locked(Exception):
+    """What ``read`` raises for a file that needs a password."""
+
+
+def _pages(name: str, content: bytes, read: Callable[[str, bytes], Iterator[dict]]) -> tuple[list[dict], str | None, str | None]:
+    """The pages of a file, or why there are none: a kind of error and what was said."""
+    pages: list[dict] = []
+    try:
+        for page in read(name, content):
+            pages.append(page)
+            if len(pages) > MAX_PAGES:
+                return [], "too_many_pages", f"{name} has more than {MAX_PAGES} pages"
+    except Locked as e:
+        return [], "locked", f"{name} needs a password: {e}"
+    except Exception as e:  # noqa: BLE001  a reader may raise anything on a broken file
+        return [], "broken", f"{name} can't be read: {e}"
+    return pages, None, None
+
+
+def pdf_files(spark: SparkSession, path: str, read: Callable[[str, bytes], Iterator[dict]], max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(path, error, message, layout): a row for each page of the ``.pdf`` files under a path, and one for each file that has none to give.
+
+    ``error`` is null, too_large, too_many_pages, locked (``read`` raises Locked) or broken.
+    A file that is too large is not opened; one bad file doesn't stop the others.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
+    schema = f"path string, error string, message string, layout struct<{LAYOUT}>"
+    large = files.where(F.col("length") > max_bytes).select("path", F.lit("too_large").alias("error"), F.concat("path", F.lit(f" has more than {max_bytes} bytes")).alias("message"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"]):
+                pages, error, message = _pages(name, content, read)
+                rows = [(name, None, None, p) for p in pages] or [(name, error, message, None)] * (error is not None)
+                if rows:
+                    yield pd.DataFrame(rows, columns=["path", "error", "message", "layout"])
+
+    found = files.where(F.col("length") <= max_bytes).select("path", "content").mapInPandas(run, schema)
+    return found.unionByName(large, allowMissingColumns=True)
+
+
 def pdf_layouts(spark: SparkSession, path: str, read: Callable[[str, bytes], Iterator[dict]], max_bytes: int = MAX_BYTES) -> DataFrame:
     """Layouts of the ``.pdf`` files under a path; ``read`` yields a dict for each page of one file.
 
-    A file with too many bytes or pages is an error.
+    A file with too many bytes or pages, or one that can't be read, is an error; pdf_files() tells of each instead.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
     large = files.where(F.col("length") > max_bytes).select("path").first()
@@ -35,9 +78,9 @@ def pdf_layouts(spark: SparkSession, path: str, read: Callable[[str, bytes], Ite
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
-                pages = list(read(name, content))
-                if len(pages) > MAX_PAGES:
-                    raise ValueError(f"{name} has more than {MAX_PAGES} pages")
+                pages, error, message = _pages(name, content, read)
+                if error:
+                    raise ValueError(message)
                 if pages:
                     yield pd.DataFrame(pages)
 
@@ -65,7 +108,12 @@ def text_blocks(layouts: DataFrame) -> DataFrame:
         F.when(F.col("span.color").isNotNull(), F.concat(F.lit("#"), F.lpad(F.hex(F.col("span.color").bitwiseAND(F.lit(0xFFFFFF))), 6, "0"))).alias("color"),
         F.col("span.text").alias("text"),
         F.col("b").alias("source_block_index"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("span.alpha") / 255)).alias("opacity"),
+        # greatest() and least() pass over nulls; an unknown alpha stays unknown
+        F.when(F.col("span.alpha").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("span.alpha") / 255))).alias("opacity"),
+        F.col("span.font").alias("font_family"),
+        F.col("l").alias("source_line_index"),
+        F.col("s").alias("source_span_index"),
+        *[F.lit(None).cast(kind).alias(c) for c, kind in IMAGE.items()],
         F.when(F.col("span.flags").bitwiseAND(F.lit(BOLD)) > 0, 700).otherwise(400).alias("weight"),
         (F.col("span.flags").bitwiseAND(F.lit(ITALIC)) > 0).alias("italic"),
         F.struct("b", "l", "s").alias("place"),
@@ -89,6 +137,13 @@ def image_blocks(layouts: DataFrame) -> DataFrame:
         none.cast("string").alias("text"),
         F.col("b").alias("source_block_index"),
         none.cast("double").alias("opacity"),
+        none.cast("string").alias("font_family"),
+        none.cast("int").alias("source_line_index"),
+        none.cast("int").alias("source_span_index"),
+        F.concat(F.lit("block-"), "b", F.lit("."), F.coalesce("block.ext", F.lit("bin"))).alias("asset_ref"),
+        F.col("block.width").alias("pixel_width"),
+        F.col("block.height").alias("pixel_height"),
+        F.col("block.ext").alias("extension"),
         none.cast("int").alias("weight"),
         F.lit(False).alias("italic"),
         F.struct("b", F.lit(-1).alias("l"), F.lit(-1).alias("s")).alias("place"),
