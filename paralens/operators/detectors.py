@@ -254,10 +254,12 @@ def alignment_issues(c: Context) -> DataFrame:
 
 def explained(c: Context) -> DataFrame:
     """(pair, t_region_id): regions whose shifts and sizes changed flows explain: their lines, and strays of the source flow."""
-    flows = c.flows.select(*PAIR, "s_flow", "t_flow")
-    own = c.lines.where("side = 'target'").select(*PAIR, F.col("region_id").alias("t_region_id"), F.col("flow").alias("t_flow")).join(flows.select(*PAIR, "t_flow"), [*PAIR, "t_flow"], "left_semi").select(*PAIR, "t_region_id")
-    strays = _line_pairs(c).join(flows.select(*PAIR, "s_flow", F.col("t_flow").alias("f")), [*PAIR, "s_flow"]).where("t_flow <> f").select(*PAIR, "t_region_id")
-    return own.unionByName(strays).distinct()
+    lines = c.lines.where("side = 'target'").select(*PAIR, F.col("region_id").alias("t_region_id"), F.col("flow").alias("t_flow"))
+    met = _line_pairs(c).select(*PAIR, "t_region_id", "s_flow")
+    own = c.flows.select(*PAIR, "t_flow", F.lit(True).alias("own"))
+    strayed = c.flows.select(*PAIR, "s_flow", F.col("t_flow").alias("other"))
+    rows = lines.join(own, [*PAIR, "t_flow"], "left").join(met, [*PAIR, "t_region_id"], "left").join(strayed, [*PAIR, "s_flow"], "left")
+    return rows.where("own or other <> t_flow").select(*PAIR, "t_region_id")
 
 
 def label_width(rules: Rules) -> Column:
@@ -427,15 +429,29 @@ def languages(c: Context) -> DataFrame:
 
 def number_issues(c: Context, language: DataFrame) -> DataFrame:
     """Numbers that a page pair doesn't keep, as multisets; one issue for each page at most."""
-    holder = F.struct("ord", "id")
-    sides = [rows.select(*PAIR, F.lit(side).alias("side"), F.col(f"{p}region_ord").alias("ord"), F.col(f"{p}region_id").alias("id"), F.explode(tx.numbers(F.col(f"{p}text"))).alias("number")) for rows, p, side in ((c.source, "s_", 0), (c.target, "t_", 1))]
-    bag = sides[0].unionByName(sides[1]).groupBy(*PAIR, "number").agg(*[x for k, name in enumerate(("source", "target")) for x in (F.count(F.when(F.col("side") == k, 1)).cast("int").alias(f"in_{name}"), F.min(F.when(F.col("side") == k, holder)).alias(f"{name}_holder"))])
-    bag = bag.withColumns({"missing": F.greatest(F.lit(0), F.col("in_source") - F.col("in_target")), "extra": F.greatest(F.lit(0), F.col("in_target") - F.col("in_source"))})
-    listed = lambda k: F.array_sort(F.flatten(F.collect_list(F.array_repeat("number", F.col(k))))).alias(k)
-    anchor = lambda k, name: F.min(F.when(F.col(k) > 0, F.col(f"{name}_holder")))["id"].alias(f"{k}_anchor")
-    found = bag.groupBy(*PAIR).agg(*[listed(k) for k in ("in_source", "in_target", "missing", "extra")], anchor("missing", "source"), anchor("extra", "target")).where((F.size("missing") > 0) | (F.size("extra") > 0))
+
+    def tokens(rows: DataFrame, p: str, name: str) -> DataFrame:
+        """(pair, {name}): a side's numbers as an array of (number, n, holder), the first region that holds each."""
+        found = rows.select(*PAIR, F.struct(f"{p}region_ord", F.col(f"{p}region_id").alias("id")).alias("holder"), F.explode(tx.numbers(F.col(f"{p}text"))).alias("number"))
+        counted = found.groupBy(*PAIR, "number").agg(F.count("*").cast("int").alias("n"), F.min("holder").alias("holder"))
+        return counted.groupBy(*PAIR).agg(F.collect_list(F.struct("number", "n", "holder")).alias(name))
+
+    both = language.join(tokens(c.source, "s_", "in_source"), PAIR, "left").join(tokens(c.target, "t_", "in_target"), PAIR, "left").where("in_source is not null or in_target is not null")
+    both = c.rules.content_on(both, "number_mismatch")
+    listed = lambda bag: F.array_sort(F.flatten(F.transform(bag, lambda x: F.array_repeat(x["number"], x["n"]))))
+    bags = {k: F.coalesce(k, F.array().cast(dict(both.dtypes)[k])) for k in ("in_source", "in_target")}
+
+    def beyond(one: str, other: str) -> Column:
+        """What one side has more of, as (number, n, holder)."""
+        known = F.map_from_entries(F.transform(bags[other], lambda x: F.struct(x["number"], x["n"])))
+        more = F.transform(bags[one], lambda x: F.struct(x["number"].alias("number"), (x["n"] - F.coalesce(known[x["number"]], F.lit(0))).alias("n"), x["holder"].alias("holder")))
+        return F.filter(more, lambda x: x["n"] > 0)
+
+    found = both.withColumns({"lost": beyond("in_source", "in_target"), "added": beyond("in_target", "in_source")}).where((F.size("lost") > 0) | (F.size("added") > 0))
+    first = lambda bag: F.array_min(F.transform(bag, lambda x: x["holder"]))["id"]
+    found = found.withColumns({"missing_anchor": first("lost"), "extra_anchor": first("added"), "missing": listed(F.col("lost")), "extra": listed(F.col("added")), "in_source": listed(bags["in_source"]), "in_target": listed(bags["in_target"])})
     mapped = _matched(c).select(*PAIR, F.col("s_region_id").alias("missing_anchor"), F.col("t_region_id").alias("mapped"))
-    rows = c.rules.content_on(found.join(language, PAIR), "number_mismatch").join(mapped, [*PAIR, "missing_anchor"], "left")
+    rows = found.join(mapped, [*PAIR, "missing_anchor"], "left")
     rows = rows.withColumns({"t_region_id": F.coalesce("extra_anchor", "mapped"), "s_region_id": F.col("missing_anchor")})
     for regions, p in ((c.source, "s_"), (c.target, "t_")):
         rows = rows.join(regions.select(*PAIR, *[f"{p}{k}" for k in ("region_id", "text", "type", "x", "y", "width", "height")]), [*PAIR, f"{p}region_id"], "left")
