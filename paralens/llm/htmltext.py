@@ -40,7 +40,7 @@ SCREEN = {"width": 1280, "height": 800}
 #: Fixed values of HTML: kinds of elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style xmp iframe noembed noframes noscript plaintext template textarea title".split())
-UNSEEN = set("head script style template noscript iframe noembed noframes object audio video canvas datalist rp title meta link base param source track area map".split())
+UNSEEN = set("head script style template noscript iframe noembed noframes audio video canvas datalist rp title meta link base param source track area".split())
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul dd dt".split())
 BLOCK = CLOSES_P | set("html body optgroup option legend caption tr tbody thead tfoot listing xmp plaintext select textarea".split())
 SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir blockquote pre table figure fieldset".split())
@@ -52,6 +52,7 @@ BETWEEN = {"table", "tbody", "thead", "tfoot", "tr", "colgroup"}
 IN_TABLE = {"col", "style", "script", "template"}
 
 _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+_EMPTY_COMMENT, _COMMENT_END = re.compile(r"-?>"), re.compile(r"--!?>")
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 _CSS = re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|[{};]|[^{};\"']+|[\"']", re.S)
@@ -90,8 +91,9 @@ def _tokens(text: str) -> Iterator[tuple[str, str, str]]:
         following = text[lt + 1 : lt + 2]
         if following == "!" or following == "?":
             if text.startswith("<!--", lt):
-                end = text.find("-->", lt + 4 if not text.startswith("<!-->", lt) else lt + 2)
-                at = end + 3 if end >= 0 else n
+                # at once by > or ->, else at the first --> or --!>
+                end = _EMPTY_COMMENT.match(text, lt + 4) or _COMMENT_END.search(text, lt + 4)
+                at = end.end() if end else n
             else:
                 end = text.find(">", lt)
                 at = end + 1 if end >= 0 else n
@@ -378,10 +380,28 @@ def _effects(css: str) -> list[tuple[str, str, bool]]:
     return out
 
 
+def _unchosen(select: Node) -> set[int]:
+    """The options that a dropdown doesn't show: all but the last selected one, or else the first that can be chosen."""
+    size = (select.get("size") or "").strip()
+    if select.get("multiple") is not None or size.isdecimal() and int(size) > 1:
+        return set()
+    options, todo = [], [select]
+    while todo:
+        node = todo.pop()
+        if node.name == "option":
+            options.append(node)
+        else:
+            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+    chosen = [o for o in options if o.get("selected") is not None][-1:] or [o for o in options if o.get("disabled") is None][:1]
+    return {id(o) for o in options} - {id(o) for o in chosen}
+
+
 class Renderer:
     def __init__(self, root: Node):
         self.rules = _sheet(root)
         self.parents: dict[int, Node] = {}
+        #: options that their dropdowns don't show
+        self.unchosen: set[int] = set()
         if any(len(parts) > 1 for parts, _, _ in self.rules):
             todo = [root]
             while todo:
@@ -414,8 +434,10 @@ class Renderer:
 
     def look(self, node: Node, visible: bool) -> tuple[bool, bool, bool | None]:
         """state(), and whether styles make the element a block (None: they say nothing)."""
-        if node.name in UNSEEN:
+        if node.name in UNSEEN or node.name == "object" and node.get("data") or id(node) in self.unchosen:
             return False, False, None
+        if node.name == "select":
+            self.unchosen |= _unchosen(node)
         if node.attributes and node.name == "input" and (node.get("type") or "").lower() == "hidden":
             return False, False, None
         own = bool(node.attributes) and node.get("hidden") is not None or node.name == "dialog" and node.get("open") is None
