@@ -268,6 +268,8 @@ BODIES = {
         select e.pair_id, e.report_page, e.kind, coalesce(n, 0)::bigint as issue_count, greatest(0.0::double, 100 - coalesce(off, 0)::double) as score, issues,
             case when coalesce(critical, false) or greatest(0, 100 - coalesce(off, 0)) < 75 then 'fail' when (e.pair_id % 3 <> 2 and coalesce(high, false)) or greatest(0, 100 - coalesce(off, 0)) < 90 then 'review' else 'pass' end as status
         from entries e left join paged using (pair_id, report_page, kind)""",
+    "record_commits": """select doc_id as record_id, case when doc_id % 3 = 0 then 'again' else 'new' end as status, sha256(text) as source_file_id, (doc_id * 37) % 1000 + case when doc_id % 3 = 0 then 1000 else 0 end as score_milli, len(string_split(text, chr(10))) as pages,
+        case when doc_id % 4 = 0 then 'g' || (doc_id % 5) || case when doc_id % 3 = 0 then '@1000' else '@0' end end as glossary from documents where text is not null and (doc_id % 2 = 0 or doc_id % 3 = 0) and doc_id % 11 <> 0""",
     "issue_metrics": _told(),
     "document_report": "select r.pair_id, r.status, r.page_count, floor(r.score * 1000 + 0.5)::bigint as score_milli, p.pass_pages, p.review_pages, p.fail_pages, " + ", ".join(f"coalesce(i.{s}, 0) as {s}" for s in DEDUCTIONS) + ", coalesce(i.issue_total, 0) as issue_total from doc_results r join (select pair_id, count(*) filter (where status = 'pass') as pass_pages, count(*) filter (where status = 'review') as review_pages, count(*) filter (where status = 'fail') as fail_pages from results group by pair_id) p on p.pair_id = r.pair_id left join (select pair_id, " + ", ".join(f"count(*) filter (where severity = '{s}') as {s}" for s in DEDUCTIONS) + ", count(*) as issue_total from issues group by pair_id) i on i.pair_id = r.pair_id",
     "top_issues": "select pair_id, place::int as place, report_page, issue_id, type, severity from (select *, row_number() over (partition by pair_id order by report_page, det, ro, issue_id) as place from issues) where place <= 10",

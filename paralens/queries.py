@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce, wraps
@@ -14,7 +15,8 @@ from .operators import detectors, evidence, grouping, matching, pages, scoring,
 from .plans.compare import Comparison, compare, reports
 from .plans.profile import Profile
 from .plans.rules import Rules, by_pair, profile_table
-from .sources import fixtures, scan
+from .sources import fixtures, ledger, scan
+from .sources.tables import shared as shared_folder
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -239,6 +241,31 @@ def profile_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.page_results.join(per_page, ["pair_id", "report_page", "kind"], "left")
 
 
+#: a comparison's record, its report and the glossary it was made with
+RECORD_TABLES = {"records": (["record_id"], "record_id long, status string, source_file_id string"), "reports": (["record_id"], "record_id long, score_milli long, pages long"), "links": (["record_id"], "record_id long, glossary string")}
+
+
+def record_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with reports and glossary links after commits, a repeated commit and one that broke off."""
+    docs = documents(spark, sf_dir).where("text is not null").select("doc_id", F.sha2("text", 256).alias("file_id"), F.size(F.split("text", "\n", -1)).cast("long").alias("lines"))
+    book = ledger.Ledger(spark, f"{shared_folder(spark)}/records-{uuid.uuid4().hex}", RECORD_TABLES, buckets=8)
+
+    def rows(which: str, status: str, add: int) -> dict[str, DataFrame]:
+        own = docs.where(which)
+        return {
+            "records": own.select(F.col("doc_id").alias("record_id"), F.lit(status).alias("status"), F.col("file_id").alias("source_file_id")),
+            "reports": own.select(F.col("doc_id").alias("record_id"), ((F.col("doc_id") * 37) % 1000 + add).alias("score_milli"), F.col("lines").alias("pages")),
+            "links": own.where("doc_id % 4 = 0").select(F.col("doc_id").alias("record_id"), F.concat(F.lit("g"), F.col("doc_id") % 5, F.lit(f"@{add}")).alias("glossary")),
+        }
+
+    book.write("first", rows("doc_id % 2 = 0", "new", 0))
+    book.write("second", rows("doc_id % 3 = 0", "again", 1000))
+    book.write("second", rows("doc_id % 5 = 0", "never", 5000))
+    book.append("records", "third", "broken", rows("doc_id % 7 = 0", "half", 9000)["records"])
+    book.write("fourth", {}, {name: docs.where("doc_id % 11 = 0").select(F.col("doc_id").alias("record_id")) for name in RECORD_TABLES})
+    return book.read("records").join(book.read("reports"), "record_id", "full").join(book.read("links"), "record_id", "full")
+
+
 def issue_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(known(spark, sf_dir, glossary=glossary(spark)).issues_of("glossary_violation"))
 
@@ -324,6 +351,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "issue_untranslated": _issue("untranslated_text"),
     "issue_glossary": issue_glossary,
     "profile_versions": profile_versions,
+    "record_commits": record_commits,
     "issue_metrics": issue_metrics,
     "found_metrics": found_metrics,
     "issue_rasterized": lambda s, d: _plain(solved(s, d).issues_of("text_rasterized")),
