@@ -45,6 +45,11 @@ def children(rows: DataFrame, records: DataFrame) -> DataFrame:
     return rows.join(records.select("record_id"), "record_id", "left_semi")
 
 
+def valid_ids(rows: DataFrame, column: str) -> DataFrame:
+    """The rows whose id has letters, digits, hyphens and underscores only; a null id has none of these and goes."""
+    return rows.where(F.col(column).rlike(r"^[\p{L}\p{N}_-]*\z"))
+
+
 def search_records(records: DataFrame, status: str | None = None, part: str = "") -> DataFrame:
     """Records of a status whose source or target name holds a part, whatever its case."""
     rows = records if status is None else records.where(F.col("status") == status)
@@ -199,7 +204,8 @@ DESCRIPTIONS = {
 }
 
 
-def schema_descriptions(spark) -> DataFrame:
-    """The data dictionary: (table_name, column_name, description), by table and column."""
-    rows = [(t, c, d) for t, columns in DESCRIPTIONS.items() for c, d in columns.items()]
-    return spark.createDataFrame(rows, "table_name string, column_name string, description string").orderBy("table_name", "column_name")
+def schema_descriptions(tables: dict[str, DataFrame]) -> DataFrame:
+    """The data dictionary of the given tables: (table_name, column_name, data_type, description), null where nothing is told of a column."""
+    spark = next(iter(tables.values())).sparkSession
+    rows = [(t, c, kind, DESCRIPTIONS.get(t, {}).get(c)) for t, df in tables.items() for c, kind in df.dtypes]
+    return spark.createDataFrame(rows, "table_name string, column_name string, data_type string, description string").orderBy("table_name", "column_name")

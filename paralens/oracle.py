@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from .functions.text import DIGITS_FROM, DIGITS_TO
 from .plans.profile import CAPS, DEDUCTIONS
-from .operators.store import DESCRIPTIONS
 from .sources.fixtures import CJK, LATIN
 
 _NUMBER = r"\d+(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
@@ -105,6 +104,16 @@ def _told() -> str:
     return f"select pair_id, report_page, issue_id, u.key as key, u.value as value from (select i.pair_id, i.report_page, i.issue_id, unnest(flatten([{lists}])) as u from {joined} where i.kind = 'pair') union all {pages}"
 
 
+def _main_scripts() -> str:
+    """Texts put into each script (26 letters from a first one on for a to z), and the script with most letters, no tie."""
+    first = {"latin": 0x61, "cjk": 0x4E00, "arabic": 0x0620, "hebrew": 0x05D0, "cyrillic": 0x0430, "greek": 0x03B1, "devanagari": 0x0905, "bengali": 0x0985, "thai": 0x0E01, "hangul": 0xAC00, "kana": 0x3041}
+    letters = {"latin": "A-Za-z", "cjk": "一-鿿㐀-䶿", "arabic": "ؠ-يٮ-ۓ", "hebrew": "ְ-ת", "cyrillic": "Ѐ-ӿ", "greek": "Ͱ-Ͽἀ-῿", "devanagari": "ऀ-ॿ", "bengali": "ঀ-৿", "thai": "฀-๿", "hangul": "가-힯ᄀ-ᇿ", "kana": "぀-ヿ"}
+    alphabets = ", ".join("'" + "".join(chr(v + k) for k in range(26)) + "'" for v in first.values())
+    put = lambda k: f"translate(left(text, 200), 'abcdefghijklmnopqrstuvwxyz', ([{alphabets}])[({k}) % 11 + 1])"
+    counts = ", ".join(f"{{'n': length(t) - length(regexp_replace(t, '[{c}]', '', 'g')), 's': '{name}'}}" for name, c in letters.items())
+    return f"select doc_id, case when v[1].n > 0 and v[1].n > v[2].n then v[1].s end as script, length(t) - length(regexp_replace(t, '[{''.join(letters.values())}]', '', 'g')) as letters from (select *, list_sort([{counts}], 'desc') as v from (select doc_id, case when doc_id % 4 = 3 then {put('doc_id')} || ' ' || {put('doc_id + 1')} else {put('doc_id')} end as t from documents where text is not null))"
+
+
 #: common tables by name, in the order in which one may use another
 CTES = {
     "lines": "select doc_id as pair_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from documents where text is not null",
@@ -282,7 +291,21 @@ BODIES = {
         from (select * from one where part = 0) o full join (select * from one where part = 1) n using (glossary_id, version) left join gone g using (glossary_id, version)""",
     "sample_create": """select sample_id, name, case when sample_id % 5 = 0 and sample_id % 10 <> 0 then 'archived' else status end as status, case when sample_id % 10 = 0 then 'builtin' else 'user' end as origin from (select sample_id, name, status from samples where sample_id % 3 = 0
         union all select sample_id, name, status from (select *, row_number() over (partition by lower(name) order by sample_id) as nth from samples where sample_id % 3 = 1 and source_file_id <> target_file_id and lower(name) not in (select lower(name) from samples where sample_id % 3 = 0)) where nth = 1)""",
-    "schema_descriptions": "select * from (values " + ", ".join(f"('{t}', '{c}', '{d}')" for t, columns in DESCRIPTIONS.items() for c, d in columns.items()) + ") v(table_name, column_name, description)",
+    "schema_descriptions": """select * from (values ('documents', 'doc_id', 'bigint', null), ('documents', 'lang', 'string', null), ('documents', 'n_chars', 'bigint', null), ('documents', 'source', 'string', null), ('documents', 'text', 'string', null),
+        ('files', 'file_id', 'string', 'digest of the content'), ('files', 'first_doc', 'bigint', 'smallest document with the content'), ('files', 'text', 'string', 'content'),
+        ('records', 'created_at', 'bigint', 'place in time'), ('records', 'record_id', 'bigint', 'comparison'), ('records', 'score_milli', 'bigint', 'score in thousandths'), ('records', 'source_file_id', 'string', 'source content'), ('records', 'source_name', 'string', null), ('records', 'status', 'string', 'verdict'), ('records', 'target_file_id', 'string', 'target content'), ('records', 'target_name', 'string', null),
+        ('samples', 'name', 'string', 'unique whatever its case'), ('samples', 'sample_id', 'bigint', 'sample'), ('samples', 'source_file_id', 'string', 'source content'), ('samples', 'status', 'string', 'active or archived'), ('samples', 'target_file_id', 'string', 'target content'), ('samples', 'updated_at', 'bigint', 'last change')) v(table_name, column_name, data_type, description)
+        where exists (select 1 from documents)""",
+    "main_scripts": _main_scripts(),
+    "issue_filters": "select i.pair_id, i.report_page, i.issue_id, i.type from issues i left join decisions d on d.pair_id = i.pair_id and d.issue_id = i.issue_id where d.issue_id is null and i.report_page = 1 and i.type in ('region_shifted', 'font_shrink', 'added_element')",
+    "evict_cascade": "select doc_id % 700 as record_id, doc_id as event_id from documents where doc_id % 700 in (select record_id from records qualify row_number() over (order by created_at desc, record_id desc) <= 100)",
+    "profile_defaults": "select doc_id, case when doc_id % 2 = 0 then doc_id % 7 else 5 end as minimum_tenths, 75 as fail_score, case when doc_id % 3 = 0 then doc_id % 5 + 1 else 10 end as font_cap, 12 as shift_cap, 25 as n_caps from documents",
+    "uploads": "select sha256('%PDF-' || text) as sha256, any_value(strlen(text) + 5) as length from documents where text is not null and doc_id % 3 <> 0 and strlen(text) + 5 <= 2000 group by 1",
+    "profiles_selectable": "select * from (select source as profile_id, doc_id as version, case doc_id % 3 when 0 then 'draft' when 1 then 'published' else 'archived' end as status, case when doc_id % 2 = 0 then 'builtin' else 'user' end as origin from documents) where status = 'published' or (status <> 'archived' and origin <> 'builtin')",
+    "glossary_by_reference": "select doc_id from documents where doc_id % 40 = 3 and doc_id % 7 = 2",
+    "valid_ids": "select doc_id, source || case doc_id % 4 when 1 then 'é_' else '-x' end as id from documents where doc_id % 4 in (1, 3) and source is not null",
+    "flow_suppression": """select pair_id, report_page, report_page as page, 'p' || report_page || '-shift-p' || report_page || '-r' || k as issue_id, 'region_shifted' as type, case when abs(dx) > 0.15 then 'high' else 'medium' end as severity, 'p' || report_page || '-r' || k as source_region, 'p' || report_page || '-r' || k as target_region from (
+        select pair_id, i // 10 + 1 as report_page, i % 10 as k, (case when pair_id % 3 = 1 then 440 - (100 + 13 * ((i * 5) % 11)) else 250 - (100 + 13 * ((i * 5) % 11)) / 2 end - 60) / 500 as dx, count(*) over (partition by pair_id, i // 10) as n from lines where pair_id % 3 <> 0) where n < 3 and abs(dx) > 0.05""",
     "scan_blocks": """select pair_id, row_number() over (partition by pair_id order by i, s)::int - 1 as block_ord, block_id, type, x, y, width, height, font_size, color, text, i::int as source_block_index, opacity_milli, weight, italic, case when s >= 0 then 'f' end as font_family, case when s >= 0 then 0 end as source_line_index, case when s >= 0 then s end as source_span_index, case when s < 0 then 'block-' || i || case when i % 4 = 1 then '.png' else '.bin' end end as asset_ref, case when s < 0 then 5 end as pixel_width, case when s < 0 then 4 end as pixel_height, case when s < 0 and i % 4 = 1 then 'png' end as extension from (
         select pair_id, i, s, 'p1-b' || i || '-l0-s' || s as block_id, 'text' as type, cast(10 + 100 * s as double) as x, cast(20 * i as double) as y, cast((pair_id * 3 + i) % 4 * 10 as double) as width, 10.0::double as height, case when (pair_id + i) % 3 > 0 then cast((pair_id + i) % 3 * 6 as double) end as font_size, '#' || printf('%06X', (pair_id * 65793) % 16777216) as color, 't' || i || '.' || s as text,
             case when (pair_id + i) % 7 <> 6 then cast(floor(least(1.0::double, ((pair_id + i) % 3 * 130) / 255.0::double) * 1000 + 0.5) as bigint) end as opacity_milli, case when (i % 4) * 8 & 16 > 0 then 700 else 400 end as weight, (i % 4) * 8 & 2 > 0 as italic

@@ -311,6 +311,56 @@ def sample_create(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived.select("sample_id", "name", "status", "origin")
 
 
+def scripts_of_all_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main script and letters of texts put into one script after another, and into two at once."""
+    k, n = F.col("doc_id"), len(SCRIPT_LETTERS)
+    first = F.substring("text", 1, 200)
+    put = lambda which: F.element_at(F.array(*[F.translate(first, fixtures.LATIN, letters) for letters in SCRIPT_LETTERS.values()]), which.cast("int") + 1)
+    mixed = F.when(k % 4 == 3, F.concat(put(k % n), F.lit(" "), put((k + 1) % n))).otherwise(put(k % n))
+    rows = documents(spark, sf_dir).where("text is not null").select("doc_id", mixed.alias("t"))
+    return rows.select("doc_id", tx.main_script(F.col("t")).alias("script"), tx.letters(F.col("t")).cast("long").alias("letters"))
+
+
+#: letters that stand for a to z, for each script
+SCRIPT_LETTERS = {name: "".join(chr(start + k) for k in range(26)) for name, start in (("latin", 0x61), ("cjk", 0x4E00), ("arabic", 0x0620), ("hebrew", 0x05D0), ("cyrillic", 0x0430), ("greek", 0x03B1), ("devanagari", 0x0905), ("bengali", 0x0985), ("thai", 0x0E01), ("hangul", 0xAC00), ("kana", 0x3041))}
+
+
+def demo_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("doc_id") % 3 == 0, "draft").when(F.col("doc_id") % 3 == 1, "published").otherwise("archived")
+    return documents(spark, sf_dir).select(F.col("source").alias("profile_id"), F.col("doc_id").alias("version"), status.alias("status"), F.when(F.col("doc_id") % 2 == 0, "builtin").otherwise("user").alias("origin"))
+
+
+def issue_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of one report page, by type and review."""
+    i = known(spark, sf_dir).issues
+    return store.filter_issues(i, decisions(i), types=["region_shifted", "font_shrink", "added_element"], review="pending", page=1).select("pair_id", "report_page", "issue_id", "type")
+
+
+def evict_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of the records' events once all but the newest records are evicted."""
+    events = documents(spark, sf_dir).select((F.col("doc_id") % 700).alias("record_id"), F.col("doc_id").alias("event_id"))
+    return store.children(events, store.newest(records(spark, sf_dir), 100))
+
+
+def profile_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of partly filled profiles, one for each document, after the defaults were merged in."""
+    k = F.col("doc_id")
+    part = F.to_json(F.struct(F.when(k % 2 == 0, (k % 7) / 10).alias("minimum_score"), F.when(k % 3 == 0, F.struct((k % 5 + 1.0).alias("font_shrink"))).alias("caps")))
+    rows = documents(spark, sf_dir).select("doc_id", part.alias("given"))
+    base = F.from_json(F.lit(Profile().to_json()), "minimum_score double, fail_score double, caps map<string,double>")
+    given = F.from_json("given", "minimum_score double, caps map<string,double>")
+    caps = F.map_concat(F.map_filter(base["caps"], lambda c, v: ~F.map_contains_key(F.coalesce(given["caps"], F.create_map().cast("map<string,double>")), c)), F.coalesce(given["caps"], F.create_map().cast("map<string,double>")))
+    merged = rows.select("doc_id", F.coalesce(given["minimum_score"], base["minimum_score"]).alias("minimum_score"), base["fail_score"].alias("fail_score"), caps.alias("caps"))
+    return merged.select("doc_id", F.round(F.col("minimum_score") * 10).cast("long").alias("minimum_tenths"), F.col("fail_score").cast("long").alias("fail_score"), F.col("caps")["font_shrink"].cast("long").alias("font_cap"), F.col("caps")["region_shifted"].cast("long").alias("shift_cap"), F.size("caps").cast("long").alias("n_caps"))
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploaded contents up to a size, each once; every third document isn't a PDF."""
+    head = F.when(F.col("doc_id") % 3 == 0, "<!-- ").otherwise("%PDF-")
+    files = documents(spark, sf_dir).where("text is not null").select(F.concat(F.lit("f"), "doc_id").alias("path"), F.concat(head, "text").cast("binary").alias("content"))
+    return scan.uploads(files.withColumn("length", F.length("content").cast("long")), max_bytes=2000).select("sha256", "length")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "document_report": document_report,
     "spans_source": _spans(fixtures.source_spans),
@@ -376,7 +426,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "history_page": lambda s, d: store.page_of(records(s, d), [F.desc("created_at"), F.desc("record_id")], 3, 8).select("record_id"),
     "glossary_upsert": glossary_upsert,
     "sample_create": sample_create,
-    "schema_descriptions": lambda s, d: store.schema_descriptions(s),
+    "schema_descriptions": lambda s, d: store.schema_descriptions({"files": store.files(documents(s, d).select("doc_id", "text")), "records": records(s, d), "samples": samples(s, d), "documents": documents(s, d)}),
+    "main_scripts": scripts_of_all_classes,
+    "issue_filters": issue_filters,
+    "evict_cascade": evict_cascade,
+    "profile_defaults": profile_defaults,
+    "uploads": uploads,
+    "profiles_selectable": lambda s, d: store.selectable_profiles(demo_profiles(s, d)),
+    "glossary_by_reference": lambda s, d: store.glossary_by_reference(documents(s, d).select(F.concat(F.lit("g"), F.col("doc_id") % 40).alias("glossary_id"), (F.col("doc_id") % 7).alias("version"), "doc_id"), "g3@2").select("doc_id"),
+    "valid_ids": lambda s, d: store.valid_ids(documents(s, d).select("doc_id", F.concat("source", F.when(F.col("doc_id") % 4 == 0, "/").when(F.col("doc_id") % 4 == 1, "é_").when(F.col("doc_id") % 4 == 2, " ").otherwise("-x")).alias("id")), "id"),
+    "flow_suppression": lambda s, d: _plain(flowing(s, d).issues_of("region_shifted")),
     "scan_blocks": lambda s, d: scan.blocks(fixtures.layouts(documents(s, d))).select("pair_id", "block_ord", "block_id", "type", "x", "y", "width", "height", "font_size", "color", "text", "source_block_index", F.round(F.col("opacity") * 1000).cast("long").alias("opacity_milli"), "weight", "italic", "font_family", "source_line_index", "source_span_index", *scan.IMAGE),
     "scan_pages": lambda s, d: scan.pages(fixtures.layouts(documents(s, d))).select("pair_id", "background_color", F.size("dark_boxes").cast("long").alias("dark_boxes"), F.aggregate("dark_boxes", F.lit(0.0), lambda acc, b: acc + b["width"] * b["height"]).cast("long").alias("dark_area")),
     "history_search": lambda s, d: store.search_records(records(s, d), "fail", "7").select("record_id", "status"),
