@@ -8,6 +8,8 @@ avoids one worker call for each group, of which there are as many as pages.
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,10 +22,19 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers on this machine import the package, wherever the driver was started."""
-    known = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if ROOT not in known.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (ROOT, known)))
+    """Gives the workers of all machines the package, once for each application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_paralens_shipped", False):
+        return
+    path = os.path.join(tempfile.mkdtemp(), "paralens.zip")
+    package = os.path.join(ROOT, "paralens")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), ROOT))
+    sc.addPyFile(path)
+    sc._paralens_shipped = True
 
 
 def per_group(df: DataFrame, keys: list[str], order: list[str], solve: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], schema: str) -> DataFrame:
