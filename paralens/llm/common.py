@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables; the path may belong to any store Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,10 +39,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers on this machine import the package, wherever the driver was started."""
-    known = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if ROOT not in known.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (ROOT, known)))
+    """Gives the workers of all machines the package, once for each application."""
+    from ..operators import groupwise
+
+    groupwise.ship(spark)
 
 
 def keyed(docs: DataFrame, key: str) -> DataFrame:
