@@ -277,6 +277,13 @@ BODIES = {
         select e.pair_id, e.report_page, e.kind, coalesce(n, 0)::bigint as issue_count, greatest(0.0::double, 100 - coalesce(off, 0)::double) as score, issues,
             case when coalesce(critical, false) or greatest(0, 100 - coalesce(off, 0)) < 75 then 'fail' when (e.pair_id % 3 <> 2 and coalesce(high, false)) or greatest(0, 100 - coalesce(off, 0)) < 90 then 'review' else 'pass' end as status
         from entries e left join paged using (pair_id, report_page, kind)""",
+    "match_tangled": "select pair_id, i // 6 + 1 as report_page, 'p' || (i // 6 + 1) || '-r' || (i % 6) as s_region_id, 'p' || (i // 6 + 1) || '-r' || (i % 6) as t_region_id from lines",
+    "claims_shared": "select pair_id, page as report_page, page, 'p' || page || '-rasterized-p' || page || '-r' || (k * 4 + 2 + s) as issue_id, 'text_rasterized' as type, 'high' as severity, 'p' || page || '-r' || (k * 4 + s) as source_region, 'p' || page || '-r' || (k * 4 + 2 + s) as target_region from (select pair_id, i // 8 + 1 as page, i % 8 as k from lines), (values (0), (1)) v(s)",
+    "alignment_columns": "select pair_id, page as report_page, page, 'p' || page || '-alignment-p' || page || '-r0-p' || page || '-r' || last as issue_id, 'text_alignment_changed' as type, 'high' as severity, 'p' || page || '-r0' as source_region, 'p' || page || '-r0' as target_region from (select pair_id, i // 20 + 1 as page, count(*) as n, max(i % 20) as last from lines where pair_id % 2 = 1 and i % 2 = 0 group by all) where n >= 3",
+    "alignment_gaps": """with of_source as (select distinct pair_id, i // 6 + 1 as page, pair_id % 3 as edit from lines), ends as (select pair_id, max(page) as last from of_source group by pair_id),
+        paired as (select pair_id, page as s_page, case when edit = 0 and page = 2 then null when edit = 0 then page - case when page > 2 then 1 else 0 end else page + case when page > 2 then 1 else 0 end + case when edit = 2 and page > 4 then 1 else 0 end end as t_page from of_source
+            union all select pair_id, null, 3 from ends where pair_id % 3 > 0 and last >= 3 union all select pair_id, null, 6 from ends where pair_id % 3 = 2 and last >= 5)
+        select pair_id, s_page, t_page, coalesce(s_page, t_page) as report_page, case when t_page is null then 'missing' when s_page is null then 'extra' else 'pair' end as kind from paired""",
     "record_commits": """select doc_id as record_id, case when doc_id % 3 = 0 then 'again' else 'new' end as status, sha256(text) as source_file_id, (doc_id * 37) % 1000 + case when doc_id % 3 = 0 then 1000 else 0 end as score_milli, len(string_split(text, chr(10))) as pages,
         case when doc_id % 4 = 0 then 'g' || (doc_id % 5) || case when doc_id % 3 = 0 then '@1000' else '@0' end end as glossary from documents where text is not null and (doc_id % 2 = 0 or doc_id % 3 = 0) and doc_id % 11 <> 0""",
     "issue_metrics": _told(),

@@ -74,6 +74,21 @@ def flowing(spark: SparkSession, sf_dir: str) -> Comparison:
     return compare(fixtures.pages(b), b, Profile(align_pages=False))
 
 
+def _pairs(make: Callable[[DataFrame], DataFrame], align: bool = False) -> Callable[..., Comparison]:
+    """The comparison, as found, of pairs that ``make`` derives."""
+
+    def compared(spark: SparkSession, sf_dir: str) -> Comparison:
+        b = make(documents(spark, sf_dir))
+        return compare(fixtures.pages(b), b, Profile(align_pages=align))
+
+    compared.__name__ = make.__name__
+    return shared(compared)
+
+
+tangled, sharing, columns = _pairs(fixtures.tangled_blocks), _pairs(fixtures.shared_image_blocks), _pairs(fixtures.column_blocks)
+gapped = _pairs(fixtures.gapped_blocks, align=True)
+
+
 def glossary(spark: SparkSession) -> DataFrame:
     rows = [("demo", 1, 0, "The", ["的"], None, False), ("demo", 1, 1, "und", ["和", "与"], "two renderings", True), ("demo", 1, 2, "la", ["这"], None, True)]
     return spark.createDataFrame(rows, "glossary_id string, version int, term_ord int, term string, translations array<string>, note string, case_sensitive boolean")
@@ -400,6 +415,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "issue_numbers": _issue("number_mismatch"),
     "issue_untranslated": _issue("untranslated_text"),
     "issue_glossary": issue_glossary,
+    "match_tangled": lambda s, d: tangled(s, d).matches.select("pair_id", "report_page", "s_region_id", "t_region_id"),
+    "claims_shared": lambda s, d: _plain(sharing(s, d).issues_of("text_rasterized")),
+    "alignment_columns": lambda s, d: _plain(columns(s, d).issues_of("text_alignment_changed")),
+    "alignment_gaps": lambda s, d: gapped(s, d).entries,
     "profile_versions": profile_versions,
     "record_commits": record_commits,
     "issue_metrics": issue_metrics,

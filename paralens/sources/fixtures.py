@@ -177,3 +177,68 @@ def layouts(documents: DataFrame) -> DataFrame:
         F.struct(box(0, 0, 50 * (F.col("pair_id") % 11), 100).alias("bbox"), F.lit("#FFEE00").alias("color")),
     )
     return rows.select("pair_id", "side", "page", "width", "height", F.transform(F.sequence(F.lit(0), F.col("n") - 1), block).alias("blocks"), fills.alias("fills"))
+
+
+TANGLED, SPACING, STEP = 6, 100, 95
+
+
+def tangled_blocks(documents: DataFrame) -> DataFrame:
+    """Both sides of pairs whose lines move almost to their neighbours' places, up or down by pair mod 2.
+
+    The best single match of most lines is a neighbour's; the best matches of all keep them together.
+    """
+    rows = lines(documents).select("pair_id", "i", ((F.col("i") / TANGLED).cast("long") + 1).alias("page"), (F.col("i") % TANGLED).alias("k"))
+    moved = F.when(F.col("pair_id") % 2 == 0, STEP).otherwise(-STEP)
+    side = lambda name, y: _text_block(rows, name, block_ord=F.col("k").cast("int"), block_id=F.concat(F.lit("p"), F.col("page"), F.lit("-b"), F.col("k")), x=F.lit(50.0), width=F.lit(120.0), y=y.cast("double"), text=F.concat(F.lit("line "), F.col("i")), source_block_index=F.col("k").cast("int"))
+    place = 120 + SPACING * F.col("k")
+    return side("source", place).unionByName(side("target", place + moved))
+
+
+SHARED_LINES = 8
+
+
+def shared_image_blocks(documents: DataFrame) -> DataFrame:
+    """Both sides of pairs in which two transparent texts lie under the same two images.
+
+    Each text lies most under the first image; the first text covers it wholly and takes it, the second gets the other.
+    """
+    rows = lines(documents).select("pair_id", "i", ((F.col("i") / SHARED_LINES).cast("long") + 1).alias("page"), (F.col("i") % SHARED_LINES).alias("k"))
+    place = (30 + 90 * F.col("k")).cast("double")
+    none = F.lit(None)
+
+    def boxes(side: str, at: dict[int, float], image: bool, opacity: float) -> DataFrame:
+        spread = rows.withColumn("s", F.explode(F.array(*[F.lit(s) for s in at])))
+        x = F.element_at(F.create_map(*[F.lit(v) for pair in at.items() for v in pair]), F.col("s"))
+        own = {"type": F.lit("image"), "opacity": none.cast("double"), "font_size": none.cast("double"), "color": none.cast("string")} if image else {"opacity": F.lit(opacity)}
+        return _text_block(spread, side, block_ord=(F.col("k") * 4 + F.col("s")).cast("int"), block_id=F.concat(F.lit("p"), F.col("page"), F.lit("-b"), F.col("k") * 4 + F.col("s")), x=x, y=place, width=F.lit(100.0), text=none.cast("string") if image else F.concat(F.lit("label "), F.col("i"), F.lit("."), F.col("s")), source_block_index=(F.col("k") * 4 + F.col("s")).cast("int"), **own)
+
+    text, images = {0: 100.0, 1: 105.0}, {2: 100.0, 3: 90.0}
+    return boxes("source", text, False, 1.0).unionByName(boxes("target", text, False, 0.0)).unionByName(boxes("target", images, True, 1.0))
+
+
+def column_blocks(documents: DataFrame) -> DataFrame:
+    """Both sides of pairs with two columns of lines; the left column turns from left to right aligned by pair mod 2, the right one stays."""
+    rows = lines(documents).select("pair_id", "i", ((F.col("i") / 20).cast("long") + 1).alias("page"), (F.col("i") % 20).alias("k"), (60 + 10 * ((F.col("i") * 5) % 11)).cast("double").alias("width"))
+    left = F.col("k") % 2 == 0
+    edge = F.when(F.col("pair_id") % 2 == 1, 210 - F.col("width")).otherwise(40.0)
+    side = lambda name, x: _text_block(rows, name, block_ord=F.col("k").cast("int"), block_id=F.concat(F.lit("p"), F.col("page"), F.lit("-b"), F.col("k")), x=F.when(left, x).otherwise(300.0), y=(20 + 24 * F.floor(F.col("k") / 2)).cast("double"), text=F.concat(F.lit("line "), F.col("i")), source_block_index=F.col("k").cast("int"))
+    return side("source", F.lit(40.0)).unionByName(side("target", edge))
+
+
+def gapped_blocks(documents: DataFrame) -> DataFrame:
+    """Both sides of pairs that lose page 2, or get a page after it, or one after pages 2 and 4 each, by pair mod 3."""
+    page = (F.col("i") / CLEAR_LINES).cast("long") + 1
+    rows = lines(documents).select("pair_id", "i", page.alias("page"), (F.col("i") % CLEAR_LINES).alias("k"), (F.col("pair_id") % 3).alias("edit"))
+    x, y = (20 + 45 * (F.col("page") * 3 % 7)).cast("double"), (30 + 120 * F.col("k") + 15 * (F.col("page") * 5 % 7)).cast("double")
+    width = (60 + 30 * ((F.col("i") * 7 + F.col("page")) % 9)).cast("double")
+    after = lambda p: (F.col("page") > p).cast("long")
+    to = F.col("page") + F.when(F.col("edit") == 0, -after(2)).when(F.col("edit") == 1, after(2)).otherwise(after(2) + after(4))
+
+    def placed(r: DataFrame, name: str, number: F.Column) -> DataFrame:
+        r = r.withColumns({"x": x, "y": y, "width": width}).withColumn("page", number.cast("long"))
+        return _text_block(r, name, block_ord=F.col("k").cast("int"), block_id=F.concat(F.lit("p"), F.col("page"), F.lit("-b"), F.col("k")), text=F.concat(F.lit("line "), F.col("i")), source_block_index=F.col("k").cast("int"))
+
+    kept = rows.where("not (edit = 0 and page = 2)")
+    new = rows.where("k = 0 and edit > 0 and (page = 3 or (edit = 2 and page = 5))").withColumn("page", F.when(F.col("page") == 3, 3).otherwise(6).cast("long"))
+    front = _text_block(new, "target", block_ord=F.lit(0), block_id=F.concat(F.lit("p"), F.col("page"), F.lit("-new")), x=F.lit(430.0), y=F.lit(770.0), width=F.lit(15.0), height=F.lit(9.0), text=F.lit("new"), source_block_index=F.lit(0))
+    return placed(rows, "source", F.col("page")).unionByName(placed(kept, "target", to)).unionByName(front)
