@@ -6,9 +6,40 @@ statement takes those it needs.
 
 from __future__ import annotations
 
-from .functions.text import DIGITS_FROM, DIGITS_TO
-from .plans.profile import CAPS, DEDUCTIONS
-from .sources.fixtures import CJK, LATIN
+#: Fixed values, written out so that they don't follow the code they check: digits and their ASCII forms,
+#: points off and how many at most, the letters of the derived pairs.
+DIGITS_FROM = "０１２３４５６７８９．，٠١٢٣٤٥٦٧٨٩٫٬۰۱۲۳۴۵۶۷۸۹"
+DIGITS_TO = "0123456789.,0123456789.,0123456789"
+DEDUCTIONS = {"info": 0.0, "low": 1.0, "medium": 4.0, "high": 10.0, "critical": 25.0}
+CAPS = {
+    "region_shifted": 12.0,
+    "region_resized": 10.0,
+    "text_fragmented": 10.0,
+    "text_overflow": 25.0,
+    "text_clipped": 25.0,
+    "abnormal_wrap": 10.0,
+    "line_count_explosion": 10.0,
+    "font_shrink": 10.0,
+    "text_overlap": 10.0,
+    "text_image_overlap": 25.0,
+    "content_out_of_page": 25.0,
+    "missing_element": 10.0,
+    "added_element": 3.0,
+    "missing_image": 25.0,
+    "typography_changed": 10.0,
+    "table_structure_changed": 25.0,
+    "page_missing": 25.0,
+    "number_mismatch": 12.0,
+    "untranslated_text": 12.0,
+    "glossary_violation": 12.0,
+    "invisible_text": 25.0,
+    "text_rasterized": 10.0,
+    "text_vectorized": 0.0,
+    "text_alignment_changed": 10.0,
+    "other": 10.0,
+}
+LATIN = "abcdefghijklmnopqrstuvwxyz"
+CJK = "的一是不了人我在有他这为之大来以个中上们到说国和地也"
 
 _NUMBER = r"\d+(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
 _TEXTS = "('text','paragraph','heading','list','header','footer')"
