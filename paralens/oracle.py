@@ -315,6 +315,15 @@ BODIES = {
         paired as (select pair_id, page as s_page, case when edit = 0 and page = 2 then null when edit = 0 then page - case when page > 2 then 1 else 0 end else page + case when page > 2 then 1 else 0 end + case when edit = 2 and page > 4 then 1 else 0 end end as t_page from of_source
             union all select pair_id, null, 3 from ends where pair_id % 3 > 0 and last >= 3 union all select pair_id, null, 6 from ends where pair_id % 3 = 2 and last >= 5)
         select pair_id, s_page, t_page, coalesce(s_page, t_page) as report_page, case when t_page is null then 'missing' when s_page is null then 'extra' else 'pair' end as kind from paired""",
+    "stage_contents": f"""with kinds as (select pair_id, side, type, count(*) as n from regions group by all), sided as (select k.pair_id, k.side, k.side || ':' || any_value(p.pages) || ':' || cast(sum(n) as bigint) || ':' || string_agg(type || '=' || n, ',' order by type) as told from kinds k join (select pair_id, side, count(distinct page) as pages from regions group by all) p on p.pair_id = k.pair_id and p.side = k.side group by k.pair_id, k.side),
+        scored as (select m.pair_id, m.report_page, count(*) as n, avg(0.4::double * {_position('s', 't')} + 0.25::double * {_size('s', 't')} + 0.2::double * case when s.type = t.type then 1.0::double when s.type in {_TEXTS} and t.type in {_TEXTS} then 0.8::double else 0.0::double end + 0.15::double * (1 - abs(s.region_ord / greatest(1, s.n - 1) - t.region_ord / greatest(1, t.n - 1)))) as score
+            from m join sr s on s.pair_id = m.pair_id and s.report_page = m.report_page and s.i = m.i join tr t on t.pair_id = m.pair_id and t.report_page = m.report_page and t.i = m.i group by all),
+        lost as (select pair_id, report_page, string_agg(region_id, ',' order by region_ord) as ids from alone_s group by all), got as (select pair_id, report_page, string_agg(region_id, ',' order by region_ord) as ids from alone_t group by all),
+        paged as (select e.pair_id, e.s_page, e.t_page, e.s_page || '-' || e.t_page || ':' || coalesce(c.n, 0) || ':' || coalesce(l.ids, '') || ':' || coalesce(g.ids, '') || ':' || coalesce(cast(cast(floor(c.score * 1000000 + 0.5) as bigint) as varchar), '') as told from entries e left join scored c on c.pair_id = e.pair_id and c.report_page = e.report_page left join lost l on l.pair_id = e.pair_id and l.report_page = e.report_page left join got g on g.pair_id = e.pair_id and g.report_page = e.report_page where e.kind = 'pair')
+        select d.pair_id, 'group' as stage, coalesce(s.told, 'source:0:0:') || ' ' || coalesce(t.told, 'target:0:0:') as told from (select distinct pair_id from regions) d left join sided s on s.pair_id = d.pair_id and s.side = 'source' left join sided t on t.pair_id = d.pair_id and t.side = 'target'
+        union all select pair_id, 'alignment', coalesce(string_agg(s_page || '-' || t_page, ',' order by s_page, t_page) filter (where kind = 'pair'), '') || '|' || coalesce(string_agg(s_page::varchar, ',' order by s_page) filter (where kind = 'missing'), '') || '|' || coalesce(string_agg(t_page::varchar, ',' order by t_page) filter (where kind = 'extra'), '') from entries group by pair_id
+        union all select pair_id, 'match', string_agg(told, ' ' order by s_page, t_page) from paged group by pair_id
+        union all select pair_id, 'detect', cast(sum(n) as bigint) || ':' || string_agg(type || '=' || n, ',' order by type) from (select pair_id, type, count(*) as n from issues group by all) group by pair_id""",
     "record_commits": """select doc_id as record_id, case when doc_id % 3 = 0 then 'again' else 'new' end as status, sha256(text) as source_file_id, (doc_id * 37) % 1000 + case when doc_id % 3 = 0 then 1000 else 0 end as score_milli, len(string_split(text, chr(10))) as pages,
         case when doc_id % 4 = 0 then 'g' || (doc_id % 5) || case when doc_id % 3 = 0 then '@1000' else '@0' end end as glossary from documents where text is not null and (doc_id % 2 = 0 or doc_id % 3 = 0) and doc_id % 11 <> 0""",
     "issue_metrics": _told(),

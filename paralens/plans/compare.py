@@ -195,6 +195,38 @@ def stage(found: Comparison, name: str) -> DataFrame:
     raise ValueError(f"no such stage: {name}")
 
 
+def contents(found: Comparison, name: str) -> DataFrame:
+    """What a stage found, one row for each pair: (pair_id, data); ``report`` gives the nested reports instead.
+
+    parse, group: of each side its pages, blocks or regions, and regions by type; alignment: page pairs
+    and pages left over; match: of each page pair its matches, what they leave over and their mean score;
+    detect: issues by type.
+    """
+    listed = lambda c: F.sort_array(F.collect_list(c))
+    if name in ("parse", "group"):
+        rows, unit = (found.blocks, "blocks") if name == "parse" else (found.regions, "regions")
+        kinds = rows.groupBy("pair_id", "side", "page", "type").agg(F.count("*").alias("n")).groupBy("pair_id", "side", "type").agg(F.sum("n").alias("n"), F.collect_set("page").alias("on"))
+        side = kinds.groupBy("pair_id", "side").agg(F.size(F.array_distinct(F.flatten(F.collect_list("on")))).cast("long").alias("pages"), F.sum("n").alias(unit), F.map_from_entries(listed(F.struct("type", "n"))).alias("types"))
+        told = F.struct("pages", unit, *["types"] * (name == "group"))
+        return side.groupBy("pair_id").agg(F.map_from_entries(F.collect_list(F.struct("side", told))).alias("data"))
+    if name == "alignment":
+        pair = F.when(F.col("kind") == "pair", F.struct("s_page", "t_page"))
+        alone = lambda kind, page: listed(F.when(F.col("kind") == kind, F.col(page)))
+        return found.entries.groupBy("pair_id").agg(F.struct(listed(pair).alias("pairs"), alone("missing", "s_page").alias("missing_source_pages"), alone("extra", "t_page").alias("extra_target_pages")).alias("data"))
+    if name == "match":
+        met = found.laid.groupBy(*PAIR).agg(F.count("s_region_id").alias("matched"), listed(F.when(F.col("s_region_id").isNull(), F.struct("t_region_ord", "t_region_id"))).alias("t"), F.avg("score").alias("mean_score"))
+        alone = found.source.join(found.diffs.select(*PAIR, "s_region_id"), [*PAIR, "s_region_id"], "left_anti").groupBy(*PAIR).agg(listed(F.struct("s_region_ord", "s_region_id")).alias("s"))
+        pages_ = found.sheets.where("kind = 'pair'").select(*PAIR, "s_page", "t_page").join(met, PAIR, "left").join(alone, PAIR, "left")
+        ids = lambda c: F.coalesce(F.col(f"{c}.{c}_region_id"), F.array().cast("array<string>"))
+        page = F.struct("s_page", "t_page", F.coalesce("matched", F.lit(0)).alias("matched"), ids("s").alias("unmatched_source"), ids("t").alias("unmatched_target"), "mean_score")
+        return pages_.groupBy("pair_id").agg(listed(page).alias("data"))
+    if name == "detect":
+        return scoring.type_counts(found.typed_issues).groupBy("pair_id").agg(F.struct(F.sum("n").alias("total"), F.map_from_entries(listed(F.struct("type", "n"))).alias("by_type")).alias("data"))
+    if name == "report":
+        return reports(found, found.profile)
+    raise ValueError(f"no such stage: {name}")
+
+
 def stages(found: Comparison, stop_after: str = "report") -> dict[str, DataFrame]:
     """Summaries of all stages up to one."""
     return {name: stage(found, name) for name in STAGES[: STAGES.index(stop_after) + 1]}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .operators import detectors, evidence, grouping, matching, pages, scoring, store
-from .plans.compare import Comparison, compare, reports
+from .plans.compare import Comparison, compare, contents, reports
 from .plans.profile import Profile
 from .plans.rules import Rules, by_pair, profile_table
 from .sources import fixtures, ledger, scan
@@ -154,6 +154,18 @@ def stage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [t.groupBy("pair_id").agg(F.lit(n).alias("stage"), F.count("*").alias("n")) for n, t in tables.items()])
 
 
+def stage_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stages of the known pairs found, as text."""
+    c = known(spark, sf_dir)
+    told = {
+        "group": "array_join(transform(array('source', 'target'), s -> concat(s, ':', coalesce(data[s].pages, 0), ':', coalesce(data[s].regions, 0), ':', coalesce(array_join(transform(array_sort(map_entries(data[s].types)), e -> concat(e.key, '=', e.value)), ','), ''))), ' ')",
+        "alignment": "concat(array_join(transform(data.pairs, p -> concat(p.s_page, '-', p.t_page)), ','), '|', array_join(data.missing_source_pages, ','), '|', array_join(data.extra_target_pages, ','))",
+        "match": "array_join(transform(data, p -> concat(p.s_page, '-', p.t_page, ':', p.matched, ':', array_join(p.unmatched_source, ','), ':', array_join(p.unmatched_target, ','), ':', coalesce(cast(cast(floor(p.mean_score * 1000000 + 0.5) as bigint) as string), ''))), ' ')",
+        "detect": "concat(data.total, ':', array_join(transform(array_sort(map_entries(data.by_type)), e -> concat(e.key, '=', e.value)), ','))",
+    }
+    return reduce(DataFrame.unionByName, [contents(c, name).select("pair_id", F.lit(name).alias("stage"), F.expr(how).alias("told")) for name, how in told.items()])
+
+
 def integrity_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Breaches of every rule of the data model, put into the known tables."""
     c = known(spark, sf_dir)
@@ -434,6 +446,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "problem_pages": lambda s, d: known(s, d).page_results.where("status <> 'pass'").select("pair_id", "report_page", "kind", "status"),
     "distinct_types": lambda s, d: known(s, d).issues.select("type").distinct(),
     "stage_summary": stage_summary,
+    "stage_contents": stage_contents,
     "bbox_groups": lambda s, d: scoring.box_groups(known(s, d).issues),
     "top_issues": lambda s, d: store.top_issues(known(s, d).issues, 10).select("pair_id", "place", "report_page", "issue_id", "type", "severity"),
     "nested_reports": nested_reports,

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import html
-import json
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..plans.compare import Comparison, reports, stages
+from ..plans.compare import STAGES, Comparison, contents, reports
 from ..plans.profile import Profile
 
 
@@ -69,7 +68,15 @@ def write_text(text: str, path: str) -> None:
     os.replace(name, path)
 
 
-def write_stages(found: Comparison, folder: str, stop_after: str = "report") -> None:
-    """``stage-<name>.json`` for each stage up to one: totals over all pairs."""
-    for name, table in stages(found, stop_after).items():
-        write_text(json.dumps({"stage": name, "rows": table.count(), "columns": table.columns}), f"{folder}/stage-{name}.json")
+def write_stages(found: Comparison, folder: str, stop_after: str = "report") -> dict[str, dict]:
+    """Each stage up to one: its contents as JSON lines under ``stage-<name>``, one line for each pair; returns the totals.
+
+    The totals are observed while the contents are written, by no further job.
+    """
+    out = {}
+    for name in STAGES[: STAGES.index(stop_after) + 1]:
+        told, seen = contents(found, name), Observation(f"stage-{name}")
+        observed = told.observe(seen, F.count(F.lit(1)).alias("pairs"), F.sum(F.size("data" if name in ("parse", "group", "match") else "pages")).alias("items")) if name in ("parse", "group", "match", "report") else told.observe(seen, F.count(F.lit(1)).alias("pairs"))
+        observed.write.mode("overwrite").json(f"{folder}/stage-{name}")
+        out[name] = seen.get
+    return out

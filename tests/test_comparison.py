@@ -327,3 +327,16 @@ def test_queries_share_a_comparison_of_equal_inputs(spark):
     assert Q.known(spark, folder) is Q.known(spark, folder)
     assert Q.known(spark, folder, glossary=Q.glossary(spark)) is not Q.known(spark, folder)
     Q.forget()
+
+
+def test_stages_are_written_with_their_contents(spark, made, tmp_path):
+    from paralens.sources import sinks
+
+    out, rows = made
+    totals = sinks.write_stages(out, str(tmp_path), "detect")
+    assert set(totals) == {"parse", "group", "alignment", "match", "detect"} and totals["group"]["pairs"] == len(pairs())
+    read = {name: {r["pair_id"]: json.loads(r["data"]) for r in spark.read.json(str(tmp_path / f"stage-{name}")).select("pair_id", F.to_json("data").alias("data")).collect()} for name in totals}
+    assert read["group"]["lost"]["source"]["regions"] == 2 and read["group"]["lost"]["target"]["types"] == {"paragraph": 1}
+    assert read["alignment"]["lost"]["missing_source_pages"] == [2] and read["alignment"]["same"]["pairs"] == [{"s_page": 1, "t_page": 1}]
+    assert read["match"]["shift"][0]["matched"] == 1 and read["match"]["shift"][0]["unmatched_source"] == ["p1-r1"]
+    assert sum(d["total"] for d in read["detect"].values()) == len(rows)
