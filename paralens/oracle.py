@@ -393,6 +393,7 @@ BODIES = {
     "stored_files": "select file_id, first_doc from files",
     "history_list": "select record_id, source_file_id, target_file_id, status, score_milli, created_at from records",
     "history_search": "select record_id, status from records where status = 'fail' and (contains(lower(source_name), '7') or contains(lower(target_name), '7'))",
+    "history_search_index": "select record_id, status from records where contains(lower(source_name), 'oc7') or contains(lower(target_name), 'oc7')",
     "history_evict": "select record_id from records qualify row_number() over (order by created_at desc, record_id desc) <= 100",
     "sample_autolink": "select record_id, arg_max(sample_id, (updated_at, sample_id)) as sample_id from records r join samples s on r.source_file_id = s.source_file_id and r.target_file_id = s.target_file_id and s.status = 'active' group by record_id",
     "samples_active": "select sample_id, name from samples where status = 'active'",

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import detectors, evidence, grouping, matching, pages, scoring, store
+from .operators import detectors, evidence, grouping, matching, names, pages, scoring, store
 from .plans.compare import Comparison, compare, contents, reports
 from .plans.profile import Profile
 from .plans.rules import Rules, by_pair, profile_table
@@ -261,8 +261,8 @@ def profile_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = Profile()
     lenient = replace(base, profile_id="lenient", version=2, off=("font_grow", "overlap"), thresholds=base.thresholds | {"shifted_ratio": 0.13, "severely_shifted_ratio": 0.17}, bands=base.bands | {"font_shrink_bands": ((0.4, "low"), (0.2, "info"))})
     spoken = replace(base, profile_id="spoken", version=3, language_off={"latin-cjk": ("number_mismatch",)}, high_forces_review=False, caps=base.caps | {"font_shrink": 4.0})
-    names = F.when(F.col("pair_id") % 3 == 0, base.reference).when(F.col("pair_id") % 3 == 1, lenient.reference).otherwise(spoken.reference)
-    rules = by_pair(fixtures.pages(b).select("pair_id").distinct().withColumn("reference", names), profile_table(spark, [base, lenient, spoken]))
+    named = F.when(F.col("pair_id") % 3 == 0, base.reference).when(F.col("pair_id") % 3 == 1, lenient.reference).otherwise(spoken.reference)
+    rules = by_pair(fixtures.pages(b).select("pair_id").distinct().withColumn("reference", named), profile_table(spark, [base, lenient, spoken]))
     found = compare(fixtures.pages(b), b, rules, split=False, paired=fixtures.true_pages(b), matched=fixtures.true_matches(b))
     per_page = found.typed_issues.groupBy("pair_id", "report_page", *[F.when(F.col("detector") != "page", "pair").when(F.col("type") == "page_missing", "missing").otherwise("extra").alias("kind")]).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "issue_id", "type", "severity"))), ",").alias("issues"))
     return found.page_results.join(per_page, ["pair_id", "report_page", "kind"], "left")
@@ -363,6 +363,13 @@ def issue_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.filter_issues(i, decisions(i), types=["region_shifted", "font_shrink", "added_element"], review="pending", page=1).select("pair_id", "report_page", "issue_id", "type")
 
 
+def history_search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records found by a part of a name through the index of trigrams."""
+    rows, path = records(spark, sf_dir), f"{shared_folder(spark)}/names-{uuid.uuid4().hex}"
+    names.write_index(rows, path)
+    return names.search(rows, path, "oC7").select("record_id", "status")
+
+
 def evict_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of the records' events once all but the newest records are evicted."""
     events = documents(spark, sf_dir).select((F.col("doc_id") % 700).alias("record_id"), F.col("doc_id").alias("event_id"))
@@ -471,6 +478,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_blocks": lambda s, d: scan.blocks(fixtures.layouts(documents(s, d))).select("pair_id", "block_ord", "block_id", "type", "x", "y", "width", "height", "font_size", "color", "text", "source_block_index", F.round(F.col("opacity") * 1000).cast("long").alias("opacity_milli"), "weight", "italic", "font_family", "source_line_index", "source_span_index", *scan.IMAGE),
     "scan_pages": lambda s, d: scan.pages(fixtures.layouts(documents(s, d))).select("pair_id", "background_color", F.size("dark_boxes").cast("long").alias("dark_boxes"), F.aggregate("dark_boxes", F.lit(0.0), lambda acc, b: acc + b["width"] * b["height"]).cast("long").alias("dark_area")),
     "history_search": lambda s, d: store.search_records(records(s, d), "fail", "7").select("record_id", "status"),
+    "history_search_index": history_search_index,
     "history_evict": lambda s, d: store.newest(records(s, d), 100).select("record_id"),
     "sample_autolink": lambda s, d: store.autolink(records(s, d), samples(s, d)),
     "samples_active": lambda s, d: store.active_samples(samples(s, d)).select("sample_id", "name"),
