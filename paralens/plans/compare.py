@@ -15,6 +15,8 @@ from .rules import Rules
 
 STAGES = ("parse", "group", "alignment", "match", "detect", "report")
 PAIR = matching.PAIR
+#: regions of a bucket, while there are fewer buckets than shuffle partitions
+BUCKET_REGIONS = 200_000
 
 
 class Comparison:
@@ -43,6 +45,15 @@ class Comparison:
     def _spark(self):
         return self._given[0].sparkSession
 
+    @cached_property
+    def _buckets(self) -> int:
+        """Buckets of all tables by page pair: a core each at least, more for many regions, up to the session's shuffle partitions."""
+        cores, most = self._spark.sparkContext.defaultParallelism, int(self._spark.conf.get("spark.sql.shuffle.partitions"))
+        return max(1, min(most, max(cores, self.regions.count() // BUCKET_REGIONS)))
+
+    def _bucketed(self, df: DataFrame, name: str) -> DataFrame:
+        return bucketed(df, name, PAIR, self._buckets)
+
     def forget(self) -> None:
         """Deletes the tables that were made; what was read from the comparison can't be read again."""
         for name in ("pages", "blocks", "regions", "sheets", "source", "target", "matches", "laid", "claims", "lines", "flows", "languages", "typed_issues"):
@@ -72,7 +83,7 @@ class Comparison:
         if paired is None and (self.rules.carried or self.profile.align_pages):
             paired = pages.aligned(self.pages, self.regions, self.rules)
         entries = pages.entries(pages.identity(self.pages) if paired is None else paired)
-        return bucketed(matching.sheets(self.regions, self.pages, entries, self.rules), "sheets", PAIR)
+        return self._bucketed(matching.sheets(self.regions, self.pages, entries, self.rules), "sheets")
 
     @property
     def entries(self) -> DataFrame:
@@ -81,7 +92,7 @@ class Comparison:
     @cached_property
     def _sides(self) -> list[DataFrame]:
         source, target = matching.on_sheets(self.regions, self.sheets)
-        return together(self._spark, lambda: bucketed(source, "source", PAIR), lambda: bucketed(target, "target", PAIR))
+        return together(self._spark, lambda: self._bucketed(source, "source"), lambda: self._bucketed(target, "target"))
 
     @cached_property
     def source(self) -> DataFrame:
@@ -97,14 +108,14 @@ class Comparison:
     def matches(self) -> DataFrame:
         known = self._given[4]
         if known is None:
-            return bucketed(matching.matched(self.source, self.target, self.rules), "matches", PAIR)
+            return self._bucketed(matching.matched(self.source, self.target, self.rules), "matches")
         keys = [*PAIR, "s_region_id", "t_region_id"]
-        return bucketed(matching.scores(self.source, self.target, self.rules, known.select(*keys)), "matches", PAIR)
+        return self._bucketed(matching.scores(self.source, self.target, self.rules, known.select(*keys)), "matches")
 
     @cached_property
     def laid(self) -> DataFrame:
         """Target regions beside the source regions they match, if any."""
-        return bucketed(matching.laid(self.matches, self.source, self.target), "laid", PAIR)
+        return self._bucketed(matching.laid(self.matches, self.source, self.target), "laid")
 
     @property
     def diffs(self) -> DataFrame:
@@ -114,12 +125,12 @@ class Comparison:
     @cached_property
     def claims(self) -> DataFrame:
         """Transparent text with the image that stands for it."""
-        return bucketed(detectors.rasterized(self), "claims", PAIR)
+        return self._bucketed(detectors.rasterized(self), "claims")
 
     @cached_property
     def lines(self) -> DataFrame:
         """Text regions of both sides with their flows."""
-        return bucketed(detectors.text_lines(self.source, self.target, self.rules), "lines", PAIR)
+        return self._bucketed(detectors.text_lines(self.source, self.target, self.rules), "lines")
 
     @cached_property
     def flows(self) -> DataFrame:
@@ -127,12 +138,12 @@ class Comparison:
         changed = detectors.changed_flows(self)
         if self.rules.carried:
             changed = self.rules.on(self.rules.attach(changed), "text_alignment_changed").drop("rules")
-        return bucketed(changed, "flows", PAIR)
+        return self._bucketed(changed, "flows")
 
     @cached_property
     def languages(self) -> DataFrame:
         """The scripts of page pairs, and the language pair they give."""
-        return bucketed(detectors.languages(self), "languages", PAIR)
+        return self._bucketed(detectors.languages(self), "languages")
 
     def _told(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("metrics", evidence.as_json())
@@ -150,7 +161,7 @@ class Comparison:
         self.source, self.target  # noqa: B018  both are needed twice below
         together(self._spark, lambda: self.lines, lambda: self.laid, lambda: self.languages)
         together(self._spark, lambda: self.claims, lambda: self.flows)
-        return bucketed(detectors.issues(self), "issues", PAIR)
+        return self._bucketed(detectors.issues(self), "issues")
 
     @property
     def issues(self) -> DataFrame:

@@ -29,14 +29,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    """stored(), dealt to buckets by ``keys``: joins, groups and windows on them, or on more columns, need no shuffle.
+def bucketed(df: DataFrame, name: str, keys: list[str], n: int) -> DataFrame:
+    """stored(), dealt to ``n`` buckets by ``keys``: joins, groups and windows on them, or on more columns, need no shuffle.
 
-    As many buckets as the session has shuffle partitions.  Rows that don't lie by the
+    Rows that don't lie by the
     keys already are dealt before they are written, so each bucket is one file.
     """
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # tables on the same keys may be joined on more columns without a new shuffle
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
