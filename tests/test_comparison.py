@@ -69,7 +69,7 @@ def test_detectors_move_no_rows(made):
 def test_tables_meet_without_broadcasts(made):
     """Rows that grow with the input never pass through the driver, however small their packed files look to the planner."""
     out, _ = made
-    made = {"unmatched": matching.unmatched(out.source, out.target, out.matches)[0], "flows": detectors.alignment_issues(out), "geometry": detectors.geometry_issues(out), "laid": matching.laid(out.matches, out.source, out.target)}
+    made = {"unmatched": matching.unmatched(out.source, out.target, out.matches)[0], "flows": detectors.alignment_issues(out), "geometry": detectors.geometry_issues(out), "laid": matching.laid(out.matches, out.source, out.target), "sheets": matching.sheets(out.regions, out.pages, out.entries, out.rules)}
     plans = {name: rows._jdf.queryExecution().executedPlan().toString() for name, rows in made.items()}
     assert [name for name, plan in plans.items() if "SortMergeJoin" not in plan or "Broadcast" in plan] == []
 
