@@ -337,6 +337,15 @@ def test_queries_share_a_comparison_of_equal_inputs(spark):
     Q.forget()
 
 
+def test_searched_records_have_the_verdicts_of_their_comparison(spark, tmp_path):
+    rows = [(k, "\n".join(f"some words {k * n} of line {n}" for n in range(2 + 7 * (k % 3)))) for k in range(60, 81)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    failed = {r["pair_id"] for r in Q.QUERIES["document_report"](spark, str(tmp_path)).collect() if r["status"] == "fail"}
+    named = {k for k in range(60, 80) if "7" in f"{k} {k + 1}"}
+    found = {r["record_id"] for r in Q.QUERIES["history_search"](spark, str(tmp_path)).collect()}
+    assert found == failed & named and failed & named not in (set(), named)
+
+
 def test_stages_are_written_with_their_contents(spark, made, tmp_path):
     from paralens.sources import sinks
 
