@@ -74,6 +74,17 @@ def test_tables_meet_without_broadcasts(made):
     assert [name for name, plan in plans.items() if "SortMergeJoin" not in plan or "Broadcast" in plan] == []
 
 
+def test_blocks_are_dealt_once_for_their_regions(spark):
+    """Medians, groups and reading order share one shuffle, and a reader of few columns carries these only and writes nothing."""
+    b = fixtures.blocks(spark.createDataFrame([(1, "one line of text\nand two")], "doc_id long, text string"))
+    c = compare(fixtures.pages(b), b, split=False)
+    plan = lambda rows: rows._jdf.queryExecution().executedPlan().toString()
+    assert plan(c.regions_once).count("Exchange hashpartitioning") == 1
+    few = plan(c.regions_once.select("pair_id", "side", "page", "region_id", "above", "below"))
+    assert few.count("Exchange hashpartitioning") == 1 and "translate(" not in few
+    assert not {"blocks", "pages", "regions"} & set(c.__dict__)
+
+
 def test_tables_are_deleted(spark):
     b = fixtures.blocks(spark.createDataFrame([(1, "one line of text\nand two")], "doc_id long, text string"))
     c = compare(fixtures.pages(b), b, Profile(align_pages=False), split=False)
