@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import islice
 
@@ -34,6 +35,43 @@ from . import words as W
 from .common import ship, text_and_id
 
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: letters for every version of Unicode, then marks or nothing: a byte-level pre-tokenizer parts these in two
+_PLAIN = re.compile(r"([A-Za-z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that a byte-level tokenizer writes for each byte."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = sorted(set(range(0x100)).difference(shown))
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(hidden)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+class _Uneven(Exception):
+    """A cut stands beside another space."""
+
+
+class _Known(dict):
+    """Ids by unit; a unit that is new is learnt when it is asked for.
+
+    Two generations: once the younger one is full it becomes the older one, from which
+    units that are met again come back.
+    """
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        self.learn, self.old = learn, {}
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.old.pop(unit, None)
+        ids = self[unit] = self.learn(unit) if ids is None else ids
+        return ids
+
+    def make_room(self, most: int) -> None:
+        if len(self) > most // 2:
+            self.old = dict(self)
+            self.clear()
 
 
 class UnitEncoder:
@@ -42,7 +80,9 @@ class UnitEncoder:
     A byte-level pre-tokenizer never joins what stands before a single space
     between two non-space characters with what follows, so texts are cut there and
     the ids of the units are those of the whole text.  Texts that hold the string of
-    an added token, and tokenizers of another kind, get whole texts.  At most ``most`` units are remembered.
+    an added token, and tokenizers of another kind, get whole texts.  About ``most`` units are remembered.
+
+    What a pre-tokenizer does to units of plain letters and marks is known, so these go to the library's model at once.
     """
 
     def __init__(self, path: str, most: int = 800_000):
@@ -56,81 +96,67 @@ class UnitEncoder:
         self.by_unit = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
         #: added tokens are cut out of a text before anything else, so texts that hold one are encoded whole
         self.added = [t["content"] for t in spec.get("added_tokens") or [] if t["content"]]
+        self.model = self.tokenizer.model if self.by_unit and (spec.get("model") or {}).get("type") == "BPE" else None
         self.most = most
-        self.first: dict[str, bytes] = {}
-        #: by the unit without the space before it
-        self.later: dict[str, bytes] = {}
-        #: units met again after they were learnt; these stay when room is made
-        self.often: set[str] = set()
-
-        #: the id of a line feed if it is one; it then parts units that are encoded as one text
-        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.feed = feed[0] if self.by_unit and len(feed) == 1 else None
+        #: a text's first unit, and later ones by the unit without the space before it
+        self.first, self.later = _Known(lambda u: self._unit(u, "")), _Known(lambda u: self._unit(u, " "))
+        #: letters without a space before them, and runs of marks
+        self.bare, self.marks = _Known(lambda u: self._word(u, "")), _Known(self._one)
+        self.feed = self._one("\n")
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         # Spark runs a task on each core; threads of a task's own would only wait for each other
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_units(self, units: list[str], before: str, together: int = 1000) -> list[bytes]:
-        """_encode() for units without a line feed; many are joined by line feeds, which no unit's ids hold."""
-        if self.feed is None or not before:
-            return self._encode([before + u for u in units])
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        out: list[bytes] = []
-        groups = [units[lo : lo + together] for lo in range(0, len(units), together)]
-        joined = [before + f"\n{before}".join(g) for g in groups]
-        for group, whole in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
-            ids = np.array(whole.ids, dtype="<u4")
-            ends = np.flatnonzero(ids == self.feed)
-            if len(ends) != len(group) - 1:
-                out += self._encode([before + u for u in group])
-                continue
-            raw = ids.tobytes()
-            begin = np.concatenate([[0], 4 * ends + 4]).tolist()
-            out += [raw[a:b] for a, b in zip(begin, [*(4 * ends).tolist(), len(raw)])]
-        return out
+    def _one(self, text: str) -> bytes:
+        return self._encode([text])[0]
+
+    def _word(self, word: str, before: str) -> bytes:
+        """The ids of plain letters, with a space before them or without."""
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        ids = [t.id for t in self.model.tokenize(_BYTE_LETTERS[0x20] + shown if before else shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _unit(self, unit: str, before: str) -> bytes:
+        """The ids of a unit whose lines are plain letters and marks from the model, of any other from the whole tokenizer."""
+        if before and (not unit or unit[0].isspace() or unit[-1].isspace()):
+            raise _Uneven
+        if self.model is None:
+            return self._one(before + unit)
+        head, *lines = unit.split("\n")
+        plain = _PLAIN.fullmatch(head)
+        rest = [_PLAIN.fullmatch(line) for line in lines]
+        if plain is None or not all(rest):
+            return self._one(before + unit)
+        word, end = plain.groups()
+        if end:
+            # the word itself is likely to come, and other marks after it
+            ids = (self.later if before else self.first)[word] + self.marks[end]
+        else:
+            ids = self._word(word, before)
+        for word, end in (m.groups() for m in rest):
+            ids += self.feed + self.bare[word] + (self.marks[end] if end else b"")
+        return ids
+
+    def _text(self, text: str) -> bytes:
+        head, *words = text.split(" ")
+        try:
+            return self.first[head] + b"".join(map(self.later.__getitem__, words))
+        except _Uneven:
+            # a cut beside another space is no boundary: the text is cut again, between non-spaces only
+            head, *words = _INNER_SPACE.split(text)
+            return self.first[head] + b"".join(self._one(f" {w}") if w[-1].isspace() else self.later[w] for w in words)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if not self.by_unit:
             return self._encode(texts)
-        if self.added:
-            whole = [k for k, t in enumerate(texts) if any(a in t for a in self.added)]
-            if whole:
-                held = set(whole)
-                rest = iter(self([t for k, t in enumerate(texts) if k not in held]))
-                special = iter(self._encode([texts[k] for k in whole]))
-                return [next(special if k in held else rest) for k in range(len(texts))]
-        cut = [t.split(" ") for t in texts]
-        if len(self.first) + len(self.later) > self.most:
-            self.first.clear()
-            if len(self.often) > self.most // 2:
-                self.often.clear()
-            self.later = {u: self.later[u] for u in self.often if u in self.later}
-        met = set().union(*cut)
-        new = met.difference(self.later)
-        self.often.update(met.difference(new))
-        # a cut beside another space is no boundary: such texts are cut again, between non-spaces only
-        uneven = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
-        if uneven:
-            new -= uneven
-            for k, words in enumerate(cut):
-                if not uneven.isdisjoint(words):
-                    cut[k] = _INNER_SPACE.split(texts[k])
-                    new.update(cut[k])
-            new.difference_update(self.later)
-        heads = [words.pop(0) for words in cut]
-        self._learn(self.first, set(heads).difference(self.first), "")
-        self._learn(self.later, new, " ")
-        return [self.first[head] + b"".join(map(self.later.__getitem__, words)) for head, words in zip(heads, cut)]
-
-    def _learn(self, known: dict[str, bytes], units: set[str], before: str) -> None:
-        plain = [u for u in units if "\n" not in u]
-        other = [u for u in units if "\n" in u]
-        for some, encode in ((plain, self._encode_units), (other, lambda u, b: self._encode([b + x for x in u]))):
-            for lo in range(0, len(some), 50_000):
-                known.update(zip(some[lo : lo + 50_000], encode(some[lo : lo + 50_000], before)))
+        for known in (self.first, self.later, self.bare, self.marks):
+            known.make_room(self.most)
+        if not self.added:
+            return list(map(self._text, texts))
+        return [self._one(t) if any(a in t for a in self.added) else self._text(t) for t in texts]
 
 
 @lru_cache(maxsize=2)

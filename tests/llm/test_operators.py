@@ -604,6 +604,21 @@ def test_rans_round_trip_and_checksums():
                 rans.decode(bytes(broken))
 
 
+def test_plain_units_go_to_the_model():
+    """Plain letters and marks pass by the pre-tokenizer; the ids stay the library's, also where room is made."""
+    encode = tokenbin.UnitEncoder(Q.tokenizer_file("byte_bpe_50k.json"), most=60)
+    whole = encode.tokenizer
+    r, parts = random.Random(3), ["the", "École", "ﬁne", "x", "don't", "'s", ".", ",[\\]", " ", " ", "  ", "\n", "\n\n", "7", "42", "日本", "\u00a0", "\x1c", "ɏɐ", "<|endoftext|>"]
+    rows = ["".join(r.choices(parts, k=r.randint(0, 25))) for _ in range(2000)]
+    want = [np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in rows]
+    assert [ids for lo in range(0, len(rows), 50) for ids in encode(rows[lo : lo + 50])] == want
+    # marks and letters are new here; only the run of marks needs the whole tokenizer
+    fresh, asked = tokenbin.UnitEncoder(Q.tokenizer_file("byte_bpe_50k.json")), []
+    fresh._encode = lambda texts, plain=fresh._encode: asked.extend(texts) or plain(texts)
+    fresh(["alpha Beta, gamma\nDélta, eta"])
+    assert asked == [","]
+
+
 def test_token_shards(spark, tmp_path):
     from tokenizers import Tokenizer
 
