@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paralens import queries as Q
+from paralens.functions import text as tx
 from paralens.operators import detectors, evidence, matching, solvers, terms
 from paralens.plans.compare import compare
 from paralens.plans.profile import Profile
@@ -85,6 +86,34 @@ def test_blocks_are_dealt_once_for_their_regions(spark):
     assert not {"blocks", "pages", "regions"} & set(c.__dict__)
 
 
+def test_texts_are_dealt_once(spark):
+    """What lies by pair stays where it is up to the matches, blocks that are read once are not stored, and brief issues leave texts alone."""
+    b = fixtures.blocks(spark.createDataFrame([(1, "one line of text\nand two"), (12, "three\nfour")], "doc_id long, text string"))
+    c = compare(fixtures.pages(b), b, split=False, paired=fixtures.true_pages(b), matched=fixtures.true_matches(b))
+    plan = lambda rows: rows._jdf.queryExecution().executedPlan().toString()
+    c.source, c.matches  # noqa: B018
+    made = [*matching.on_sheets(c.regions, c.sheets), matching.laid(c.matches, c.source, c.target)]
+    assert ["Exchange" in plan(rows) for rows in made] == [False] * 3
+    assert "blocks" not in c.__dict__
+    assert "evidence" not in c.brief_issues.columns and "typed_issues" not in c.__dict__
+    assert sorted(map(tuple, c.brief_issues.collect())) == sorted(map(tuple, c.typed_issues.drop("evidence").collect()))
+    assert c.documents.count() == 2
+
+
+def test_script_patterns_are_single_classes(spark):
+    """Counts, acronyms and numbers are what the longer patterns found."""
+    r = random.Random(4)
+    parts = ["A", "AB", "ABC", "aB", "é", "ÉA", " ", ".", "-", "_", "1", "1,234", "12,3456.7", "１２", "٣", "新", "ひ", "한", "Ж", "ﬁ", "\u0301"]
+    rows = [("".join(r.choices(parts, k=r.randint(0, 14))),) for _ in range(1500)]
+    t = F.col("t")
+    old = {"any": "|".join(tx.SCRIPTS.values()), "acronym": r"(?U)\b[A-Z]{2,}\b", "number": r"(?U)\d+(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"}
+    new = {"any": tx.ANY_SCRIPT, "acronym": tx.ACRONYM, "number": tx.NUMBER}
+    df = spark.createDataFrame(rows, "t string").select("t", *[F.regexp_replace(t, p, "<>").alias(f"{k}_{n}") for n, ps in (("old", old), ("new", new)) for k, p in ps.items()])
+    differs = df.where("any_old <> any_new or acronym_old <> acronym_new or number_old <> number_new")
+    assert differs.count() == 0
+    assert "|" not in tx.ANY_SCRIPT
+
+
 def test_tables_are_deleted(spark):
     b = fixtures.blocks(spark.createDataFrame([(1, "one line of text\nand two")], "doc_id long, text string"))
     c = compare(fixtures.pages(b), b, Profile(align_pages=False), split=False)
