@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from paralens import queries as Q
 from paralens.functions import text as tx
-from paralens.operators import detectors, evidence, matching, solvers, terms
+from paralens.operators import detectors, evidence, grouping, groupwise, matching, pages, solvers, terms
 from paralens.plans.compare import compare
 from paralens.plans.profile import Profile
 from paralens.plans.rules import Rules, as_row, by_pair, profile_table
@@ -397,3 +397,63 @@ def test_stages_are_written_with_their_contents(spark, made, tmp_path):
     assert read["alignment"]["lost"]["missing_source_pages"] == [2] and read["alignment"]["same"]["pairs"] == [{"s_page": 1, "t_page": 1}]
     assert read["match"]["shift"][0]["matched"] == 1 and read["match"]["shift"][0]["unmatched_source"] == ["p1-r1"]
     assert sum(d["total"] for d in read["detect"].values()) == len(rows)
+
+
+def _boxes(r, n):
+    return {"type": r.choice(np.array(["image", "paragraph", "heading"], object), n), "x": r.integers(0, 400, n) * 1.0, "y": r.integers(0, 700, n) * 1.0, "width": r.integers(1, 90, n) * 1.0, "height": r.integers(1, 30, n) * 1.0, "region_ord": np.arange(n), "n": np.full(n, n)}
+
+
+def test_many_page_pairs_are_assigned_at_once(monkeypatch):
+    r = np.random.default_rng(5)
+    paper = {"sp_width": 500.0, "sp_height": 800.0, "tp_width": 510.0, "tp_height": 700.0}
+    weights = {"position": 0.4, "size": 0.3, "type": 0.2, "order": 0.1, "text_types": 0.5, "minimum_score": 0.6}
+    parts, marks, want = [], [0], []
+    for _ in range(300):
+        n, m = (int(v) for v in r.integers(0, 9, 2))
+        if not n + m:
+            continue
+        s, t = _boxes(r, n), _boxes(r, m)
+        k = int(r.integers(0, min(n, m) + 1))
+        for c in ("type", *BOX):
+            t[c][:k] = s[c][:k]
+        parts += [side | {"side": np.full(len(side["x"]), which)} for which, side in enumerate((s, t))]
+        if n and m:
+            one = {c: np.full(1, v) for c, v in paper.items()}
+            alike = solvers.similarities(s | one, t | one, 0.5)
+            total = 0.3 * alike[1] + 0.2 * alike[2] + 0.1 * alike[3] + 0.4 * alike[0]
+            want += [(marks[-1] + i, marks[-1] + n + j) for i, j in solvers.assign(total) if total[i, j] >= 0.6]
+        marks.append(marks[-1] + n + m)
+    rows = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+    rows |= {c: np.full(marks[-1], v) for c, v in (paper | {f"w_{w}": v for w, v in weights.items()}).items()}
+    calls = []
+    solve = solvers.assign
+    monkeypatch.setattr(solvers, "assign", lambda table: calls.append(1) or solve(table))
+    i, j, _ = solvers.assigned(rows, np.array(marks))
+    assert sorted(zip(i.tolist(), j.tolist())) == sorted(want) and len(calls) < len(marks) - 1
+
+
+def test_pages_near_a_zone_are_read_once(spark, monkeypatch):
+    """Target regions travel about once for each zone of source pages, not once for each source page near them."""
+    r = np.random.default_rng(6)
+    n = 150
+    rows = [("a", side, p, k, "text", float(r.integers(0, 400)), float(r.integers(0, 700)), 50.0, 10.0) for side in ("source", "target") for p in range(1, n + 1) if p % 11 for k in range(p % 4)]
+    regions = spark.createDataFrame(rows, "pair_id string, side string, page long, region_ord int, type string, x double, y double, width double, height double")
+    paper = spark.createDataFrame([("a", side, p, 500.0, 800.0) for side in ("source", "target") for p in range(1, n + 1)], "pair_id string, side string, page long, width double, height double")
+    seen = []
+    inner = groupwise.per_groups
+    monkeypatch.setattr(pages, "per_groups", lambda df, *more: seen.append(df.count()) or inner(df, *more))
+    got = {(x["s_page"], x["t_page"]): x["similarity"] for x in pages.similarity(regions, paper, Rules(Profile())).collect()}
+    assert seen[0] <= 1.3 * (len(rows) + 2 * n)
+    assert set(got) == {(a, b) for a in range(1, n + 1) for b in range(1, n + 1) if abs(a - b) <= 3}
+    held = {}
+    for _, side, p, _, kind, *box in rows:
+        held.setdefault((side, p), []).append((kind, *box))
+    p = Profile()
+    for (a, b), value in got.items():
+        s, t = held.get(("source", a), []), held.get(("target", b), [])
+        if not s or not t:
+            assert value == (0.0 if s or t else 1.0)
+            continue
+        far = lambda u, v: ((u[1] - v[1]) ** 2 + (u[2] - v[2]) ** 2) ** 0.5 / (500.0**2 + 800.0**2) ** 0.5
+        score = np.array([[(p.position * (1 - far(u, v)) + p.size + p.type) / (p.position + p.size + p.type) for v in t] for u in s])
+        assert abs(value - (score.max(1).sum() + score.max(0).sum()) / max(score.shape) / 2) < 1e-9
