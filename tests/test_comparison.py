@@ -457,3 +457,25 @@ def test_pages_near_a_zone_are_read_once(spark, monkeypatch):
         far = lambda u, v: ((u[1] - v[1]) ** 2 + (u[2] - v[2]) ** 2) ** 0.5 / (500.0**2 + 800.0**2) ** 0.5
         score = np.array([[(p.position * (1 - far(u, v)) + p.size + p.type) / (p.position + p.size + p.type) for v in t] for u in s])
         assert abs(value - (score.max(1).sum() + score.max(0).sum()) / max(score.shape) / 2) < 1e-9
+
+
+def test_parts_of_two_and_of_more_blocks(spark):
+    """Source blocks of one, two and more spans, also with unknown places, fall apart as the sweep says; two spans need no sweep."""
+    r = np.random.default_rng(7)
+    rows, want = [], {}
+    for k in range(400):
+        n = int(r.integers(1, 6))
+        box = [[float(v) for v in (r.integers(0, 120), r.integers(0, 60), r.integers(1, 40), r.integers(5, 15))] for _ in range(n)]
+        kinds = ["image" if r.random() < 0.05 else "text" for _ in range(n)]
+        if r.random() < 0.05:
+            box[0][2] = None
+        rows += [("a", "source", k // 20 + 1, 10 * k + i, f"b{int(r.integers(0, 99)):02d}-{i}", kinds[i], *box[i], 10.0, "#000000", f"t{i}", k, 1.0) for i in range(n)]
+        own = rows[-n:]
+        whole = n == 1 or "image" in kinds
+        part = np.zeros(n, int) if whole else solvers.span_parts(*np.array(box, dtype=float).T, Profile().span_gap_ratio)
+        for p in set(part.tolist()):
+            here = [b for b, q in zip(own, part) if q == p]
+            order = here if whole else sorted(here, key=lambda b: (b[7], b[6], b[4], b[3]))
+            want[f"p{k // 20 + 1}-r{k}" + (f"-c{p + 1}" if p else "")] = [b[4] for b in order]
+    found = grouping.regions(spark.createDataFrame(rows, BLOCK), Profile(), buckets=3)
+    assert {x["region_id"]: x["children"] for x in found.collect()} == want
