@@ -158,8 +158,8 @@ class Lines:
         line = np.repeat(np.arange(len(begin)), np.diff(np.searchsorted(words.start, begin), append=len(h)))
         rank = ranks[_bucket(h)]
         place = np.where(rank < 0, -1 - rank, rank).astype(U64)
-        # the rank is a function of the hash's upper 22 bits; as many lower ones as there is room for tell words of one bucket apart
-        low = 42 - len(begin).bit_length()
+        # the rank is a function of the hash's upper 22 bits; 20 lower ones tell words of one bucket apart, in every batch the same
+        low = min(20, 42 - len(begin).bit_length())
         order = np.argsort((line.astype(U64) << U64(22 + low)) | (place << U64(low)) | (h & U64((1 << low) - 1)))
         h, line, rank = h[order], line[order], rank[order]
         new = np.ones(len(h), dtype=bool)
@@ -427,9 +427,10 @@ def line_table(docs: DataFrame, counts, threshold: float) -> DataFrame:
     kind = docs.schema["id"].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("h", T.LongType()), T.StructField("line", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("k1", "k2")], T.StructField("packed", T.BinaryType())])
     least = least_size(threshold)
+    places = docs.sparkSession.sparkContext.broadcast(_ranks(counts.value))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, seen = _ranks(counts.value), np.zeros(1 << 16, dtype=U64)
+        ranks, seen = places.value, np.zeros(1 << 16, dtype=U64)
         counts_of = lambda h: counts.value[_bucket(h)].astype(np.int64)
         for batch in W.slices(batches, "text"):
             lines = Lines(batch.column("text"), ranks, threshold)
@@ -503,37 +504,55 @@ def flagged(table: DataFrame, threshold: float) -> DataFrame:
     return posts.mapInArrow(run, "k48 long, list long, pos int, part int")
 
 
-def _place(k1: np.ndarray, of_id: np.ndarray, h: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """A hash of a set and of the occurrence of a line."""
-    return W.mix(k1.view(U64) ^ W.mix(of_id.view(U64) + W.mix(h.view(U64) + line.astype(U64))))
+def _place(of_id: np.ndarray, h: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """A hash of the occurrence of a line."""
+    return W.mix(of_id.view(U64) + W.mix(h.view(U64) + line.astype(U64)))
+
+
+def picked(column: pa.Array, marked) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(text, number, line) of the lines of a batch of texts whose text and number are ``marked``."""
+    data, offsets = W.utf8(column)
+    breaks = np.flatnonzero(data == 10)
+    per = np.diff(np.searchsorted(breaks, offsets)) + 1
+    text = np.repeat(np.arange(len(per)), per)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
+    begin = np.sort(np.concatenate([offsets[:-1], breaks + 1]))
+    end = np.where(number == per[text] - 1, offsets[1:][text], np.append(begin[1:], 0) - 1)
+    some = np.flatnonzero(marked(text, number))
+    length = (end - begin)[some]
+    lines = pa.Array.from_buffers(pa.large_string(), len(some), [None, pa.py_buffer(_ends(length)), pa.py_buffer(data[_runs(begin[some], length)])])
+    return text[some], number[some], lines
 
 
 def decisions(docs: DataFrame, counts, table: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
     """(k1, k2, best, links): of each set with links, its first matching set's first occurrence and its links."""
     spark = docs.sparkSession
     posts = flagged(table, threshold).groupBy("k48").agg(F.collect_list(F.struct("list", "pos", "part")).alias("posts"))
-    marks = firsts.join(posts, F.shiftrightunsigned("k1", 16) == F.col("k48")).select("k1", "k2", "first", F.xxhash64("first.id").alias("of_id"), F.col("first.h").alias("h"), F.col("first.line").alias("line"), "posts")
+    marks = firsts.join(posts.hint("shuffle_hash"), F.shiftrightunsigned("k1", 16) == F.col("k48")).select("k1", "k2", "first", F.xxhash64("first.id").alias("of_id"), F.col("first.h").alias("h"), F.col("first.line").alias("line"), "posts")
     marks = stored(marks, "line-candidates")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            total[_bucket(_place(*(batch.column(c).to_numpy() for c in ("k1", "of_id", "h", "line"))))] = 1
+            total[_bucket(_place(*(batch.column(c).to_numpy() for c in ("of_id", "h", "line"))))] = 1
         return total
 
     # a bit table of fixed size spares most lines the way; what it lets pass too much, the join drops
-    maybe = spark.sparkContext.broadcast(np.packbits(_dense(marks.select("k1", "of_id", "h", "line"), fill, BUCKETS) > 0))
+    maybe = spark.sparkContext.broadcast(np.packbits(_dense(marks.select("of_id", "h", "line"), fill, BUCKETS) > 0))
+    places = spark.sparkContext.broadcast(_ranks(counts.value))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, bits = _ranks(counts.value), np.unpackbits(maybe.value).astype(bool)
+        bits = np.unpackbits(maybe.value).astype(bool)
         for batch in W.slices(batches, "text"):
-            lines = Lines(batch.column("text"), ranks, threshold)
-            of_id, h = (batch.column(c).to_numpy()[lines.text] for c in ("of_id", "h"))
+            of_id, h = (batch.column(c).to_numpy() for c in ("of_id", "h"))
+            # words are looked for in marked lines only
+            text, number, own = picked(batch.column("text"), lambda text, number: bits[_bucket(_place(of_id[text], h[text], number))])
+            lines = Lines(own, places.value, threshold)
             some = np.flatnonzero(lines.size)
-            some = some[bits[_bucket(_place(lines.key1[some], of_id[some], h[some], lines.number[some]))]]
+            text, number = text[some], number[some]
             words = lines.h[_runs(lines.first[some], lines.size[some])]
             packed = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((8 * _ends(lines.size[some])).astype(np.int32)), pa.py_buffer(words)])
-            yield pa.RecordBatch.from_arrays([pa.array(lines.key1[some].view(np.int64)), pa.array(lines.key2[some].view(np.int64)), pa.array(of_id[some]), pa.array(h[some]), pa.array(lines.number[some].astype(np.int32)), packed], names=["k1", "k2", "of_id", "h", "line", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(lines.key1[some].view(np.int64)), pa.array(lines.key2[some].view(np.int64)), pa.array(of_id[text]), pa.array(h[text]), pa.array(number.astype(np.int32)), packed], names=["k1", "k2", "of_id", "h", "line", "words"])
 
     rows = docs.withColumn("of_id", F.xxhash64("id")).mapInArrow(sets, "k1 long, k2 long, of_id long, h long, line int, words binary")
     # equal rows of a document give equal rows, which a list drops
@@ -572,10 +591,10 @@ def lines_found(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     lines = table.where("line >= 0")
     firsts = stored(lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "h", "line")).alias("first"), F.count("*").alias("n")), "line-sets")
     found = decisions(source, counts, table, firsts, threshold)
-    sets = firsts.join(found, ["k1", "k2"], "left").where("n > 1 or links > 0").select("k1", "k2", F.least("first", F.coalesce("best", "first")).alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
+    sets = firsts.join(found.hint("shuffle_hash"), ["k1", "k2"], "left").where("n > 1 or links > 0").select("k1", "k2", F.least("first", F.coalesce("best", "first")).alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
     sets = stored(sets, "line-classes")
     own = lines.select("id", "h", "line", "k1", "k2", F.struct("id", "h", "line").alias("at"))
-    return own.join(sets, ["k1", "k2"]).select("id", "h", "line", (F.col("at") > F.col("class")).alias("removed"), "class", "links")
+    return own.join(sets.hint("shuffle_hash"), ["k1", "k2"]).select("id", "h", "line", (F.col("at") > F.col("class")).alias("removed"), "class", "links")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -586,15 +605,18 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     found = lines_found(docs, key, text, threshold)
     per_doc = found.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("line")))).alias("gone"), F.sum("links").alias("n_links"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[key].alias("k"), docs[text].cast("string").alias("t"), F.xxhash64(docs[text].cast("string")).alias("th"))
-    joined = rows.join(per_doc, rows["k"].eqNullSafe(per_doc["id"]) & (rows["th"] == per_doc["h"]), "left")
+    # texts are not sorted: a partition's removed lines are looked up in a table
+    joined = rows.join(per_doc.hint("shuffle_hash"), rows["k"].eqNullSafe(per_doc["id"]) & (rows["th"] == per_doc["h"]), "left")
     gone = F.coalesce("gone", F.array().cast("array<int>"))
     lines = F.split("t", "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
     kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    # only a text that loses lines is cut
+    breaks = F.octet_length("t") - F.octet_length(F.replace("t", F.lit("\n"), F.lit("")))
     return joined.select(
         "row",
         F.when(F.size(gone) > 0, kept).otherwise(F.col("t")).alias("text"),
-        F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"),
+        F.coalesce(breaks + 1, F.lit(0)).alias("n_lines"),
         gone.alias("removed_lines"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )

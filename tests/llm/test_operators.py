@@ -705,3 +705,23 @@ def test_pipeline_keeps_columns_and_takes_effect(spark, tmp_path):
         assert now.columns == docs.columns
     out = {x["doc_id"]: x for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(out) == set(range(60)) and all(x["lossless"] and x["parity"] for x in out.values())
+
+
+def test_marked_lines_are_picked_from_texts():
+    """Lines are cut from the raw texts, and only marked ones, so words are looked for in no others."""
+    texts = ["a b\nÄ c\n", None, "", "\n\nx", "one"]
+    want = [(t, k, line) for t, text in enumerate(texts) for k, line in enumerate((text or "").split("\n"))]
+    text, number, lines = linededup.picked(pa.array(texts), lambda text, number: np.ones(len(text), dtype=bool))
+    assert list(zip(text.tolist(), number.tolist(), lines.to_pylist())) == want
+    text, number, lines = linededup.picked(pa.array(texts), lambda text, number: number == 1)
+    assert list(zip(text.tolist(), number.tolist(), lines.to_pylist())) == [w for w in want if w[1] == 1]
+
+
+def test_words_of_one_bucket_have_one_order_in_all_batches():
+    """Two words of equal rank stand in the same order in a batch of one line and in one of many."""
+    words = [f"w{k}" for k in range(200)]
+    ranks = np.zeros(linededup.BUCKETS, dtype=np.int32)
+    line = " ".join(words)
+    few = linededup.Lines(pa.array([line]), ranks, 0.8)
+    many = linededup.Lines(pa.array([line + "\nx" * 70_000]), ranks, 0.8)
+    assert few.h.tolist() == many.h[many.line == 0].tolist()
