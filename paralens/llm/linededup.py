@@ -249,6 +249,10 @@ def _expanded(rows: list[bytes], threshold: float, shards: int) -> Iterator[tupl
             yield k, _pack(*map(_planes, columns), sketch[_runs(first_word[s], words[s])], posted[_runs(first_posted[s], before[at[o]])])
 
 
+def _posts(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([d for _, d in found], pa.binary())], names=["shard", "data"])
+
+
 def sketch_level(size: np.ndarray) -> np.ndarray:
     """A sketch has about as many bits as the set has words."""
     return np.searchsorted(40 << np.arange(MOST_LEVEL), size, "left")
@@ -467,19 +471,26 @@ def flagged(table: DataFrame, threshold: float) -> DataFrame:
     shards = max(spark.sparkContext.defaultParallelism, -(-8 * size // SHARD))
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> pa.RecordBatch:
-            found = list(_expanded(held, threshold, shards)) if held else []
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([d for _, d in found], pa.binary())], names=["shard", "data"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            found, size = [], 0
+            for k, data in _expanded(held, threshold, shards) if held else ():
+                found.append((k, data))
+                size += len(data)
+                # posts are several times their sets
+                if size >= FLUSH:
+                    yield _posts(found)
+                    found, size = [], 0
+            yield _posts(found)
 
         held: list[bytes] = []
         for batch in batches:
             for value in batch.column("packed"):
                 held.append(value.as_py())
                 if sum(map(len, held)) >= FLUSH:
-                    yield flush()
+                    yield from flush()
                     held = []
                     W.give_back()
-        yield flush()
+        yield from flush()
         W.give_back()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

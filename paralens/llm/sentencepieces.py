@@ -27,7 +27,8 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache, partial
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -219,17 +220,16 @@ _SPACES = re.compile(" *[^ ]+| +")
 class Codec:
     """Encodes and decodes batches of texts with one model."""
 
-    def __init__(self, data: bytes, parity: bool = True, most: int = 400_000, threads: int = 2):
+    def __init__(self, data: bytes, parity: bool = True, most: int = 300_000, kept: int = 50_000, threads: int = 2):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         self.model = Model.parse(data)
-        self.whole = self.model.tokenizer()
         self.by_unit = self.model.by_unit()
         self.bare = self.model.tokenizer(with_normalizer=False)
         self.merge = Merger(self.model) if self.model.kind == BPE else None
         normal = self.model
         self.plain = not normal.charsmap and not normal.remove_extra and normal.dummy_prefix
         self.clean = normal.normalizer() if not self.plain else None
-        self.most = most
+        self.most, self.kept = most, kept
         self.units: dict[str, bytes] = {}
         self.differing: set[str] = set()
         self.check = None
@@ -238,6 +238,17 @@ class Codec:
 
             self.check = sentencepiece.SentencePieceProcessor(model_proto=data)
 
+    @cached_property
+    def whole(self):
+        """The tokenizer of whole texts, for models that aren't applied by unit."""
+        return self.model.tokenizer()
+
+    def forget(self) -> None:
+        """Lets all units but the first ones go; frequent ones are met first."""
+        if len(self.units) > self.kept:
+            self.units = dict(islice(self.units.items(), self.kept))
+            self.differing.intersection_update(self.units)
+
     def _cut(self, text: str) -> list[str]:
         """The text's units without their first marker (of which each has at least one)."""
         if not self.plain:
@@ -278,8 +289,7 @@ class Codec:
             return [np.array(i, dtype="<u4").tobytes() for i in ids], same
         cut = [self._cut(t) for t in texts]
         if len(self.units) > self.most:
-            self.units.clear()
-            self.differing.clear()
+            self.forget()
         self._learn(list(set().union(*cut).difference(self.units)))
         coded = [b"".join(map(self.units.__getitem__, units)) for units in cut]
         if self.check is not None and not self.plain:
@@ -324,8 +334,12 @@ def encoded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text"
         ]
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(model)
+    return source.mapInArrow(partial(_encoded, model=model, names=schema.fieldNames()), schema)
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], model: str, names: list[str]) -> Iterator[pa.RecordBatch]:
+    codec = _codec(model)
+    try:
         for batch in W.slices(batches, "text"):
             texts = batch.column("text").to_pylist()
             coded, parity = codec.encode(texts)
@@ -342,7 +356,9 @@ def encoded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text"
                     pa.array(lossless),
                     pa.array([None if ok else b for ok, b in zip(lossless, back)], pa.string()),
                 ],
-                names=schema.fieldNames(),
+                names=names,
             )
-
-    return source.mapInArrow(run, schema)
+    finally:
+        # the worker lives on, beside those of other stages
+        codec.forget()
+        W.give_back()

@@ -725,3 +725,18 @@ def test_words_of_one_bucket_have_one_order_in_all_batches():
     few = linededup.Lines(pa.array([line]), ranks, 0.8)
     many = linededup.Lines(pa.array([line + "\nx" * 70_000]), ranks, 0.8)
     assert few.h.tolist() == many.h[many.line == 0].tolist()
+
+
+def test_sentencepiece_lets_units_go_after_a_task(monkeypatch):
+    """A worker outlives its task: then it holds few units, and no tokenizer that its model doesn't use."""
+    path = Q.tokenizer_file("piece_bpe_32k.model")
+    with open(path, "rb") as f:
+        data = f.read()
+    codec = sentencepieces.Codec(data, most=40, kept=10)
+    monkeypatch.setattr(sentencepieces, "_codec", lambda model: codec)
+    rows = [" ".join(f"w{k + n}" for n in range(30)) for k in range(100)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(rows)], names=["id", "text"])] * 2
+    names = ["id", "token_ids", "n_tokens", "ids_crc32", "parity", "lossless", "decoded"]
+    got = [ids for b in sentencepieces._encoded(iter(batches), path, names) for ids in b.column("token_ids").to_pylist()]
+    assert got == [list(i) for i in codec.check.encode(rows)] * 2
+    assert len(codec.units) == 10 and "whole" not in codec.__dict__
