@@ -615,18 +615,19 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     """
     found = lines_found(docs, key, text, threshold)
     per_doc = found.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("line")))).alias("gone"), F.sum("links").alias("n_links"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[key].alias("k"), docs[text].cast("string").alias("t"), F.xxhash64(docs[text].cast("string")).alias("th"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[key].alias("k"), F.xxhash64(docs[text].cast("string")).alias("th"))
     # texts are not sorted: a partition's removed lines are looked up in a table
     joined = rows.join(per_doc.hint("shuffle_hash"), rows["k"].eqNullSafe(per_doc["id"]) & (rows["th"] == per_doc["h"]), "left")
     gone = F.coalesce("gone", F.array().cast("array<int>"))
-    lines = F.split("t", "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    # only a text that loses lines is cut
-    breaks = F.octet_length("t") - F.octet_length(F.replace("t", F.lit("\n"), F.lit("")))
+    # the text travels once, in its row
+    whole = F.col("row")[text].cast("string")
+    breaks = F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit("")))
+    # only a text that loses lines is cut, once: what a function over places names is worked out for each of them
+    cut = F.array(F.struct(F.split(whole, "\n", -1).alias("lines"), F.array_except(F.sequence(F.lit(0), breaks), gone).alias("stay")))
+    kept = F.array_join(F.flatten(F.transform(cut, lambda own: F.transform(own["stay"], lambda i: F.get(own["lines"], i)))), "\n")
     return joined.select(
         "row",
-        F.when(F.size(gone) > 0, kept).otherwise(F.col("t")).alias("text"),
+        F.when(F.size(gone) > 0, kept).otherwise(whole).alias("text"),
         F.coalesce(breaks + 1, F.lit(0)).alias("n_lines"),
         gone.alias("removed_lines"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

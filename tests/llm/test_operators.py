@@ -740,3 +740,13 @@ def test_sentencepiece_lets_units_go_after_a_task(monkeypatch):
     got = [ids for b in sentencepieces._encoded(iter(batches), path, names) for ids in b.column("token_ids").to_pylist()]
     assert got == [list(i) for i in codec.check.encode(rows)] * 2
     assert len(codec.units) == 10 and "whole" not in codec.__dict__
+
+
+def test_line_dedup_ships_and_cuts_texts_once(spark):
+    plan = linededup.deduplicated(documents(spark, ["a b c d\ne", "a b c d\nf"]))._jdf.queryExecution().optimizedPlan()
+    joins = [plan.children().apply(0)]
+    while not joins[0].nodeName().startswith("Join"):
+        joins = [joins[0].children().apply(0)]
+    left = joins[0].children().apply(0).output()
+    assert [left.apply(k).name() for k in range(left.size())] == ["row", "k", "th"]
+    assert plan.toString().count("split(") == 1
