@@ -479,3 +479,50 @@ def test_parts_of_two_and_of_more_blocks(spark):
             want[f"p{k // 20 + 1}-r{k}" + (f"-c{p + 1}" if p else "")] = [b[4] for b in order]
     found = grouping.regions(spark.createDataFrame(rows, BLOCK), Profile(), buckets=3)
     assert {x["region_id"]: x["children"] for x in found.collect()} == want
+
+
+def test_facts_of_texts_against_the_column_functions(spark):
+    """What is made of texts in arrays is what the columns' patterns find, in texts of any script."""
+    from paralens.operators import texts
+    import pyarrow as pa
+
+    r = random.Random(8)
+    parts = ["A", "AB", "ABC", "aB", "é", "ÉA", " ", ".", "-", "_", "1", "1,234", "12,3456.7", "１２", "٣", "٫", "，", "007", "0.50", "新", "ひ", "한", "Ж", "ﬁ", "́", " ", "　", "\n", "Ⓐ", "😀", "‍", ",", "0", "ก", "ب", "ב", "α", "क", "ক"]
+    rows = [("".join(r.choices(parts, k=r.randint(0, 14))),) for _ in range(2000)] + [("",)]
+    t = F.col("t")
+    columns = {"chars": F.length(t), "solid": F.length(F.regexp_replace(t, r"(?U)\s", "")), "capitals": F.length(t) - F.length(tx.without_acronyms(t)), "letters": F.regexp_count(t, F.lit(r"\p{L}")), "counts": F.array(*[tx.count_of(t, p) for p in tx.SCRIPTS.values()]), "numbers": tx.numbers(t)}
+    want = spark.createDataFrame(rows, "t string").select("t", *[v.alias(k) for k, v in columns.items()], tx.letters(t).alias("every")).collect()
+    every = np.ones(len(want), dtype=bool)
+    found = texts.facts(pa.array([w["t"] for w in want]), every, every)
+    assert {k: [(w["t"], w[k], v) for w, v in zip(want, found[k].to_pylist()) if w[k] != v] for k in texts.FACTS} == {k: [] for k in texts.FACTS}
+    assert all(w["every"] == sum(w["counts"]) for w in want)
+
+
+def test_brief_issues_are_those_with_evidence(spark):
+    """No text is moved or written for issues without evidence, and they and the verdicts are the same, whatever the parts and the rules."""
+    blocks = [(name, *b[1:]) for name, rows in pairs().items() for b in rows]
+    joined = [(("two", side, 1, k, f"b{k}", "text", 20.0, 20.0 + 22 * k, 140.0, 20.0, 12.0, "#000000", words[k], 0, 1.0)) for side, words in (("source", ["The year 2024", "had 1,137 days"]), ("target", ["The AI year 2024", "stays as before"])) for k in range(2)]
+    blocks += joined
+    pages_ = spark.createDataFrame([(*k, 200.0, 240.0, None, []) for k in sorted({b[:3] for b in blocks})], PAGE)
+    rows = spark.createDataFrame(blocks, BLOCK)
+    names = pages_.select("pair_id").distinct().withColumn("reference", F.lit(Profile().reference))
+    for rules in (Profile(), by_pair(names, profile_table(spark, [Profile()]))):
+        brief, full = compare(pages_, rows, rules), compare(pages_, rows, rules)
+        issues = full.typed_issues.drop("evidence")
+        assert sorted(map(str, brief.brief_issues.select(issues.columns).collect())) == sorted(map(str, issues.collect())) != []
+        assert sorted(map(str, brief.documents.collect())) == sorted(map(str, full.documents.collect()))
+        assert not {"regions", "source", "target", "laid"} & set(brief.__dict__)
+        assert brief.brief.laid.where("s_text is not null or t_text is not null").count() == 0
+
+
+def test_flows_of_many_groups_are_those_of_each():
+    r = np.random.default_rng(7)
+    for _ in range(10):
+        sizes = r.integers(1, 14, 40).tolist() + [90]
+        y = np.concatenate([np.sort(r.integers(0, 12 * max(1, n // 8), n) * 9.0) for n in sizes])
+        n = len(y)
+        rows = {"x": r.integers(0, 60, n) * 1.0, "y": y, "width": r.integers(5, 60, n) * 1.0, "height": r.integers(8, 14, n) * 1.0, "type": r.choice(["paragraph", "heading"], n).astype(object), "font_size": r.choice([10.0, 10.5, 14.0, np.nan], n)}
+        marks = np.append(0, np.cumsum(sizes))
+        ratios = [r.choice(v, len(sizes)) for v in ([0.6, 0.3], [0.25, 0.1], [0.3, 0.5], [0.15, 0.05])]
+        each = [solvers.flows(*[rows[k][a:b] for k in ("x", "y", "width", "height", "type", "font_size")], *[float(v[k]) for v in ratios]) for k, (a, b) in enumerate(zip(marks[:-1], marks[1:]))]
+        assert solvers.flows_of(rows, marks, *ratios).tolist() == np.concatenate(each).tolist()
